@@ -6,6 +6,8 @@ surrounding plan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,15 +16,28 @@ TAG_SEPARATOR = "; "
 TEXT_SEPARATOR = " | "
 REPLY_KEYS = ("теги", "tags")
 MAX_CHARS_PER_CHUNK = 600000
+# Fixed value: the characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often ``body`` uses it.
+
+    Without it every mention would repeat the whole expression, parsing included.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column | str) -> Column:
-    """Remove leading and trailing white space of any kind (``trim`` removes blanks only)."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    """Remove leading and trailing white space of any kind (plain ``trim`` removes blanks only)."""
+    return F.btrim(_col(c), F.lit(WHITE_SPACE))
 
 
 def not_blank(c: Column | str) -> Column:
@@ -43,12 +58,16 @@ def parse_list(c: Column | str) -> Column:
     Null gives an empty list. A list holding a bare ``null`` is not a list literal and falls back as well.
     """
     cell = _col(c).cast("string")
-    parsed = _json_list(cell, single_quotes=True)
-    usable = parsed.isNotNull() & ~F.exists(parsed, lambda x: x.isNull())
-    return (
-        F.when(cell.isNull(), F.array().cast("array<string>"))
-        .when(usable, parsed)
-        .otherwise(F.array(cell))
+
+    def choose(parsed: Column) -> Column:
+        usable = parsed.isNotNull() & ~F.exists(parsed, lambda x: x.isNull())
+        return F.when(usable, parsed).otherwise(F.array(cell))
+
+    empty = F.array().cast("array<string>")
+    # Most cells are plain text: only those with a bracket up front are parsed at all.
+    listed = cell.rlike(r"(?U)^\s*\[")
+    return F.when(cell.isNull(), empty).when(listed, let(_json_list(cell, single_quotes=True), choose)).otherwise(
+        F.array(cell)
     )
 
 
@@ -70,6 +89,19 @@ def parse_tags(c: Column | str, lower: bool = False) -> Column:
     return F.coalesce(kept, F.array().cast("array<string>"))
 
 
+def dedupe_ignoring_case(c: Column | str) -> Column:
+    """Stripped tags of an array without repeats regardless of case; the first spelling stays in its place."""
+    kept = F.transform(F.filter(_col(c), not_blank), strip)
+
+    def first_only(tags: Column) -> Column:
+        return let(
+            F.transform(tags, F.lower),
+            lambda low: F.filter(tags, lambda t, i: F.array_position(low, F.lower(t)) == i + 1),
+        )
+
+    return let(kept, first_only)
+
+
 def join_tags(c: Column | str) -> Column:
     return F.array_join(_col(c), TAG_SEPARATOR)
 
@@ -142,29 +174,36 @@ def _whole_json(text: Column, single_quotes: bool = False) -> Column:
     """
     options = {"allowSingleQuotes": str(single_quotes).lower()}
     items = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", options)
-    return F.when(F.size(items) == 1, F.get(items, 0))
+    return let(items, lambda xs: F.when(F.size(xs) == 1, F.get(xs, 0)))
 
 
 def _json_object(c: Column) -> Column:
     """Object text -> map of raw JSON values, null when the text is not one valid object."""
-    text = strip(c)
-    whole = F.when(text.startswith("{") & text.endswith("}"), _whole_json(text))
-    return F.from_json(whole, "map<string,string>")
+
+    def read(text: Column) -> Column:
+        whole = F.when(text.startswith("{") & text.endswith("}"), _whole_json(text))
+        return F.from_json(whole, "map<string,string>")
+
+    return let(strip(c), read)
 
 
 def _json_list(c: Column, single_quotes: bool = False) -> Column:
-    text = strip(c)
-    whole = F.when(_bracketed(text), _whole_json(text, single_quotes))
-    return F.from_json(whole, "array<string>")
+    def read(text: Column) -> Column:
+        return F.from_json(F.when(_bracketed(text), _whole_json(text, single_quotes)), "array<string>")
+
+    return let(strip(c), read)
 
 
 def parse_tag_reply(reply: Column | str) -> Column:
     """Tagging reply -> ``array<string>`` of stripped tags (empty when nothing usable is found)."""
-    fields = _json_object(extract_json(reply))
     local, english = REPLY_KEYS
-    raw = F.when(F.map_contains_key(fields, local), fields[local]).otherwise(fields[english])
-    tags = F.filter(_json_list(raw), not_blank)
-    return F.coalesce(F.transform(tags, strip), F.array().cast("array<string>"))
+
+    def read(fields: Column) -> Column:
+        raw = F.when(F.map_contains_key(fields, local), fields[local]).otherwise(fields[english])
+        return F.transform(F.filter(_json_list(raw), not_blank), strip)
+
+    tags = let(_json_object(extract_json(reply)), read)
+    return F.coalesce(tags, F.array().cast("array<string>"))
 
 
 def parse_rerank_reply(reply: Column | str, candidates: Column | str, max_return: Column | int = 5) -> Column:
@@ -174,22 +213,24 @@ def parse_rerank_reply(reply: Column | str, candidates: Column | str, max_return
     candidate's own score; repeated tags stay; reading stops after ``max_return`` accepted items.
     """
     candidates = _col(candidates)
-    raw = strip(reply)
-    whole = _json_object(raw)
-    fields = F.coalesce(whole, _json_object(_widest_braces(raw)))
-    items = F.coalesce(_json_list(raw), _json_list(fields["tags"]))
-    known = F.transform(candidates, lambda c: c["tag"])
-
-    def read(item: Column) -> Column:
-        m = _json_object(item)
+
+    def items_of(raw: Column) -> Column:
+        whole = F.coalesce(_json_object(raw), _json_object(_widest_braces(raw)))
+        return F.coalesce(_json_list(raw), let(whole, lambda fields: _json_list(fields["tags"])))
+
+    def accept(m: Column) -> Column:
         tag = m["tag"]
-        own = F.get(candidates, (F.array_position(known, tag) - 1).cast("int"))["score"]
-        return F.when(
-            F.array_contains(known, tag),
-            F.struct(tag.alias("tag"), F.coalesce(m["score"].try_cast("double"), own).alias("score")),
+        own = F.get(F.filter(candidates, lambda c: c["tag"] == tag), 0)
+        return let(
+            own,
+            lambda known: F.when(
+                known.isNotNull(),
+                F.struct(tag.alias("tag"), F.coalesce(m["score"].try_cast("double"), known["score"]).alias("score")),
+            ),
         )
 
-    accepted = F.filter(F.transform(items, read), lambda x: x.isNotNull())
+    read = F.transform(let(strip(reply), items_of), lambda item: let(_json_object(item), accept))
+    accepted = F.filter(read, lambda x: x.isNotNull())
     limit = max_return if isinstance(max_return, Column) else F.lit(max_return)
     return F.coalesce(
         F.slice(accepted, F.lit(1), limit), F.array().cast("array<struct<tag:string,score:double>>")
@@ -201,30 +242,28 @@ def parse_pool_reply(reply: Column | str) -> Column:
 
     Tags are stripped and lowercased; ``ord`` numbers the rules in reply order.
     """
-    fields = _json_object(extract_json(reply))
-
     def clean(tags: Column) -> Column:
         return F.transform(F.filter(tags, not_blank), lambda t: F.lower(strip(t)))
 
-    kept = F.coalesce(clean(_json_list(fields["kept_tags"])), F.array().cast("array<string>"))
-    # array<string> first and each element after it: one malformed rule does not void the others.
-    rules = F.flatten(
-        F.transform(
-            F.coalesce(_json_list(fields["mappings"]), F.array().cast("array<string>")),
-            lambda item, i: F.coalesce(
-                F.transform(
-                    clean(_json_list(_json_object(item)["old"])),
-                    lambda old: F.struct(
-                        old.alias("old_tag"),
-                        F.coalesce(F.lower(strip(_json_object(item)["new"])), F.lit("")).alias("new_tag"),
-                        i.alias("ord"),
-                    ),
-                ),
-                F.array().cast("array<struct<old_tag:string,new_tag:string,ord:int>>"),
-            ),
+    no_tags = F.array().cast("array<string>")
+    no_rules = F.array().cast("array<struct<old_tag:string,new_tag:string,ord:int>>")
+
+    def rules_of(fields: Column, position: Column) -> Column:
+        new = F.coalesce(F.lower(strip(fields["new"])), F.lit(""))
+        rules = F.transform(
+            clean(_json_list(fields["old"])),
+            lambda old: F.struct(old.alias("old_tag"), new.alias("new_tag"), position.alias("ord")),
         )
-    )
-    return F.struct(kept.alias("kept"), rules.alias("rules"))
+        return F.coalesce(rules, no_rules)
+
+    def read(fields: Column) -> Column:
+        # Items stay text until each is read on its own: one malformed rule does not void the others.
+        items = F.coalesce(_json_list(fields["mappings"]), no_tags)
+        rules = F.transform(items, lambda item, i: let(_json_object(item), lambda m: rules_of(m, i)))
+        kept = F.coalesce(clean(_json_list(fields["kept_tags"])), no_tags)
+        return F.struct(kept.alias("kept"), F.flatten(rules).alias("rules"))
+
+    return let(_json_object(extract_json(reply)), read)
 
 
 def parse_choice_reply(reply: Column | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tagweave.functions import text as T
+from tagweave.operators.products import explode_tags
 
 
 def label_frequencies(product_tags: DataFrame, key: str = "product_sku") -> DataFrame:
@@ -72,4 +72,4 @@ def multi_hot_vector(column: str, labels: Column) -> Column:
 
 def long_tags(df: DataFrame, key: str = "product_sku", column: str = "tags", lower: bool = False) -> DataFrame:
     """Delimited tag cells -> distinct (key, tag)."""
-    return df.select(key, F.explode(T.parse_tags(column, lower)).alias("tag")).distinct()
+    return explode_tags(df, [key], column, lower).distinct()

@@ -5,19 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagweave.functions import text as T
-from tagweave.operators.products import tag_lists
+from tagweave.operators.products import explode_tags, product_tags, tag_lists
 
 
 def build_tag_pools(df: DataFrame, by: str = "good_type", column: str = "tags", lower: bool = True) -> DataFrame:
     """Long pool (category, tag): the distinct tags of every category."""
-    return (
-        df.where(F.col(by).isNotNull())
-        .select(by, F.explode(T.parse_tags(column, lower)).alias("tag"))
-        .distinct()
-    )
+    return explode_tags(df.where(F.col(by).isNotNull()), [by], column, lower).distinct()
 
 
 def pool_rows(pool: DataFrame, by: str = "good_type", per_row: int = 10000) -> DataFrame:
@@ -93,14 +90,11 @@ def rewrite_tags(
 
     Every ``key`` stays, possibly with an empty list. A category without a pool loses all its tags.
     """
-    cells = tagged.where(F.col(key).isNotNull()).select(
-        key, by, F.struct(*order_by).alias("_o"), F.posexplode_outer(T.parse_tags("tags", lower=True)).alias("_i", "tag")
-    )
-    # First position per (product, tag) before the joins: repeated mentions are gone by then.
-    once = cells.groupBy(key, by, "tag").agg(F.min(F.struct("_o", "_i")).alias("pos"))
-    mapped = filter_to_pool(apply_tag_mapping(once, mapping, by, transitive), pool, by, keep_rows=True)
-    merged = mapped.groupBy(key, "tag").agg(F.min("pos").alias("pos"))
-    return tag_lists(merged, key)
+    first_type = tagged.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(by).alias(by))
+    lists = product_tags(tagged, key, order_by, lower=True).join(first_type, key)
+    cells = lists.select(key, by, F.posexplode_outer("tags").alias("pos", "tag"))
+    mapped = filter_to_pool(apply_tag_mapping(cells, mapping, by, transitive), pool, by, keep_rows=True)
+    return tag_lists(mapped, key).withColumn("tags", F.array_distinct("tags"))
 
 
 def rewrite_report(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -120,16 +114,6 @@ def rewrite_report(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("reduction_pct", 100 * (1 - kept))
 
 
-def dedupe_ignoring_case(long: DataFrame, key: str = "product_sku") -> DataFrame:
-    """Long (key, tag, pos) -> one row per key and lowercased tag, in the spelling seen first."""
-    trimmed = long.withColumn("tag", T.strip("tag")).where(F.col("tag") != "")
-    return (
-        trimmed.groupBy(key, F.lower("tag").alias("_low"))
-        .agg(F.min(F.struct("pos", "tag")).alias("_first"))
-        .select(key, F.col("_first.tag").alias("tag"), F.col("_first.pos").alias("pos"))
-    )
-
-
 def canonicalise_dataset(rows: DataFrame, matches: DataFrame, key: str = "product_sku") -> DataFrame:
     """Raw (key, tag) rows and matches (raw_id, canonical_id) -> sorted distinct canonical tags per key.
 
@@ -159,20 +143,18 @@ def tag_profile(
         (F.sum(F.when(F.col("n") == 0, F.col("c")).otherwise(0)) / F.sum("c")).alias("untagged_share"),
     )
     freq = pairs.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    # Frequencies of tags as a histogram: few rows, and enough for median and top coverage alike.
     freq_hist = freq.groupBy("n").agg(F.count(F.lit(1)).alias("c"))
-    of_tags = freq_hist.agg(
-        F.sum("c").alias("n_tags"),
-        F.expr("percentile(n, 0.5D, c)").alias("median_frequency"),
-        F.sum(F.col("n") * F.col("c")).alias("_mentions"),
-    )
-    top = freq.orderBy(F.col("n").desc(), "tag").limit(top_n).agg(F.sum("n").alias("_top"))
-    return of_products.withColumns(
-        {
-            "n_tags": of_tags.select("n_tags").scalar(),
-            "median_frequency": of_tags.select("median_frequency").scalar(),
-            "top_coverage": F.try_divide(top.scalar(), of_tags.select("_mentions").scalar()),
-        }
+    higher = F.coalesce(F.sum("c").over(W.orderBy(F.col("n").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    in_top = F.greatest(F.least(F.col("c"), F.lit(top_n) - higher), F.lit(0))
+    of_tags = freq_hist.select("n", "c", in_top.alias("t")).agg(
+        F.struct(
+            F.sum("c").alias("n_tags"),
+            F.expr("percentile(n, 0.5D, c)").alias("median_frequency"),
+            F.try_divide(F.sum(F.col("n") * F.col("t")), F.sum(F.col("n") * F.col("c"))).alias("top_coverage"),
+        )
     )
+    return of_products.withColumn("_tags", of_tags.scalar()).select("*", "_tags.*").drop("_tags")
 
 
 # -- consolidation --------------------------------------------------------------------------------------------

@@ -108,22 +108,56 @@ def first_rows(df: DataFrame, key: str = "product_sku", order_by: Sequence[str]
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(*[first_by(c, order, True).alias(c) for c in others])
 
 
-def tag_union(
+def explode_tags(df: DataFrame, keys: Sequence[str], column: str = "tags", lower: bool = False) -> DataFrame:
+    """Delimited tag cells -> (keys, tag), one row per tag.
+
+    Splitting comes first and cleaning second: cleaning then runs as generated code on plain rows.
+    """
+    raw = F.lower(column) if lower else F.col(column)
+    parts = df.select(*keys, F.explode(F.split(raw, ";")).alias("tag"))
+    return parts.select(*keys, T.strip("tag").alias("tag")).where(F.col("tag") != "")
+
+
+def union_lists(
     df: DataFrame,
+    items: Column,
     key: str = "product_sku",
     order_by: Sequence[str] = ("comment_id",),
-    lower: bool = False,
-    column: str = "tags",
+    ignore_case: bool = False,
+    name: str = "tags",
+    max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Long table (key, tag, pos): distinct tags per product with the position where each is first seen.
+    """(key, tags): the distinct items of all rows of a product in the order first seen.
 
-    The minimum position is taken before the shuffle, so a product with very many rows sends each of its
-    distinct tags once per input partition.
+    Groups of up to ``max_rows`` rows are merged as arrays in one shuffle. In a larger group the minimum position
+    per (product, item) is taken before the shuffle, so its rows never come together.
     """
-    cells = df.where(F.col(key).isNotNull()).select(
-        key, _order(order_by).alias("_o"), F.posexplode(T.parse_tags(column, lower)).alias("_i", "tag")
-    )
-    return cells.groupBy(key, "tag").agg(F.min(F.struct(F.col("_o").alias("row"), F.col("_i").alias("item"))).alias("pos"))
+    rows = df.where(F.col(key).isNotNull()).select(key, *order_by, items.alias("_items"))
+    small, large = split_large_groups(rows, key, order_by, max_rows)
+    order = _order(order_by)
+    unique = T.dedupe_ignoring_case if ignore_case else F.array_distinct
+    out = small.groupBy(key).agg(F.flatten(_in_order(order, "_items")).alias(name)).withColumn(name, unique(F.col(name)))
+    if large is not None:
+        cells = large.select(key, order.alias("_o"), F.posexplode_outer("_items").alias("_i", "tag"))
+        same = F.lower(T.strip("tag")) if ignore_case else F.col("tag")
+        first = F.min(F.struct(F.struct("_o", "_i").alias("pos"), F.col("tag"))).alias("_f")
+        once = cells.groupBy(key, same.alias("_same")).agg(first)
+        tag = F.col("_f.tag")
+        long = once.select(key, (F.nullif(T.strip(tag), F.lit("")) if ignore_case else tag).alias("tag"), F.col("_f.pos").alias("pos"))
+        out = out.unionByName(tag_lists(long, key, name))
+    return out
+
+
+def product_tags(
+    df: DataFrame,
+    key: str = "product_sku",
+    order_by: Sequence[str] = ("comment_id",),
+    lower: bool = False,
+    column: str = "tags",
+    max_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """(key, tags): tag union per product from delimited cells, in first-seen order."""
+    return union_lists(df, T.parse_tags(column, lower), key, order_by, max_rows=max_rows)
 
 
 def tag_lists(long: DataFrame, key: str = "product_sku", name: str = "tags") -> DataFrame:

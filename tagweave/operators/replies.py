@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions import text as T
 from tagweave.operators.layout import durable
-from tagweave.operators.products import tag_lists
+from tagweave.operators.products import union_lists
 from tagweave.operators.selection import top_candidates
 
 # A client factory runs once per task and returns prompt -> reply text.
@@ -102,13 +102,7 @@ def tag_prompts(products: DataFrame, template: str, max_chars: int = T.MAX_CHARS
 
 def merge_tag_replies(replies: DataFrame, key: str = "product_sku", order_by: Sequence[str] = ("chunk_id",)) -> DataFrame:
     """Reply chunks -> one tag list per product, first spelling of each tag regardless of case, in reply order."""
-    cells = replies.select(
-        key, F.struct(*order_by).alias("_o"), F.posexplode_outer(T.parse_tag_reply("reply")).alias("_i", "tag")
-    )
-    once = cells.groupBy(key, F.lower("tag").alias("_low")).agg(
-        F.min(F.struct(F.struct("_o", "_i").alias("pos"), F.col("tag"))).alias("_f")
-    )
-    return tag_lists(once.select(key, F.col("_f.tag").alias("tag"), F.col("_f.pos").alias("pos")), key)
+    return union_lists(replies, T.parse_tag_reply("reply"), key, order_by, ignore_case=True)
 
 
 def tag_with_client(products: DataFrame, client: ClientFactory, template: str, store: str | None = None, **kwargs) -> DataFrame:

@@ -124,7 +124,7 @@ def _block_pairs(df: DataFrame, blocks: DataFrame, pivots: np.ndarray, threshold
     angles = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
     a, b = np.triu_indices(len(pivots))
     cell_pairs = df.sparkSession.createDataFrame(
-        pd.DataFrame({"_ca": a.astype("int32"), "_cb": b.astype("int32"), "_between": angles[a, b]})
+        [(int(i), int(j), float(angles[i, j])) for i, j in zip(a, b)], "_ca int, _cb int, _between double"
     )
     left = blocks.withColumnsRenamed({"_cell": "_ca", "_block": "_ba", "_radius": "_ra"})
     right = blocks.withColumnsRenamed({"_cell": "_cb", "_block": "_bb", "_radius": "_rb"})

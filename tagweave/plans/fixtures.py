@@ -23,12 +23,23 @@ def hex4(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 4), 16, 10).cast("int")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that is stored in fewer files than there are cores.
+
+    A small file has one row group and would keep all work up to the next shuffle on one core. Tables of many
+    files, all large ones, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in ("documents", "lineitem") else df
 
     def reviews(self) -> DataFrame:
         return self.table("documents").select(
@@ -99,14 +110,12 @@ class Views:
         return self.labelled_products().select("product_sku", "good_type", F.explode("_labels").alias("label"))
 
     def products(self) -> DataFrame:
-        return self._lines().select(
-            F.col("l_orderkey").alias("product_sku"), F.col("o_orderpriority").alias("good_type")
-        ).distinct()
+        lines = self.table("lineitem").select(F.col("l_orderkey").alias("product_sku"))
+        orders = self.table("orders").select(F.col("o_orderkey").alias("product_sku"), F.col("o_orderpriority").alias("good_type"))
+        return orders.join(lines, "product_sku", "left_semi")
 
     def types(self) -> DataFrame:
-        return self.table("orders").select(F.col("o_orderkey"), F.col("o_orderpriority").alias("good_type")).join(
-            self.table("lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi"
-        ).select("good_type").distinct()
+        return self.products().select("good_type").distinct()
 
     def allowed(self) -> DataFrame:
         from tagweave.operators.priors import vocab_array

@@ -66,7 +66,7 @@ def product_text(v: Views) -> DataFrame:
         select *, row_number() over (partition by product_sku order by ord1, ord2, i) as pos from tag_cells)
     group by all) group by product_sku""")
 def product_tags(v: Views) -> DataFrame:
-    return P.tag_lists(A.tag_union(v.tagged(), order_by=ORDER)).select("product_sku", T.join_tags("tags").alias("tags"))
+    return A.product_tags(v.tagged(), order_by=ORDER).select("product_sku", T.join_tags("tags").alias("tags"))
 
 
 @query("product_explorer", ("product_texts",), """select product_sku, concat(product_sku, ' — ', name) as option_label,
@@ -308,7 +308,7 @@ def rewrite_tags(v: Views) -> DataFrame:
     from (select (select count(*) from raw_lists) as rows_before, (select sum(n)::bigint from raw_lists) as tags_before,
     (select count(*) from rewritten where n > 0) as rows_after, (select sum(n)::bigint from rewritten) as tags_after) x""", REWRITE)
 def rewrite_report(v: Views) -> DataFrame:
-    before = P.tag_lists(A.tag_union(v.tagged(), order_by=ORDER))
+    before = A.product_tags(v.tagged(), order_by=ORDER)
     return P.rewrite_report(before, _rewritten(v)).withColumn("reduction_pct", r6("reduction_pct"))
 
 
@@ -317,8 +317,8 @@ def rewrite_report(v: Views) -> DataFrame:
         select *, row_number() over (partition by product_sku order by ord1, ord2, i) as pos from tag_cells) x
     group by product_sku, lower(tag)) y group by product_sku""")
 def ci_dedupe(v: Views) -> DataFrame:
-    once = P.dedupe_ignoring_case(A.tag_union(v.tagged(), order_by=ORDER))
-    return P.tag_lists(once).select("product_sku", T.join_tags("tags").alias("tags"))
+    lists = A.union_lists(v.tagged(), T.parse_tags("tags"), order_by=ORDER, ignore_case=True)
+    return lists.select("product_sku", T.join_tags("tags").alias("tags"))
 
 
 # -- labels and priors ----------------------------------------------------------------------------------------
@@ -353,7 +353,7 @@ def label_vocab_rows(v: Views) -> DataFrame:
     '' order by v.label) as hot from products p cross join vocab v
     left join truth t on t.product_sku = p.product_sku and t.label = v.label group by p.product_sku""")
 def multi_hot(v: Views) -> DataFrame:
-    tags = P.tag_lists(A.tag_union(v.tagged(), order_by=ORDER, lower=True)).withColumn("_v", R.vocab_array(v.vocab()))
+    tags = A.product_tags(v.tagged(), order_by=ORDER, lower=True).withColumn("_v", R.vocab_array(v.vocab()))
     hot = L.multi_hot_vector("tags", F.col("_v"))
     return tags.select("product_sku", F.array_join(hot.cast("array<string>"), "").alias("hot"))
 
@@ -964,7 +964,7 @@ def reviews_csv_roundtrip(v: Views) -> DataFrame:
     '["' || replace(tags, '; ', '","') || '"]' as tags from raw_lists""", REWRITE)
 def training_pairs(v: Views) -> DataFrame:
     path = _fresh(v, "pairs-csv")
-    lists = P.tag_lists(A.tag_union(v.tagged(), order_by=ORDER))
+    lists = A.product_tags(v.tagged(), order_by=ORDER)
     TB.write_training_pairs(lists.select(F.concat(F.lit("order "), F.col("product_sku").cast("string")).alias("text"), "tags"), path)
     return TB.read_csv(v.spark, path, "text string, tags string", required=("text", "tags"))
 
