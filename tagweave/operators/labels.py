@@ -17,15 +17,25 @@ def label_frequencies(product_tags: DataFrame, key: str = "product_sku") -> Data
 
 
 def number_labels(labels: DataFrame) -> DataFrame:
-    """Add ``label_id``: distinct labels numbered from 0 in code-point order."""
-    return labels.withColumn("label_id", (F.row_number().over(W.orderBy("label")) - 1).cast("int"))
+    """Add ``label_id``: distinct labels numbered from 0 in code-point order.
 
+    Labels are ranked within their two-character prefix; only the prefix counts are summed up in one place.
+    """
+    rows = labels.withColumn("_prefix", F.substring("label", 1, 2))
+    before = F.sum("_n").over(W.orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1))
+    offsets = rows.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_prefix", F.coalesce(before, F.lit(0)).alias("_before")
+    )
+    local = F.row_number().over(W.partitionBy("_prefix").orderBy("label"))
+    return (
+        rows.join(offsets, "_prefix")
+        .withColumn("label_id", (F.col("_before") + local - 1).cast("int"))
+        .drop("_prefix", "_before")
+    )
 
-def label_vocab(product_tags: DataFrame, min_freq: int = 3, key: str = "product_sku") -> DataFrame:
-    """(label_id, label, n): tags of at least ``min_freq`` products, numbered from 0 in code-point order.
 
-    The numbering ranks the vocabulary only, never the product rows.
-    """
+def label_vocab(product_tags: DataFrame, min_freq: int = 3, key: str = "product_sku") -> DataFrame:
+    """(label, n, label_id): tags of at least ``min_freq`` products, numbered from 0 in code-point order."""
     kept = label_frequencies(product_tags, key).where(F.col("n") >= min_freq)
     return number_labels(kept.withColumnRenamed("tag", "label"))
 

@@ -54,13 +54,6 @@ def seeded_hash(seed: int, *keys: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols]))
 
 
-def _null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & left[n].eqNullSafe(right[n])
-    return cond
-
-
 def hash_rank(
     df: DataFrame, key: str | Sequence[str], by: Sequence[str] = (), seed: int = 42, digits: int = RANK_BLOCK_DIGITS
 ) -> DataFrame:
@@ -81,6 +74,8 @@ def hash_rank(
         F.coalesce(F.sum("_n").over(in_order), F.lit(0)).alias("_before"),
         F.sum("_n").over(W.partitionBy(*by)).alias("group_rows"),
     )
+    # Stored first: its size is then known, and Spark broadcasts it instead of shuffling the rows once more.
+    offsets = durable(offsets)
     cond = F.col("_block") == F.col("_by_block")
     for c in by:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_by_{c}"))

@@ -90,8 +90,7 @@ def rewrite_tags(
 
     Every ``key`` stays, possibly with an empty list. A category without a pool loses all its tags.
     """
-    first_type = tagged.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(by).alias(by))
-    lists = product_tags(tagged, key, order_by, lower=True).join(first_type, key)
+    lists = product_tags(tagged, key, order_by, lower=True, carry=[by])
     cells = lists.select(key, by, F.posexplode_outer("tags").alias("pos", "tag"))
     mapped = filter_to_pool(apply_tag_mapping(cells, mapping, by, transitive), pool, by, keep_rows=True)
     return tag_lists(mapped, key).withColumn("tags", F.array_distinct("tags"))

@@ -37,16 +37,13 @@ def vocab_array(vocab: DataFrame) -> Column:
 
 def densify(stats: DataFrame, vocab: DataFrame) -> DataFrame:
     """Statistics with a row for every (category, vocabulary label), ``pos`` 0 where none was counted."""
-    per_type = stats.groupBy("good_type").agg(
-        F.max("n").alias("n"),
-        F.map_from_entries(
-            F.filter(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "pos"))), lambda e: e.isNotNull())
-        ).alias("_pos"),
-    )
-    dense = per_type.withColumn("_labels", vocab_array(vocab))
-    return dense.select("good_type", "n", "_pos", F.explode("_labels").alias("label")).select(
-        "good_type", "label", F.coalesce(F.col("_pos")[F.col("label")], F.lit(0)).alias("pos"), "n"
+    types = stats.groupBy("good_type").agg(F.max("n").alias("n")).withColumn("_labels", vocab_array(vocab))
+    cells = types.select("good_type", "n", F.explode("_labels").alias("label"))
+    counted = stats.where(F.col("label").isNotNull()).select(
+        F.col("good_type").alias("_t"), F.col("label").alias("_l"), F.col("pos").alias("_pos")
     )
+    same = F.col("good_type").eqNullSafe(F.col("_t")) & (F.col("label") == F.col("_l"))
+    return cells.join(counted, same, "left").select("good_type", "label", F.coalesce("_pos", F.lit(0)).alias("pos"), "n")
 
 
 def category_priors(stats: DataFrame, vocab: DataFrame, alpha: float = 1.0) -> DataFrame:

@@ -126,17 +126,20 @@ def union_lists(
     ignore_case: bool = False,
     name: str = "tags",
     max_rows: int = MAX_GROUP_ROWS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """(key, tags): the distinct items of all rows of a product in the order first seen.
 
+    ``carry`` names columns that are constant within a product and stay in the result.
     Groups of up to ``max_rows`` rows are merged as arrays in one shuffle. In a larger group the minimum position
     per (product, item) is taken before the shuffle, so its rows never come together.
     """
-    rows = df.where(F.col(key).isNotNull()).select(key, *order_by, items.alias("_items"))
+    rows = df.where(F.col(key).isNotNull()).select(key, *order_by, *carry, items.alias("_items"))
     small, large = split_large_groups(rows, key, order_by, max_rows)
     order = _order(order_by)
     unique = T.dedupe_ignoring_case if ignore_case else F.array_distinct
-    out = small.groupBy(key).agg(F.flatten(_in_order(order, "_items")).alias(name)).withColumn(name, unique(F.col(name)))
+    kept = [F.min(c).alias(c) for c in carry]
+    out = small.groupBy(key).agg(F.flatten(_in_order(order, "_items")).alias(name), *kept).withColumn(name, unique(F.col(name)))
     if large is not None:
         cells = large.select(key, order.alias("_o"), F.posexplode_outer("_items").alias("_i", "tag"))
         same = F.lower(T.strip("tag")) if ignore_case else F.col("tag")
@@ -144,7 +147,10 @@ def union_lists(
         once = cells.groupBy(key, same.alias("_same")).agg(first)
         tag = F.col("_f.tag")
         long = once.select(key, (F.nullif(T.strip(tag), F.lit("")) if ignore_case else tag).alias("tag"), F.col("_f.pos").alias("pos"))
-        out = out.unionByName(tag_lists(long, key, name))
+        lists = tag_lists(long, key, name)
+        if carry:
+            lists = lists.join(large.groupBy(key).agg(*kept), key)
+        out = out.unionByName(lists)
     return out
 
 
@@ -155,9 +161,10 @@ def product_tags(
     lower: bool = False,
     column: str = "tags",
     max_rows: int = MAX_GROUP_ROWS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """(key, tags): tag union per product from delimited cells, in first-seen order."""
-    return union_lists(df, T.parse_tags(column, lower), key, order_by, max_rows=max_rows)
+    return union_lists(df, T.parse_tags(column, lower), key, order_by, max_rows=max_rows, carry=carry)
 
 
 def tag_lists(long: DataFrame, key: str = "product_sku", name: str = "tags") -> DataFrame:

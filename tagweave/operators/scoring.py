@@ -134,7 +134,7 @@ def distinct_tokens(df: DataFrame, tokens_col: str, *keys: str) -> DataFrame:
 
 
 def fit_scorer(
-    tokens: DataFrame,
+    docs: DataFrame,
     truth: DataFrame,
     products: DataFrame,
     alpha: float = 1.0,
@@ -144,17 +144,18 @@ def fit_scorer(
     """Weights (group, token, weights array<struct<label, w>>) from product token sets and labels.
 
     w = ln((df+ + a)/(n+ + 2a)) - ln((df- + a)/(n- + 2a)). Only positive (product, label) pairs are expanded;
-    counts of the negative side are differences to the token totals. ``tokens`` is distinct
-    (product_sku, group, token), ``truth`` distinct (product_sku, label), ``products`` distinct (product_sku, group).
+    counts of the negative side are differences to the token totals. ``docs`` has one row per product
+    (product_sku, group, ``tokens`` array), ``truth`` is distinct (product_sku, label), ``products`` distinct
+    (product_sku, group).
     """
     n_all = products.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     labelled = products.join(truth.select("product_sku", "label"), "product_sku")
     n_pos = labelled.groupBy(group, "label").agg(F.count(F.lit(1)).alias("n_pos"))
-    df_all = tokens.groupBy(group, "token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
-    # The label set of one product rides on its token rows; it is as small as the product's tag list.
+    df_all = distinct_tokens(docs, "tokens", group).groupBy(group, "token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    # Labels meet the product row before its tokens are expanded: the join moves one row per product.
     label_sets = truth.groupBy("product_sku").agg(F.collect_set("label").alias("_labels"))
     df_pos = (
-        tokens.join(label_sets, "product_sku")
+        distinct_tokens(docs.join(label_sets, "product_sku"), "tokens", group, "_labels")
         .select(group, "token", F.explode("_labels").alias("label"))
         .groupBy(group, "token", "label")
         .agg(F.count(F.lit(1)).alias("df_pos"))

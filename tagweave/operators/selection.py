@@ -96,7 +96,7 @@ def select_tags(
     rows = binarize(scores, thresholds, default)
     order = [F.col("prob").desc(), F.col("label")]
     if mode == "by_prob":
-        product = W.partitionBy("product_sku")
+        product = W.partitionBy("product_sku", "good_type")
         rows = rows.withColumn("_n", F.sum(F.col("passed").cast("int")).over(product)).withColumn(
             "rank", F.row_number().over(product.orderBy(*order))
         )
@@ -108,7 +108,7 @@ def select_tags(
         )
         return rows.where(keep).select("product_sku", "good_type", "label", "prob", "rank")
     ranked = rows.withColumn(
-        "rank", F.row_number().over(W.partitionBy("product_sku").orderBy(F.col("passed").desc(), *order))
+        "rank", F.row_number().over(W.partitionBy("product_sku", "good_type").orderBy(F.col("passed").desc(), *order))
     )
     if top_k is not None:
         ranked = ranked.where(F.col("rank") <= top_k)
@@ -130,6 +130,6 @@ def top_candidates(scores: DataFrame, n: int = 20, positive_only: bool = True) -
 
     Ranks are taken over all labels first; labels of probability 0 drop out afterwards (``positive_only``).
     """
-    rank = F.row_number().over(W.partitionBy("product_sku").orderBy(F.col("prob").desc(), "label"))
+    rank = F.row_number().over(W.partitionBy("product_sku", "good_type").orderBy(F.col("prob").desc(), "label"))
     top = scores.withColumn("rank", rank).where(F.col("rank") <= max(1, n))
     return top.where(F.col("prob") > 0) if positive_only else top

@@ -440,16 +440,22 @@ def _partial_priors(v: Views) -> DataFrame:
     return _priors(v).where(F.col("good_type").isNull() | (F.col("good_type") != UNLISTED_TYPE))
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """A fitted artifact as it is used in practice: a stored table whose size is known, so that joining it to the
+    scores needs no shuffle of the scores when it is small."""
+    return durable(df)
+
+
 @query("prior_blend", ("blended",), "select product_sku, good_type, label, round(prob, 6) as prob from blended", CALIBRATED_SQL)
 def prior_blend(v: Views) -> DataFrame:
-    return C.blend_prior(v.scores(), _partial_priors(v)).select("product_sku", "good_type", "label", r6("prob").alias("prob"))
+    return C.blend_prior(v.scores(), _stored(_partial_priors(v))).select("product_sku", "good_type", "label", r6("prob").alias("prob"))
 
 
 @query("allow_mask", ("scores", "allowed"), """select s.product_sku, s.good_type, s.label, round(s.prob, 6) as prob from scores s
     left join allowed a on a.good_type = s.good_type and a.label = s.label
     where a.label is not null or s.good_type not in (select good_type from allowed)""")
 def allow_mask(v: Views) -> DataFrame:
-    masked = C.apply_allow_list(v.scores(), v.allowed())
+    masked = C.apply_allow_list(v.scores(), _stored(v.allowed()))
     return masked.where(F.col("prob") > 0).select("product_sku", "good_type", "label", r6("prob").alias("prob"))
 
 
@@ -487,7 +493,9 @@ def select_tags_by_prob(v: Views) -> DataFrame:
 
 @query("predict_tags", ("predicted",), "select product_sku, good_type, label, round(prob, 6) as prob, rank from predicted", CHOSEN_SQL)
 def predict_tags(v: Views) -> DataFrame:
-    artifacts = AR.Artifacts(v.vocab(), v.thresholds(), v.allowed(), _partial_priors(v), category_prior_weight=1.0)
+    artifacts = AR.Artifacts(
+        v.vocab(), _stored(v.thresholds()), _stored(v.allowed()), _stored(_partial_priors(v)), category_prior_weight=1.0
+    )
     return tagging.predict_from_scores(v.chunk_scores(), artifacts).withColumn("prob", r6("prob"))
 
 
@@ -937,8 +945,7 @@ def token_scorer(v: Views) -> DataFrame:
     docs = v.table("documents").select(F.col("doc_id").alias("product_sku"), F.col("lang").alias("good_type"), "text")
     known = docs.join(judged, "product_sku", "left_semi")
     products = known.select("product_sku", "good_type")
-    tokens = S.distinct_tokens(known.withColumn("tokens", S.blank_tokens("text")), "tokens", "product_sku", "good_type")
-    weights = S.fit_scorer(tokens, marks, products)
+    weights = S.fit_scorer(known.withColumn("tokens", S.blank_tokens("text")), marks, products)
     windows = _doc_windows(v).withColumnRenamed("window", "tokens")
     chunks = S.score_tokens(windows, weights, S.label_bias(marks, products))
     return C.max_pool_scores(chunks).withColumn("prob", r6("prob"))

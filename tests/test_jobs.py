@@ -114,8 +114,8 @@ def test_prepare_fit_predict_evaluate(spark):
     assert ds.products.count() == 120 and ds.windows.count() == 120
     train = ds.products.where("split = 'train'")
     products, truth = train.select("product_sku", "good_type"), ds.truth.where("split = 'train'")
-    tokens = S.distinct_tokens(train.withColumn("tokens", S.blank_tokens("text")), "tokens", "product_sku", "good_type")
-    weights, bias = S.fit_scorer(tokens, truth, products), S.label_bias(truth, products)
+    docs = train.withColumn("tokens", S.blank_tokens("text"))
+    weights, bias = S.fit_scorer(docs, truth, products), S.label_bias(truth, products)
     chunks = S.score_tokens(ds.windows.withColumnRenamed("window", "tokens"), weights, bias)
     stats = R.category_label_stats(truth.select("product_sku", "good_type", "label"), products)
     thresholds = AR.threshold_table(
