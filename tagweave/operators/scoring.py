@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.numeric import sigmoid
 from tagweave.functions.text import strip
+from tagweave.operators.layout import durable
+from tagweave.operators.replies import ClientFactory, prefer_reranked, rerank
 from tagweave.operators.selection import max_pool_scores, select_tags
 
 # A scorer reads batches with the columns of its input and yields (product_sku, good_type, chunk_id, label, prob).
@@ -119,10 +121,26 @@ def predict_by_group(
     top_k: int | None = 8,
     default: str = "accs",
     min_tags: int = 1,
+    reranker: ClientFactory | None = None,
+    template: str = "{good_type}\n{text}\n{candidates}\n{max_return}",
+    rerank_top_n: int = 20,
+    rerank_max: int | None = None,
 ) -> DataFrame:
-    """Route every product to its model group, score it with that group's labels, choose tags by one threshold."""
+    """Route every product to its model group, score it with that group's labels, choose tags by one threshold.
+
+    With ``reranker`` the best ``rerank_top_n`` labels, also those of probability 0, go to the client; products
+    without a usable reply keep the threshold choice.
+    """
     placed = by_group(route_category(df, routes, default))
-    return select_tags(max_pool_scores(score(placed, scorer)), threshold, top_k, min_tags)
+    scores = max_pool_scores(score(placed, scorer))
+    if reranker is None:
+        return select_tags(scores, threshold, top_k, min_tags)
+    scores = durable(scores)
+    better = rerank(
+        scores, df, reranker, template, max_candidates=rerank_top_n, max_return=rerank_max or top_k or rerank_top_n,
+        positive_only=False,
+    )
+    return prefer_reranked(better, select_tags(scores, threshold, top_k, min_tags))
 
 
 # -- built-in scorer ------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ pass, so no task holds a whole category and no failing pair is ever written out.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,6 +35,30 @@ def unit_vector(vectors: pd.Series) -> pd.Series:
     return pd.Series(list(_unit(vectors)))
 
 
+# An encoder factory runs once per task and returns a function from a list of texts to their vectors.
+EncoderFactory = Callable[[], Callable[[list[str]], Iterable[Sequence[float]]]]
+
+
+def embed_tags(
+    df: DataFrame, encoder: EncoderFactory, column: str = "tag", vector: str = "vector", batch_size: int = 32
+) -> DataFrame:
+    """Add ``vector`` by encoding every distinct text of ``column`` once, ``batch_size`` texts per call."""
+    texts = df.select(F.col(column).alias("_text")).where(F.col("_text").isNotNull()).distinct()
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run = encoder()
+        for batch in batches:
+            items = batch["_text"].tolist()
+            vectors: list[list[float]] = []
+            for start in range(0, len(items), batch_size):
+                vectors += [[float(x) for x in v] for v in run(items[start : start + batch_size])]
+            yield pd.DataFrame({"_text": items, vector: vectors})
+
+    # Stored: an encoder call is expensive and must not be repeated by later uses of the table.
+    encoded = durable(texts.mapInPandas(encode, f"_text string, {vector} array<float>"))
+    return df.join(encoded, F.col(column) == F.col("_text"), "left").drop("_text")
+
+
 def _pivots(rows: DataFrame, id_col: str, n_rows: int) -> np.ndarray:
     """Seeded sample of vectors that cut the space into cells: at most ``MAX_PIVOTS`` rows reach the driver."""
     n = max(1, min(MAX_PIVOTS, math.ceil(n_rows / BLOCK_ROWS)))

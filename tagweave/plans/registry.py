@@ -388,6 +388,14 @@ def category_priors(v: Views) -> DataFrame:
     return _priors(v).withColumn("prior_logit", r6("prior_logit"))
 
 
+@query("priors_from_reviews", ("priors",), "select good_type, label, round(prior_logit, 6) as prior_logit from priors", {
+    **STATS_SQL, "truth": (["tag_cells", "vocab"], "select distinct product_sku, good_type, lower(tag) as label from tag_cells where lower(tag) in (select label from vocab)"),
+    "products": (["tag_cells"], "select distinct product_sku, good_type from tag_cells")})
+def priors_from_reviews(v: Views) -> DataFrame:
+    out = tagging.priors_from_reviews(v.tagged(), v.vocab(), order_by=ORDER)
+    return out.withColumn("prior_logit", r6("prior_logit"))
+
+
 BASELINE_SQL = {
     **STATS_SQL,
     "ranked": (["priors"], "select *, row_number() over (partition by good_type order by pos desc, label) as r from priors"),
@@ -832,6 +840,19 @@ def similar_pairs_cosine(v: Views) -> DataFrame:
     return best.join(a, "raw_id").join(b, "canonical_id").select("raw_id", r6(cosine("_a", "_b")).alias("cosine"))
 
 
+def letter_encoder():
+    """Stand-in for an embedding model: text length and two letter counts."""
+    return lambda texts: [(len(t), t.count("e"), t.count("o")) for t in texts]
+
+
+@query("embedded_tags", ("doc_labels",), """select good_type, tag, length(tag)::double as chars, (length(tag) - length(replace(tag,'e','')))::double as e,
+    (length(tag) - length(replace(tag,'o','')))::double as o from (select distinct good_type, tag from doc_labels) x""")
+def embedded_tags(v: Views) -> DataFrame:
+    tags = V.embed_tags(P.build_tag_pools(v.doc_tags()), letter_encoder)
+    part = lambda i: F.get("vector", i).cast("double")
+    return tags.select("good_type", "tag", part(0).alias("chars"), part(1).alias("e"), part(2).alias("o"))
+
+
 @query("tag_clusters")
 def tag_clusters(v: Views) -> DataFrame:
     return V.cluster_tags(v.vectors(), 0.35)

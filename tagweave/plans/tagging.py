@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.config import Config
+from tagweave.functions import text as T
 from tagweave.operators import labels as L
 from tagweave.operators import metrics as M
 from tagweave.operators import pools as P
@@ -60,6 +61,21 @@ def prepare_dataset(
     return Dataset(out, truth, vocab.select("label_id", "label"), allowed, windows)
 
 
+def priors_from_reviews(
+    reviews: DataFrame, vocab: DataFrame, alpha: float = 1.0, order_by: Sequence[str] = ("comment_id",)
+) -> DataFrame:
+    """Category priors straight from tagged reviews, without a model: lowercased tags and labels, stripped categories.
+
+    Products without tags do not count; tags outside the vocabulary do not matter.
+    """
+    rows = reviews.withColumn("comment_text", F.lit(None).cast("string"))
+    tagged = durable(aggregate_products(rows, order_by, lower=True).where((F.col("part") == 0) & (F.size("tags") > 0)))
+    products = tagged.select("product_sku", T.strip(F.coalesce("good_type", F.lit(""))).alias("good_type"), "tags")
+    labels = vocab.select(F.lower("label").alias("label")).distinct()
+    truth = products.select("product_sku", "good_type", F.explode("tags").alias("label")).join(labels, "label", "left_semi")
+    return R.category_priors(R.category_label_stats(truth, products), labels, alpha)
+
+
 def calibrated_scores(
     chunk_scores: DataFrame, artifacts: Artifacts, fallback: bool = False, strip_key: bool = True
 ) -> DataFrame:
@@ -168,8 +184,6 @@ def consolidate_pool(
 
 def filter_prompts(tags: DataFrame, template: str, per_prompt: int = 2000) -> DataFrame:
     """(good_type, prompt): the tags of a category as a JSON list; very large categories give several prompts."""
-    from tagweave.functions.text import fill_template
-
     sizes = tags.groupBy("good_type").agg(F.ceil(F.count(F.lit(1)) / F.lit(per_prompt)).alias("_n"))
     slot = F.pmod(F.xxhash64("tag"), F.col("_n")).cast("int")
     lists = (
@@ -177,19 +191,17 @@ def filter_prompts(tags: DataFrame, template: str, per_prompt: int = 2000) -> Da
         .groupBy("good_type", slot.alias("slot"))
         .agg(F.array_sort(F.collect_set("tag")).alias("_tags"))
     )
-    return lists.select("good_type", "slot", fill_template(template, good_type="good_type", tags=F.to_json("_tags")).alias("prompt"))
+    return lists.select("good_type", "slot", T.fill_template(template, good_type="good_type", tags=F.to_json("_tags")).alias("prompt"))
 
 
 def client_chooser(client: ClientFactory, template: str = "{good_type}\n{tags}") -> P.Chooser:
     """Cluster chooser that asks a client for the best tag of every cluster."""
-    from tagweave.functions.text import fill_template, parse_choice_reply
-
     def choose(clusters: DataFrame) -> DataFrame:
         lists = clusters.groupBy("good_type", "cluster_id").agg(F.array_sort(F.collect_set("tag")).alias("_tags"))
         prompts = lists.select(
             "good_type", "cluster_id",
-            fill_template(template, good_type="good_type", tags=F.to_json("_tags")).alias("prompt"),
+            T.fill_template(template, good_type="good_type", tags=F.to_json("_tags")).alias("prompt"),
         )
-        return ask(prompts, client).select("good_type", "cluster_id", parse_choice_reply("reply").alias("best_tag"))
+        return ask(prompts, client).select("good_type", "cluster_id", T.parse_choice_reply("reply").alias("best_tag"))
 
     return choose

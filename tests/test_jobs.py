@@ -141,3 +141,23 @@ def test_predict_tags_with_user_scorer(spark):
     art = AR.Artifacts(spark.createDataFrame([("soft",), ("red",)], "label string"), spark.createDataFrame([("soft", 0.5), ("red", 0.5), (None, 0.4)], "label string, threshold double"))
     got = {(r["product_sku"], r["label"]) for r in tagging.predict_tags(df, scorer, art).collect()}
     assert got == {("1", "soft"), ("2", "red")}
+
+
+def test_predict_by_group_with_reranker(spark):
+    from tagweave.plans.registry import digest_scorer
+
+    df = spark.createDataFrame([("1", "en", "keep"), ("2", "de", "fail")], "product_sku string, good_type string, text string")
+    routes = spark.createDataFrame([("en", "en")], "good_type string, group_key string")
+
+    def client():
+        def send(prompt):
+            if "fail" in prompt:
+                raise RuntimeError
+            return '{"tags": [{"tag": "gamma", "score": 0.7}, {"tag": "omega", "score": 1}]}'
+
+        return send
+
+    plain = S.predict_by_group(df, routes, digest_scorer, default="other")
+    got = S.predict_by_group(df, routes, digest_scorer, default="other", reranker=client)
+    key = lambda d, sku: sorted((r["label"], r["prob"]) for r in d.where(F.col("product_sku") == sku).collect())
+    assert key(got, "1") == [("gamma", 0.7)] and key(got, "2") == key(plain, "2")
