@@ -12,8 +12,11 @@ from tagweave.operators.products import explode_tags
 
 
 def label_frequencies(product_tags: DataFrame, key: str = "product_sku") -> DataFrame:
-    """Products per tag from a long (key, tag) table."""
-    return product_tags.select(key, "tag").distinct().groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    """Products per tag from distinct (key, tag) pairs, such as ``long_tags`` or an exploded tag union gives.
+
+    The pairs are not made distinct again: that would be a shuffle of the whole table for nothing.
+    """
+    return product_tags.where(F.col(key).isNotNull()).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def number_labels(labels: DataFrame) -> DataFrame:
@@ -43,7 +46,7 @@ def label_vocab(product_tags: DataFrame, min_freq: int = 3, key: str = "product_
 def apply_label_vocab(
     product_tags: DataFrame, min_freq: int = 3, key: str = "product_sku", split: str = "split"
 ) -> tuple[DataFrame, DataFrame]:
-    """Long (key, split, tag) -> (rows whose tag is in the vocabulary of the train split, vocabulary).
+    """Distinct long (key, split, tag) -> (rows whose tag is in the vocabulary of the train split, vocabulary).
 
     Products without any vocabulary tag drop out of the long table by themselves.
     """

@@ -127,10 +127,10 @@ def tag_profile(
 ) -> DataFrame:
     """Corpus figures in one row: tags per product, untagged share, distinct tags, median frequency, top coverage.
 
-    ``products`` lists every product once; ``product_tags`` is (key, tag). Percentiles run on frequency
+    ``products`` lists every product once; ``product_tags`` holds distinct (key, tag) pairs. Percentiles run on frequency
     tables, which stay small whatever the number of products.
     """
-    pairs = product_tags.select(key, "tag").distinct()
+    pairs = product_tags.select(key, "tag")
     per_product = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     sizes = products.select(key).join(per_product, key, "left").select(F.coalesce("n", F.lit(0)).alias("n"))
     size_hist = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c"))

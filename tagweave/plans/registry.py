@@ -539,9 +539,9 @@ def rerank_candidates(v: Views) -> DataFrame:
     return Q.rerank_prompts(lists, texts, RERANK_TEMPLATE).select("product_sku", "prompt")
 
 
-def _rerank_replies(v: Views) -> DataFrame:
+def _rerank_replies(scores: DataFrame) -> DataFrame:
     """Synthetic replies: best and last candidate, an unknown tag, odd scores; prose around, a bare list, or no JSON."""
-    lists = Q.candidate_lists(v.scores())
+    lists = Q.candidate_lists(scores)
     first, last = F.get("candidates", 0)["tag"], F.element_at("candidates", -1)["tag"]
     items = F.concat(
         F.lit('[{"tag":"'), first, F.lit('","score":0.9},{"tag":"unknown","score":1},"odd",{"tag":"'), last,
@@ -560,8 +560,9 @@ def _rerank_replies(v: Views) -> DataFrame:
     union all select product_sku, good_type, label, round(prob, 6), rank from chosen
     where product_sku not in (select product_sku from reranked)""", RERANK_SQL)
 def rerank_apply(v: Views) -> DataFrame:
-    reranked = Q.apply_rerank_replies(_rerank_replies(v))
-    selected = C.select_tags(v.scores(), v.thresholds())
+    scores = durable(v.scores())  # read twice below
+    reranked = durable(Q.apply_rerank_replies(_rerank_replies(scores)))
+    selected = C.select_tags(scores, _stored(v.thresholds()))
     return Q.prefer_reranked(reranked, selected).withColumn("prob", r6("prob"))
 
 
