@@ -114,7 +114,7 @@ def explode_tags(df: DataFrame, keys: Sequence[str], column: str = "tags", lower
     Splitting comes first and cleaning second: cleaning then runs as generated code on plain rows.
     """
     raw = F.lower(column) if lower else F.col(column)
-    parts = df.select(*keys, F.explode(F.split(raw, ";")).alias("tag"))
+    parts = df.select(*keys, F.explode_outer(F.split(raw, ";")).alias("tag"))
     return parts.select(*keys, T.strip("tag").alias("tag")).where(F.col("tag") != "")
 
 

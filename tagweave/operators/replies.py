@@ -174,7 +174,8 @@ def apply_rerank_replies(
             parsed, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(0)
         )
     return (
-        replies.select("product_sku", "good_type", F.posexplode(parsed).alias("_i", "_x"))
+        replies.select("product_sku", "good_type", F.posexplode_outer(parsed).alias("_i", "_x"))
+        .where(F.col("_x").isNotNull())
         .select(
             "product_sku", "good_type", F.col("_x.tag").alias("label"), F.col("_x.score").alias("prob"),
             (F.col("_i") + 1).alias("rank"),

@@ -148,7 +148,9 @@ def predict_by_group(
 
 def distinct_tokens(df: DataFrame, tokens_col: str, *keys: str) -> DataFrame:
     """(keys, token): distinct tokens per row. Rows are few tokens wide, so this happens inside the row."""
-    return df.select(*keys, F.explode(F.array_distinct(F.col(tokens_col))).alias("token"))
+    # Outer form: a plain explode makes Spark build the token array once more for an inferred size filter.
+    cells = df.select(*keys, F.explode_outer(F.array_distinct(F.col(tokens_col))).alias("token"))
+    return cells.where(F.col("token").isNotNull())
 
 
 def fit_scorer(

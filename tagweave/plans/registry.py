@@ -586,20 +586,24 @@ def tag_replies(v: Views) -> DataFrame:
     return merged.select("product_sku", T.join_tags("tags").alias("tags"))
 
 
-@query("pool_replies", ("types_seen",), """select good_type, 'kept' as kind, tag as old_tag, '' as new_tag, -1 as ord
-    from types_seen, (values ('cold'),('blue')) k(tag) union all
-    select good_type, 'rule', old_tag, new_tag, ord from types_seen,
-    (values ('hot','warm',0),('warm','warm',0),('old','',2)) r(old_tag, new_tag, ord)""",
-       {"types_seen": (["truth"], "select distinct good_type from truth")})
+@query("pool_replies", ("tag_cells",), """select good_type, 'kept' as kind, lower(tag) as old_tag, '' as new_tag, -1 as ord, 1::bigint as n
+    from tag_cells group by all
+    union all select good_type, 'rule', lower(tag), 'merged', 0, count(*) from tag_cells group by all
+    union all select good_type, 'rule', lower(tag), '', 2, count(*) from tag_cells where i = 1 group by all""")
 def pool_replies(v: Views) -> DataFrame:
-    reply = """```json
-{"kept_tags": [" Cold ", "blue", ""], "mappings": [{"old": ["Hot", " warm"], "new": "Warm"}, {"old": "text", "new": "x"},
- {"old": ["old"], "new": ""}]}
-```"""
-    kept, rules = P.filter_pool(v.types().withColumn("reply", F.lit(reply)))
-    return kept.select("good_type", F.lit("kept").alias("kind"), F.col("tag").alias("old_tag"), F.lit("").alias("new_tag"), F.lit(-1).alias("ord")).unionByName(
-        rules.select("good_type", F.lit("rule").alias("kind"), "old_tag", "new_tag", "ord")
+    """One pool-filter reply per order line: its tags kept and merged, one malformed rule, one deletion."""
+    tags = T.parse_tags("tags")
+    reply = F.concat(
+        F.lit('```json\n{"kept_tags": '), F.to_json(F.concat(tags, F.array(F.lit(" ")))),
+        F.lit(', "mappings": [{"old": '), F.to_json(tags), F.lit(', "new": " Merged "}, {"old": "text", "new": "x"}, {"old": ['),
+        F.lit('"'), F.get(tags, 0), F.lit('"], "new": ""}]}\n```'),
     )
+    kept, rules = P.filter_pool(v.tagged().select("good_type", reply.alias("reply")))
+    counted = rules.groupBy("good_type", F.lit("rule").alias("kind"), "old_tag", "new_tag", "ord").agg(F.count(F.lit(1)).alias("n"))
+    return counted.unionByName(kept.select(
+        "good_type", F.lit("kept").alias("kind"), F.col("tag").alias("old_tag"), F.lit("").alias("new_tag"),
+        F.lit(-1).alias("ord"), F.lit(1).cast("long").alias("n"),
+    ))
 
 
 @query("review_chunks")
