@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tagweave.llm.tiling import tiles, top_k
 
 SHARD_ROWS = 4096
-SHARDS_PER_TILE = 16
-QUERY_ROWS = 512
+# Components of the vectors in one block of data and of queries.
+DATA_CELLS, QUERY_CELLS = 1 << 22, 1 << 15
 LEAF_ROWS = 64
 
 
@@ -122,7 +122,7 @@ def search_tile(data: pd.DataFrame, queries: pd.DataFrame, k: int, shard_rows: i
 
 def exact_search(
     data: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", scale: float = 256.0,
-    shard_rows: int = SHARD_ROWS, shards_per_tile: int = SHARDS_PER_TILE, query_rows: int = QUERY_ROWS,
+    shard_rows: int = SHARD_ROWS, data_cells: int = DATA_CELLS, query_cells: int = QUERY_CELLS,
 ) -> DataFrame:
     """The ``k`` rows of ``data`` with the largest integer inner product for every row of ``queries``.
 
@@ -132,7 +132,7 @@ def exact_search(
     table gives no rows; other columns are ignored.
     """
     left, right = tiles(
-        quantised(data, id_col, vector, scale), quantised(queries, id_col, vector, scale), shard_rows * shards_per_tile, query_rows, ["v"]
+        quantised(data, id_col, vector, scale), quantised(queries, id_col, vector, scale), data_cells, query_cells, ["v"]
     )
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tagweave.llm.tiling import tiles, top_k
 
-DATA_ROWS = 65536
-QUERY_ROWS = 512
+# Components of the vectors in one block of data and of queries.
+DATA_CELLS, QUERY_CELLS = 1 << 22, 1 << 15
 # Rows whose products with the query block are formed at once.
 STRIP_ROWS = 4096
 
@@ -104,7 +104,7 @@ def _best(score: np.ndarray, n: int) -> np.ndarray:
 
 def nearest(
     data: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector: str = "embedding",
-    data_rows: int = DATA_ROWS, query_rows: int = QUERY_ROWS,
+    data_cells: int = DATA_CELLS, query_cells: int = QUERY_CELLS,
 ) -> DataFrame:
     """The ``k`` rows of ``data`` with the largest inner product for every row of ``queries``.
 
@@ -114,7 +114,7 @@ def nearest(
     null or non-finite components take no part; vectors of different lengths never meet. An empty table gives no
     rows; other columns are ignored.
     """
-    left, right = tiles(usable(data, id_col, vector), usable(queries, id_col, vector), data_rows, query_rows, ["v"])
+    left, right = tiles(usable(data, id_col, vector), usable(queries, id_col, vector), data_cells, query_cells, ["v"])
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return search_tile(a, b, k)

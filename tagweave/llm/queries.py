@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import byte_bpe, exact_search, nearest, packing, pieces, token_files
-from tagweave.llm.common import table
+from tagweave.llm import (
+    byte_bpe, exact_search, jaccard, language_model, nearest, packing, pieces, quality, token_files, toxicity, warc,
+)
+from tagweave.llm.common import fold, new_folder, table
 
 RANKS_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,10 +25,30 @@ def op1_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = fold("doc_id", 3) == 1
+    model = quality.train_quality(docs.where(~held_out), table(spark, folder, "labels"))
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, folder, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.round_trip_digests(table(spark, folder, "documents"), RANKS_FILE, PATTERN)
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = fold("doc_id", 4) == 2
+    model = toxicity.train_toxicity(docs.where(~held_out), table(spark, folder, "labels"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     place = token_files.token_file_folder(docs)
@@ -34,6 +56,17 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_token_files(files, ids=False)
 
 
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return warc.capture_digests(warc.archive_round_trip(pages, new_folder(spark, "archives")))
+
+
+def op8_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = fold("doc_id", 5) == 1
+    scored = language_model.score_documents(table(spark, folder, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), lambda: pieces.word_encoder(WORD_FILE))
 
@@ -45,8 +78,13 @@ def op10_exact_search(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
+    "op2_quality": op2_quality,
+    "op3_jaccard": op3_jaccard,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_toxicity": op5_toxicity,
     "op6_token_files": op6_token_files,
+    "op7_warc": op7_warc,
+    "op8_language_model": op8_language_model,
     "op9_packing": op9_packing,
     "op10_exact_search": op10_exact_search,
 }

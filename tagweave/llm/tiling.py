@@ -7,21 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
-    """Add a block number of about ``rows`` rows per (dim, block), spread by a hash of the id; the block count comes from a count."""
+def blocks(df: DataFrame, cells: int, name: str) -> DataFrame:
+    """Add a block number so that a block of one ``dim`` holds about ``cells`` components; rows are spread by a hash of the id."""
     sizes = df.groupBy("dim").agg(F.count(F.lit(1)).alias("_n"))
-    n_blocks = F.ceil(F.col("_n") / F.lit(rows)).cast("long")
+    n_blocks = F.ceil(F.col("_n") * F.greatest("dim", F.lit(1)) / F.lit(cells)).cast("long")
     sizes = sizes.select(F.col("dim"), n_blocks.alias(f"n_{name}"))
     return df.join(F.broadcast(sizes), "dim").withColumn(name, F.pmod(F.xxhash64("id"), F.col(f"n_{name}")))
 
 
-def tiles(data: DataFrame, queries: DataFrame, data_rows: int, query_rows: int, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+def tiles(data: DataFrame, queries: DataFrame, data_cells: int, query_cells: int, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Both sides with the key (dim, d, q) of the tile in which a data block meets a query block.
 
     Every data block is copied once per query block and every query block once per data block; no pair of rows is formed
-    here, and a tile holds about ``data_rows`` x ``query_rows`` whatever the table sizes are.
+    here, and a tile holds about ``data_cells`` and ``query_cells`` components whatever the table sizes are.
     """
-    d, q = blocks(data, data_rows, "d"), blocks(queries, query_rows, "q")
+    d, q = blocks(data, data_cells, "d"), blocks(queries, query_cells, "q")
     n_d = d.groupBy("dim").agg(F.max("n_d").alias("n_d"))
     n_q = q.groupBy("dim").agg(F.max("n_q").alias("n_q"))
     to_all = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
