@@ -6,13 +6,12 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator, Sequence
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tagweave.llm.common import arrow_map, ranges, text_slices
+from tagweave.llm.common import arrow_map, kept_in_worker, ranges, text_slices
 from tagweave.llm.pieces import PieceEncoder
 
 # Text that is encoded together in a task; its new words form one corpus for the replay.
@@ -180,9 +179,8 @@ class ReplayEncoder(PieceEncoder):
         return self.token_bytes[np.repeat(self.token_at[ids], size) + ranges(size)].tobytes()
 
 
-@cache
 def replay_encoder(file: str, pattern: str) -> ReplayEncoder:
-    return ReplayEncoder(file, pattern)
+    return kept_in_worker(("replay", file, pattern), lambda: ReplayEncoder(file, pattern))
 
 
 def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +52,8 @@ def train_in_one_task(features: DataFrame, fit: Callable[[list[dict[str, np.ndar
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     found = arrow_map(features.repartition(1), run, "model binary").collect()
-    return bytes(found[0].model)
+    # Without any labelled row no task may have run.
+    return bytes(found[0].model) if found else fit([], np.empty(0, np.int64))
 
 
 def score_texts(docs: DataFrame, model: bytes, scorer: Callable[[bytes], Callable[[list[str]], np.ndarray]], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -82,6 +82,3 @@ def keep_rows(docs: DataFrame, model: bytes, scorer: Callable[[bytes], Callable[
 
     return docs.mapInArrow(run, docs.schema)
 
-
-def text_column(batch: pa.RecordBatch, text: str) -> list[str]:
-    return pc.fill_null(batch.column(text), "").to_pylist()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,7 +20,6 @@ SLICE_CHARS = 2_000_000
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_POWERS: list[np.ndarray] = []
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,17 +57,19 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = SLI
             at = to
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        inverse = np.uint64(pow(int(_P), -1, 1 << 64))
-        out = []
-        for base in (_P, inverse):
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the base and of its inverse, modulo 2**64."""
+    size = 1 << max(16, int(n - 1).bit_length())
+
+    def make() -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        for base in (_P, np.uint64(pow(int(_P), -1, 1 << 64))):
             p = np.full(size, base, np.uint64)
             p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
-        _POWERS[:] = out
-    return _POWERS
+            found.append(np.cumprod(p, dtype=np.uint64))
+        return found[0], found[1]
+
+    return kept_in_worker(("powers", size), make)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -145,5 +148,16 @@ def open_file(path: str):
     return system.open_input_file(at)
 
 
+def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make()`` gave the first time in this Python process; tasks that follow in a reused worker find it again.
+
+    Functions of this package travel to workers by value, so a cache in a module would begin anew with every task.
+    """
+    made = sys.modules.setdefault("_tagweave_worker", types.ModuleType("_tagweave_worker")).__dict__.setdefault("made", {})
+    if key not in made:
+        made[key] = make()
+    return made[key]
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)

@@ -5,11 +5,10 @@ from __future__ import annotations
 import gc
 import re
 from collections.abc import Sequence
-from functools import cache
 
 import numpy as np
 
-from tagweave.llm.common import SLICE_CHARS, byte_table, ranges, word_hashes
+from tagweave.llm.common import SLICE_CHARS, byte_table, kept_in_worker, ranges, word_hashes
 
 # Remembered pieces of one worker; beyond it the memory starts anew, which costs time only.
 MEMO_PIECES = 3_000_000
@@ -210,11 +209,9 @@ class LibraryEncoder(PieceEncoder):
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-@cache
 def byte_encoder(file: str, pattern: str) -> LibraryEncoder:
-    return LibraryEncoder(file, pattern, True)
+    return kept_in_worker(("byte", file, pattern), lambda: LibraryEncoder(file, pattern, True))
 
 
-@cache
 def word_encoder(file: str) -> LibraryEncoder:
-    return LibraryEncoder(file, WORD_PATTERN, False)
+    return kept_in_worker(("word", file), lambda: LibraryEncoder(file, WORD_PATTERN, False))
