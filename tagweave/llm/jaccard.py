@@ -299,8 +299,9 @@ def one_per_class(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> D
 
     Rows with a null key stay.
     """
-    first = classes.where(F.col(key) == F.col("class_id")).select(key).distinct()
-    kept = docs.join(first, key, "left_semi")
-    repeated = kept.groupBy(key).count().where("count > 1").select(key)
-    once = kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates([key]))
-    return once.unionByName(docs.where(F.col(key).isNull()))
+    first = stored(classes.where(F.col(key) == F.col("class_id")).groupBy(key).agg(F.count(F.lit(1)).alias("_rows")), "first")
+    kept = docs.join(first.where("_rows = 1"), key, "left_semi")
+    # Rows that repeat a key are looked for in the narrow table, so that no text moves for them in vain.
+    if first.where("_rows > 1").limit(1).count():
+        kept = kept.unionByName(docs.join(first.where("_rows > 1"), key, "left_semi").dropDuplicates([key]))
+    return kept.unionByName(docs.where(F.col(key).isNull()))
