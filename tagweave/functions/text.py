@@ -41,7 +41,7 @@ def strip(c: Column | str) -> Column:
 
 
 def not_blank(c: Column | str) -> Column:
-    return F.coalesce(_col(c).rlike(r"(?U)\S"), F.lit(False))
+    return F.coalesce(strip(c) != "", F.lit(False))
 
 
 def blank_to_null(c: Column | str) -> Column:

@@ -1,30 +1,33 @@
-"""Helpers that keep skewed data spread over many tasks: exact ranks, bounded groups, durable tables."""
+"""Helpers that keep skewed data spread over many tasks: exact ranks, durable tables and their folder."""
 
 from __future__ import annotations
 
+import atexit
 import functools
-import math
+import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Rows of one group that are gathered into one output row; larger groups give several parts.
-MAX_GROUP_ROWS = 4000
-MAX_RANGE_PARTITIONS = 20000
 # Hex digits of the hash that form a rank block: 16**3 = 4096 blocks of equal expected size per group.
 RANK_BLOCK_DIGITS = 3
 
 
+_RUN: ContextVar[str | None] = ContextVar("tagweave_run_folder", default=None)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for written intermediates: the cluster's ``spark.checkpoint.dir``.
+    """Folder for written intermediates: the open :func:`run_folder`, else the cluster's ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder of its own.
+    Only a local session without that setting gets a temporary folder of its own, which goes when Python ends.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = _RUN.get() or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
@@ -34,13 +37,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 @functools.cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="tagweave-")
+    folder = tempfile.mkdtemp(prefix="tagweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Everything that this library writes for itself inside the block goes to one folder, deleted when the block ends.
+
+    Results have to be written or collected inside the block, as they read from that folder.
+    """
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    token = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Cuts the lineage and survives lost executors; also freezes values that a recomputation could change.
+    Cuts the lineage and survives lost executors; also freezes values that a recomputation could change. The table
+    stays until the :func:`run_folder` around it ends; without one the folder needs a retention rule.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tagweave-{uuid.uuid4().hex}"
@@ -54,77 +76,88 @@ def seeded_hash(seed: int, *keys: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols]))
 
 
-def hash_rank(
-    df: DataFrame, key: str | Sequence[str], by: Sequence[str] = (), seed: int = 42, digits: int = RANK_BLOCK_DIGITS
-) -> DataFrame:
-    """Add ``hash_rank`` (1-based, exact) and ``group_rows`` per group ``by``, in seeded hash order.
+def _blocks(df: DataFrame, keys: list[str], by: list[str], seed: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``_hash`` and ``_block``, a stored table of each block's size ``_n`` and the rows before it ``_before``, per group).
 
-    A plain ``row_number`` would sort a whole group in one task. Here the hash prefix cuts each group into
-    equal blocks: block counts (combined before the shuffle) give every block its offset, and only rows of
-    one block are sorted together. ``key`` must identify a row.
+    Only ``by`` and the keys are read for the table; counts combine before their shuffle.
     """
-    keys = [key] if isinstance(key, str) else list(key)
-    by = list(by)
-    rows = df.withColumn("_hash", seeded_hash(seed, *keys)).withColumn("_block", F.substring("_hash", 1, digits))
-    blocks = rows.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.withColumn("_hash", seeded_hash(seed, *keys)).withColumn("_block", F.substring("_hash", 1, RANK_BLOCK_DIGITS))
+    sizes = rows.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_n"))
     in_order = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = blocks.select(
-        *[F.col(c).alias(f"_by_{c}") for c in by],
-        F.col("_block").alias("_by_block"),
-        F.coalesce(F.sum("_n").over(in_order), F.lit(0)).alias("_before"),
-        F.sum("_n").over(W.partitionBy(*by)).alias("group_rows"),
+    offsets = sizes.select(
+        *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_block").alias("_by_block"), "_n",
+        F.coalesce(F.sum("_n").over(in_order), F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy(*by)).alias("group_rows"),
     )
-    # Stored first: its size is then known, and Spark broadcasts it instead of shuffling the rows once more.
-    offsets = durable(offsets)
+    # Stored: its size is then known, and Spark broadcasts it instead of shuffling the rows.
+    return rows, durable(offsets)
+
+
+def _at_block(rows: DataFrame, offsets: DataFrame, by: list[str]) -> DataFrame:
     cond = F.col("_block") == F.col("_by_block")
     for c in by:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    joined = rows.join(offsets, cond)
-    local = W.partitionBy(*by, "_block").orderBy("_hash", *keys)
-    return joined.withColumn("hash_rank", F.col("_before") + F.row_number().over(local)).drop(
-        "_hash", "_block", "_by_block", "_before", *[f"_by_{c}" for c in by]
-    )
+    return rows.join(offsets, cond)
+
 
+def _in_block(by: list[str], keys: list[str]) -> Column:
+    return F.col("_before") + F.row_number().over(W.partitionBy(*by, "_block").orderBy("_hash", *keys))
 
-def split_large_groups(
-    df: DataFrame, key: str, order_by: Sequence[str], max_rows: int = MAX_GROUP_ROWS
-) -> tuple[DataFrame, DataFrame | None]:
-    """Return (rows of small groups, rows of large groups with ``part``); the second is None if there are none.
 
-    The size check reads the key column only. Rows of groups above ``max_rows`` are range-partitioned by
-    (key, order), so one group covers many tasks; parts follow the order and hold at most ``max_rows`` rows.
-    ``part`` counts from 0 within the group.
+def _tidy(df: DataFrame, by: list[str]) -> DataFrame:
+    return df.drop("_hash", "_block", "_by_block", "_before", "_n", *[f"_by_{c}" for c in by])
+
+
+def hash_rank(
+    df: DataFrame, key: str | Sequence[str], by: Sequence[str] = (), seed: int = 42, first: int | None = None
+) -> DataFrame:
+    """Add ``hash_rank`` (1-based, exact) and ``group_rows`` per group ``by``, in seeded hash order.
+
+    A plain ``row_number`` would sort a whole group in one task. Here the hash prefix cuts each group into equal
+    blocks: block counts give every block its offset, and only rows of one block are sorted together. With ``first`` only
+    ranks up to it are returned; blocks that lie behind it fall away before anything is shuffled. ``key`` must identify a row.
     """
-    large = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
-    found, rows = large.agg(F.count(F.lit(1)), F.sum("_n")).first()
-    if not found:
-        return df, None
-    large = durable(large.select(key))
-    n_ranges = min(math.ceil(rows / max_rows), MAX_RANGE_PARTITIONS)
-    ranged = durable(
-        df.join(large, key, "left_semi")
-        .repartitionByRange(n_ranges, key, *order_by)
-        .withColumn("_range", F.spark_partition_id())
-    )
-    in_range = W.partitionBy(key, "_range").orderBy(*order_by)
-    numbered = ranged.withColumn(
-        "_local", F.floor((F.row_number().over(in_range) - 1) / F.lit(max_rows)).cast("int")
-    )
-    # One row per (key, range): at most MAX_RANGE_PARTITIONS rows for a key.
-    before = (
-        ranged.groupBy(key, "_range")
-        .agg(F.ceil(F.count(F.lit(1)) / F.lit(max_rows)).cast("int").alias("_parts"))
-        .withColumn(
-            "_before",
-            F.coalesce(
-                F.sum("_parts").over(W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)),
-                F.lit(0),
-            ).cast("int"),
-        )
-        .drop("_parts")
-    )
-    parted = numbered.join(before, [key, "_range"]).withColumn("part", F.col("_before") + F.col("_local"))
-    return df.join(large, key, "left_anti"), parted.drop("_range", "_local", "_before")
+    keys, by = [key] if isinstance(key, str) else list(key), list(by)
+    rows, offsets = _blocks(df, keys, by, seed)
+    placed = _at_block(rows, offsets, by)
+    if first is not None:
+        placed = placed.where(F.col("_before") < first)
+    out = _tidy(placed.withColumn("hash_rank", _in_block(by, keys)), by)
+    return out if first is None else out.where(F.col("hash_rank") <= first)
+
+
+def rank_labels(
+    df: DataFrame, key: str | Sequence[str], by: Sequence[str], cuts: Callable[[DataFrame], DataFrame], names: Sequence[str], rest: str,
+    column: str, seed: int = 42,
+) -> DataFrame:
+    """Add ``column``: ``names[i]`` for rows whose seeded hash rank in their group is at most the i-th cut, else ``rest``.
+
+    ``cuts`` gets a table of the groups (``by``, ``group_rows``), one row per group, and returns it with ``_cut0``, ``_cut1``, ...: growing
+    numbers of rows. Blocks that lie between two cuts are labelled by their offset alone, without a shuffle of their rows; only the
+    few blocks that a cut goes through are sorted.
+    """
+    keys, by = [key] if isinstance(key, str) else list(key), list(by)
+    rows, offsets = _blocks(df, keys, by, seed)
+    groups = offsets.select(*[F.col(f"_by_{c}").alias(c) for c in by], "group_rows").distinct()
+    limits = cuts(groups).select(*[F.col(c).alias(f"_to_{c}") for c in by], *[f"_cut{i}" for i in range(len(names))])
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"_by_{c}").eqNullSafe(F.col(f"_to_{c}"))
+    offsets = durable(offsets.join(limits, same, "left").drop(*[f"_to_{c}" for c in by]))
+    placed = _at_block(rows, offsets, by)
+    limit = [F.coalesce(F.col(f"_cut{i}"), F.lit(0)) for i in range(len(names))]
+    crossed = F.lit(False)
+    for c in limit:
+        crossed = crossed | ((c > F.col("_before")) & (c < F.col("_before") + F.col("_n")))
+
+    def label(rank: Column) -> Column:
+        out = F.lit(rest)
+        for name, c in reversed(list(zip(names, limit, strict=True))):
+            out = F.when(rank <= c, name).otherwise(out)
+        return out
+
+    whole = placed.where(~crossed).withColumn(column, label(F.col("_before") + F.col("_n")))
+    cut = placed.where(crossed).withColumn("_rank", _in_block(by, keys)).withColumn(column, label(F.col("_rank"))).drop("_rank")
+    return _tidy(whole.unionByName(cut), by).drop("group_rows", *[f"_cut{i}" for i in range(len(names))])
 
 
 def first_by(value: str, order: Column, ignore_nulls: bool) -> Column:

@@ -1,7 +1,7 @@
 """Multi-label metrics, threshold tuning and losses on long tables.
 
-Predictions and truth are (product_sku, label) tables. They are stacked and counted per pair instead of being
-joined: one hash aggregation, combined before the shuffle.
+Predictions and truth are (product_sku, label) tables. Truth is gathered to one label set per product, so scores and predictions are
+joined by product alone and share one partitioning; everything after that is sums of few rows.
 """
 
 from __future__ import annotations
@@ -18,12 +18,20 @@ from tagweave.functions.numeric import logit
 NO_POSITIVES_THRESHOLD = 0.35  # fixed value: threshold of a label without positives
 
 
-def align_scores(scores: DataFrame, truth: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Scores and truth side by side: (product_sku, label, prob, y), 0 where one side has no row."""
-    cols = ["product_sku", "label", *by]
-    s = scores.select(*cols, F.col("prob").cast("double").alias("prob"), F.lit(0).alias("y"))
-    t = truth.select(*cols, F.lit(0.0).alias("prob"), F.lit(1).alias("y"))
-    return s.unionByName(t).groupBy(*cols).agg(F.max("prob").alias("prob"), F.max("y").alias("y"))
+def label_sets(truth: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(product_sku, by, true_labels): the distinct true labels of every product as one array."""
+    return truth.groupBy("product_sku", *by).agg(F.collect_set("label").alias("true_labels"))
+
+
+def with_truth(scores: DataFrame, truth: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``y`` (1 for a true pair, else 0) to score or prediction rows.
+
+    Truth comes as one label set per product, so the large side moves by ``product_sku`` alone and not at all if it lies that way
+    already. True pairs without a row are not added; counts of them come from the truth table.
+    """
+    joined = scores.join(label_sets(truth, by), ["product_sku", *by], "left")
+    known = F.coalesce(F.array_contains("true_labels", F.col("label")), F.lit(False))
+    return joined.withColumn("y", known.cast("int")).drop("true_labels")
 
 
 def outcomes(pred: DataFrame, truth: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -39,11 +47,16 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def label_counts(pred: DataFrame, truth: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """TP, FP and FN per label."""
-    p, y = F.col("p"), F.col("y")
-    return outcomes(pred, truth, by).groupBy(*by, "label").agg(
-        F.sum(p * y).alias("tp"), F.sum(p * (1 - y)).alias("fp"), F.sum((1 - p) * y).alias("fn")
-    )
+    """TP, FP and FN per label; a pair counts once however often it is listed."""
+    once = pred.select("product_sku", "label", *by).dropDuplicates()
+    of_pred = with_truth(once, truth, by).groupBy(*by, "label").agg(F.count(F.lit(1)).alias("_p"), F.sum("y").alias("_tp"))
+    of_truth = label_sets(truth, by).select(*by, F.explode("true_labels").alias("label")).groupBy(*by, "label").agg(F.count(F.lit(1)).alias("_t"))
+    # Few rows from here on.
+    zero = F.lit(0).cast("long")
+    both = of_pred.withColumn("_t", zero).unionByName(of_truth.withColumns({"_p": zero, "_tp": zero}))
+    sums = both.groupBy(*by, "label").agg(*[F.sum(c).alias(c) for c in ("_p", "_tp", "_t")])
+    tp = F.col("_tp")
+    return sums.select(*by, "label", tp.alias("tp"), (F.col("_p") - tp).alias("fp"), (F.col("_t") - tp).alias("fn"))
 
 
 def multilabel_metrics(
@@ -57,9 +70,13 @@ def multilabel_metrics(
 
     With ``products`` (one row each, no grouping) also the mean number of predicted tags, from the same counts.
     """
+    return summed_counts(label_counts(pred, truth, by), vocab, by, products)
+
+
+def summed_counts(counts: DataFrame, vocab: DataFrame, by: Sequence[str] = (), products: DataFrame | None = None) -> DataFrame:
+    """:func:`multilabel_metrics` from the counts per label."""
     n_labels = vocab.agg(F.count(F.lit(1))).scalar()
-    known = vocab.select("label")
-    counts = label_counts(pred, truth, by).join(known, "label", "left_semi")
+    counts = counts.join(vocab.select("label"), "label", "left_semi")
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     f1 = _ratio(2 * tp, 2 * tp + fp + fn)
     sums = counts.withColumn("_f1", f1).groupBy(*by).agg(
@@ -128,8 +145,9 @@ def grid(steps: int, low: float = 0.05, high: float = 0.95) -> list[float]:
     return [float(x) for x in np.linspace(low, high, steps)]
 
 
-def _bucket(prob: Column, values: Sequence[float]) -> Column:
+def bucket(prob: Column | str, values: Sequence[float]) -> Column:
     """How many grid values are <= prob: a first guess by division, corrected by exact comparisons."""
+    prob = F.col(prob) if isinstance(prob, str) else prob
     low, step, n = values[0], values[1] - values[0], len(values)
     lookup = F.array(*[F.lit(v) for v in values])
     guess = F.greatest(F.least(F.floor((prob - F.lit(low)) / F.lit(step)).cast("int"), F.lit(n - 1)), F.lit(0))
@@ -138,34 +156,46 @@ def _bucket(prob: Column, values: Sequence[float]) -> Column:
     return guess + 1 + above - below
 
 
-def f1_curve(aligned: DataFrame, steps: int, by: Sequence[str] = ()) -> DataFrame:
-    """(by, step, threshold, f1): F1 of ``prob >= threshold`` at every grid value.
-
-    Scores fall into a histogram of ``steps`` + 1 buckets in one pass; each bucket then counts towards all grid
-    values at or below it. Cost: rows + steps^2 per group instead of rows * steps.
-    """
-    values = grid(steps)
-    hist = (
-        aligned.withColumn("_b", _bucket(F.col("prob"), values))
+def score_histogram(scored: DataFrame, steps: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, _b, _n, _y): rows and true rows by how many grid values their probability reaches."""
+    return (
+        scored.withColumn("_b", bucket("prob", grid(steps)))
         .groupBy(*by, "_b")
         .agg(F.count(F.lit(1)).alias("_n"), F.sum("y").alias("_y"))
     )
-    # Every bucket reaches step 0, with its positives for the total; bucket 0 predicts nothing.
+
+
+def f1_curve(hist: DataFrame, positives: DataFrame, steps: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, step, threshold, f1, n_pos): F1 of ``prob >= threshold`` at every grid value, from a histogram.
+
+    Each bucket counts towards all grid values at or below it. ``positives`` has the number of true pairs (by, ``n_pos``), with or
+    without a score. Cost: one pass over the scores + steps^2 per group instead of rows * steps.
+    """
+    zero = F.lit(0).cast("long")
+    truth = positives.select(*by, F.lit(0).alias("_b"), zero.alias("_n"), zero.alias("_y"), F.col("n_pos").alias("_t"))
+    rows = hist.select(*by, "_b", "_n", "_y", zero.alias("_t")).unionByName(truth)
+    # Every bucket reaches step 0; bucket 0 predicts nothing.
     reach = F.explode(F.sequence(F.lit(0), F.greatest(F.col("_b"), F.lit(1)) - 1)).alias("step")
     counted = F.col("_b") > 0
-    spread = hist.select(*by, "_b", "_n", "_y", reach).groupBy(*by, "step").agg(
+    spread = rows.select(*by, "_b", "_n", "_y", "_t", reach).groupBy(*by, "step").agg(
         F.sum(F.when(counted, F.col("_n")).otherwise(0)).alias("_pred"),
         F.sum(F.when(counted, F.col("_y")).otherwise(0)).alias("_tp"),
-        F.sum("_y").alias("_all"),
+        F.sum("_t").alias("_t"),
     )
-    pos = F.max(F.when(F.col("step") == 0, F.col("_all"))).over(W.partitionBy(*by))
-    lookup = F.array(*[F.lit(v) for v in values])
+    pos = F.max("_t").over(W.partitionBy(*by))
+    lookup = F.array(*[F.lit(v) for v in grid(steps)])
     return spread.withColumn("_pos", pos).select(
         *by, "step", F.get(lookup, F.col("step")).alias("threshold"),
         _ratio(2 * F.col("_tp"), F.col("_pred") + F.col("_pos")).alias("f1"), F.col("_pos").alias("n_pos"),
     )
 
 
+def n_positives(truth: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n_pos): distinct true pairs."""
+    pairs = label_sets(truth).select("product_sku", F.explode("true_labels").alias("label"))
+    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pos"))
+
+
 def _best(curve: DataFrame, by: Sequence[str]) -> DataFrame:
     best_first = F.struct(F.col("f1"), -F.col("step"))
     return curve.groupBy(*by).agg(
@@ -174,13 +204,26 @@ def _best(curve: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def tune_global_threshold(scores: DataFrame, truth: DataFrame, steps: int = 37) -> DataFrame:
-    """One row (threshold, f1): best micro F1 on the grid, the lowest threshold on ties."""
-    return _best(f1_curve(align_scores(scores, truth), steps), ()).select("threshold", "f1")
+    """One row (threshold, f1): best micro F1 on the grid, the lowest threshold on ties; the default without any pair."""
+    return global_threshold(score_histogram(with_truth(scores, truth), steps), n_positives(truth), steps)
+
+
+def global_threshold(hist: DataFrame, positives: DataFrame, steps: int) -> DataFrame:
+    pairs = hist.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar() + positives.agg(F.coalesce(F.sum("n_pos"), F.lit(0))).scalar()
+    best = _best(f1_curve(hist, positives, steps), ()).select("threshold", "f1")
+    none = pairs == 0
+    return best.select(
+        F.when(none, NO_POSITIVES_THRESHOLD).otherwise(F.col("threshold")).alias("threshold"), F.when(none, 0.0).otherwise(F.col("f1")).alias("f1")
+    )
 
 
 def tune_label_thresholds(scores: DataFrame, truth: DataFrame, vocab: DataFrame, steps: int = 19) -> DataFrame:
     """(label, threshold) for the whole vocabulary; a label without positives keeps the default."""
-    best = _best(f1_curve(align_scores(scores, truth), steps, ["label"]), ["label"])
+    return label_thresholds(score_histogram(with_truth(scores, truth), steps, ["label"]), n_positives(truth, ["label"]), vocab, steps)
+
+
+def label_thresholds(hist: DataFrame, positives: DataFrame, vocab: DataFrame, steps: int) -> DataFrame:
+    best = _best(f1_curve(hist, positives, steps, ["label"]), ["label"])
     tuned = best.where(F.col("n_pos") > 0).select("label", "threshold")
     return vocab.select("label").join(tuned, "label", "left").withColumn(
         "threshold", F.coalesce("threshold", F.lit(NO_POSITIVES_THRESHOLD))
@@ -247,7 +290,7 @@ def loss_report(
 
     ``scores`` must be complete (a row for every product and label).
     """
-    rows = align_scores(scores, truth, by)
+    rows = with_truth(scores.withColumn("prob", F.col("prob").cast("double")), truth, by)
     weight = None
     if pos_weights is not None:
         rows = rows.join(pos_weights, "label", "left")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagweave.functions import text as T
+from tagweave.operators.layout import durable
 from tagweave.operators.products import explode_tags, product_tags, tag_lists
 
 
@@ -17,19 +18,18 @@ def build_tag_pools(df: DataFrame, by: str = "good_type", column: str = "tags",
     return explode_tags(df.where(F.col(by).isNotNull()), [by], column, lower).distinct()
 
 
-def pool_rows(pool: DataFrame, by: str = "good_type", per_row: int = 10000) -> DataFrame:
-    """Long pool -> rows ``by, part, tags`` with sorted tags, the form used in CSV files.
+def pool_rows(pool: DataFrame, by: str = "good_type", per_row: int | None = None) -> DataFrame:
+    """Long pool -> rows ``by, tags`` with sorted tags, one row per category, the form used in CSV files.
 
-    A category of more than about ``per_row`` tags is spread over several rows (whole tags, by hash), so no
-    row grows without bound; the pool reader unions the rows of a category again.
+    The long pool is the form for further work. ``per_row`` spreads a category over several rows of about that many tags (whole tags,
+    by hash; numbered by ``part``); the pool reader unions them again.
     """
+    lists = T.join_tags(F.array_sort(F.collect_set("tag"))).alias("tags")
+    if not per_row:
+        return pool.groupBy(by).agg(lists)
     sizes = pool.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / F.lit(per_row)).alias("_parts"))
     part = F.pmod(F.xxhash64("tag"), F.col("_parts")).cast("int")
-    return (
-        pool.join(sizes, by)
-        .groupBy(by, part.alias("part"))
-        .agg(T.join_tags(F.array_sort(F.collect_set("tag"))).alias("tags"))
-    )
+    return pool.join(sizes, by).groupBy(by, part.alias("part")).agg(lists)
 
 
 def pool_sizes(pool: DataFrame, by: str = "good_type") -> DataFrame:
@@ -42,17 +42,34 @@ def latest_rules(mapping: DataFrame, by: str = "good_type") -> DataFrame:
     return mapping.groupBy(by, "old_tag").agg(F.max_by("new_tag", "ord").alias("new_tag"))
 
 
-def resolve_chains(rules: DataFrame, by: str = "good_type", rounds: int = 5) -> DataFrame:
-    """Follow rules whose target has a rule of its own; a round doubles the chain length that is covered.
+def resolve_chains(rules: DataFrame, by: str = "good_type") -> DataFrame:
+    """Follow rules whose target has a rule of its own to the end of the chain, however long.
 
-    A cycle has no end; its members stay inside the cycle.
+    Every round doubles the links that are covered and is a written table; rounds end when no target moves on. A cycle has no
+    end: all its members, and what leads into it, get the cycle's smallest tag, and that tag itself has no rule.
     """
-    for _ in range(rounds):
-        nxt = rules.select(F.col(by).alias("_t"), F.col("old_tag").alias("_old"), F.col("new_tag").alias("_next"))
-        rules = rules.join(
-            nxt, (F.col(by) == F.col("_t")) & (F.col("new_tag") == F.col("_old")), "left"
-        ).select(by, "old_tag", F.coalesce("_next", "new_tag").alias("new_tag"))
-    return rules
+    links = durable(rules.select(F.col(by).alias("_t"), "old_tag", "new_tag").where("old_tag <> new_tag"))
+    # The smallest tag passed on the way shows cycles: after enough rounds a target inside a cycle has seen all of it.
+    now = links.withColumn("_low", F.col("new_tag"))
+    longest = links.count()
+    covered = 1
+    while covered <= 2 * longest:
+        nxt = now.select(F.col("_t").alias("_nt"), F.col("old_tag").alias("_old"), F.col("new_tag").alias("_next"), F.col("_low").alias("_next_low"))
+        step = now.join(nxt, (F.col("_t") == F.col("_nt")) & (F.col("new_tag") == F.col("_old")), "left").select(
+            "_t", "old_tag", F.coalesce("_next", "new_tag").alias("new_tag"), F.least("_low", F.coalesce("_next_low", "_low")).alias("_low"),
+            F.col("_next").isNotNull().alias("_moved"),
+        )
+        now = durable(step)
+        if not now.where("_moved").limit(1).count():
+            break
+        now, covered = now.drop("_moved"), covered * 2
+    # Whoever still stands on a tag with a rule is in a cycle or leads into one.
+    heads = links.select(F.col("_t").alias("_ct"), F.col("old_tag").alias("_c")).distinct()
+    caught = now.drop("_moved").join(heads, (F.col("_t") == F.col("_ct")) & (F.col("new_tag") == F.col("_c")), "left")
+    around = now.select(F.col("_t").alias("_at"), F.col("old_tag").alias("_a"), F.col("_low").alias("_cycle"))
+    out = caught.join(around, F.col("_c").isNotNull() & (F.col("_t") == F.col("_at")) & (F.col("new_tag") == F.col("_a")), "left")
+    out = out.select(F.col("_t").alias(by), "old_tag", F.coalesce("_cycle", "new_tag").alias("new_tag"))
+    return out.where("old_tag <> new_tag")
 
 
 def apply_tag_mapping(long: DataFrame, mapping: DataFrame, by: str = "good_type", transitive: bool = False) -> DataFrame:

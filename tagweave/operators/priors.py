@@ -13,12 +13,13 @@ def category_label_stats(truth: DataFrame, products: DataFrame) -> DataFrame:
     """(good_type, label, pos, n): products per category and positives per label; ``good_type`` null = all.
 
     ``truth`` holds distinct (product_sku, good_type, label), ``products`` distinct (product_sku, good_type).
-    A category without positives appears once with a null label.
+    A category without positives appears once with a null label. Products without a category count in the total number alone.
     """
-    sizes = products.groupBy("good_type").agg(F.count(F.lit(1)).alias("n"))
-    pos = truth.groupBy("good_type", "label").agg(F.count(F.lit(1)).alias("pos"))
+    every = products.groupBy("good_type").agg(F.count(F.lit(1)).alias("n"))
+    sizes = every.where(F.col("good_type").isNotNull())
+    pos = truth.where(F.col("good_type").isNotNull()).groupBy("good_type", "label").agg(F.count(F.lit(1)).alias("pos"))
     by_type = sizes.join(pos, "good_type", "left").select("good_type", "label", "pos", "n")
-    total = sizes.agg(F.sum("n")).scalar()
+    total = every.agg(F.sum("n")).scalar()
     overall = pos.groupBy("label").agg(F.sum("pos").alias("pos")).select(
         F.lit(None).cast("string").alias("good_type"), "label", "pos", total.alias("n")
     )

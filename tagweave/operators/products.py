@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tagweave.functions import text as T
-from tagweave.operators.layout import MAX_GROUP_ROWS, first_by, split_large_groups
+from tagweave.operators.layout import first_by
 
 ATTRS = ("name", "good_type", "good_subtype")
 
@@ -35,41 +38,77 @@ def gather(
     key: str = "product_sku",
     order_by: Sequence[str] = ("comment_id",),
     ignore_nulls: bool = True,
-    max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """One row per ``key`` and ``part``: ordered arrays of ``lists``, the group's first ``firsts`` and its size.
+    """One row per ``key``: ordered arrays of ``lists``, the group's first ``firsts`` and its size ``n_reviews``.
 
-    Groups of up to ``max_rows`` rows give exactly one row (part 0). A larger group gives consecutive parts
-    whose arrays, put together in part order, are the whole group; ``firsts`` repeat on every part.
-    Rows with a null key are dropped.
+    Always one row, whatever the group's size; what has to hold for products that fit no row works on the long
+    form instead (:func:`review_chunks`). Rows with a null key are dropped.
     """
-    rows = df.where(F.col(key).isNotNull())
-    small, large = split_large_groups(rows, key, order_by, max_rows)
     order = _order(order_by)
-    list_aggs = [_in_order(order, c).alias(c) for c in lists]
-    first_aggs = [first_by(c, order, ignore_nulls).alias(c) for c in firsts]
-    first_aggs.append(F.count(F.lit(1)).alias("n_reviews"))
-    out = small.groupBy(key).agg(*list_aggs, *first_aggs).withColumn("part", F.lit(0))
-    if large is not None:
-        parts = large.groupBy(key, "part").agg(*list_aggs)
-        parts = parts.join(large.groupBy(key).agg(*first_aggs), key)
-        out = out.unionByName(parts)
-    return out
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(
+        *[_in_order(order, c).alias(c) for c in lists],
+        *[first_by(c, order, ignore_nulls).alias(c) for c in firsts],
+        F.count(F.lit(1)).alias("n_reviews"),
+    )
 
 
 def group_reviews(
+    df: DataFrame, key: str = "product_sku", order_by: Sequence[str] = ("comment_id",), firsts: Sequence[str] = ATTRS
+) -> DataFrame:
+    """Products with the ordered lists of their review ids and texts; first attributes skip nulls."""
+    return gather(df, ["comment_id", "comment_text"], firsts, key, order_by, True)
+
+
+def review_chunks(
     df: DataFrame,
+    max_chars: int = T.MAX_CHARS_PER_CHUNK,
     key: str = "product_sku",
     order_by: Sequence[str] = ("comment_id",),
-    firsts: Sequence[str] = ATTRS,
-    max_rows: int = MAX_GROUP_ROWS,
+    value: str = "comment_text",
 ) -> DataFrame:
-    """Products with the ordered lists of their review ids and texts; first attributes skip nulls."""
-    return gather(df, ["comment_id", "comment_text"], firsts, key, order_by, True, max_rows)
+    """(key, chunk_id, n_chunks, reviews) from long rows: a product's reviews in order, packed into chunks of ``max_chars``.
+
+    The same chunks as :func:`~tagweave.functions.text.chunk_reviews` cuts from one array, for products of any size. Where a chunk
+    begins depends on all reviews before it, so lengths alone pass through one task per product, in order and as a
+    stream that holds no more than (chunk, used characters); the texts then meet their chunk by a join. Null texts count as empty,
+    null keys drop out, repeated rows stay repeated.
+    """
+    ids = [key, *order_by, "_h"]
+    rows = df.where(F.col(key).isNotNull()).select(key, *order_by, F.col(value).alias("_v"))
+    rows = rows.withColumn("_h", F.xxhash64("_v")).groupBy(*ids).agg(F.first("_v").alias("_v"), F.count(F.lit(1)).alias("_m"))
+    sizes = rows.select(*ids, "_m", F.coalesce(F.length("_v"), F.lit(0)).alias("_size"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        product, chunk, used = None, 0, 0
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            at, chunks = [], []
+            for i, (sku, n, size) in enumerate(zip(*(table.column(c).to_pylist() for c in (key, "_m", "_size")), strict=True)):
+                for _ in range(n):
+                    if sku != product:
+                        product, chunk, used = sku, 0, size
+                    elif used + size > max_chars:
+                        chunk, used = chunk + 1, size
+                    else:
+                        used += size
+                    at.append(i)
+                    chunks.append(chunk)
+            out = table.select(ids).take(pa.array(at, pa.int64())).append_column("chunk_id", pa.array(chunks, pa.int32()))
+            yield from out.combine_chunks().to_batches()
+
+    schema = StructType([*(sizes.schema[c] for c in ids), StructField("chunk_id", IntegerType())])
+    placed = sizes.repartition(key).sortWithinPartitions(*ids).mapInArrow(pack, schema)
+    placed = placed.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(ids)], "chunk_id")
+    same = F.lit(True)
+    for i, c in enumerate(ids):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    order = F.struct(*[F.col(c) for c in ids[1:]])
+    chunks = rows.join(placed, same).groupBy(key, "chunk_id").agg(_in_order(order, "_v").alias("reviews"))
+    return chunks.withColumn("n_chunks", F.max("chunk_id").over(W.partitionBy(key)) + 1).select(key, "chunk_id", "n_chunks", "reviews")
 
 
 def min_reviews(grouped: DataFrame, n: int = 4) -> DataFrame:
-    """Keep grouped products with at least ``n`` reviews (all parts of a product count)."""
+    """Keep grouped products with at least ``n`` reviews."""
     return grouped.where(F.col("n_reviews") >= n)
 
 
@@ -85,20 +124,13 @@ def rows_of_busy_products(
 
 
 def concat_reviews(
-    df: DataFrame,
-    key: str = "product_sku",
-    order_by: Sequence[str] = ("comment_id",),
-    separator: str = "\n",
-    max_rows: int = MAX_GROUP_ROWS,
+    df: DataFrame, key: str = "product_sku", order_by: Sequence[str] = ("comment_id",), separator: str = "\n"
 ) -> DataFrame:
     """Products with their non-null reviews joined by ``separator`` and the number of distinct review ids."""
     rows = df.where(F.col("comment_text").isNotNull() & F.col(key).isNotNull())
     ids = rows.groupBy(key).agg(F.countDistinct("comment_id").alias("n_comments"))
-    texts = gather(rows, ["comment_text"], ATTRS, key, order_by, True, max_rows)
-    joined = F.array_join("comment_text", separator)
-    # Later parts begin with the separator: the parts put together are the one text.
-    text = F.when(F.col("part") > 0, F.concat(F.lit(separator), joined)).otherwise(joined)
-    return texts.withColumn("comment_text", text).join(ids, key)
+    texts = gather(rows, ["comment_text"], ATTRS, key, order_by, True)
+    return texts.withColumn("comment_text", F.array_join("comment_text", separator)).join(ids, key)
 
 
 def first_rows(df: DataFrame, key: str = "product_sku", order_by: Sequence[str] = ("comment_id",)) -> DataFrame:
@@ -125,33 +157,21 @@ def union_lists(
     order_by: Sequence[str] = ("comment_id",),
     ignore_case: bool = False,
     name: str = "tags",
-    max_rows: int = MAX_GROUP_ROWS,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """(key, tags): the distinct items of all rows of a product in the order first seen.
 
-    ``carry`` names columns that are constant within a product and stay in the result.
-    Groups of up to ``max_rows`` rows are merged as arrays in one shuffle. In a larger group the minimum position
-    per (product, item) is taken before the shuffle, so its rows never come together.
+    ``carry`` names columns that are constant within a product and stay in the result. The minimum position per
+    (product, item) is taken before the shuffle, so the rows of a product never come together.
     """
-    rows = df.where(F.col(key).isNotNull()).select(key, *order_by, *carry, items.alias("_items"))
-    small, large = split_large_groups(rows, key, order_by, max_rows)
-    order = _order(order_by)
-    unique = T.dedupe_ignoring_case if ignore_case else F.array_distinct
+    rows = df.where(F.col(key).isNotNull()).select(key, _order(order_by).alias("_o"), *carry, F.posexplode_outer(items).alias("_i", "tag"))
+    same = F.lower(T.strip("tag")) if ignore_case else F.col("tag")
     kept = [F.min(c).alias(c) for c in carry]
-    out = small.groupBy(key).agg(F.flatten(_in_order(order, "_items")).alias(name), *kept).withColumn(name, unique(F.col(name)))
-    if large is not None:
-        cells = large.select(key, order.alias("_o"), F.posexplode_outer("_items").alias("_i", "tag"))
-        same = F.lower(T.strip("tag")) if ignore_case else F.col("tag")
-        first = F.min(F.struct(F.struct("_o", "_i").alias("pos"), F.col("tag"))).alias("_f")
-        once = cells.groupBy(key, same.alias("_same")).agg(first)
-        tag = F.col("_f.tag")
-        long = once.select(key, (F.nullif(T.strip(tag), F.lit("")) if ignore_case else tag).alias("tag"), F.col("_f.pos").alias("pos"))
-        lists = tag_lists(long, key, name)
-        if carry:
-            lists = lists.join(large.groupBy(key).agg(*kept), key)
-        out = out.unionByName(lists)
-    return out
+    first = F.min(F.struct(F.struct("_o", "_i").alias("pos"), F.col("tag"))).alias("_f")
+    once = rows.groupBy(key, same.alias("_same")).agg(first, *kept)
+    tag = F.nullif(T.strip("_f.tag"), F.lit("")) if ignore_case else F.col("_f.tag")
+    long = once.select(key, tag.alias("tag"), F.col("_f.pos").alias("pos"), *carry)
+    return tag_lists(long, key, name, carry)
 
 
 def product_tags(
@@ -160,17 +180,17 @@ def product_tags(
     order_by: Sequence[str] = ("comment_id",),
     lower: bool = False,
     column: str = "tags",
-    max_rows: int = MAX_GROUP_ROWS,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """(key, tags): tag union per product from delimited cells, in first-seen order."""
-    return union_lists(df, T.parse_tags(column, lower), key, order_by, max_rows=max_rows, carry=carry)
+    return union_lists(df, T.parse_tags(column, lower), key, order_by, carry=carry)
 
 
-def tag_lists(long: DataFrame, key: str = "product_sku", name: str = "tags") -> DataFrame:
+def tag_lists(long: DataFrame, key: str = "product_sku", name: str = "tags", carry: Sequence[str] = ()) -> DataFrame:
     """Long (key, tag, pos) -> one ordered array per key; a null tag marks a key without tags."""
     pairs = F.collect_list(F.when(F.col("tag").isNotNull(), F.struct("pos", "tag")))
-    return long.groupBy(key).agg(F.transform(F.array_sort(pairs), lambda p: p["tag"]).alias(name))
+    kept = [F.min(c).alias(c) for c in carry]
+    return long.groupBy(key).agg(F.transform(F.array_sort(pairs), lambda p: p["tag"]).alias(name), *kept)
 
 
 def aggregate_products(
@@ -180,13 +200,11 @@ def aggregate_products(
     lower: bool = False,
     key: str = "product_sku",
     keep_comments: bool = False,
-    max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """One row per product (and ``part``): first attributes, product text and the tag union.
+    """One row per product: first attributes, product text and the tag union.
 
     Comment cells may hold lists. Without a ``tags`` column there is no ``tags`` output. ``keep_comments``
-    adds the comment list. For a product of several parts the texts put together in part order are the
-    product's text, and tags stand on every part.
+    adds the comment list.
     """
     df = with_defaults(df)
     tagged = "tags" in df.columns
@@ -194,44 +212,11 @@ def aggregate_products(
         key, *order_by, *ATTRS, T.parse_list("comment_text").alias("comments"),
         *([T.parse_tags("tags", lower).alias("tags")] if tagged else []),
     )
-    small, large = split_large_groups(rows, key, order_by, max_rows)
     order = _order(order_by)
     firsts = [first_by(c, order, ignore_nulls).alias(c) for c in ATTRS]
-    comments = F.flatten(_in_order(order, "comments")).alias("comments")
     tags = [F.array_distinct(F.flatten(_in_order(order, "tags"))).alias("tags")] if tagged else []
-    head = T.build_text(*ATTRS, "comments")
-    out = small.groupBy(key).agg(*firsts, comments, *tags).withColumns({"part": F.lit(0), "text": head})
-    if large is not None:
-        has_text = F.exists("comments", T.not_blank)
-        whole = large.groupBy(key).agg(
-            *firsts,
-            F.min(F.when(has_text, F.col("part"))).alias("_text_from"),
-            F.max(F.size("comments")).alias("_most"),
-        )
-        if tagged:
-            union = large.select(key, F.struct(*order_by).alias("_o"), F.posexplode("tags").alias("_i", "tag"))
-            union = union.groupBy(key, "tag").agg(F.min(F.struct("_o", "_i")).alias("pos"))
-            whole = whole.join(tag_lists(union, key), key, "left").withColumn(
-                "tags", F.coalesce("tags", F.array().cast("array<string>"))
-            )
-        # The head part opens the comment section even when only later parts have comments.
-        opened = F.when((F.col("_most") > 0) & (F.size("comments") == 0), F.array(F.lit(""))).otherwise(
-            F.col("comments")
-        )
-        tail = T.join_comments("comments")
-        parts = (
-            large.groupBy(key, "part")
-            .agg(comments)
-            .join(whole, key)
-            .withColumn(
-                "text",
-                F.when(F.col("part") == 0, T.build_text(*ATTRS, opened))
-                .when(has_text & (F.col("part") > F.col("_text_from")), F.concat(F.lit(" "), tail))
-                .otherwise(tail),
-            )
-            .drop("_text_from", "_most")
-        )
-        out = out.unionByName(parts)
+    out = rows.groupBy(key).agg(*firsts, F.flatten(_in_order(order, "comments")).alias("comments"), *tags)
+    out = out.withColumn("text", T.build_text(*ATTRS, "comments"))
     return out if keep_comments else out.drop("comments")
 
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from tagweave.functions import text as T
-from tagweave.operators.layout import durable
-from tagweave.operators.products import union_lists
+from tagweave.operators.layout import durable, first_by
+from tagweave.operators.products import ATTRS, review_chunks, union_lists, with_defaults
 from tagweave.operators.selection import top_candidates
 
 # A client factory runs once per task and returns prompt -> reply text.
@@ -19,13 +21,19 @@ FAILED_MARK = "[FAILED]"  # fixed value: tag cell of a product whose call failed
 
 
 def ask(
-    prompts: DataFrame, client: ClientFactory, prompt: str = "prompt", store: str | None = None, tasks: int | None = None
+    prompts: DataFrame,
+    client: ClientFactory,
+    prompt: str = "prompt",
+    store: str | None = None,
+    tasks: int | None = None,
+    threads: int = 1,
 ) -> DataFrame:
     """Add ``reply`` and ``status`` (ok, empty, failed) by calling ``client`` once per distinct prompt.
 
     Replies are written before use, keyed by the prompt's digest, so nothing downstream repeats a call. With
     ``store`` (a folder) earlier successful replies are read back and only new prompts are sent; a failed
-    call is tried again next time. ``tasks`` bounds the number of concurrent callers.
+    call is tried again next time. ``tasks`` sets over how many tasks the prompts are dealt and ``threads`` how many calls
+    a task has under way, so at most ``tasks`` x ``threads`` calls run at once.
     """
     spark = prompts.sparkSession
     keyed = prompts.withColumn("_key", F.sha2(F.col(prompt), 256))
@@ -38,17 +46,18 @@ def ask(
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         send = client()
-        for batch in batches:
-            replies, states = [], []
-            for text in batch["_prompt"]:
-                try:
-                    reply = send(text)
-                    state = "ok" if reply and reply.strip() else "empty"
-                except Exception:  # a failed call is a row with a status, not a failed job
-                    reply, state = None, "failed"
-                replies.append(reply)
-                states.append(state)
-            yield pd.DataFrame({"_key": batch["_key"], "reply": replies, "status": states})
+
+        def one(text: str) -> tuple[str | None, str]:
+            try:
+                reply = send(text)
+                return reply, "ok" if reply and reply.strip() else "empty"
+            except Exception:  # a failed call is a row with a status, not a failed job
+                return None, "failed"
+
+        with ThreadPoolExecutor(threads) as pool:
+            for batch in batches:
+                found = list(pool.map(one, batch["_prompt"]))
+                yield pd.DataFrame({"_key": batch["_key"], "reply": [r for r, _ in found], "status": [s for _, s in found]})
 
     fresh = todo.mapInPandas(call, "_key string, reply string, status string")
     if store:
@@ -72,7 +81,10 @@ def read_replies(spark: SparkSession, store: str) -> DataFrame | None:
 
     try:
         stored = spark.read.parquet(store)
-    except AnalysisException:
+    except AnalysisException as e:
+        # Only a store that is not there yet counts as none: any other error would ask, and pay for, everything again.
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return _best_replies(stored).where(F.col("status") != "failed")
 
@@ -80,24 +92,31 @@ def read_replies(spark: SparkSession, store: str) -> DataFrame | None:
 # -- tagging --------------------------------------------------------------------------------------------------
 
 
-def tag_prompts(products: DataFrame, template: str, max_chars: int = T.MAX_CHARS_PER_CHUNK) -> DataFrame:
-    """(product_sku, part, chunk_id, prompt): review chunks of a product as numbered lists in ``template``.
+def tag_prompts(
+    reviews: DataFrame,
+    template: str,
+    max_chars: int = T.MAX_CHARS_PER_CHUNK,
+    key: str = "product_sku",
+    order_by: Sequence[str] = ("comment_id",),
+) -> DataFrame:
+    """(product_sku, chunk_id, prompt): the non-blank reviews of a product as numbered lists in ``template``.
 
-    ``products`` has one row per product and part with ``comment_text`` as an array. Template fields:
-    ``{name} {good_type} {good_subtype} {reviews} {chunk} {chunks}``.
+    ``reviews`` has one row per review, or one per product with ``comment_text`` as an array. Chunks are cut and counted over the whole product, however many reviews it has; numbers
+    start at 1 in each chunk. Template fields: ``{name} {good_type} {good_subtype} {reviews} {chunk} {chunks}``.
     """
-    keys = [c for c in ("product_sku", "part") if c in products.columns]
-    clean = F.transform(F.filter("comment_text", T.not_blank), T.strip)
-    rows = products.withColumn("_chunks", T.chunk_reviews(clean, max_chars))
-    rows = rows.select(
-        *keys, "name", "good_type", "good_subtype", F.size("_chunks").alias("_n"),
-        F.posexplode("_chunks").alias("chunk_id", "_reviews"),
-    )
+    reviews = with_defaults(reviews)
+    if isinstance(reviews.schema["comment_text"].dataType, ArrayType):
+        reviews = reviews.select(key, *ATTRS, F.posexplode("comment_text").alias("_pos", "comment_text"))
+        order_by = ["_pos"]
+    order = F.struct(*order_by)
+    heads = reviews.where(F.col(key).isNotNull()).groupBy(key).agg(*[first_by(c, order, True).alias(c) for c in ATTRS])
+    texts = reviews.where(T.not_blank("comment_text")).withColumn("comment_text", T.strip("comment_text"))
+    rows = review_chunks(texts, max_chars, key, order_by).join(heads, key)
     prompt = T.fill_template(
         template, name="name", good_type="good_type", good_subtype="good_subtype",
-        reviews=T.numbered_lines("_reviews"), chunk=F.col("chunk_id") + 1, chunks="_n",
+        reviews=T.numbered_lines("reviews"), chunk=F.col("chunk_id") + 1, chunks="n_chunks",
     )
-    return rows.select(*keys, "chunk_id", prompt.alias("prompt"))
+    return rows.select(key, "chunk_id", prompt.alias("prompt"))
 
 
 def merge_tag_replies(replies: DataFrame, key: str = "product_sku", order_by: Sequence[str] = ("chunk_id",)) -> DataFrame:
@@ -105,11 +124,21 @@ def merge_tag_replies(replies: DataFrame, key: str = "product_sku", order_by: Se
     return union_lists(replies, T.parse_tag_reply("reply"), key, order_by, ignore_case=True)
 
 
-def tag_with_client(products: DataFrame, client: ClientFactory, template: str, store: str | None = None, **kwargs) -> DataFrame:
-    """Prompts, calls and merged tags per product; products whose calls all failed are missing from the result."""
-    order = [c for c in ("part",) if c in products.columns] + ["chunk_id"]
-    replies = ask(tag_prompts(products, template, **kwargs), client, store=store)
-    return merge_tag_replies(replies.where(F.col("status") != "failed"), order_by=order)
+def tag_with_client(
+    reviews: DataFrame,
+    client: ClientFactory,
+    template: str,
+    store: str | None = None,
+    tasks: int | None = None,
+    threads: int = 1,
+    **kwargs,
+) -> DataFrame:
+    """Prompts, calls and merged tags per product from one row per review.
+
+    Products whose calls all failed are missing from the result. ``tasks`` and ``threads`` bound the calls under way, see :func:`ask`.
+    """
+    replies = ask(tag_prompts(reviews, template, **kwargs), client, store=store, tasks=tasks, threads=threads)
+    return merge_tag_replies(replies.where(F.col("status") != "failed"))
 
 
 def pending_products(products: DataFrame, retry_failed: bool = False) -> DataFrame:
@@ -148,7 +177,9 @@ def rerank_prompts(
     candidates: DataFrame, texts: DataFrame, template: str, max_return: int = 5, max_input_chars: int = 2000
 ) -> DataFrame:
     """Add ``prompt``; template fields ``{good_type} {text} {candidates} {max_return}``."""
-    rows = candidates.join(texts.select("product_sku", "text"), "product_sku", "left")
+    # One text per product: of several rows the smallest text stands for it, so nothing is asked or returned twice.
+    one = texts.groupBy("product_sku").agg(F.min("text").alias("text"))
+    rows = candidates.join(one, "product_sku", "left")
     category = F.coalesce(F.nullif(F.col("good_type").cast("string"), F.lit("")), F.lit("unknown"))
     prompt = T.fill_template(
         template, good_type=category, text=T.trim_text("text", max_input_chars),
@@ -165,16 +196,20 @@ def apply_rerank_replies(
     Reply order and repeated tags stay unless ``sort`` or ``dedupe`` is set.
     """
     parsed = T.parse_rerank_reply("reply", "candidates", max_return)
+    replies = replies.select("product_sku", "good_type", parsed.alias("_p"))
+    found = F.col("_p")
     if dedupe:
-        parsed = F.filter(
-            parsed, lambda x, i: F.array_position(F.transform(parsed, lambda y: y["tag"]), x["tag"]) == i + 1
+        # The fold sees the parsed reply once, whatever its length.
+        found = F.aggregate(
+            found, F.filter(found, lambda x: F.lit(False)),
+            lambda acc, x: F.when(F.exists(acc, lambda y: y["tag"] == x["tag"]), acc).otherwise(F.concat(acc, F.array(x))),
         )
     if sort:
-        parsed = F.array_sort(
-            parsed, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(0)
+        found = F.array_sort(
+            found, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(0)
         )
     return (
-        replies.select("product_sku", "good_type", F.posexplode_outer(parsed).alias("_i", "_x"))
+        replies.select("product_sku", "good_type", F.posexplode_outer(found).alias("_i", "_x"))
         .where(F.col("_x").isNotNull())
         .select(
             "product_sku", "good_type", F.col("_x.tag").alias("label"), F.col("_x.score").alias("prob"),
@@ -193,12 +228,14 @@ def rerank(
     max_input_chars: int = 2000,
     positive_only: bool = True,
     store: str | None = None,
+    tasks: int | None = None,
+    threads: int = 1,
 ) -> DataFrame:
     """Reranked tags per product; products with an empty, failed or unusable reply have no rows."""
     prompts = rerank_prompts(
         candidate_lists(scores, max_candidates, positive_only), texts, template, max_return, max_input_chars
     )
-    return apply_rerank_replies(ask(prompts, client, store=store), max_return)
+    return apply_rerank_replies(ask(prompts, client, store=store, tasks=tasks, threads=threads), max_return)
 
 
 def prefer_reranked(reranked: DataFrame, selected: DataFrame) -> DataFrame:

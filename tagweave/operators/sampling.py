@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tagweave.operators.layout import hash_rank, seeded_hash
+from tagweave.operators.layout import hash_rank, rank_labels, seeded_hash
 
 
 def sample_per_type(
     df: DataFrame, max_rows: int = 10000, seed: int = 42, key: str = "comment_id", by: str = "good_type"
 ) -> DataFrame:
     """Up to ``max_rows`` rows per category (null categories drop out)."""
-    ranked = hash_rank(df.where(F.col(by).isNotNull()), key, [by], seed)
-    return ranked.where(F.col("hash_rank") <= max_rows).drop("hash_rank", "group_rows")
+    return hash_rank(df.where(F.col(by).isNotNull()), key, [by], seed, first=max_rows).drop("hash_rank", "group_rows")
 
 
 def shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -36,9 +35,7 @@ def first_products(df: DataFrame, n: int = 5, key: str = "product_sku") -> DataF
 
 def fixed_split(df: DataFrame, n_train: int, key: str = "product_sku", seed: int = 42) -> DataFrame:
     """Add ``split``: ``n_train`` seeded random rows are ``train``, the rest ``val``."""
-    ranked = hash_rank(df, key, (), seed)
-    split = F.when(F.col("hash_rank") <= n_train, "train").otherwise("val")
-    return ranked.withColumn("split", split).drop("hash_rank", "group_rows")
+    return rank_labels(df, key, (), lambda g: g.withColumn("_cut0", F.lit(n_train)), ["train"], "val", "split", seed)
 
 
 def downsample_category(
@@ -78,35 +75,32 @@ def stratified_split(
 
     Categories with fewer than ``min_stratum`` rows (and rows without one) are all train. If fewer than ``min_rows`` rows or
     fewer than two categories are left, everything is split at random without strata. Only the per-category
-    count table is ranked as a whole; rows are ranked block by block.
+    count table is ranked as a whole; rows are labelled block by block.
     """
-    rare = F.col("_size") < min_stratum
-    strata = df.groupBy(strat_col).agg(F.count(F.lit(1)).alias("_size"))
-    strata = strata.where(F.col(strat_col).isNotNull())
-    ok_rows, ok_types = strata.where(~rare).agg(F.sum("_size"), F.count(F.lit(1))).first()
-    if (ok_rows or 0) < min_rows or ok_types < 2:
+    def cuts(groups: DataFrame) -> DataFrame:
+        sizes = groups.where(F.col(strat_col).isNotNull() & (F.col("group_rows") >= min_stratum)).withColumnRenamed("group_rows", "_size")
+        ok_rows, ok_types = sizes.agg(F.sum("_size"), F.count(F.lit(1))).first()
+        if (ok_rows or 0) < min_rows or ok_types < 2:
+            raise _TooFew
+        n_test = math.ceil(test * ok_rows)
+        n_val = math.ceil(val / (1.0 - test) * (ok_rows - n_test))
+        counts = _quotas(sizes, strat_col, F.col("_size"), n_test, "_test")
+        counts = _quotas(counts, strat_col, F.col("_size") - F.col("_test"), n_val, "_val")
+        return counts.select(strat_col, F.col("_test").alias("_cut0"), (F.col("_test") + F.col("_val")).alias("_cut1"))
+
+    try:
+        return rank_labels(df, key, [strat_col], cuts, ["test", "val"], "train", "split", seed)
+    except _TooFew:
         return _plain_split(df, key, test, val, seed)
-    n_test = math.ceil(test * ok_rows)
-    n_val = math.ceil(val / (1.0 - test) * (ok_rows - n_test))
-    counts = _quotas(strata.where(~rare), strat_col, F.col("_size"), n_test, "_test")
-    counts = _quotas(counts, strat_col, F.col("_size") - F.col("_test"), n_val, "_val")
-    counts = counts.select(F.col(strat_col).alias("_type"), "_test", "_val")
-    ranked = hash_rank(df, key, [strat_col], seed)
-    joined = ranked.join(counts, F.col(strat_col) == F.col("_type"), "left")
-    rank = F.col("hash_rank")
-    split = (
-        F.when(rank <= F.col("_test"), "test")
-        .when(rank <= F.col("_test") + F.col("_val"), "val")
-        .otherwise("train")
-    )
-    return joined.withColumn("split", split).drop("_type", "_test", "_val", "hash_rank", "group_rows")
+
+
+class _TooFew(Exception):
+    """Too few rows or categories for strata."""
 
 
 def _plain_split(df: DataFrame, key: str, test: float, val: float, seed: int) -> DataFrame:
-    ranked = hash_rank(df, key, (), seed)
-    held = F.ceil(F.lit(test + val) * F.col("group_rows"))
-    n_test = F.ceil(F.lit(test / (test + val)) * held)
-    split = (
-        F.when(F.col("hash_rank") <= n_test, "test").when(F.col("hash_rank") <= held, "val").otherwise("train")
-    )
-    return ranked.withColumn("split", split).drop("hash_rank", "group_rows")
+    def cuts(groups: DataFrame) -> DataFrame:
+        held = F.ceil(F.lit(test + val) * F.col("group_rows"))
+        return groups.withColumns({"_cut0": F.ceil(F.lit(test / (test + val)) * held), "_cut1": held})
+
+    return rank_labels(df, key, (), cuts, ["test", "val"], "train", "split", seed)

@@ -125,6 +125,8 @@ def predict_by_group(
     template: str = "{good_type}\n{text}\n{candidates}\n{max_return}",
     rerank_top_n: int = 20,
     rerank_max: int | None = None,
+    tasks: int | None = None,
+    threads: int = 1,
 ) -> DataFrame:
     """Route every product to its model group, score it with that group's labels, choose tags by one threshold.
 
@@ -138,7 +140,7 @@ def predict_by_group(
     scores = durable(scores)
     better = rerank(
         scores, df, reranker, template, max_candidates=rerank_top_n, max_return=rerank_max or top_k or rerank_top_n,
-        positive_only=False,
+        positive_only=False, tasks=tasks, threads=threads,
     )
     return prefer_reranked(better, select_tags(scores, threshold, top_k, min_tags))
 
@@ -158,19 +160,17 @@ def fit_scorer(
     truth: DataFrame,
     products: DataFrame,
     alpha: float = 1.0,
-    min_df: int = 2,
+    min_df: int = 1,
     group: str = "good_type",
 ) -> DataFrame:
-    """Weights (group, token, weights array<struct<label, w>>) from product token sets and labels.
+    """Weights (group, token, drop, corrections array<struct<label, c>>) from product token sets and labels.
 
-    w = ln((df+ + a)/(n+ + 2a)) - ln((df- + a)/(n- + 2a)). Only positive (product, label) pairs are expanded;
-    counts of the negative side are differences to the token totals. ``docs`` has one row per product
+    The weight of a token for a label is w = ln((df+ + a)/(n+ + 2a)) - ln((df- + a)/(n- + 2a)). For a pair that never occurs (df+ = 0) it is the
+    label's own number, see :func:`label_bias`, less ``drop`` = ln(df + a). Only pairs that occur get a correction ``c`` to that, so the
+    table grows with the pairs seen and never holds every token with every label. ``docs`` has one row per product
     (product_sku, group, ``tokens`` array), ``truth`` is distinct (product_sku, label), ``products`` distinct
     (product_sku, group).
     """
-    n_all = products.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    labelled = products.join(truth.select("product_sku", "label"), "product_sku")
-    n_pos = labelled.groupBy(group, "label").agg(F.count(F.lit(1)).alias("n_pos"))
     df_all = distinct_tokens(docs, "tokens", group).groupBy(group, "token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
     # Labels meet the product row before its tokens are expanded: the join moves one row per product.
     label_sets = truth.groupBy("product_sku").agg(F.collect_set("label").alias("_labels"))
@@ -179,28 +179,32 @@ def fit_scorer(
         .select(group, "token", F.explode("_labels").alias("label"))
         .groupBy(group, "token", "label")
         .agg(F.count(F.lit(1)).alias("df_pos"))
+        .groupBy(group, "token")
+        .agg(F.collect_list(F.struct("label", "df_pos")).alias("_seen"))
     )
-    pos = F.coalesce(F.col("df_pos"), F.lit(0))
-    a, a2 = F.lit(alpha), F.lit(2 * alpha)
-    w = F.ln((pos + a) / (F.col("n_pos") + a2)) - F.ln(
-        (F.col("df") - pos + a) / (F.col("n") - F.col("n_pos") + a2)
-    )
-    cells = df_all.join(n_all, group).join(n_pos, group).join(df_pos, [group, "token", "label"], "left")
-    return cells.groupBy(group, "token").agg(
-        F.collect_list(F.struct("label", w.alias("w"))).alias("weights")
+    a = F.lit(alpha)
+    # The sizes of group and label stand in w and in its form for an unseen pair alike and cancel out.
+    correction = F.transform(
+        F.coalesce("_seen", F.array().cast("array<struct<label:string,df_pos:bigint>>")),
+        lambda x: F.struct(
+            x["label"].alias("label"), (F.ln(x["df_pos"] + a) - F.ln(a) - F.ln(F.col("df") - x["df_pos"] + a) + F.ln(F.col("df") + a)).alias("c")
+        ),
     )
+    rows = df_all.join(df_pos, [group, "token"], "left")
+    return rows.select(group, "token", F.ln(F.col("df") + a).alias("drop"), correction.alias("corrections"))
 
 
 def label_bias(truth: DataFrame, products: DataFrame, alpha: float = 1.0, group: str = "good_type") -> DataFrame:
-    """(group, label, bias): smoothed log-odds of the label in the group."""
+    """(group, label, bias, unseen): smoothed log-odds of the label in the group, and its part in the weight of an unseen token."""
     n_all = products.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     pos = (
         products.join(truth.select("product_sku", "label"), "product_sku")
         .groupBy(group, "label")
         .agg(F.count(F.lit(1)).alias("n_pos"))
     )
-    odds = (F.col("n_pos") + F.lit(alpha)) / (F.col("n") - F.col("n_pos") + F.lit(alpha))
-    return pos.join(n_all, group).select(group, "label", F.ln(odds).alias("bias"))
+    n, n_pos, a, a2 = F.col("n"), F.col("n_pos"), F.lit(alpha), F.lit(2 * alpha)
+    unseen = F.ln(a) - F.ln(n_pos + a2) + F.ln(n - n_pos + a2)
+    return pos.join(n_all, group).select(group, "label", F.ln((n_pos + a) / (n - n_pos + a)).alias("bias"), unseen.alias("unseen"))
 
 
 def score_tokens(
@@ -208,15 +212,28 @@ def score_tokens(
 ) -> DataFrame:
     """(product_sku, group, chunk_id, label, prob) = sigmoid(bias + sum of token weights) per chunk.
 
-    ``chunk_tokens`` is (product_sku, group, chunk_id, token array ``tokens``). One weight row per token carries
-    all labels, so the token join does not multiply rows; sums combine before the shuffle. Chunks without any
-    known token keep the bias alone.
+    ``chunk_tokens`` is (product_sku, group, chunk_id, token array ``tokens``). With k known tokens the sum is k times the label's
+    number for unseen tokens, less the tokens' ``drop``, plus the corrections of the pairs that occur; it combines before the
+    shuffle. Chunks without any known token keep the bias alone.
     """
-    cells = distinct_tokens(chunk_tokens, "tokens", "product_sku", group, "chunk_id")
-    hits = cells.join(weights, [group, "token"]).select(
-        "product_sku", group, "chunk_id", F.explode("weights").alias("_w")
+    chunk = ["product_sku", group, "chunk_id"]
+    # Outer form: a chunk without tokens stays.
+    cells = chunk_tokens.select(*chunk, F.explode_outer(F.array_distinct("tokens")).alias("token"))
+    hits = cells.join(weights, [group, "token"], "left")
+    none = F.lit(None).cast("string")
+    parts = F.concat(
+        F.array(F.struct(none.alias("label"), (-F.col("drop")).alias("v"))),
+        F.coalesce(F.transform("corrections", lambda x: F.struct(x["label"].alias("label"), x["c"].alias("v"))), F.array().cast("array<struct<label:string,v:double>>")),
+    )
+    sums = hits.select(*chunk, F.inline(parts)).groupBy(*chunk, "label").agg(F.sum("v").alias("v"), F.count("v").alias("k"))
+    of_label = F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "v")))
+    per_chunk = sums.groupBy(*chunk).agg(
+        F.max(F.when(F.col("label").isNull(), F.col("k"))).alias("_k"),
+        F.coalesce(F.max(F.when(F.col("label").isNull(), F.col("v"))), F.lit(0.0)).alias("_drop"),
+        F.map_from_entries(of_label).alias("_corrections"),
     )
-    sums = hits.select("product_sku", group, "chunk_id", "_w.label", "_w.w")
-    base = chunk_tokens.select("product_sku", group, "chunk_id").join(bias, group).withColumnRenamed("bias", "w")
-    total = sums.unionByName(base).groupBy("product_sku", group, "chunk_id", "label").agg(F.sum("w").alias("_x"))
-    return total.select("product_sku", group, "chunk_id", "label", sigmoid("_x").alias("prob"))
+    # One row per group: its labels meet every chunk of the group as one array.
+    labels = bias.groupBy(group).agg(F.collect_list(F.struct("label", "bias", "unseen")).alias("_labels"))
+    rows = per_chunk.join(labels, group).select(*chunk, "_k", "_drop", "_corrections", F.explode("_labels").alias("_l"))
+    x = F.col("_l.bias") + F.col("_k") * F.col("_l.unseen") + F.col("_drop") + F.coalesce(F.try_element_at("_corrections", F.col("_l.label")), F.lit(0.0))
+    return rows.select(*chunk, F.col("_l.label").alias("label"), sigmoid(x).alias("prob"))

@@ -317,8 +317,12 @@ def collapse_copies(
     units = durable(rows.select(F.col(group).alias("_g"), F.col(id_col).alias("_id"), unit_vector(vector).alias("_v")))
     if threshold >= 1:
         return units.select("_g", F.col("_id").alias("_c"), "_v", F.lit(1).alias("_n")), units.withColumn("_c", F.col("_id"))
-    reps = units.groupBy("_g", "_v").agg(F.min("_id").alias("_c"), F.count(F.lit(1)).alias("_n"))
-    return reps, units.join(reps.drop("_n"), ["_g", "_v"])
+    # A zero vector has cosine 0 to everything, its copies among them, so it stands for itself alone.
+    units = units.withColumn("_own", F.when(~F.exists("_v", lambda x: x != 0), F.col("_id")))
+    reps = units.groupBy("_g", "_v", "_own").agg(F.min("_id").alias("_c"), F.count(F.lit(1)).alias("_n"))
+    copies = reps.select(F.col("_g").alias("_g2"), F.col("_v").alias("_v2"), F.col("_own").alias("_own2"), "_c")
+    same = (F.col("_g") == F.col("_g2")) & (F.col("_v") == F.col("_v2")) & F.col("_own").eqNullSafe(F.col("_own2"))
+    return reps.drop("_own"), units.join(copies, same).select("_g", "_id", "_v", "_c")
 
 
 def _cluster_rounds(

@@ -23,14 +23,15 @@ def hex4(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 4), 16, 10).cast("int")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table that is stored in fewer files than there are cores.
+# Bytes of files up to which a table is dealt over all cores; a shuffle of so little costs next to nothing.
+SPREAD_BYTES = 256 << 20
+
 
-    A small file has one row group and would keep all work up to the next shuffle on one core. Tables of many
-    files, all large ones, are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a small table: a small file has one row group, which would keep all work up to the next shuffle on
+    one core. Tables of more bytes have parts enough and are left as they are."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(str(size)) <= SPREAD_BYTES else df
 
 
 class Views:
@@ -169,6 +170,19 @@ class Views:
             F.col("embedding").alias("vector"), F.col("label").alias("family"),
         )
 
+    def family_vectors(self) -> DataFrame:
+        """Families of four: a fifth of a vector's own embedding on top of the one of its family's first vector.
+
+        Inside a family all cosines are far above 0.8, between families far below.
+        """
+        own = self.table("embeddings").select(F.col("vec_id").alias("tag_id"), "embedding", (F.col("vec_id") - F.col("vec_id") % 4).alias("_head"))
+        heads = own.where("tag_id = _head").select("_head", F.col("embedding").alias("_first"))
+        kinds = self.table("embeddings").select(F.col("vec_id").alias("_head"), F.col("label").alias("_kind"))
+        rows = own.join(heads, "_head").join(kinds, "_head")
+        kind = F.when(F.col("_kind") < 5, "wide").otherwise(F.concat(F.lit("g"), F.col("_kind").cast("string")))
+        vector = F.zip_with("_first", "embedding", lambda a, b: a.cast("double") + b.cast("double") * 0.2)
+        return rows.select(kind.alias("good_type"), "tag_id", vector.alias("vector"), (F.col("tag_id") % 7).alias("freq"))
+
     def canonical(self) -> DataFrame:
         v = self.vectors()
         heads = v.groupBy("family").agg(F.min("tag_id").alias("tag_id")).select("tag_id")
@@ -224,6 +238,15 @@ SQL: dict[str, tuple[list[str], str]] = {
         select product_sku, good_type, regexp_replace(unnest(string_split(tags,';')),'^\\s+|\\s+$','','g') as tag from doc_tags) x
         where tag <> ''"""),
     "vectors": ([], "select 'all' as good_type, vec_id as tag_id, embedding as vector, label as family from embeddings"),
+    "family_vectors": ([], """select case when h.label < 5 then 'wide' else concat('g', h.label) end as good_type, e.vec_id as tag_id,
+        list_transform(list_zip(h.embedding, e.embedding), lambda p: p[1]::double + p[2]::double * 0.2) as vector, e.vec_id % 7 as freq
+        from embeddings e join embeddings h on h.vec_id = e.vec_id - e.vec_id % 4"""),
+    "close_pairs": (["family_vectors"], """select a.good_type, a.tag_id as a, b.tag_id as b from family_vectors a
+        join family_vectors b on a.good_type = b.good_type and list_cosine_similarity(a.vector, b.vector) > 0.8"""),
+    # Families lie so far apart that what close pairs link is what average linkage merges.
+    "linked": (["close_pairs"], """select good_type, a, a as b from close_pairs
+        union select l.good_type, l.a, p.b from linked l join close_pairs p on p.good_type = l.good_type and p.a = l.b"""),
+    "families": (["linked"], "select good_type, a as tag_id, min(b) as cluster_id from linked group by all"),
     "canonical": (["vectors"], "select * from vectors where tag_id in (select min(tag_id) from vectors group by family)"),
     "raw_vectors": (["vectors"], "select * from vectors where tag_id not in (select min(tag_id) from vectors group by family)"),
 }

@@ -56,9 +56,9 @@ PRODUCT_SQL = {"product_texts": (["reviews"], _TEXT_SQL)}
 
 
 @query("product_text", ("product_texts",),
-       "select product_sku, 0 as part, name, good_type, good_subtype, text from product_texts", PRODUCT_SQL)
+       "select product_sku, name, good_type, good_subtype, text from product_texts", PRODUCT_SQL)
 def product_text(v: Views) -> DataFrame:
-    return A.aggregate_products(v.reviews()).select("product_sku", "part", *A.ATTRS, "text")
+    return A.aggregate_products(v.reviews()).select("product_sku", *A.ATTRS, "text")
 
 
 @query("product_tags", ("tag_cells",), """select product_sku, string_agg(tag, '; ' order by pos) as tags from (
@@ -115,18 +115,22 @@ def type_rollup(v: Views) -> DataFrame:
 
 
 @query("merged_sources", ("reviews", "conv_reviews"), """select product_sku, comment_text, name, speaker from (
-    select comment_id, product_sku, comment_text, name, cast(null as varchar) as speaker, good_type, good_subtype
-    from reviews where good_type = 'en'
+    select comment_id, product_sku, comment_text, name, cast(null as varchar) as speaker, good_type, good_subtype from reviews
     union select comment_id, product_sku, comment_text, null, name, good_type, good_subtype from conv_reviews
     where trim(comment_text) <> '') x""")
 def merged_sources(v: Views) -> DataFrame:
-    one = v.reviews().where(F.col("good_type") == "en")
     other = A.nonblank_rows(v.conv_reviews(), "comment_text").withColumnRenamed("name", "speaker")
-    return A.merge_sources(one, other, drop=["comment_id", "good_type", "good_subtype"]).select(
+    return A.merge_sources(v.reviews(), other, drop=["comment_id", "good_type", "good_subtype"]).select(
         "product_sku", "comment_text", "name", "speaker"
     )
 
 
+@query("category_slice", ("reviews",), """select comment_id, product_sku as sku, comment_text from reviews where good_type = 'en'""")
+def category_slice(v: Views) -> DataFrame:
+    english = v.reviews().where(F.col("good_type") == "en").withColumnRenamed("product_sku", "sku")
+    return english.drop("name", "good_type", "good_subtype")
+
+
 @query("length_report", ("reviews",), """select good_type, count(*) as n_rows, max(n) as max_length,
     cast(sum(case when n > 768 then 1 else 0 end) as bigint) as n_over from (
         select good_type, len(list_filter(string_split(lower(comment_text),' '), lambda t: t <> '')) as n from reviews) x
@@ -232,7 +236,7 @@ def parse_tags(v: Views) -> DataFrame:
     )
 
 
-@query("tag_pools", ("tag_cells",), """select good_type, 0 as part, string_agg(tag, '; ' order by tag) as tags
+@query("tag_pools", ("tag_cells",), """select good_type, string_agg(tag, '; ' order by tag) as tags
     from (select distinct good_type, lower(tag) as tag from tag_cells) x group by good_type""")
 def tag_pools(v: Views) -> DataFrame:
     return P.pool_rows(P.build_tag_pools(v.tagged()))
@@ -268,12 +272,41 @@ def tag_mapping(v: Views) -> DataFrame:
     return P.latest_rules(TB.read_tag_mapping(TB.mapping_rows(v.mapping()), order="ord"))
 
 
-@query("tag_mapping_chains", ("r",), """select a.good_type, a.old_tag, coalesce(c.new_tag, b.new_tag, a.new_tag) as new_tag from r a
-    left join r b on b.good_type = a.good_type and b.old_tag = a.new_tag
-    left join r c on c.good_type = a.good_type and c.old_tag = b.new_tag""",
-       {"r": (["mapping"], "select good_type, old_tag, arg_max(new_tag, ord) as new_tag from mapping group by all")})
+@query("tag_mapping_files", ("mapping",), """select good_type, old_tag, arg_max(new_tag, k) as new_tag from (
+    select good_type, old_tag, new_tag, ord as k from mapping union all
+    select good_type, old_tag, 'later', 1000 from mapping where old_tag in ('hot', 'red')) x group by all""")
+def tag_mapping_files(v: Views) -> DataFrame:
+    # Two files, the second with its columns in another order: its rules come later and win.
+    path = _fresh(v, "mapping-csv")
+    rows = TB.mapping_rows(v.mapping())
+    first = rows.repartition(1).sortWithinPartitions("ord", "old_tags").drop("ord")
+    late = rows.where(F.col("old_tags").isin("hot", "red")).select(F.lit("later").alias("new_tag"), "good_type", "old_tags")
+    TB.write_table(first, f"{path}/1", "csv")
+    TB.write_table(late.repartition(1), f"{path}/2", "csv")
+    return P.latest_rules(TB.read_tag_mapping(v.spark, f"{path}/*"))
+
+
+CHAIN_SQL = {
+    # A chain of 45 links, one that joins it, a cycle of three and a rule that leads into the cycle.
+    "links": (["mapping"], """select distinct good_type, concat('n', i) as old_tag, concat('n', i + 1) as new_tag from mapping, range(0, 45) r(i)
+        union select distinct good_type, 'side', 'n7' from mapping
+        union select distinct good_type, a, b from mapping, (values ('c1','c2'), ('c2','c3'), ('c3','c1'), ('in','c3')) x(a, b)
+        union select good_type, old_tag, arg_max(new_tag, ord) from mapping group by all"""),
+    "steps": (["links"], """select good_type, old_tag, new_tag, [old_tag] as seen from links
+        union all select s.good_type, s.old_tag, l.new_tag, list_append(s.seen, s.new_tag) from steps s
+        join links l on l.good_type = s.good_type and l.old_tag = s.new_tag where not list_contains(s.seen, s.new_tag)"""),
+    "ends": (["steps", "links"], """select good_type, old_tag, new_tag, seen from steps s where list_contains(seen, new_tag)
+        or not exists (select 1 from links l where l.good_type = s.good_type and l.old_tag = s.new_tag)"""),
+}
+
+
+@query("tag_mapping_chains", ("ends",), """select good_type, old_tag, target as new_tag from (
+    select good_type, old_tag, case when list_contains(seen, new_tag)
+        then list_min(seen[list_position(seen, new_tag):]) else new_tag end as target from ends) x where old_tag <> target""", CHAIN_SQL)
 def tag_mapping_chains(v: Views) -> DataFrame:
-    return P.resolve_chains(P.latest_rules(v.mapping()))
+    extra = [(f"n{i}", f"n{i + 1}") for i in range(45)] + [("side", "n7"), ("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("in", "c3")]
+    links = F.array(*[F.struct(F.lit(a).alias("old_tag"), F.lit(b).alias("new_tag")) for a, b in extra])
+    return P.resolve_chains(P.latest_rules(v.mapping()).unionByName(v.types().select("good_type", F.inline(links))))
 
 
 REWRITE = {
@@ -507,6 +540,63 @@ def predict_tags(v: Views) -> DataFrame:
     return tagging.predict_from_scores(v.chunk_scores(), artifacts).withColumn("prob", r6("prob"))
 
 
+def words_scorer(batches):
+    """Stand-in for a model that reads the text: the share of a label's letters in the window, each distinct letter once."""
+    import pandas as pd
+
+    labels = ("roomy", "the", "en", "quality")
+    for pdf in batches:
+        rows = [
+            (sku, kind, int(chunk), label, sum(c in window for c in set(label)) / len(set(label)) if label != "the" else float(" the " in window))
+            for sku, kind, chunk, window in zip(pdf["product_sku"], pdf["good_type"], pdf["chunk_id"], pdf["text"])
+            for label in labels
+        ]
+        yield pd.DataFrame(rows, columns=["product_sku", "good_type", "chunk_id", "label", "prob"])
+
+
+WORDS_SQL = {
+    "word_labels": ([], "select * from (values ('roomy', 'roomy'), ('the', ''), ('en', 'en'), ('quality', 'quality')) l(label, letters)"),
+    "word_scores": (["product_texts", "word_labels"], """select product_sku, good_type, label, case when label = 'the'
+        then case when contains(text, ' the ') then 1.0::double else 0.0::double end
+        else len(list_filter(list_distinct(string_split(letters, '')), lambda c: contains(text, c)))::double / len(list_distinct(string_split(letters, ''))) end as prob
+        from product_texts, word_labels"""),
+    "word_choice": (["word_scores"], """select * from (select product_sku, good_type, label, prob, prob >= 0.9 as passed, cast(row_number() over (
+        partition by product_sku order by prob >= 0.9 desc, prob desc, label) as int) as rank from word_scores) x where rank <= 3 and (passed or rank = 1)"""),
+}
+
+
+@query("predict_with_scorer", ("word_choice",), "select product_sku, good_type, label, round(prob, 6) as prob, rank from word_choice",
+       {**PRODUCT_SQL, **WORDS_SQL})
+def predict_with_scorer(v: Views) -> DataFrame:
+    texts = A.aggregate_products(v.reviews()).select("product_sku", "good_type", "text", F.lit(0).alias("chunk_id"))
+    labels = v.spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("roomy", "the", "en", "quality")])).alias("label"))
+    thresholds = labels.select("label", F.lit(0.9).alias("threshold"))
+    artifacts = AR.Artifacts(labels, AR.threshold_table(thresholds, v.spark.range(1).select(F.lit(0.9).alias("threshold"))), top_k=3)
+    return tagging.predict_tags(texts, words_scorer, artifacts).withColumn("prob", r6("prob"))
+
+
+PREPARED_SQL = {
+    **PRODUCT_SPLIT,
+    "exact_tags": (["tag_cells"], "select distinct product_sku, good_type, tag from tag_cells"),
+    "kept_tags": (["exact_tags", "split"], """select tag as label, cast(row_number() over (order by tag) - 1 as int) as label_id
+        from exact_tags join split using (product_sku) where split = 'train' group by tag having count(*) >= 3"""),
+}
+
+
+@query("prepare_dataset", ("exact_tags", "kept_tags", "split"), """select x.product_sku, x.good_type, split, label, label_id from exact_tags x
+    join split s on s.product_sku = x.product_sku join kept_tags k on k.label = x.tag""", PREPARED_SQL)
+def prepare_dataset(v: Views) -> DataFrame:
+    rows = v.tagged().withColumn("comment_text", F.lit("fine"))
+    data = tagging.prepare_dataset(rows, order_by=ORDER, seed=SEED)
+    return L.with_label_ids(data.truth, data.vocab).select("product_sku", "good_type", "split", "label", "label_id")
+
+
+@query("default_attributes", ("reviews",), """select product_sku, '' as name, min(good_type) as good_type, '' as good_subtype, concat_ws(' | ',
+    trim(min(good_type)), string_agg(comment_text, ' ' order by comment_id)) as text from reviews group by product_sku""")
+def default_attributes(v: Views) -> DataFrame:
+    return A.aggregate_products(v.reviews().drop("name", "good_subtype")).select("product_sku", *A.ATTRS, "text")
+
+
 @query("prediction_lists", ("chosen",), """select product_sku, good_type,
     string_agg(concat(label, '=', format('{:.3f}', prob)), '; ' order by rank) as tags from chosen group by all""", CHOSEN_SQL)
 def prediction_lists(v: Views) -> DataFrame:
@@ -608,10 +698,9 @@ def pool_replies(v: Views) -> DataFrame:
 
 @query("review_chunks")
 def review_chunks(v: Views) -> DataFrame:
-    grouped = A.group_reviews(v.reviews())
-    chunks = grouped.select("product_sku", F.posexplode(T.chunk_reviews("comment_text", 20000)).alias("chunk_id", "_r"))
-    size = F.aggregate("_r", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-    return chunks.select("product_sku", "chunk_id", F.size("_r").alias("n_reviews"), size.alias("n_chars"))
+    size = F.aggregate("reviews", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    chunks = A.review_chunks(v.reviews(), 20000)
+    return chunks.select("product_sku", "chunk_id", F.size("reviews").alias("n_reviews"), size.alias("n_chars"))
 
 
 ORACLES["review_chunks"] = with_views(["numbered", "walk"], """select product_sku, chunk_id, count(*)::int as n_reviews,
@@ -627,29 +716,32 @@ ORACLES["review_chunks"] = with_views(["numbered", "walk"], """select product_sk
 TAG_TEMPLATE = "Product: {name}\nType: {good_type} / {good_subtype} ({chunk}/{chunks})\n{reviews}"
 
 
-@query("tag_prompts", ("conv_reviews",), """select product_sku, 0 as part, 0 as chunk_id, concat('Product: ', arg_min(name, comment_id), chr(10), 'Type: ',
+@query("tag_prompts", ("conv_reviews",), """select product_sku, 0 as chunk_id, concat('Product: ', arg_min(name, comment_id), chr(10), 'Type: ',
     arg_min(good_type, comment_id), ' / ', arg_min(good_subtype, comment_id), ' (1/1)', chr(10),
     string_agg(concat(i, '. ', regexp_replace(comment_text, '^\\s+|\\s+$', '', 'g')), chr(10) order by comment_id)) as prompt from (
     select *, row_number() over (partition by product_sku order by comment_id) as i from conv_reviews) x group by product_sku""")
 def tag_prompts(v: Views) -> DataFrame:
-    return Q.tag_prompts(A.group_reviews(v.conv_reviews()), TAG_TEMPLATE)
+    return Q.tag_prompts(v.conv_reviews(), TAG_TEMPLATE)
 
 
 def echo_client():
-    """Stand-in for a text-generating service: the first line's words as tags."""
+    """Stand-in for a text-generating service: the first word of every numbered review as tags."""
     import json
+    import re
 
     def send(prompt: str) -> str:
-        words = prompt.split("\n", 1)[0].split(" ")
-        return "```json\n" + json.dumps({"explanation": "", "tags": words + [words[0].upper()]}) + "\n```"
+        words = re.findall(r"(?am)^\d+\. ([^\s]+)", prompt)
+        return "```json\n" + json.dumps({"explanation": "", "tags": words + [w.upper() for w in words[:1]]}) + "\n```"
 
     return send
 
 
-@query("tag_with_client", ("conv_reviews",), """select product_sku, concat('Product:; ', arg_min(name, comment_id)) as tags
-    from conv_reviews group by product_sku""")
+@query("tag_with_client", ("conv_reviews",), """select product_sku, string_agg(w, '; ' order by i) as tags from (
+    select product_sku, arg_min(w, comment_id) as w, min(comment_id) as i from (
+        select product_sku, comment_id, regexp_extract(comment_text, '[^\\s]+') as w from conv_reviews) x group by product_sku, lower(w)) y
+    group by product_sku""")
 def tag_with_client(v: Views) -> DataFrame:
-    tags = Q.tag_with_client(A.group_reviews(v.conv_reviews()), echo_client, TAG_TEMPLATE)
+    tags = Q.tag_with_client(v.conv_reviews(), echo_client, TAG_TEMPLATE, tasks=8, threads=4)
     return tags.select("product_sku", T.join_tags("tags").alias("tags"))
 
 
@@ -763,19 +855,36 @@ EVALUATE_SQL = {
 }
 
 
-@query("evaluate", ("by_label", "n_split"), """select b.split, mode, round(sum(tp) / sum(tp + fp), 6) as micro_precision,
+ORACLE_EVALUATE = """select b.split, mode, round(sum(tp) / sum(tp + fp), 6) as micro_precision,
     round(sum(tp) / sum(tp + fn), 6) as micro_recall, round(2 * sum(tp) / sum(2 * tp + fp + fn), 6) as micro_f1,
     round(avg(case when 2 * tp + fp + fn = 0 then 0 else 2.0 * tp / (2 * tp + fp + fn) end), 6) as macro_f1,
-    round(sum(tp + fp)::double / max(n), 6) as avg_pred_tags from by_label b join n_split s on s.split = b.split group by 1, 2""", EVALUATE_SQL)
+    round(sum(tp + fp)::double / max(n), 6) as avg_pred_tags from by_label b join n_split s on s.split = b.split group by 1, 2"""
+
+
+@query("evaluate", ("by_label", "n_split"), ORACLE_EVALUATE, EVALUATE_SQL)
 def evaluate(v: Views) -> DataFrame:
-    split = durable(O.stratified_split(v.products(), seed=SEED).select("product_sku", "split"))
-    scores = durable(v.scores().join(split, "product_sku"))
-    truth = durable(v.truth().join(split, "product_sku"))
+    split = durable(O.stratified_split(v.products(), seed=SEED).select("product_sku", "split").where(F.col("split") != "train"))
+    out = tagging.evaluate(v.scores(), v.truth(), split, v.vocab())
+    return out.select("split", "mode", *[r6(c).alias(c) for c in out.columns if c not in ("split", "mode")])
 
-    def part(df: DataFrame, name: str) -> DataFrame:
-        return df.where(F.col("split") == name).drop("split")
 
-    out = tagging.evaluate(part(scores, "val"), part(scores, "test"), part(truth, "val"), part(truth, "test"), v.vocab())
+CALIBRATED_EVALUATE_SQL = {
+    **CALIBRATED_SQL,
+    **EVALUATE_SQL,
+    "masked_all": (["blended", "allowed"], """select b.product_sku, b.good_type, b.label, b.prob * case
+        when a.label is not null or b.good_type not in (select good_type from allowed) then 1 else 0 end as prob
+        from blended b left join allowed a on a.good_type = b.good_type and a.label = b.label"""),
+    "cells_by_split": (["masked_all", "truth", "split"], EVALUATE_SQL["cells_by_split"][1].replace("from scores s", "from masked_all s")),
+}
+
+
+@query("evaluate_calibrated", ("by_label", "n_split"), ORACLE_EVALUATE, CALIBRATED_EVALUATE_SQL)
+def evaluate_calibrated(v: Views) -> DataFrame:
+    split = durable(O.stratified_split(v.products(), seed=SEED).select("product_sku", "split").where(F.col("split") != "train"))
+    artifacts = AR.Artifacts(
+        v.vocab(), _stored(v.thresholds()), _stored(v.allowed()), _stored(_partial_priors(v)), category_prior_weight=1.0
+    )
+    out = tagging.evaluate_calibrated(v.chunk_scores(), artifacts, v.truth(), split, v.vocab())
     return out.select("split", "mode", *[r6(c).alias(c) for c in out.columns if c not in ("split", "mode")])
 
 
@@ -858,16 +967,26 @@ def embedded_tags(v: Views) -> DataFrame:
     return tags.select("good_type", "tag", part(0).alias("chars"), part(1).alias("e"), part(2).alias("o"))
 
 
-@query("tag_clusters")
+# Larger groups take the distributed rounds: at any scale at least the one called "wide".
+LOCAL_ROWS = 150
+
+
+@query("tag_clusters", ("families",), "select good_type, tag_id, cluster_id from families")
 def tag_clusters(v: Views) -> DataFrame:
-    return V.cluster_tags(v.vectors(), 0.35)
+    return V.cluster_tags(v.family_vectors(), 0.8, local_rows=LOCAL_ROWS)
 
 
-@query("consolidated_pool")
+@query("consolidated_pool", ("members",), """select distinct good_type, tag as old_tag, best as new_tag from members where n > 1 and tag <> best
+    union all select distinct good_type, '', best from members""", {
+    "named": (["families", "family_vectors"], """select f.good_type, cluster_id, concat('t', lpad(f.tag_id::varchar, 9, '0')) as tag, freq
+        from families f join family_vectors v on v.tag_id = f.tag_id"""),
+    "members": (["named"], """select good_type, tag, count(*) over (partition by good_type, cluster_id) as n,
+        first_value(tag) over (partition by good_type, cluster_id order by freq desc, length(tag), tag) as best from named"""),
+})
 def consolidated_pool(v: Views) -> DataFrame:
-    vectors = v.vectors().withColumn("tag", F.concat(F.lit("t"), F.lpad(F.col("tag_id").cast("string"), 9, "0")))
-    pool = vectors.select("good_type", "tag", F.col("family").alias("freq"))
-    tags, rules = tagging.consolidate_pool(pool, vectors, threshold=0.35)
+    vectors = v.family_vectors().withColumn("tag", F.concat(F.lit("t"), F.lpad(F.col("tag_id").cast("string"), 9, "0")))
+    pool = vectors.select("good_type", "tag", "freq")
+    tags, rules = tagging.consolidate_pool(pool, vectors, threshold=0.8, local_rows=LOCAL_ROWS)
     return rules.select("good_type", "old_tag", "new_tag").unionByName(
         tags.select("good_type", F.lit("").alias("old_tag"), F.col("tag").alias("new_tag"))
     )
@@ -886,34 +1005,77 @@ GROUP_LABELS = {"en": ["alpha", "beta", "gamma"], "romance": ["alpha", "delta"],
 
 
 def digest_scorer(batches):
-    """Stand-in for a model: a probability from the digest of product and label, labels by model group."""
+    """Stand-in for a model: a probability from the digest of text and label, labels by model group."""
     import hashlib
 
     import pandas as pd
 
     for pdf in batches:
         rows = [
-            (sku, kind, 0, label, int(hashlib.md5(f"{sku}|{label}".encode()).hexdigest()[:4], 16) / 65535.0)
-            for sku, kind, group in zip(pdf["product_sku"], pdf["good_type"], pdf["group_key"])
+            (sku, kind, 0, label, int(hashlib.md5(f"{text}|{label}".encode()).hexdigest()[:4], 16) / 65535.0)
+            for sku, kind, group, text in zip(pdf["product_sku"], pdf["good_type"], pdf["group_key"], pdf["text"])
             for label in GROUP_LABELS[group]
         ]
         yield pd.DataFrame(rows, columns=["product_sku", "good_type", "chunk_id", "label", "prob"])
 
 
 _GROUP_ROWS = ",".join(f"('{g}','{lab}')" for g, labs in GROUP_LABELS.items() for lab in labs)
+GROUP_SQL = {
+    **PRODUCT_SQL,
+    "group_scores": (["product_texts", "routes"], f"""select product_sku, good_type, text, label,
+        ('0x'||substr(md5(concat(text,'|',label)),1,4))::int / 65535.0::double as prob from (
+            select p.product_sku, p.good_type, p.text, coalesce(group_key, 'other') as group_key from product_texts p
+            left join routes on routes.good_type = p.good_type) x
+        join (values {_GROUP_ROWS}) g(grp, label) on grp = group_key"""),
+    "group_choice": (["group_scores"], """select product_sku, good_type, label, prob, rank from (
+        select *, cast(row_number() over (partition by product_sku order by prob >= 0.5 desc, prob desc, label) as int) as rank
+        from group_scores) z where rank <= 8 and (prob >= 0.5 or rank = 1)"""),
+    # The client ranks a third of the products anew, by the digest of the text it was given.
+    "asked": (["group_scores"], """select product_sku, good_type, label, text,
+        row_number() over (partition by product_sku order by prob desc, label) as place from group_scores"""),
+    "reranked": (["asked"], """select product_sku, good_type, label, round(1.0::double / place, 6) as prob, place::int as rank from asked
+        where place <= 2 and md5(substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 2000)) < '5'"""),
+}
 
 
-@query("predict_by_group", ("reviews", "routes"), f"""select product_sku, good_type, label, round(prob, 6) as prob, rank from (
-    select *, cast(row_number() over (partition by product_sku order by prob >= 0.5 desc, prob desc, label) as int) as rank from (
-        select product_sku, good_type, label, ('0x'||substr(md5(concat(product_sku,'|',label)),1,4))::int / 65535.0::double as prob
-        from (select distinct product_sku, r.good_type, coalesce(group_key, 'other') as group_key from reviews r
-            left join routes on routes.good_type = r.good_type) x
-        join (values {_GROUP_ROWS}) g(grp, label) on grp = group_key) y) z where rank <= 8 and (prob >= 0.5 or rank = 1)""")
+@query("predict_by_group", ("group_choice",), "select product_sku, good_type, label, round(prob, 6) as prob, rank from group_choice", GROUP_SQL)
 def predict_by_group(v: Views) -> DataFrame:
     products = A.aggregate_products(v.reviews()).select("product_sku", "good_type", "text")
     return S.predict_by_group(products, v.routes(), digest_scorer, 0.5, 8, "other").withColumn("prob", r6("prob"))
 
 
+CLIENT_TEMPLATE = "{text}\x01{candidates}\x01{max_return}"
+
+
+def digest_client():
+    """Stand-in for a reranking service: keeps the first two candidates of texts whose digest is small, fails on some others."""
+    import hashlib
+    import json
+    import re
+
+    def send(prompt: str) -> str:
+        text, candidates, _ = prompt.split("\x01")
+        digest = hashlib.md5(text.encode()).hexdigest()
+        if digest >= "a":
+            raise RuntimeError("no answer")
+        if digest >= "5":
+            return "no JSON"
+        names = re.findall(r"(?m)^\d+\. (.*) \(model_prob=", candidates)[:2]
+        return json.dumps({"tags": [{"tag": t, "score": round(1 / (i + 1), 6)} for i, t in enumerate(names)]})
+
+    return send
+
+
+@query("rerank_with_client", ("reranked", "group_choice"), """select product_sku, good_type, label, prob, rank from reranked
+    union all select product_sku, good_type, label, round(prob, 6), rank from group_choice
+    where product_sku not in (select product_sku from reranked)""", GROUP_SQL)
+def rerank_with_client(v: Views) -> DataFrame:
+    # Every product stands twice in the table of texts; it is asked and answered once.
+    products = A.aggregate_products(v.reviews()).select("product_sku", "good_type", "text")
+    out = S.predict_by_group(products.unionAll(products), v.routes(), digest_scorer, 0.5, 8, "other", reranker=digest_client, template=CLIENT_TEMPLATE, tasks=8, threads=2)
+    return out.withColumn("prob", r6("prob"))
+
+
 WINDOW_SQL = {
     "doc_tokens": ([], """select doc_id as product_sku, lang as good_type,
         list_filter(string_split(lower(text),' '), lambda t: t <> '') as tokens from documents"""),
@@ -947,7 +1109,7 @@ SCORER_SQL = {
         where product_sku in (select product_sku from judged)"""),
     "sizes": (["judged"], "select good_type, count(*) as n from judged group by 1"),
     "pos_sizes": (["judged", "marks"], "select good_type, label, count(*) as n_pos from judged join marks using (product_sku) group by 1, 2"),
-    "df_all": (["tok"], "select good_type, token, count(*) as df from tok group by 1, 2 having count(*) >= 2"),
+    "df_all": (["tok"], "select good_type, token, count(*) as df from tok group by 1, 2"),
     "df_pos": (["tok", "marks"], "select good_type, token, label, count(*) as dp from tok join marks using (product_sku) group by 1, 2, 3"),
     "w": (["df_all", "df_pos", "sizes", "pos_sizes"], """select a.good_type, a.token, p.label,
         ln((coalesce(d.dp,0) + 1.0::double) / (p.n_pos + 2)) - ln((a.df - coalesce(d.dp,0) + 1.0::double) / (s.n - p.n_pos + 2)) as w
@@ -993,6 +1155,26 @@ def reviews_csv_roundtrip(v: Views) -> DataFrame:
     return TB.read_reviews(v.spark, path, sep=";")
 
 
+@query("reviews_csv_mixed", ("reviews",), """select comment_id, product_sku, comment_text, name, good_type,
+    case when good_type = 'en' then good_subtype end as good_subtype from reviews""")
+def reviews_csv_mixed(v: Views) -> DataFrame:
+    # Files of different column order, one of them without an optional column and with one more.
+    path = _fresh(v, "reviews-mixed")
+    rows = v.reviews()
+    english = F.col("good_type") == "en"
+    TB.write_table(rows.where(english), f"{path}/1", "csv")
+    other = rows.where(~english).select(F.lit("x").alias("unknown"), "good_type", "comment_text", "name", "comment_id", "product_sku")
+    TB.write_table(other, f"{path}/2", "csv")
+    return TB.read_reviews(v.spark, f"{path}/*").select("comment_id", "product_sku", "comment_text", *A.ATTRS)
+
+
+@query("pool_files", ("tag_cells",), "select distinct good_type, lower(tag) as tag from tag_cells")
+def pool_files(v: Views) -> DataFrame:
+    path = _fresh(v, "pool-csv")
+    TB.write_table(P.pool_rows(P.build_tag_pools(v.tagged())), path, "csv")
+    return TB.read_tag_pool(v.spark, path)
+
+
 @query("training_pairs", ("raw_lists", "products"), """select concat('order ', product_sku) as text,
     '["' || replace(tags, '; ', '","') || '"]' as tags from raw_lists""", REWRITE)
 def training_pairs(v: Views) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,41 +18,58 @@ POOL_SCHEMA = "good_type string, tags string"
 MAPPING_SCHEMA = "good_type string, old_tags string, new_tag string"
 
 
-def csv_header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
-    """Column names of a CSV file or folder; only the head of the data is read."""
-    return spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"').columns
-
-
-def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", required: Sequence[str] = ()) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", required: Sequence[str] = (), position: str | None = None) -> DataFrame:
     """CSV with quoted line breaks, doubled quotes and an optional byte-order mark.
 
-    Columns are matched by name: the file may order them differently, lack optional ones or carry others.
-    A file inside one folder is not split (line breaks in quotes), so large inputs should be many files.
+    Columns are matched by name in every file on its own: files may order them differently, lack optional ones or carry others.
+    A header is one line. A file is not split (line breaks in quotes), so large inputs should be many files. ``position`` adds a column
+    (file name, place in the file) that orders all rows.
     """
-    header = csv_header(spark, path, sep)
-    missing = [c for c in required if c not in header]
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
+    options = {"header": True, "sep": sep, "multiLine": True, "escape": '"'}
+    # One pass gives every file's first line; file names, not rows, come to the driver. Files of one header are read together.
+    lines = spark.read.text(path).where(F.col("value") != "").select("_metadata.file_path", "value", F.monotonically_increasing_id().alias("_i"))
+    heads = lines.groupBy("file_path").agg(F.min_by("value", "_i").alias("head"))
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for name, head in sorted(map(tuple, heads.toLocalIterator())):
+        columns = next(csv.reader([head.removeprefix("\ufeff").rstrip("\r")], delimiter=sep))
+        by_header.setdefault(tuple(columns), []).append(_literal(unquote(name)))
     wanted = {f.name: f.dataType for f in T.StructType.fromDDL(schema).fields}
-    fields = T.StructType([T.StructField(c, wanted.get(c, T.StringType())) for c in header])
-    rows = spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"', schema=fields)
-    return rows.select(*[c for c in header if c in wanted])
+    out = None
+    for header, names in by_header.items():
+        missing = [c for c in required if c not in header]
+        if missing:
+            raise ValueError(f"missing columns: {', '.join(missing)}")
+        fields = T.StructType([T.StructField(c, wanted.get(c, T.StringType())) for c in header])
+        rows = spark.read.csv(names, schema=fields, enforceSchema=False, **options)
+        kept = [F.col(f"`{c}`") for c in header if c in wanted]
+        if position:
+            # One file is one partition's stretch of rows, so ids that grow within a partition order them.
+            kept.append(F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row")).alias(position))
+        rows = rows.select(*kept)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no file with a header: {path}")
+    return out
+
+
+def _literal(path: str) -> str:
+    """A file's path with the characters escaped that file patterns give a meaning."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def read_reviews(
     spark: SparkSession, path: str, sep: str = ",", required: Sequence[str] = ("product_sku", "comment_text")
 ) -> DataFrame:
-    """Raw or grouped or tagged reviews (``tags`` and list cells stay text)."""
-    header = csv_header(spark, path, sep)
-    ddl = REVIEW_SCHEMA + ", tags string"
-    # Grouped files keep several ids per cell as a list.
-    grouped = "comment_id" in header and _holds_lists(spark, path, sep)
-    return read_csv(spark, path, ddl.replace("comment_id long", "comment_id string") if grouped else ddl, sep, required)
-
+    """Raw or grouped or tagged reviews (``tags`` and list cells stay text).
 
-def _holds_lists(spark: SparkSession, path: str, sep: str) -> bool:
-    first = spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"').select("comment_id").first()
-    return first is not None and str(first[0]).lstrip().startswith("[")
+    ``comment_id`` is a number if every cell is one; where any cell holds a list, as grouped files do, all cells stay text.
+    """
+    rows = read_csv(spark, path, REVIEW_SCHEMA.replace("comment_id long", "comment_id string") + ", tags string", sep, required)
+    if "comment_id" not in rows.columns:
+        return rows
+    number = F.col("comment_id").try_cast("long")
+    lists = rows.where(F.col("comment_id").isNotNull() & number.isNull()).limit(1).count()
+    return rows if lists else rows.withColumn("comment_id", number)
 
 
 def read_tag_pool(source: DataFrame | SparkSession, path: str | None = None, lower: bool = False) -> DataFrame:
@@ -63,10 +83,16 @@ def read_tag_pool(source: DataFrame | SparkSession, path: str | None = None, low
 def read_tag_mapping(source: DataFrame | SparkSession, path: str | None = None, order: str | None = None) -> DataFrame:
     """Rows (good_type, "old; old", new) -> long rules (good_type, old_tag, new_tag, ord), lowercased.
 
-    ``ord`` is the rule order: column ``order`` if given, else the row position in the file.
+    ``ord`` is the rule order: column ``order`` of a DataFrame, which has no order of its own, or for a path the name of
+    the file and the place in it.
     """
-    rows = source if isinstance(source, DataFrame) else read_csv(source, path, MAPPING_SCHEMA, required=("good_type", "old_tags", "new_tag"))
-    position = F.col(order) if order else F.monotonically_increasing_id()
+    if isinstance(source, DataFrame):
+        if order is None:
+            raise ValueError("a DataFrame of rules needs the column that orders them")
+        rows = source
+    else:
+        rows = read_csv(source, path, MAPPING_SCHEMA, required=("good_type", "old_tags", "new_tag"), position=order or "_position")
+    position = F.col(order or "_position")
     return rows.select("good_type", "old_tags", "new_tag", position.alias("ord")).select(
         "good_type",
         F.explode(X.parse_tags("old_tags", lower=True)).alias("old_tag"),
@@ -75,17 +101,18 @@ def read_tag_mapping(source: DataFrame | SparkSession, path: str | None = None,
     )
 
 
-def mapping_rows(mapping: DataFrame, per_row: int = 1000) -> DataFrame:
+def mapping_rows(mapping: DataFrame, per_row: int | None = None) -> DataFrame:
     """Long rules -> rows (good_type, old_tags, new_tag, ord) as in CSV files.
 
-    Rules with the same target and order share a row of up to about ``per_row`` old tags.
+    Rules with the same target and order share a row; ``per_row`` spreads them over rows of about that many old tags.
     """
     keys = ["good_type", "new_tag", "ord"]
-    sizes = mapping.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(per_row)).alias("_rows"))
-    slot = F.pmod(F.xxhash64("old_tag"), F.col("_rows"))
+    slot = F.lit(0)
+    if per_row:
+        sizes = mapping.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(per_row)).alias("_rows"))
+        mapping, slot = mapping.join(sizes, keys), F.pmod(F.xxhash64("old_tag"), F.col("_rows"))
     return (
-        mapping.join(sizes, keys)
-        .groupBy(*keys, slot.alias("_slot"))
+        mapping.groupBy(*keys, slot.alias("_slot"))
         .agg(X.join_tags(F.array_sort(F.collect_set("old_tag"))).alias("old_tags"))
         .select("good_type", "old_tags", "new_tag", "ord")
     )

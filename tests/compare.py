@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import sys
 import time
 from pathlib import Path
@@ -54,7 +55,8 @@ def check(spark, con, folder: str, name: str, fn, sql: str | None):
     got = df.collect()
     took = time.time() - t0
     if sql is None:
-        return True, f"{len(got)} rows (no SQL)", took
+        # Only the optional operators may do without: SQL cannot express them, their own tests use brute force.
+        return bool(re.match(r"op\d+_|pipeline$", name)), f"{len(got)} rows (no SQL)", took
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     kinds = {d[0]: str(d[1]) for d in cur.description}

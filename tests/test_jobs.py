@@ -3,7 +3,6 @@ import json
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from tagweave.config import get_config
 from tagweave.operators import metrics as M
 from tagweave.operators import priors as R
 from tagweave.operators import replies as Q
@@ -102,6 +101,43 @@ def test_grouped_csv_and_mapping_file(spark, tmp_path):
     assert rules == {("a", "new"), ("b", "")}
 
 
+def test_files_of_other_column_order_and_late_lists(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("comment_id,product_sku,comment_text,name\n1,s1,t1,n1\n", encoding="utf-8")
+    (tmp_path / "b [x].csv").write_text('name,comment_text,product_sku,comment_id\nn2,t2,s2,"[2, 3]"\n', encoding="utf-8")
+    rows = {r["product_sku"]: (r["comment_id"], r["comment_text"], r["name"]) for r in TB.read_reviews(spark, str(tmp_path)).collect()}
+    assert rows == {"s1": ("1", "t1", "n1"), "s2": ("[2, 3]", "t2", "n2")}
+
+
+def test_rules_of_the_later_file_win(spark, tmp_path):
+    # The later file is the larger one, so that Spark reads it first.
+    (tmp_path / "a.csv").write_text("good_type,old_tags,new_tag\nt,old,first\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("new_tag,good_type,old_tags\n" + "".join(f"x,t,filler{i}\n" for i in range(500)) + "last,t,old\n", encoding="utf-8")
+    from tagweave.operators.pools import latest_rules
+
+    rules = latest_rules(TB.read_tag_mapping(spark, str(tmp_path))).where("old_tag = 'old'").collect()
+    assert [r["new_tag"] for r in rules] == ["last"]
+    with pytest.raises(ValueError):
+        TB.read_tag_mapping(spark.createDataFrame([("t", "a", "b")], "good_type string, old_tags string, new_tag string"))
+
+
+def test_intermediates_go_with_their_run_folder(spark, tmp_path):
+    from pathlib import Path
+
+    from tagweave.operators.layout import durable, run_folder
+
+    with run_folder(spark) as folder:
+        assert durable(spark.range(5)).count() == 5 and Path(folder.removeprefix("file:")).exists()
+    assert not Path(folder.removeprefix("file:")).exists()
+
+
+def test_an_unreadable_store_is_no_empty_store(spark, tmp_path):
+    (tmp_path / "store").mkdir()
+    (tmp_path / "store" / "part-0.parquet").write_text("not parquet", encoding="utf-8")
+    assert Q.read_replies(spark, str(tmp_path / "none")) is None
+    with pytest.raises(Exception, match="(?i)parquet"):
+        Q.read_replies(spark, str(tmp_path / "store"))
+
+
 def test_prepare_fit_predict_evaluate(spark):
     rows = []
     for i in range(120):
@@ -109,7 +145,7 @@ def test_prepare_fit_predict_evaluate(spark):
         rows += [(2 * i, f"p{i}", f"very {good} item number", kind, f"{good}; nice"), (2 * i + 1, f"p{i}", "like it", kind, "rare%d" % i)]
     df = spark.createDataFrame(rows, "comment_id long, product_sku string, comment_text string, good_type string, tags string")
     pool = spark.createDataFrame([("Bags", "roomy; nice"), ("Shoes", "comfy; nice")], "good_type string, tags string")
-    ds = tagging.prepare_dataset(df, get_config(), pool)
+    ds = tagging.prepare_dataset(df, pool)
     assert {r["label"] for r in ds.vocab.collect()} == {"roomy", "comfy", "nice"}
     assert ds.products.count() == 120 and ds.windows.count() == 120
     train = ds.products.where("split = 'train'")

@@ -15,57 +15,44 @@ def skewed(spark):
     return spark.createDataFrame(rows, "comment_id long, product_sku string, comment_text string, name string, good_type string, good_subtype string, tags string").repartition(5)
 
 
-def joined_text(df):
-    parts = {}
-    for r in df.collect():
-        parts.setdefault(r["product_sku"], []).append((r["part"], r["text"]))
-    return {k: "".join(t for _, t in sorted(v)) for k, v in parts.items()}
-
-
-def test_large_product_in_parts_equals_one_row(spark):
-    df = skewed(spark)
-    whole, split = A.aggregate_products(df), A.aggregate_products(df, max_rows=40)
-    assert split.where("product_sku = 'hot'").count() == 8
-    assert joined_text(whole) == joined_text(split)
-    tags = {r["product_sku"]: r["tags"] for r in whole.collect()}
-    for r in split.collect():
-        assert r["tags"] == tags[r["product_sku"]]
-    names = {r["product_sku"]: r["name"] for r in split.collect()}
-    assert names["hot"] is None and names["p0"] == "m"
-    assert None not in tags
-
-
-def test_parts_hold_at_most_max_rows(spark):
-    df = skewed(spark)
-    parts = A.group_reviews(df, max_rows=40).where("product_sku = 'hot'").orderBy("part").collect()
-    assert [r["part"] for r in parts] == list(range(len(parts)))
-    assert max(len(r["comment_id"]) for r in parts) <= 40
-    assert sum((r["comment_id"] for r in parts), []) == list(range(300))
-    assert {r["n_reviews"] for r in parts} == {300} and {r["name"] for r in parts} == {"n"}
-    assert A.min_reviews(A.group_reviews(df, max_rows=40), 6).select("product_sku").distinct().count() == 1
-
-
-def test_concat_reviews_in_parts(spark):
+def test_a_product_is_one_row_whatever_its_size(spark):
     df = skewed(spark)
+    rows = {r["product_sku"]: r for r in A.aggregate_products(df).collect()}
+    assert set(rows) == {"hot", "p0", "p1", "p2", "p3"} and rows["hot"]["name"] is None and rows["p0"]["name"] == "m"
+    assert rows["hot"]["text"].endswith("| " + " ".join(f"c{i}" for i in range(300) if i % 7))
+    grouped = {r["product_sku"]: r for r in A.group_reviews(df).collect()}
+    assert grouped["hot"]["comment_id"] == list(range(300)) and grouped["hot"]["n_reviews"] == 300 and grouped["hot"]["name"] == "n"
+    assert A.min_reviews(A.group_reviews(df), 6).count() == 1
     one = A.concat_reviews(df).where("product_sku = 'hot'").first()
-    many = A.concat_reviews(df, max_rows=64).where("product_sku = 'hot'").orderBy("part").collect()
-    assert "".join(r["comment_text"] for r in many) == one["comment_text"]
-    assert {r["n_comments"] for r in many} == {one["n_comments"]} == {300}
+    assert one["comment_text"].split("\n") == [f"c{i}" if i % 7 else " " for i in range(300)] and one["n_comments"] == 300
 
 
-def test_blank_comments_keep_open_section_across_parts(spark):
+def test_blank_comments_keep_the_section_open(spark):
     rows = [(i, "p", " " if i < 5 else f"c{i}", "n", "t", "s") for i in range(9)] + [(i, "q", " ", "n", "t", "s") for i in range(9)]
     df = spark.createDataFrame(rows, "comment_id long, product_sku string, comment_text string, name string, good_type string, good_subtype string")
-    texts = joined_text(A.aggregate_products(df, max_rows=3))
-    assert texts == {"p": "n | t | s | c5 c6 c7 c8", "q": "n | t | s | "}
-
-
-def test_union_lists_large_equals_small(spark):
-    df = skewed(spark)
-    for fold in (False, True):
-        small = A.union_lists(df, T.parse_tags("tags"), ignore_case=fold)
-        large = A.union_lists(df, T.parse_tags("tags"), ignore_case=fold, max_rows=25)
-        assert {tuple([r[0], *r[1]]) for r in small.collect()} == {tuple([r[0], *r[1]]) for r in large.collect()}
+    assert {r["product_sku"]: r["text"] for r in A.aggregate_products(df).collect()} == {"p": "n | t | s | c5 c6 c7 c8", "q": "n | t | s | "}
+
+
+def test_chunks_of_long_rows_equal_those_of_one_array(spark):
+    df = skewed(spark).withColumn("comment_text", F.when(F.col("comment_id") % 9 == 4, None).otherwise(F.col("comment_text")))
+    twice = df.unionAll(df.where("comment_id % 5 = 0"))
+    for rows in (df, twice):
+        for size in (1, 7, 40, 10_000):
+            arrays = A.group_reviews(rows).select("product_sku", F.posexplode(T.chunk_reviews("comment_text", size)).alias("chunk_id", "reviews"))
+            want = {(r["product_sku"], r["chunk_id"]): r["reviews"] for r in arrays.collect()}
+            found = A.review_chunks(rows, size).collect()
+            assert {(r["product_sku"], r["chunk_id"]): r["reviews"] for r in found} == want
+            last = {}
+            for sku, chunk in want:
+                last[sku] = max(last.get(sku, 0), chunk + 1)
+            assert all(r["n_chunks"] == last[r["product_sku"]] for r in found)
+
+
+def test_union_lists_keep_the_first_spelling_in_order(spark):
+    df = spark.createDataFrame([(2, "p", "b; A"), (1, "p", "a; B;c"), (3, "p", ""), (1, "q", None)], "comment_id long, product_sku string, tags string")
+    plain = {r[0]: r[1] for r in A.union_lists(df, T.parse_tags("tags")).collect()}
+    folded = {r[0]: r[1] for r in A.union_lists(df, T.parse_tags("tags"), ignore_case=True).collect()}
+    assert plain == {"p": ["a", "B", "c", "b", "A"], "q": []} and folded == {"p": ["a", "B", "c"], "q": []}
 
 
 def test_first_ignores_or_keeps_nulls(spark):

@@ -8,6 +8,7 @@ from tagweave.operators import metrics as M
 from tagweave.operators import priors as R
 from tagweave.operators import scoring as S
 from tagweave.operators import selection as C
+from tagweave.plans import tagging
 
 SCHEMA = "product_sku string, good_type string, label string, prob double"
 
@@ -155,3 +156,71 @@ def test_route_and_group_placement(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert used == 8
+
+
+def test_rows_without_a_category_count_in_the_total_alone(spark):
+    products = spark.createDataFrame([("1", "a"), ("2", "a"), ("3", None), ("4", "b")], "product_sku string, good_type string")
+    truth = spark.createDataFrame([("1", "a", "x"), ("3", None, "x"), ("3", None, "y")], "product_sku string, good_type string, label string")
+    got = {(r["good_type"], r["label"]): (r["pos"], r["n"]) for r in R.category_label_stats(truth, products).collect()}
+    assert got == {("a", "x"): (1, 2), ("b", None): (None, 1), (None, "x"): (1, 4)}
+
+
+def test_tuning_without_any_pair_gives_the_default(spark):
+    scores = spark.createDataFrame([], "product_sku string, label string, prob double")
+    truth = spark.createDataFrame([], "product_sku string, label string")
+    row = M.tune_global_threshold(scores, truth).first()
+    assert (row["threshold"], row["f1"]) == (0.35, 0.0)
+    vocab = spark.createDataFrame([("a",)], "label string")
+    assert [r["threshold"] for r in M.tune_label_thresholds(scores, truth, vocab).collect()] == [0.35]
+    products = spark.createDataFrame([("1", "val")], "product_sku string, split string")
+    assert tagging.evaluate(scores, truth, products, vocab).count() == 0
+
+
+def test_evaluate_in_one_pass_equals_tuning_and_reports_apart(spark):
+    import random
+
+    rng = random.Random(3)
+    labels, rows, true = [f"l{i}" for i in range(6)], [], []
+    for p in range(120):
+        for lab in labels:
+            hit = rng.random() < 0.25 and lab != "l5"
+            if hit:
+                true.append((f"p{p}", lab))
+            if rng.random() < 0.9:
+                rows.append((f"p{p}", lab, min(1.0, max(0.0, rng.gauss(0.6 if hit else 0.35, 0.2)))))
+    split = [(f"p{p}", "val" if p % 2 else "test") for p in range(120)]
+    scores = spark.createDataFrame(rows, "product_sku string, label string, prob double")
+    truth = spark.createDataFrame(true, "product_sku string, label string")
+    products = spark.createDataFrame(split, "product_sku string, split string")
+    vocab = spark.createDataFrame([(x,) for x in labels], "label string")
+    got = {(r["split"], r["mode"]): r for r in tagging.evaluate(scores, truth, products, vocab).collect()}
+    inside = lambda df, name: df.join(products.where(F.col("split") == name), "product_sku", "left_semi")
+    overall = M.tune_global_threshold(inside(scores, "val"), inside(truth, "val")).first()["threshold"]
+    per_label = M.tune_label_thresholds(inside(scores, "val"), inside(truth, "val"), vocab)
+    for name in ("val", "test"):
+        for mode, limit in (("global", overall), ("per_label", per_label)):
+            pred = C.binarize(inside(scores, name), limit).where("passed").select("product_sku", "label")
+            want = M.multilabel_metrics(pred, inside(truth, name), vocab, products=products.where(F.col("split") == name)).first()
+            assert all(abs(want[c] - got[name, mode][c]) < 1e-9 for c in want.asDict()), (name, mode)
+
+
+def test_sparse_weights_equal_the_dense_formula(spark):
+    import math
+
+    docs = [("1", "g", ["a", "b"], ["x"]), ("2", "g", ["a", "c"], ["x", "y"]), ("3", "g", ["b"], []), ("4", "h", ["a"], ["y"]), ("5", "g", ["c", "d"], ["y"])]
+    df = spark.createDataFrame([(i, g, t) for i, g, t, _ in docs], "product_sku string, good_type string, tokens array<string>")
+    truth = spark.createDataFrame([(i, lab) for i, _, _, labs in docs for lab in labs], "product_sku string, label string")
+    products = df.select("product_sku", "good_type")
+    chunks = spark.createDataFrame([("q", "g", 0, ["a", "d", "new"]), ("q", "g", 1, []), ("r", "h", 0, ["a", "a"])], "product_sku string, good_type string, chunk_id int, tokens array<string>")
+    out = S.score_tokens(chunks, S.fit_scorer(df, truth, products), S.label_bias(truth, products)).collect()
+    tokens = {("q", 0): {"a", "d", "new"}, ("q", 1): set(), ("r", 0): {"a"}}
+    assert len(out) == 5
+    for r in out:
+        own = [d for d in docs if d[1] == r["good_type"]]
+        n, pos = len(own), [d for d in own if r["label"] in d[3]]
+        x = math.log((len(pos) + 1) / (n - len(pos) + 1))
+        for t in tokens[r["product_sku"], r["chunk_id"]]:
+            df_all, df_pos = sum(t in d[2] for d in own), sum(t in d[2] for d in pos)
+            if df_all:
+                x += math.log((df_pos + 1) / (len(pos) + 2)) - math.log((df_all - df_pos + 1) / (n - len(pos) + 2))
+        assert abs(r["prob"] - 1 / (1 + math.exp(-x))) < 1e-9

@@ -48,7 +48,7 @@ def test_local_clusters_equal_greedy(spark, t):
 
 def test_distributed_rounds_equal_greedy_with_copies_and_zero(spark):
     m = blobs(40, seed=3)
-    m = np.vstack([m, np.repeat(m[:1], 20, axis=0), np.zeros((1, m.shape[1]))])
+    m = np.vstack([m, np.repeat(m[:1], 20, axis=0), np.zeros((2, m.shape[1]))])
     df = table(spark, m).unionByName(table(spark, m[:3], "small")).repartition(4)
     out = V.cluster_tags(df, 0.75, local_rows=10, block_rows=15)
     assert found(out.where("good_type = 'g'")) == greedy(m, 0.75)
