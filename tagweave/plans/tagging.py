@@ -132,6 +132,7 @@ def evaluate(scores: DataFrame, truth: DataFrame, products: DataFrame, vocab: Da
     ``scores`` and ``truth`` are pairs with ``prob`` and without; ``products`` has (product_sku, split). The scores are read once: a histogram by
     split, label and both threshold grids holds all that tuning and reports need, as every threshold lies on a grid or is the default.
     """
+    vocab = durable(vocab.select("label"))
     per_product = products.select("product_sku", "split").join(M.label_sets(truth), "product_sku", "left")
     rows = scores.select("product_sku", "label", F.col("prob").cast("double").alias("prob")).join(per_product, "product_sku")
     y = F.coalesce(F.array_contains("true_labels", F.col("label")), F.lit(False)).cast("int")

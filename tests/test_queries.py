@@ -4,6 +4,8 @@ import __spark_entry__ as entry
 import compare
 import pytest
 
+from tagweave.plans.registry import ORACLES, QUERIES
+
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -12,7 +14,7 @@ def con():
     return compare.duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     ok, note, _ = compare.check(spark, con, FOLDER, name, entry.queries()[name], entry.oracle_sql().get(name))
     assert ok, note
@@ -25,4 +27,6 @@ def test_entry(spark):
 
 
 def test_oracles_belong_to_queries():
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
+    # Every tagging query has its SQL; the optional operators have tests of their own.
+    assert set(ORACLES) == set(QUERIES)
