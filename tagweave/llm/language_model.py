@@ -29,7 +29,7 @@ FILTER_BYTES = 48 << 20
 FREQUENT = 1 << 20
 WORD_BUCKET_BYTES, PAIR_BUCKET_BYTES = 16 << 20, 4 << 20
 # Distinct n-grams that a counting task holds before it reduces them.
-HELD = 2_000_000
+HELD = 1_000_000
 RATIO_BINS = 96
 
 _TABLE = byte_table(b" \t\n\v\f\r", lower=True)
@@ -286,8 +286,9 @@ def fit_weights(docs: DataFrame, text: str, sent) -> np.ndarray:
     for _ in range(100):
         part = weights[:, None] * ratio
         weights = (seen * part / (part + 1 - weights[:, None])).sum(1) / np.maximum(seen.sum(1), 1)
-    # Never all on the pair: an unseen pair keeps a probability.
-    return np.clip(weights, 0.0, 0.999)
+        # Never all on the pair: an unseen pair keeps a probability.
+        weights = np.minimum(weights, 0.999)
+    return weights
 
 
 def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
