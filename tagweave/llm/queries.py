@@ -58,7 +58,7 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
-    return warc.capture_digests(warc.archive_round_trip(pages, new_folder(spark, "archives")))
+    return warc.capture_digests(warc.archive_round_trip(pages, new_folder(spark, "archives"), payloads=False))
 
 
 def op8_language_model(spark: SparkSession, folder: str) -> DataFrame:

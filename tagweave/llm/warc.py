@@ -179,7 +179,7 @@ def record_row(record: bytes) -> tuple:
     return (
         headers["warc-record-id"], kind, headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), None if page is None else int(page),
         digest, None if refers is None else refers.removeprefix("<urn:page:").removesuffix(">"), payload, headers.get("content-type"),
-        int(headers.get("x-payload-length", len(payload))),
+        int(headers.get("x-payload-length", 0)) if kind == "revisit" else len(payload),
     )
 
 
@@ -210,7 +210,9 @@ def read_records(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return arrow_map(manifest.select("path").repartition("path"), run, f"{RECORD}, payload_bytes long")
+    # One shard a task: the manifest is a few bytes, and Spark would else put all of it into one.
+    files = manifest.select("path").repartition(max(1, manifest.count()))
+    return arrow_map(files, run, f"{RECORD}, payload_bytes long")
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -225,20 +227,28 @@ def assemble(records: DataFrame) -> DataFrame:
     requests = records.where("record_type = 'request'").select(F.col("concurrent_to").alias("_root"), part.alias("request"))
     root = requests.select(F.col("request.record_id").alias("concurrent_to"), "_root")
     metadata = records.where("record_type = 'metadata'").select("concurrent_to", part.alias("metadata"))
-    metadata = metadata.join(root, "concurrent_to", "left").select(F.coalesce("_root", "concurrent_to").alias("_root"), "metadata")
+    # Records come out of Python, so Spark takes them for as few bytes as the manifest has: without the hint it would broadcast them.
+    metadata = metadata.join(root.hint("merge"), "concurrent_to", "left").select(F.coalesce("_root", "concurrent_to").alias("_root"), "metadata")
     linked = requests.withColumn("metadata", F.lit(None).cast(metadata.schema["metadata"].dataType)).unionByName(
         metadata.withColumn("request", F.lit(None).cast(requests.schema["request"].dataType))
     )
     linked = linked.groupBy("_root").agg(F.min_by("request", "request.record_id").alias("request"), F.min_by("metadata", "metadata.record_id").alias("metadata"))
-    return main.join(linked, main["record_id"] == linked["_root"], "left").drop("_root")
+    return main.join(linked.hint("merge"), main["record_id"] == linked["_root"], "left").drop("_root")
 
 
-def archive_round_trip(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` as archives, read them back and return one assembled row per capture (see :func:`assemble`)."""
-    return assemble(read_records(write_archives(pages, folder, min_bytes)))
+def archive_round_trip(pages: DataFrame, folder: str, min_bytes: int = 0, payloads: bool = True) -> DataFrame:
+    """Write ``pages`` as archives, read them back and return one assembled row per capture (see :func:`assemble`).
+
+    Without ``payloads`` the records are narrow and written once, so that the archives are read a single time.
+    """
+    records = read_records(write_archives(pages, folder, min_bytes), payloads)
+    return assemble(records if payloads else stored(records, "records"))
 
 
 def capture_digests(captures: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of assembled captures."""
-    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and the ids of the joined records of assembled captures."""
+    return captures.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"),
+        "record_id", F.col("request.record_id").alias("request_id"), F.col("metadata.record_id").alias("metadata_id"),
+    )
 
