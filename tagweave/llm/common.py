@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tagweave.operators.layout import shared_folder
 
 # Characters of text that are worked on at once inside a task, whatever the size of the Arrow batch.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
