@@ -184,7 +184,8 @@ def read_token_files(manifest: DataFrame, key: str = "doc_id", ids: bool = True)
     """
     # One narrow row per file; the sum over all files before a file is its first position.
     before = F.sum("n_ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
-    files = manifest.select("shard", "path", F.coalesce(before, F.lit(0)).alias("first")).repartition("shard")
+    # One file a task: the manifest is a few bytes, and Spark would else put all of it into one.
+    files = manifest.select("shard", "path", F.coalesce(before, F.lit(0)).alias("first")).repartition(max(1, manifest.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
