@@ -1,10 +1,11 @@
-"""Language-model scores: a Bloom filter of quantised n-gram log counts, sent to the workers, smoothed by interpolation.
+"""Language-model scores: a Bloom filter of quantised n-gram log counts, smoothed by interpolation.
 
 Counts are taken over the whole training part: tasks reduce their words and word pairs to distinct 64-bit hashes with counts,
 which are dealt by hash and summed. An n-gram whose count has level q (1 + floor of its logarithm) is put into the
 filter q times, once for each level up to q; asking for level 1, 2, ... until one is missing gives the level back.
-Exact word counts for the base score never gather: frequent words, whose number has a bound, are sent to the workers, all others are asked for
-by hash.
+The filter grows with the n-grams: no count is left out. Its pairs are sent to the workers while they fit ``filter_bytes``; a larger filter stays
+a table by bucket, where frequent n-grams, whose number has a bound, are sent to the workers and all others are asked for by hash. Words are
+always asked for in this way, as the base score needs their exact counts, which never gather. Both ways give the same levels.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ LEVEL_BASE = 1.5
 MAX_LEVEL = 64
 PROBES = 4
 BITS_PER_ITEM = 10
-# Bytes of the filter at most; a quarter is for words. An n-gram group that needs more keeps the counts from the lowest level that fits.
+# Bytes of the pairs' filter up to which it is sent to the workers; a larger one is asked by bucket.
 FILTER_BYTES = 48 << 20
-# Words above one in this many training tokens are sent to the workers: by their definition fewer than this many.
+# N-grams above one in this many training tokens (of their bucket, times the buckets) are sent to the workers: fewer than this many of a kind.
 FREQUENT = 1 << 20
+# Tokens whose questions go out together.
+ASK_TOKENS = 1_000_000
 WORD_BUCKET_BYTES, PAIR_BUCKET_BYTES = 16 << 20, 4 << 20
 # Distinct n-grams that a counting task holds before it reduces them.
 HELD = 1_000_000
@@ -36,7 +39,7 @@ _TABLE = byte_table(b" \t\n\v\f\r", lower=True)
 _END = np.uint64(0x7C15E2F0A5D3B911)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 _LEVEL = 0xA0761D6478BD642F
-WORD, PAIR = 0, 1
+WORD, PAIR, OWN = 0, 1, 2
 KEY_BITS = (64, 48)
 
 
@@ -84,20 +87,30 @@ def unpack_keys(data: bytes, bits: int) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
+def pack_places(at: np.ndarray) -> bytes:
+    """Rising numbers below 2**32 as gaps, all lowest bytes first: what is left of them after compression is little more than one byte each."""
+    return np.diff(at, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpack_places(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.int64)
+
+
 def halves(keys: np.ndarray, at_level: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 32-bit hashes of (key, level); probe i looks at bit low + i * high, modulo the segment's size."""
     y = mix(keys + np.uint64((at_level * _LEVEL) & 0xFFFFFFFFFFFFFFFF))
     return y & np.uint64(0xFFFFFFFF), (y >> np.uint64(32)) | np.uint64(1)
 
 
-def segment(keys: np.ndarray, counts: np.ndarray, max_bits: int) -> tuple[bytes, int]:
-    """(bits of one bucket's part of the filter, number of bits). Levels below the lowest that fits ``max_bits`` are left out."""
+def segment(keys: np.ndarray, counts: np.ndarray, max_bits: int | None = None) -> tuple[bytes, int]:
+    """(bits of one bucket's part of the filter, number of bits), sized by what is in it. With ``max_bits``, which no operator
+    sets, levels below the lowest that fits are left out."""
     levels = level(counts)
-    items = np.cumsum(np.bincount(levels, np.maximum(levels, 0), minlength=MAX_LEVEL)[::-1])[::-1]
-    fits = np.flatnonzero(items * BITS_PER_ITEM <= max_bits)
-    lowest = int(max(1, fits[0])) if len(fits) else MAX_LEVEL
-    kept = levels >= lowest
-    keys, levels = keys[kept], levels[kept]
+    if max_bits is not None:
+        items = np.cumsum(np.bincount(levels, np.maximum(levels, 0), minlength=MAX_LEVEL)[::-1])[::-1]
+        fits = np.flatnonzero(items * BITS_PER_ITEM <= max_bits)
+        kept = levels >= (int(max(1, fits[0])) if len(fits) else MAX_LEVEL)
+        keys, levels = keys[kept], levels[kept]
     size = -(-int(levels.sum()) * BITS_PER_ITEM // 8) * 8
     flags = np.zeros(size, np.uint8)
     for j in range(1, int(levels.max(initial=0)) + 1):
@@ -138,18 +151,30 @@ class CountFilter:
             out[open_] = j
         return out
 
-    def features(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per token: level of the token before it, that level's mean count, the pair's mean count, the token's own probability."""
-        unique, which = np.unique(tokens, return_inverse=True)
-        levels = self.levels(WORD, unique)[which]
-        before = np.concatenate((self.levels(WORD, np.full(1, _END)), levels[:-1]))
-        pair = self.levels(PAIR, pair_keys(tokens))
-        word = (self.means[WORD][levels] + 0.5) / (self.n_tokens + 0.5 * (self.n_words + 1))
-        return before, self.means[WORD][before], self.means[PAIR][pair], word
+    @classmethod
+    def of_bucket(cls, kind: int, bits: bytes, size: int) -> CountFilter:
+        """The filter of a single bucket's keys."""
+        return cls(bits, {kind: np.zeros(1, np.int64)}, {kind: np.array([size])}, {}, 0, 0)
+
+
+class Smoothing:
+    """What levels stand for: mean counts and probabilities of tokens from the levels of words and pairs in order."""
 
-    def log10(self, tokens: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    def __init__(self, means: dict[int, np.ndarray], n_tokens: int, n_words: int):
+        self.means, self.n_tokens, self.n_words = means, n_tokens, n_words
+
+    def features(self, words: np.ndarray, pairs: np.ndarray, first_end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per token: level of the token before it, that level's mean count, the pair's mean count, the token's own probability.
+
+        What stands before the first token is an end, as at place ``first_end``.
+        """
+        before = np.concatenate((words[first_end : first_end + 1], words[:-1]))
+        word = (self.means[WORD][words] + 0.5) / (self.n_tokens + 0.5 * (self.n_words + 1))
+        return before, self.means[WORD][before], self.means[PAIR][pairs], word
+
+    def log10(self, words: np.ndarray, pairs: np.ndarray, first_end: int, weights: np.ndarray) -> np.ndarray:
         """log10 probabilities: weight x pair share + (1 - weight) x word probability, the weight by the level of the word before."""
-        before, context, pair, word = self.features(tokens)
+        before, context, pair, word = self.features(words, pairs, first_end)
         share = np.minimum(1.0, np.divide(pair, context, out=np.zeros(len(pair)), where=context > 0))
         w = np.where(context > 0, weights[before], 0.0)
         return np.log10(w * share + (1 - w) * word)
@@ -159,8 +184,8 @@ def n_buckets(total_bytes: int, per_bucket: int) -> int:
     return 1 << max(2, (max(1, total_bytes // per_bucket) - 1).bit_length())
 
 
-def ngram_counts(docs: DataFrame, text: str, buckets: tuple[int, int], filter_bytes: int) -> DataFrame:
-    """One row per kind and bucket: distinct n-grams, tokens, n-grams and tokens by level, filter segment, and for words the counts."""
+def ngram_counts(docs: DataFrame, text: str, buckets: tuple[int, int]) -> DataFrame:
+    """One row per kind and bucket: distinct n-grams, tokens, n-grams and tokens by level, filter segment, frequent ones, and for words all counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = ([], [])
@@ -193,12 +218,13 @@ def ngram_counts(docs: DataFrame, text: str, buckets: tuple[int, int], filter_by
         counts = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("counts").to_pylist()]).astype(np.int64)
         keys, counts = reduced(keys, counts)
         levels = level(counts)
-        share = filter_bytes // 4 if kind == WORD else filter_bytes - filter_bytes // 4
-        bits, size = segment(keys, counts, share * 8 // buckets[kind])
+        bits, size = segment(keys, counts)
+        top = counts * FREQUENT > counts.sum() * buckets[kind]
         row = {
             "kind": kind, "bucket": bucket, "distinct": len(keys), "tokens": int(counts.sum()),
             "by_level": np.bincount(levels, minlength=MAX_LEVEL).tolist(), "tokens_by_level": np.bincount(levels, counts, MAX_LEVEL).astype(np.int64).tolist(),
-            "bits": bits, "size": size,
+            "bits": bits, "size": size, "top_keys": keys[top].tobytes(), "top_counts": counts[top].tobytes(),
+            "top_levels": CountFilter.of_bucket(kind, bits, size).levels(kind, keys[top]).astype(np.uint8).tobytes(),
             "keys": pack_keys(keys, 64) if kind == WORD else None, "counts": counts.astype("<i8").tobytes() if kind == WORD else None,
         }
         return pa.Table.from_pylist([row], schema=schema)
@@ -206,16 +232,19 @@ def ngram_counts(docs: DataFrame, text: str, buckets: tuple[int, int], filter_by
     long = pa.int64()
     schema = pa.schema([
         ("kind", pa.int32()), ("bucket", pa.int32()), ("distinct", long), ("tokens", long), ("by_level", pa.list_(long)),
-        ("tokens_by_level", pa.list_(long)), ("bits", pa.binary()), ("size", long), ("keys", pa.binary()), ("counts", pa.binary()),
+        ("tokens_by_level", pa.list_(long)), ("bits", pa.binary()), ("size", long), ("top_keys", pa.binary()), ("top_counts", pa.binary()),
+        ("top_levels", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()),
     ])
     counted = arrow_map(docs.select(text), count, "kind int, bucket int, keys binary, counts binary")
     return counted.groupBy("kind", "bucket").applyInArrow(
-        total, "kind int, bucket int, distinct long, tokens long, by_level array<long>, tokens_by_level array<long>, bits binary, size long, keys binary, counts binary"
+        total,
+        "kind int, bucket int, distinct long, tokens long, by_level array<long>, tokens_by_level array<long>, bits binary, size long, "
+        "top_keys binary, top_counts binary, top_levels binary, keys binary, counts binary",
     )
 
 
-def build_filter(table: DataFrame, buckets: tuple[int, int]) -> CountFilter:
-    """The filter from its segments, whose sizes together have a bound, and a few sums."""
+def smoothing(table: DataFrame) -> Smoothing:
+    """A few sums over all n-grams."""
     sums = {r.kind: r for r in table.groupBy("kind").agg(F.sum("distinct").alias("n"), F.sum("tokens").alias("t")).collect()}
     by_level = table.select("kind", F.posexplode(F.arrays_zip("by_level", "tokens_by_level")).alias("level", "x"))
     by_level = by_level.groupBy("kind", "level").agg(F.sum("x.by_level").alias("n"), F.sum("x.tokens_by_level").alias("t")).collect()
@@ -225,36 +254,38 @@ def build_filter(table: DataFrame, buckets: tuple[int, int]) -> CountFilter:
     for m in means.values():
         # A level that no n-gram has can still be met by a chance hit: the level's own lowest count stands for it.
         m[1:] = np.where(m[1:] > 0, m[1:], LEVEL_BASE ** np.arange(MAX_LEVEL - 1))
-    places, sizes = ({k: np.zeros(buckets[k], np.int64) for k in (WORD, PAIR)} for _ in range(2))
+    words = sums.get(WORD)
+    return Smoothing(means, words.t if words else 0, words.n if words else 0)
+
+
+def build_filter(table: DataFrame, kind: int, buckets: int, max_bytes: int) -> CountFilter | None:
+    """The filter of one kind from its segments, or None where they take more than ``max_bytes`` together."""
+    rows = table.where((F.col("kind") == kind) & (F.col("size") > 0))
+    if (rows.agg(F.sum(F.col("size") / 8)).first()[0] or 0) > max_bytes:
+        return None
+    places, sizes = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
     parts, at = [], 0
-    for r in table.select("kind", "bucket", "size", "bits").where("size > 0").toLocalIterator():
-        places[r.kind][r.bucket], sizes[r.kind][r.bucket] = at, r.size
+    for r in rows.select("bucket", "size", "bits").toLocalIterator():
+        places[r.bucket], sizes[r.bucket] = at, r.size
         parts.append(bytes(r.bits))
         at += len(r.bits)
-    words = sums.get(WORD)
-    return CountFilter(b"".join(parts), places, sizes, means, words.t if words else 0, words.n if words else 0)
-
+    return CountFilter(b"".join(parts), {kind: places}, {kind: sizes}, {}, 0, 0)
 
-def frequent_words(table: DataFrame, n_tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys in order, counts) of the words with more than one in FREQUENT tokens."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                counts = np.frombuffer(c, "<i8")
-                top = counts * FREQUENT > n_tokens
-                found.append((unpack_keys(k, 64)[top].tobytes(), counts[top].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], ["keys", "counts"])
-
-    rows = arrow_map(table.where(F.col("kind") == WORD).select("keys", "counts"), run, "keys binary, counts binary").collect()
-    keys = np.frombuffer(b"".join(bytes(r[0]) for r in rows), np.uint64)
-    counts = np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.int64)
+def frequent_ngrams(table: DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys in order, counts, levels by the filter) of the frequent n-grams."""
+    rows = table.where(F.col("kind") == kind).select("top_keys", "top_counts", "top_levels").collect()
+    keys, counts, levels = (np.frombuffer(b"".join(bytes(r[i]) for r in rows), t) for i, t in enumerate((np.uint64, np.int64, np.uint8)))
     order = np.argsort(keys)
-    return keys[order], counts[order]
+    return keys[order], counts[order], levels[order]
+
+
+def chunk_levels(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens per text, levels of words, levels of pairs) of one row of stored levels."""
+    return np.array(row["n"], np.int64), *(np.frombuffer(row[c], np.uint8).astype(np.int64) for c in ("words", "pairs"))
 
 
-def fit_weights(docs: DataFrame, text: str, sent) -> np.ndarray:
+def fit_weights(chunks: DataFrame, model: Smoothing) -> np.ndarray:
     """Weight of the pair share for each level of the word before, by deleted interpolation over all training tokens.
 
     Each token's pair share is taken without the token itself. Tasks reduce the ratios of that share to the word's own probability to a
@@ -263,20 +294,22 @@ def fit_weights(docs: DataFrame, text: str, sent) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((MAX_LEVEL, RATIO_BINS), np.int64)
-        model = sent.value[0]
-        for _, texts in text_slices(batches, text):
-            tokens, _ = sequence(texts)
-            before, context, pair, word = model.features(tokens)
-            share = np.clip(np.divide(pair - 1, context - 1, out=np.zeros(len(pair)), where=context > 1), 0, 1)
-            ratio = share / word
-            bins = np.zeros(len(ratio), np.int64)
-            up = ratio > 0
-            bins[up] = np.clip(np.rint(2 * np.log2(ratio[up])) + RATIO_BINS // 3, 1, RATIO_BINS - 1)
-            np.add.at(total, (before, bins), 1)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                n, words, pairs = chunk_levels(row)
+                learnt = np.repeat(np.array(row["train"], bool), n)
+                before, context, pair, word = model.features(words, pairs, n[0] - 1)
+                share = np.clip(np.divide(pair - 1, context - 1, out=np.zeros(len(pair)), where=context > 1), 0, 1)
+                ratio = share / word
+                bins = np.zeros(len(ratio), np.int64)
+                up = ratio > 0
+                bins[up] = np.clip(np.rint(2 * np.log2(ratio[up])) + RATIO_BINS // 3, 1, RATIO_BINS - 1)
+                total += np.bincount((before * RATIO_BINS + bins)[learnt], minlength=total.size).reshape(total.shape)
         level_, bin_ = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (level_, bin_, total[level_, bin_])], ["level", "bin", "n"])
 
-    rows = arrow_map(docs.select(text), run, "level long, bin long, n long").groupBy("level", "bin").agg(F.sum("n").alias("n")).collect()
+    rows = arrow_map(chunks.select("train", "n", "words", "pairs"), run, "level long, bin long, n long").groupBy("level", "bin").agg(F.sum("n").alias("n")).collect()
     seen = np.zeros((MAX_LEVEL, RATIO_BINS))
     for r in rows:
         seen[r.level, r.bin] = r.n
@@ -304,80 +337,114 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
     learn = rows.where("_train").select(text)
     total_bytes = rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     buckets = n_buckets(total_bytes, WORD_BUCKET_BYTES), n_buckets(total_bytes, PAIR_BUCKET_BYTES)
-    counts = stored(ngram_counts(learn, text, buckets, filter_bytes), "ngrams")
-    model = build_filter(counts, buckets)
-    frequent = frequent_words(counts, model.n_tokens)
-    sent = spark.sparkContext.broadcast((model, frequent))
-    weights = fit_weights(learn, text, sent)
-    n_tokens, n_words, word_buckets = model.n_tokens, model.n_words, buckets[WORD]
-    shift = np.uint64(64 - word_buckets.bit_length() + 1)
+    counts = stored(ngram_counts(learn, text, buckets), "ngrams")
+    model, pair_filter = smoothing(counts), build_filter(counts, PAIR, buckets[PAIR], filter_bytes)
+    frequent = {k: frequent_ngrams(counts, k) for k in ((WORD, PAIR) if pair_filter is None else (WORD,))}
+    sent = spark.sparkContext.broadcast((pair_filter, frequent))
+    n_tokens, n_words = model.n_tokens, model.n_words
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per slice: one row of what is known about its texts, and for each bucket one with the rarer words and where they stand."""
-        model, (known_keys, known_counts) = sent.value
-        part = TaskContext.get().partitionId()
-        for k, (batch, texts) in enumerate(text_slices(batches, text)):
-            tokens, n = sequence(texts)
-            score = segment_sum(model.log10(tokens, weights), n)
-            doc = np.repeat(np.arange(len(n)), n)
-            at = np.minimum(np.searchsorted(known_keys, tokens), max(0, len(known_keys) - 1))
-            hit = known_keys[at] == tokens if len(known_keys) else np.zeros(len(tokens), bool)
-            log = np.zeros(len(tokens))
-            log[hit] = np.log10(known_counts[at[hit]] + 0.5)
-            base, n_known = segment_sum(log, n), segment_sum(hit.astype(np.int64), n)
-            keys, doc = tokens[~hit], doc[~hit].astype("<i4")
-            order = np.argsort(keys)
-            keys, doc = keys[order], doc[order]
-            cuts = np.searchsorted(keys >> shift, np.arange(word_buckets + 1, dtype=np.uint64))
-            out = [(part << 32 | k, word_buckets + (part % word_buckets), None, None, batch.column(key).to_pylist(), n.tolist(), n_known.tolist(), base.tolist(), score.tolist())]
-            for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                if i < j:
-                    out.append((part << 32 | k, b, keys[i:j].tobytes(), doc[i:j].tobytes(), None, None, None, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), asked, strict=True)], schema=asked)
-
-    def answer(questions: pa.Table, words: pa.Table) -> pa.Table:
-        """Sums over a bucket's words for each text that asked; rows about whole slices pass."""
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        if words.num_rows:
-            keys, counts = unpack_keys(words.column("keys")[0].as_py(), 64), np.frombuffer(words.column("counts")[0].as_py(), "<i8")
-        out = []
-        for row in questions.to_pylist():
-            if row["keys"] is not None:
-                wanted, doc = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["docs"], "<i4")
+        """Per some slices: one row of what is known about their texts, and for each bucket one with the rarer n-grams and where they stand."""
+        part, k, held, n_held = TaskContext.get().partitionId(), 0, [], 0
+        for batch, texts in text_slices(batches, text):
+            held.append((batch.column(key).to_pylist(), batch.column("_train").to_pylist(), *sequence(texts)))
+            n_held += len(held[-1][2])
+            if n_held >= ASK_TOKENS:
+                yield asked_of(part << 32 | k, held)
+                k, held, n_held = k + 1, [], 0
+        if held:
+            yield asked_of(part << 32 | k, held)
+
+    def asked_of(chunk: int, held: list[tuple]) -> pa.RecordBatch:
+        pair_filter, frequent = sent.value
+        tokens, n = (np.concatenate([h[i] for h in held]) for i in (2, 3))
+        own = {"chunk": chunk, "kind": OWN, "bucket": chunk, "n": n.tolist(), "ids": [x for h in held for x in h[0]], "train": [x for h in held for x in h[1]]}
+        out = [own]
+        for kind, name, keys in ((WORD, "words", tokens), (PAIR, "pairs", pair_keys(tokens))):
+            if kind == PAIR and pair_filter is not None:
+                own[name] = pair_filter.levels(kind, keys).astype(np.uint8).tobytes()
+                continue
+            known, known_counts, known_levels = frequent[kind]
+            at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+            hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+            levels = np.zeros(len(keys), np.uint8)
+            levels[hit] = known_levels[at[hit]]
+            own[name] = levels.tobytes()
+            if kind == WORD:
+                log = np.zeros(len(keys))
+                log[hit] = np.log10(known_counts[at[hit]] + 0.5)
+                own["base"], own["known"] = segment_sum(log, n).tolist(), segment_sum(hit.astype(np.int64), n).tolist()
+            place = np.flatnonzero(~hit)
+            bucket = (keys[place] >> np.uint64(KEY_BITS[kind] - buckets[kind].bit_length() + 1)).astype(np.uint32)
+            order = np.argsort(bucket, kind="stable")
+            place, bucket = place[order], bucket[order]
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(place) else np.zeros(1, np.int64)
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                at = place[i:j]
+                out.append({"chunk": chunk, "kind": kind, "bucket": int(bucket[i]), "keys": pack_keys(keys[at], KEY_BITS[kind]), "at": pack_places(at)})
+        return pa.RecordBatch.from_pylist(out, schema=asked)
+
+    def answer(questions: pa.Table, ngrams: pa.Table) -> pa.Table:
+        """Levels of a bucket's n-grams, and counts of words, where they were asked for; rows about whole chunks pass."""
+        if not questions.num_rows or questions.column("kind")[0].as_py() == OWN:
+            return questions.select(asked.names).cast(asked)
+        kind, out = questions.column("kind")[0].as_py(), []
+        segment_, keys, counts = None, np.empty(0, np.uint64), np.empty(0, np.int64)
+        if ngrams.num_rows:
+            row = ngrams.to_pylist()[0]
+            segment_ = CountFilter.of_bucket(kind, row["bits"], row["size"])
+            if kind == WORD:
+                keys, counts = unpack_keys(row["keys"], KEY_BITS[kind]), np.frombuffer(row["counts"], "<i8")
+        for row in questions.select(["chunk", "keys", "at"]).to_pylist():
+            wanted, place = unpack_keys(row["keys"], KEY_BITS[kind]), unpack_places(row["at"])
+            levels = segment_.levels(kind, wanted) if segment_ else np.zeros(len(wanted), np.int64)
+            found = {"chunk": row["chunk"], "kind": kind}
+            if kind == WORD:
                 at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-                n = np.where(keys[at] == wanted, counts[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)
-                who, which = np.unique(doc, return_inverse=True)
-                sums = np.bincount(which, np.log10(n + 0.5), len(who))
-                known = np.bincount(which, n > 0, len(who)).astype("<i4")
-                row = {"chunk": row["chunk"], "keys": known.tobytes(), "docs": who.astype("<i4").tobytes(), "base": sums.tolist()}
-            out.append(row)
+                found["counts"] = (np.where(keys[at] == wanted, counts[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)).astype("<i8").tobytes()
+            else:
+                place, levels = place[levels > 0], levels[levels > 0]
+            out.append({**found, "at": pack_places(place), "words": levels.astype(np.uint8).tobytes()})
         return pa.Table.from_pylist(out, schema=asked)
 
     def gather(rows: pa.Table) -> pa.Table:
-        """A slice's texts with all partial sums."""
+        """A chunk's texts with the levels of all their tokens and the base score."""
         parts = rows.to_pylist()
-        whole = next(r for r in parts if r["ids"] is not None)
-        base, known = np.array(whole["base"], np.float64), np.array(whole["known"], np.int64)
-        # In the order of the texts' places, so that sums come out alike on every run.
-        for r in sorted((r for r in parts if r["ids"] is None), key=lambda r: (r["docs"], r["keys"])):
-            who = np.frombuffer(r["docs"], "<i4")
-            base[who] += r["base"]
-            known[who] += np.frombuffer(r["keys"], "<i4")
-        n = np.array(whole["n"], np.int64)
-        base -= n * np.log10(n_tokens + 0.5 * (n_words + 1))
-        return pa.table(
-            [pa.array(whole["ids"], pa.int64()), pa.array(n), pa.array(known), pa.array(np.full(len(n), n_tokens)), pa.array(base), pa.array(whole["score"], pa.float64())],
-            [key, "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
-
-    long, double = pa.int64(), pa.float64()
-    asked = pa.schema([
-        ("chunk", long), ("bucket", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("ids", pa.list_(long)), ("n", pa.list_(long)),
-        ("known", pa.list_(long)), ("base", pa.list_(double)), ("score", pa.list_(double)),
-    ])
-    kinds = "chunk long, bucket int, keys binary, docs binary, ids array<long>, n array<long>, known array<long>, base array<double>, score array<double>"
-    questions = arrow_map(rows.select(key, text), ask, kinds)
-    words = counts.where(F.col("kind") == WORD).select("bucket", "keys", "counts")
-    answers = questions.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(answer, kinds)
-    # A bucket without questions brings no row; a slice's own row is always there.
-    return answers.groupBy("chunk").applyInArrow(gather, f"{key} long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        own = next(r for r in parts if r["kind"] == OWN)
+        n = np.array(own["n"], np.int64)
+        levels = {k: np.frombuffer(own[c], np.uint8).copy() for k, c in ((WORD, "words"), (PAIR, "pairs"))}
+        log, known = np.zeros(len(levels[WORD])), np.zeros(len(levels[WORD]), np.int64)
+        for r in parts:
+            if r["kind"] != OWN:
+                at = unpack_places(r["at"])
+                levels[r["kind"]][at] = np.frombuffer(r["words"], np.uint8)
+                if r["kind"] == WORD:
+                    counts = np.frombuffer(r["counts"], "<i8")
+                    log[at], known[at] = np.log10(counts + 0.5), counts > 0
+        base = np.array(own["base"]) + segment_sum(log, n) - n * np.log10(n_tokens + 0.5 * (n_words + 1))
+        known = np.array(own["known"], np.int64) + segment_sum(known, n)
+        row = {**{c: own[c] for c in ("ids", "train", "n")}, "known": known.tolist(), "base": base.tolist(), "words": levels[WORD].tobytes(), "pairs": levels[PAIR].tobytes()}
+        return pa.Table.from_pylist([row], schema=levelled)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                n, words, pairs = chunk_levels(row)
+                sums = segment_sum(model.log10(words, pairs, n[0] - 1, weights), n)
+                columns = [pa.array(row["ids"], long), pa.array(n), pa.array(row["known"], long), pa.array(np.full(len(n), n_tokens)), pa.array(row["base"], double), pa.array(sums)]
+                yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    long, double, binary = pa.int64(), pa.float64(), pa.binary()
+    whole = [("ids", pa.list_(long)), ("train", pa.list_(pa.bool_())), ("n", pa.list_(long)), ("known", pa.list_(long)), ("base", pa.list_(double)), ("words", binary), ("pairs", binary)]
+    asked = pa.schema([("chunk", long), ("kind", pa.int32()), ("bucket", long), ("keys", binary), ("at", binary), ("counts", binary), *whole])
+    levelled = pa.schema(whole)
+    kinds = "ids array<long>, train array<boolean>, n array<long>, known array<long>, base array<double>, words binary, pairs binary"
+    asked_kinds = f"chunk long, kind int, bucket long, keys binary, at binary, counts binary, {kinds}"
+    questions = arrow_map(rows, ask, asked_kinds)
+    ngrams = counts.where(F.col("kind").isin(list(frequent))).select("kind", F.col("bucket").cast("long").alias("bucket"), "keys", "counts", "bits", "size")
+    answers = questions.groupBy("kind", "bucket").cogroup(ngrams.groupBy("kind", "bucket")).applyInArrow(answer, asked_kinds)
+    # A bucket without questions brings no row; a chunk's own row is always there.
+    chunks = stored(answers.groupBy("chunk").applyInArrow(gather, kinds), "levels")
+    weights = fit_weights(chunks, model)
+    return arrow_map(chunks, score, f"{key} long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

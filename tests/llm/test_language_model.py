@@ -87,3 +87,17 @@ def test_keys_and_levels():
     keys = np.array([0, 1, 2**48 - 1], np.uint64)
     assert lm.unpack_keys(lm.pack_keys(keys, 48), 48).tolist() == keys.tolist()
     assert lm.level(np.array([0, 1, 2, 3, 1000])).tolist() == [0, 1, 2, 3, 18]
+
+
+def test_no_count_is_left_out_of_a_filter_too_large_to_send(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
+    sent = {r.doc_id: r for r in lm.score_documents(docs, training).collect()}
+    asked = {r.doc_id: r for r in lm.score_documents(docs, training, filter_bytes=4000).collect()}
+    assert sent.keys() == asked.keys() and len(sent) > 100
+    assert all(math.isclose(sent[i].score, asked[i].score, rel_tol=1e-9) for i in sent)
+
+
+def test_places_come_back():
+    for at in (np.empty(0, np.int64), np.array([0]), np.array([3, 4, 70_000, 2**32 - 1])):
+        assert lm.unpack_places(lm.pack_places(at)).tolist() == at.tolist()
