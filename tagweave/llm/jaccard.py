@@ -251,13 +251,14 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
 def jaccard_classes(
     docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """(key, class_id, n_links): each row's class under links of Jaccard similarity ``threshold`` or more, and its number of links.
+    """(key, class_id, n_links, node, class): each row's class under links of Jaccard similarity ``threshold`` or more, and its number of links.
 
     Similarity is that of the sets of five-word shingles of the lower-cased text, white space apart. A class is what links connect;
     ``class_id`` is its smallest key. ``n_links`` counts the other rows, copies included, that are similar enough. A text of fewer
     than five words has one shingle, so it is linked to texts of the same words only; null, empty and blank texts have none
     and are classes of their own without links. Repeated rows are copies of each other. A null key is never a class id
-    unless its class has no other (then the id is null). An empty table gives an empty one; other columns are ignored.
+    unless its class has no other (then the id is null). ``node`` is the text's md5 and ``class`` tells classes apart where ids repeat or
+    are null; texts without shingles have a null there. An empty table gives an empty one; other columns are ignored.
     """
     k = prefix_length(threshold, trees, DEPTH, recall)
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -288,20 +289,30 @@ def jaccard_classes(
     named = named.select("node", (F.coalesce("_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("label", "node").alias("_class"))
     named = stored(named, "named")
     ids = reps.join(named.select("node", "_class"), "node").groupBy("_class").agg(F.min("_rep").alias("class_id"))
-    per_node = named.join(ids, "_class").select("node", "class_id", "n_links")
-    result = signed.where("n_shingles > 0").select("_key", "node").join(per_node, "node").select(F.col("_key").alias(key), "class_id", "n_links")
-    alone = signed.where("n_shingles = 0").select(F.col("_key").alias(key), F.col("_key").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    per_node = named.join(ids, "_class").select("node", "class_id", "n_links", "_class")
+    named_rows = signed.where("n_shingles > 0").select("_key", "node").join(per_node, "node")
+    result = named_rows.select(F.col("_key").alias(key), "class_id", "n_links", "node", F.col("_class").alias("class"))
+    alone = signed.where("n_shingles = 0").select(
+        F.col("_key").alias(key), F.col("_key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "node", F.lit(None).cast("binary").alias("class")
+    )
     return result.unionByName(alone)
 
 
-def one_per_class(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents whose key is their class's id, with all their columns; of rows that repeat a key one stays.
+def one_per_class(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each class, with all its columns: that of the smallest key, null last, and of these that of the smallest md5 of its text.
 
-    Rows with a null key stay.
+    Key and text decide together, so rows that share a key but not a class do not stand for each other. Texts without words are
+    classes of their own and stay; of rows that repeat key and text one stays, but without key and words all.
     """
-    first = stored(classes.where(F.col(key) == F.col("class_id")).groupBy(key).agg(F.count(F.lit(1)).alias("_rows")), "first")
-    kept = docs.join(first.where("_rows = 1"), key, "left_semi")
-    # Rows that repeat a key are looked for in the narrow table, so that no text moves for them in vain.
+    rows = classes.groupBy(key, "node").agg(F.first("class").alias("class"), F.count(F.lit(1)).alias("_rows"))
+    best = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("_key"), F.col("node").alias("_text_node"), "_rows")).alias("_w")
+    first = rows.where(F.col("class").isNotNull()).groupBy("class").agg(best).select("_w._key", "_w._text_node", "_w._rows")
+    alone = rows.where(F.col("class").isNull()).select(F.col(key).alias("_key"), F.col("node").alias("_text_node"), F.when(F.col(key).isNull(), 1).otherwise(F.col("_rows")).alias("_rows"))
+    first = stored(first.unionByName(alone), "first")
+    marked = docs.withColumn("_node", F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_node") == F.col("_text_node"))
+    kept = marked.join(first.where("_rows = 1"), same, "left_semi")
+    # Repeated rows are looked for in the narrow table, so that no text moves for them in vain.
     if first.where("_rows > 1").limit(1).count():
-        kept = kept.unionByName(docs.join(first.where("_rows > 1"), key, "left_semi").dropDuplicates([key]))
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+        kept = kept.unionByName(marked.join(first.where("_rows > 1"), same, "left_semi").dropDuplicates([key, "_node"]))
+    return kept.drop("_node")

@@ -34,7 +34,7 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard.jaccard_classes(table(spark, folder, "documents"))
+    return jaccard.jaccard_classes(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links")
 
 
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:

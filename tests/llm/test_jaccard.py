@@ -106,3 +106,11 @@ def test_common_counts_by_either_way():
 def test_prefix_length_reaches_the_recall():
     k = jaccard.prefix_length()
     assert 1 - (1 - 0.8**k) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** jaccard.TREES
+
+
+def test_one_per_class_where_keys_repeat_or_are_missing(make_docs):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    rows = [(1, x), (2, y), (2, x), (None, x), (3, z), (3, "other words " + y[::-1]), (None, "n " + z[::-1]), (None, "n " + z[::-1]), (None, ""), (None, "")]
+    docs = make_docs([t for _, t in rows], [i for i, _ in rows])
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.one_per_class(docs, jaccard.jaccard_classes(docs)).collect()), key=str)
+    assert kept == sorted([(1, x), (2, y), (3, z), rows[5], rows[6], (None, ""), (None, "")], key=str)
