@@ -220,6 +220,32 @@ def aggregate_products(
     return out if keep_comments else out.drop("comments")
 
 
+def product_text_chunks(
+    df: DataFrame,
+    max_chars: int = T.MAX_CHARS_PER_CHUNK,
+    order_by: Sequence[str] = ("comment_id",),
+    ignore_nulls: bool = False,
+    key: str = "product_sku",
+) -> DataFrame:
+    """(key, chunk_id, n_chunks, text): the text of :func:`aggregate_products` in pieces, for products whose text fits no row.
+
+    A product's pieces in order, joined by one blank, are its text. A piece holds the comments of whole rows of ``max_chars`` characters together, a longer
+    row alone; the first one also has the attributes. Only lengths pass through one task per product, see :func:`review_chunks`.
+    Different rows that ``order_by`` does not tell apart may stand in another order than there.
+    """
+    rows = with_defaults(df).where(F.col(key).isNotNull()).select(key, *order_by, *ATTRS, T.parse_list("comment_text").alias("_c"))
+    firsts = [first_by(c, _order(order_by), ignore_nulls).alias(c) for c in ATTRS]
+    heads = rows.groupBy(key).agg(*firsts, F.max(F.size("_c")).alias("_items"))
+    items = rows.where(F.exists("_c", T.not_blank)).select(key, *order_by, T.join_comments("_c").alias("_comment"))
+    chunks = review_chunks(items, max_chars, key, order_by, "_comment")
+    out = heads.join(chunks, key, "left").withColumns({"chunk_id": F.coalesce("chunk_id", F.lit(0)), "n_chunks": F.coalesce("n_chunks", F.lit(1))})
+    # Comments that are all blank still leave an empty section.
+    comments = F.when(F.col("_items") > 0, F.coalesce("reviews", F.array().cast("array<string>")))
+    comments = F.array_join(comments, " ")
+    first = F.concat_ws(T.TEXT_SEPARATOR, *[T.blank_to_null(c) for c in ATTRS], comments)
+    return out.select(key, "chunk_id", "n_chunks", F.when(F.col("chunk_id") == 0, first).otherwise(comments).alias("text"))
+
+
 def product_explorer(df: DataFrame, order_by: Sequence[str] = ("comment_id",), **kwargs) -> DataFrame:
     """Browsing table: attributes, text, comment list and a display label."""
     out = aggregate_products(df, order_by, keep_comments=True, **kwargs)

@@ -48,6 +48,21 @@ def test_chunks_of_long_rows_equal_those_of_one_array(spark):
             assert all(r["n_chunks"] == last[r["product_sku"]] for r in found)
 
 
+def test_text_in_chunks_is_the_product_text(spark):
+    df = skewed(spark).withColumn("comment_text", F.when(F.col("comment_id") % 9 == 4, '["l1", " ", "l2"]').otherwise(F.col("comment_text")))
+    odd = [(1, "blank", " ", "n", "t", "s", None), (2, "none", None, "n", " ", "s", None), (3, "list", '["a b", "c"]', None, None, None, None)]
+    df = df.unionAll(spark.createDataFrame(odd, df.schema))
+    df = df.unionAll(df.where("comment_id % 5 = 0"))
+    want = {r["product_sku"]: r["text"] for r in A.aggregate_products(df).collect()}
+    for size in (1, 40, 10_000):
+        found = {}
+        for r in sorted(A.product_text_chunks(df, size).collect(), key=lambda r: (r["product_sku"], r["chunk_id"])):
+            found.setdefault(r["product_sku"], []).append(r)
+        assert {k: " ".join(r["text"] for r in rows) for k, rows in found.items()} == want
+        assert all([r["chunk_id"] for r in rows] == list(range(rows[0]["n_chunks"])) for rows in found.values())
+        assert len(found["hot"]) == 1 if size == 10_000 else max(len(r["text"]) for r in found["hot"][1:]) <= 2 * size + 4
+
+
 def test_union_lists_keep_the_first_spelling_in_order(spark):
     df = spark.createDataFrame([(2, "p", "b; A"), (1, "p", "a; B;c"), (3, "p", ""), (1, "q", None)], "comment_id long, product_sku string, tags string")
     plain = {r[0]: r[1] for r in A.union_lists(df, T.parse_tags("tags")).collect()}
