@@ -1,7 +1,7 @@
-"""N-gram Jaccard join: a MinHash LSH forest finds candidates, exact Jaccard similarity of word shingles decides.
+"""N-gram Jaccard join: banded MinHash finds candidates, exact Jaccard similarity of word shingles decides.
 
-Equal texts are one class from the start. Signatures stand in ``TREES`` sorted prefix tries; a pair is a candidate where it shares
-a prefix in any of them, and the prefix is shortened until pairs at the threshold are found with the wanted recall. Candidate
+Equal texts are one class from the start. Of the forest's ``TREES`` tries only the level that the wanted recall at the threshold asks for is
+built, as bands of fixed length: a pair is a candidate where it shares the whole band in any of them. Candidate
 pairs of one prefix whose whole signatures agree too little are ruled out; the others make families, and inside a family
 every pair is compared exactly. Only sums per document and one edge per document leave a task, never all pairs of a group.
 """
