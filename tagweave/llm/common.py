@@ -20,6 +20,8 @@ SLICE_CHARS = 1_000_000
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+# The lowest 0 to 8 bytes of a lane.
+_LANE_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,6 +44,16 @@ def stored(df: DataFrame, name: str = "llm") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be no column of ``df``, in any case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """(rows, their texts with null as empty), cut so that one slice holds about ``chars`` bytes of text or one row."""
     for batch in batches:
@@ -57,21 +69,6 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = SLI
             at = to
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least ``n`` powers of the base and of its inverse, modulo 2**64."""
-    size = 1 << max(16, int(n - 1).bit_length())
-
-    def make() -> tuple[np.ndarray, np.ndarray]:
-        found = []
-        for base in (_P, np.uint64(pow(int(_P), -1, 1 << 64))):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            found.append(np.cumprod(p, dtype=np.uint64))
-        return found[0], found[1]
-
-    return kept_in_worker(("powers", size), make)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread 64 bits (the finaliser of splitmix64)."""
     h = (h ^ (h >> np.uint64(30))) * _M1
@@ -93,20 +90,26 @@ def byte_table(separators: bytes, lower: bool = False) -> bytes:
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all space-separated words of the texts in order, and the number of words of each text.
 
-    Bytes other than the space are word characters. The hash is a polynomial over the word's bytes, taken from prefix sums
-    modulo 2**64, so it is the same on every machine and no Python loop runs over words.
+    Bytes other than the space are word characters. A word's hash sums its lanes of eight bytes, each spread by a mix that depends on the
+    lane's place, so that no sum of products over the bytes can cancel out; the word's length goes in last. It is the same on
+    every machine, and no Python loop runs over words.
     """
-    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    n = len(raw)
-    power, inverse = _powers(n + 1)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
-    inside = raw != 32
+    raw = np.frombuffer(b" ".join(texts) + b" " + bytes(8), np.uint8)
+    n = len(raw) - 8
+    inside = raw[:n] != 32
     change = np.flatnonzero(np.diff(np.concatenate(([False], inside)).astype(np.int8)))
     starts, ends = change[::2], change[1::2]
-    h = (prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
+    size = ends - starts
+    lanes = (size + 7) >> 3
+    place = ranges(lanes)
+    at = np.repeat(starts, lanes) + 8 * place
+    left = np.minimum(np.repeat(ends, lanes) - at, 8)
+    # Eight bytes from every place of the text on.
+    window = np.ndarray((n,), "<u8", raw.data, strides=(1,))
+    lane = mix((window[at] & _LANE_MASK[left]) ^ mix(place.astype(np.uint64) * _P + _M1))
+    h = np.add.reduceat(lane, np.cumsum(lanes) - lanes) if len(lane) else np.empty(0, np.uint64)
     limits = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-    return mix(h), np.diff(np.searchsorted(starts, limits), prepend=0)
+    return mix(h + size.astype(np.uint64) * _P), np.diff(np.searchsorted(starts, limits), prepend=0)
 
 
 def segment_sum(values: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm import (
-    byte_bpe, exact_search, jaccard, language_model, nearest, packing, pieces, quality, token_files, toxicity, warc,
+    byte_bpe, exact_dedup, exact_search, jaccard, language_model, nearest, packing, pieces, quality, token_files, toxicity, warc,
 )
 from tagweave.llm.common import fold, new_folder, table
 
@@ -76,6 +76,11 @@ def op10_exact_search(spark: SparkSession, folder: str) -> DataFrame:
     return exact_search.exact_search(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op11_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    groups = exact_dedup.exact_groups(table(spark, folder, "documents"))
+    return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op2_quality": op2_quality,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_packing": op9_packing,
     "op10_exact_search": op10_exact_search,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 _FINITE = "embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))"
@@ -106,4 +112,8 @@ ORACLES: dict[str, str] = {
               from v q join v d on q.vec_id <> d.vec_id and len(q.e) = len(d.e) where q.vec_id % 50 = 0),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s)
         select query_id, n::int as rank, vec_id, score from r where n <= 5""",
+    "op11_exact_dedup": """
+        with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
+        g as (select x, max(doc_id) as keep_id, count(*) as group_size from t group by x)
+        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t.x) as text_sha256 from t join g on t.x = g.x""",
 }
