@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm import (
-    byte_bpe, exact_dedup, exact_search, jaccard, language_model, nearest, packing, pieces, quality, token_files, toxicity, warc,
+    byte_bpe, exact_dedup, exact_search, jaccard, language_model, lexical_search, nearest, packing, pieces, quality, token_files, toxicity, warc,
 )
 from tagweave.llm.common import fold, new_folder, table
 
@@ -81,6 +81,10 @@ def op11_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.ranked_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op2_quality": op2_quality,
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_exact_search": op10_exact_search,
     "op11_exact_dedup": op11_exact_dedup,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _FINITE = "embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))"
@@ -116,4 +121,18 @@ ORACLES: dict[str, str] = {
         with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
         g as (select x, max(doc_id) as keep_id, count(*) as group_size from t group by x)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t.x) as text_sha256 from t join g on t.x = g.x""",
+    "op13_lexical_search": r"""
+        with words as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
+        sums as (select count(*) as n_docs, sum(len(t))::bigint as total from words where len(t) > 0),
+        tf as (select doc_id, len(t) as n, unnest(t) as term from words),
+        counted as (select doc_id, n, term, count(*) as tf from tf group by all),
+        df as (select term, count(*) as df from counted group by term),
+        asked as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+        scored as (select item_id, doc_id, sum(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::bigint
+                * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // total))))::bigint as score
+                from asked join counted using (term) join df using (term), sums group by item_id, doc_id),
+        ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as r from scored where score > 0)
+        select item_id, r::int as rank, doc_id, score from ranked where r <= 10""",
 }
