@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm import (
-    byte_bpe, exact_dedup, exact_search, jaccard, language_model, lexical_search, nearest, packing, pieces, quality, token_files, toxicity, warc,
+    byte_bpe, exact_dedup, exact_search, jaccard, language_model, lexical_search, nearest, packing, pieces, quality, token_alignment, token_files, toxicity, warc,
 )
 from tagweave.llm.common import fold, new_folder, table
 
 RANKS_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTE_FILE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_FILE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 PATTERN = public_tokenizers.PATTERN
 BYTE_VOCABULARY = 50_257
@@ -81,6 +82,11 @@ def op11_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    encoders = token_alignment.encoder_pair(BYTE_FILE, PATTERN, PIECE_FILE)
+    return token_alignment.alignment_counts(table(spark, folder, "documents"), encoders)
+
+
 def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.ranked_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
 
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_exact_search": op10_exact_search,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_token_alignment": op12_token_alignment,
     "op13_lexical_search": op13_lexical_search,
 }
 
