@@ -1168,6 +1168,16 @@ def reviews_csv_mixed(v: Views) -> DataFrame:
     return TB.read_reviews(v.spark, f"{path}/*").select("comment_id", "product_sku", "comment_text", *A.ATTRS)
 
 
+@query("reviews_csv_blocks", ("reviews",), """select comment_id, product_sku, replace(replace(comment_text, '.', '".'), 'e', chr(10)) as comment_text,
+    name, good_type, good_subtype from reviews""")
+def reviews_csv_blocks(v: Views) -> DataFrame:
+    # Cells full of line breaks and quotes, in files that are read in blocks of 64 KiB, so that blocks begin anywhere in cells.
+    path = _fresh(v, "reviews-blocks")
+    text = F.replace(F.replace("comment_text", F.lit("."), F.lit('".')), F.lit("e"), F.lit("\n"))
+    TB.write_table(v.reviews().withColumn("comment_text", text), path, "csv", sep=";")
+    return TB.read_reviews(v.spark, path, sep=";", block_bytes=1 << 16)
+
+
 @query("pool_files", ("tag_cells",), "select distinct good_type, lower(tag) as tag from tag_cells")
 def pool_files(v: Views) -> DataFrame:
     path = _fresh(v, "pool-csv")

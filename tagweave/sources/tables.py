@@ -12,40 +12,52 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagweave.functions import text as X
+from tagweave.operators.layout import durable
+from tagweave.sources.csv_blocks import BLOCKS_SENT, QUOTE, block_starts, csv_blocks, csv_records
 
 REVIEW_SCHEMA = "comment_id long, product_sku string, comment_text string, name string, good_type string, good_subtype string"
 POOL_SCHEMA = "good_type string, tags string"
 MAPPING_SCHEMA = "good_type string, old_tags string, new_tag string"
+# Cells keep the white space around them.
+_CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", required: Sequence[str] = (), position: str | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: str, sep: str = ",", required: Sequence[str] = (), position: str | None = None, block_bytes: int | None = None
+) -> DataFrame:
     """CSV with quoted line breaks, doubled quotes and an optional byte-order mark.
 
     Columns are matched by name in every file on its own: files may order them differently, lack optional ones or carry others.
-    A header is one line. A file is not split (line breaks in quotes), so large inputs should be many files. ``position`` adds a column
-    (file name, place in the file) that orders all rows.
+    A header is one line; lines end with a line feed, or all with a carriage return before it, which cells do not keep. A file is split over many tasks, see
+    :mod:`tagweave.sources.csv_blocks`, in blocks of what the session reads at once or of ``block_bytes``. ``position`` adds a column (file name, block,
+    place in the block) that orders all rows.
     """
-    options = {"header": True, "sep": sep, "multiLine": True, "escape": '"'}
-    # One pass gives every file's first line; file names, not rows, come to the driver. Files of one header are read together.
-    lines = spark.read.text(path).where(F.col("value") != "").select("_metadata.file_path", "value", F.monotonically_increasing_id().alias("_i"))
-    heads = lines.groupBy("file_path").agg(F.min_by("value", "_i").alias("head"))
-    by_header: dict[tuple[str, ...], list[str]] = {}
+    if block_bytes:
+        spark = spark.newSession()
+        for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.set(name, str(block_bytes))
+    blocks = csv_blocks(spark, path, sep)
+    # One line of every file, not rows, comes to the driver. Files of one header are read together.
+    heads = blocks.where(F.col("head").isNotNull()).groupBy("file").agg(F.min_by("head", "block").alias("head"))
+    by_header: dict[tuple[tuple[str, ...], bool], list[str]] = {}
     for name, head in sorted(map(tuple, heads.toLocalIterator())):
         columns = next(csv.reader([head.removeprefix("\ufeff").rstrip("\r")], delimiter=sep))
-        by_header.setdefault(tuple(columns), []).append(_literal(unquote(name)))
+        by_header.setdefault((tuple(columns), head.endswith("\r")), []).append(_literal(unquote(name)))
     wanted = {f.name: f.dataType for f in T.StructType.fromDDL(schema).fields}
+    starts, few = durable(block_starts(blocks)), blocks.count() <= BLOCKS_SENT
     out = None
-    for header, names in by_header.items():
+    for (header, returns), names in by_header.items():
         missing = [c for c in required if c not in header]
         if missing:
             raise ValueError(f"missing columns: {', '.join(missing)}")
-        fields = T.StructType([T.StructField(c, wanted.get(c, T.StringType())) for c in header])
-        rows = spark.read.csv(names, schema=fields, enforceSchema=False, **options)
-        kept = [F.col(f"`{c}`") for c in header if c in wanted]
+        fields = ", ".join(f"`{c}` {wanted[c].simpleString() if c in wanted else 'string'}" for c in header)
+        records = csv_records(spark, names, starts, sep, few)
+        record = F.replace("record", F.lit("\r\n"), F.lit("\n")) if returns else F.col("record")
+        cells = F.from_csv(record, F.lit(fields), {"sep": sep, "quote": QUOTE, "escape": QUOTE, "multiLine": "true"}).alias("_cells")
+        kept = [F.col(f"_cells.`{c}`").alias(c) for c in header if c in wanted]
         if position:
-            # One file is one partition's stretch of rows, so ids that grow within a partition order them.
-            kept.append(F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row")).alias(position))
-        rows = rows.select(*kept)
+            kept.append(F.struct("file", "block", F.col("seq").alias("row")).alias(position))
+        rows = records.select("file", "block", "seq", cells).select(*kept)
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     if out is None:
         raise ValueError(f"no file with a header: {path}")
@@ -58,13 +70,13 @@ def _literal(path: str) -> str:
 
 
 def read_reviews(
-    spark: SparkSession, path: str, sep: str = ",", required: Sequence[str] = ("product_sku", "comment_text")
+    spark: SparkSession, path: str, sep: str = ",", required: Sequence[str] = ("product_sku", "comment_text"), block_bytes: int | None = None
 ) -> DataFrame:
     """Raw or grouped or tagged reviews (``tags`` and list cells stay text).
 
     ``comment_id`` is a number if every cell is one; where any cell holds a list, as grouped files do, all cells stay text.
     """
-    rows = read_csv(spark, path, REVIEW_SCHEMA.replace("comment_id long", "comment_id string") + ", tags string", sep, required)
+    rows = read_csv(spark, path, REVIEW_SCHEMA.replace("comment_id long", "comment_id string") + ", tags string", sep, required, block_bytes=block_bytes)
     if "comment_id" not in rows.columns:
         return rows
     number = F.col("comment_id").try_cast("long")
@@ -130,11 +142,11 @@ def csv_ready(df: DataFrame, json_columns: Sequence[str] = ("comment_id", "comme
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", sep: str = ",", mode: str = "overwrite") -> None:
     """Parquet by default; ``csv`` turns arrays into text first."""
     if fmt == "csv":
-        csv_ready(df).write.mode(mode).csv(path, header=True, sep=sep, quote='"', escape='"')
+        csv_ready(df).write.mode(mode).csv(path, sep=sep, **_CSV)
     else:
         df.write.mode(mode).format(fmt).save(path)
 
 
 def write_training_pairs(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """(text, tags as JSON list) CSV."""
-    df.select("text", F.to_json("tags").alias("tags")).write.mode(mode).csv(path, header=True, quote='"', escape='"')
+    df.select("text", F.to_json("tags").alias("tags")).write.mode(mode).csv(path, **_CSV)
