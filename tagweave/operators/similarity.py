@@ -246,10 +246,10 @@ def _blocked_matches(
 # neighbour gives the same clusters as merging one best pair at a time, in few rounds.
 
 
-def _merge_rounds(unit: np.ndarray, threshold: float) -> np.ndarray:
-    """Cluster index per row (the smallest row of the cluster) for one bounded group."""
-    owner = np.arange(len(unit))
-    sums, sizes, heads = unit.copy(), np.ones(len(unit)), np.arange(len(unit))
+def _merge_rounds(sums: np.ndarray, threshold: float, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Cluster index per row (the smallest row of the cluster) for one bounded group of vector sums, of single vectors without ``sizes``."""
+    owner = np.arange(len(sums))
+    sums, sizes, heads = sums.copy(), np.ones(len(sums)) if sizes is None else sizes.astype(np.float64), np.arange(len(sums))
     while len(heads) > 1:
         sims = (sums @ sums.T) / np.outer(sizes, sizes)
         sims = (sims + sims.T) / 2
@@ -282,8 +282,8 @@ def cluster_tags(
     """(group, id, cluster_id): average-linkage clusters on cosine, merged while the mean cosine is above
     ``threshold``; ``cluster_id`` is the smallest id of the cluster.
 
-    A group of up to ``local_rows`` tags (counted first) is clustered inside one task. Larger groups run the same
-    merges as Spark rounds over the close pairs, so their size is not limited.
+    A group of up to ``local_rows`` tags (counted first) is clustered inside one task. Larger groups run the same merges as Spark rounds
+    until no more than ``local_rows`` of their clusters have a close one, so their size is not limited; see :func:`nearest_clusters`.
     """
     if threshold < 0:
         raise ValueError("threshold must not be negative")
@@ -303,7 +303,7 @@ def cluster_tags(
         return rows.groupBy(group).applyInPandas(local, schema)
     small = rows.join(large, group, "left_anti").groupBy(group).applyInPandas(local, schema)
     big = rows.join(large, group, "left_semi")
-    return small.unionByName(_cluster_rounds(big, threshold, id_col, group, vector, block_rows))
+    return small.unionByName(_cluster_rounds(big, threshold, id_col, group, vector, local_rows, block_rows))
 
 
 def collapse_copies(
@@ -325,74 +325,98 @@ def collapse_copies(
     return reps.drop("_own"), units.join(copies, same).select("_g", "_id", "_v", "_c")
 
 
+def nearest_clusters(clusters: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(_g, _c, _o, _sim): the nearest other cluster of each one that has any with a mean cosine above ``threshold``; ties to the smaller id.
+
+    ``clusters`` has the vector sum ``_s`` and size ``_n`` of each (_g, _c). The mean cosine of two is the inner product of their mean
+    vectors. These are cut into cells around pivots and blocks; of two blocks none can be near if the lengths of their longest means times the
+    cosine of the smallest angle between them, by the triangle inequality, do not pass. A pair of blocks gives one row per
+    cluster at most, so a dense group never writes its pairs.
+    """
+    kinds = {c: clusters.schema[c].dataType.simpleString() for c in ("_g", "_c")}
+    schema = f"_g {kinds['_g']}, _c {kinds['_c']}, _o {kinds['_c']}, _sim double"
+    rows = clusters.select("_g", F.col("_c").alias("_id"), F.transform("_s", lambda x: x / F.col("_n")).alias("_m"))
+    length = F.sqrt(F.aggregate("_m", F.lit(0.0), lambda a, x: a + x * x))
+    rows = rows.withColumn("_reach", length).withColumn("_v", F.transform("_m", lambda x: F.when(F.col("_reach") > 0, x / F.col("_reach")).otherwise(0.0)))
+    n_rows = rows.count()
+    if not n_rows:
+        return clusters.sparkSession.createDataFrame([], schema)
+    pivots = _pivots(rows, "_id", n_rows)
+    celled = _assign_cells(rows, pivots)
+    cells = celled.groupBy("_g", "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("_blocks"))
+    block = F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int")
+    placed = durable(celled.join(cells, ["_g", "_cell"]).withColumn("_block", block).drop("_blocks", "_v"))
+    blocks = placed.groupBy("_g", "_cell", "_block").agg(F.max("_angle").alias("_radius"), F.max("_reach").alias("_far"))
+    angles = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
+    a, b = np.triu_indices(len(pivots))
+    between = clusters.sparkSession.createDataFrame([(int(i), int(j), float(angles[i, j])) for i, j in zip(a, b)], "_ca int, _cb int, _between double")
+    left = blocks.withColumnsRenamed({"_cell": "_ca", "_block": "_ba", "_radius": "_ra", "_far": "_fa"}).join(between, "_ca")
+    right = blocks.select(F.col("_g").alias("_g2"), F.col("_cell").alias("_c2"), F.col("_block").alias("_bb"), F.col("_radius").alias("_rb"), F.col("_far").alias("_fb"))
+    most = F.col("_fa") * F.col("_fb") * F.cos(F.greatest(F.lit(0.0), F.col("_between") - F.col("_ra") - F.col("_rb") - F.lit(1e-7)))
+    near = (F.col("_g") == F.col("_g2")) & (F.col("_cb") == F.col("_c2")) & (most > threshold - 1e-9) & ((F.col("_ca") < F.col("_cb")) | (F.col("_ba") <= F.col("_bb")))
+    pairs = left.join(right, near).select("_g", "_ca", "_ba", "_cb", "_bb")
+    keys = ["_g", "_ca", "_ba", "_cb", "_bb"]
+
+    def side(cell: str, block: str) -> DataFrame:
+        v = placed.select("_g", "_id", "_m", F.col("_cell").alias(cell), F.col("_block").alias(block)).join(pairs, ["_g", cell, block])
+        return v.select(*[F.col(c).alias(c) for c in (*keys, "_id", "_m")])
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values("_id"), right.sort_values("_id")
+        sims = np.stack(left["_m"].to_numpy()) @ np.stack(right["_m"].to_numpy()).T
+        same = bool((left["_ca"].iat[0] == left["_cb"].iat[0]) and (left["_ba"].iat[0] == left["_bb"].iat[0]))
+        if same:
+            sims = (sims + sims.T) / 2
+            np.fill_diagonal(sims, -np.inf)
+        # Both directions are read off one matrix, so a pair has one similarity and the best pair of all is mutual.
+        out = []
+        for own, other, m in ((left, right, sims), *(() if same else ((right, left, sims.T),))):
+            best = m.argmax(axis=1)
+            score = m[np.arange(len(m)), best]
+            kept = score > threshold
+            out.append(pd.DataFrame({"_g": left["_g"].iat[0], "_c": own["_id"].to_numpy()[kept], "_o": other["_id"].to_numpy()[best[kept]], "_sim": score[kept]}))
+        return pd.concat(out)
+
+    found = side("_ca", "_ba").groupBy(*keys).cogroup(side("_cb", "_bb").groupBy(*keys)).applyInPandas(compare, schema)
+    best = F.min(F.struct((-F.col("_sim")).alias("s"), F.col("_o").alias("o"))).alias("_b")
+    return found.groupBy("_g", "_c").agg(best).select("_g", "_c", F.col("_b.o").alias("_o"), (-F.col("_b.s")).alias("_sim"))
+
+
 def _cluster_rounds(
-    rows: DataFrame, threshold: float, id_col: str, group: str, vector: str, block_rows: int
+    rows: DataFrame, threshold: float, id_col: str, group: str, vector: str, local_rows: int, block_rows: int
 ) -> DataFrame:
+    """Rounds that merge all clusters that are each other's nearest. A cluster without a close one never gets one, as a mean of low
+    cosines is low, and drops out; where few are left in a group, one task ends its merges."""
     reps, owner = collapse_copies(rows, threshold, id_col, group, vector)
-    clusters = durable(
-        reps.select(
-            "_g", "_c", F.transform("_v", lambda x: x * F.col("_n")).alias("_s"), F.col("_n").cast("long").alias("_n")
-        )
-    )
+    sums = F.transform("_v", lambda x: x * F.col("_n")).alias("_s")
+    clusters = durable(reps.select("_g", "_c", sums, F.col("_n").cast("long").alias("_n")))
     owner = owner.select("_g", "_id", "_c")
-    edges = durable(
-        similar_tag_pairs(reps, threshold, "_c", "_g", "_v", block_rows).select(
-            "_g", F.col("id_a").alias("_a"), F.col("id_b").alias("_b"), F.col("cosine").alias("_sim")
-        )
-    )
-    while True:
-        # Nearest neighbour of every cluster that still has a close one; ties to the smaller id.
-        both = edges.select("_g", F.col("_a").alias("_c"), F.col("_b").alias("_o"), "_sim").unionByName(
-            edges.select("_g", F.col("_b").alias("_c"), F.col("_a").alias("_o"), "_sim")
-        )
-        best = both.groupBy("_g", "_c").agg(F.min_by("_o", F.struct(-F.col("_sim"), F.col("_o"))).alias("_o"))
-        back = best.select("_g", F.col("_o").alias("_c"), F.col("_c").alias("_o"))
-        merges = durable(
-            best.join(back, ["_g", "_c", "_o"]).where(F.col("_c") < F.col("_o")).select("_g", F.col("_o").alias("_gone"), F.col("_c").alias("_into"))
-        )
-        if merges.limit(1).count() == 0:
-            break
+    types = {c: clusters.schema[c].dataType.simpleString() for c in ("_g", "_c")}
 
-        def moved(df: DataFrame, column: str) -> DataFrame:
-            m = merges.select(F.col("_g"), F.col("_gone").alias(column), "_into")
-            return df.join(m, ["_g", column], "left").withColumn(column, F.coalesce("_into", column)).drop("_into")
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_c")
+        ids = pdf["_c"].to_numpy()
+        into = ids[_merge_rounds(np.stack(pdf["_s"].to_numpy()), threshold, pdf["_n"].to_numpy())]
+        moved = into != ids
+        return pd.DataFrame({"_g": pdf["_g"].to_numpy()[moved], "_gone": ids[moved], "_into": into[moved]})
 
-        owner = durable(moved(owner, "_c"))
-        gone = clusters.join(merges.select("_g", F.col("_gone").alias("_c"), "_into"), ["_g", "_c"]).select(
-            "_g", F.col("_into").alias("_c"), F.col("_s").alias("_s2"), F.col("_n").alias("_n2")
-        )
-        clusters = durable(
-            clusters.join(merges.select("_g", F.col("_gone").alias("_c")), ["_g", "_c"], "left_anti")
-            .join(gone, ["_g", "_c"], "left")
-            .select(
-                "_g",
-                "_c",
-                F.when(F.col("_s2").isNull(), F.col("_s"))
-                .otherwise(F.zip_with("_s", "_s2", lambda x, y: x + y))
-                .alias("_s"),
-                (F.col("_n") + F.coalesce("_n2", F.lit(0))).alias("_n"),
-            )
-        )
-        edges = durable(_rescored(moved(moved(edges, "_a"), "_b"), clusters, threshold))
+    while True:
+        best = durable(nearest_clusters(clusters, threshold, block_rows))
+        left = durable(best.groupBy("_g").agg(F.count(F.lit(1)).alias("_left")))
+        active = clusters.join(best.select("_g", "_c"), ["_g", "_c"], "left_semi")
+        few = left.where(F.col("_left") <= local_rows).select("_g")
+        ended = active.join(few, "_g", "left_semi").groupBy("_g").applyInPandas(finish, f"_g {types['_g']}, _gone {types['_c']}, _into {types['_c']}")
+        many = best.join(left.where(F.col("_left") > local_rows).select("_g"), "_g", "left_semi")
+        back = many.select("_g", F.col("_o").alias("_c"), F.col("_c").alias("_o"))
+        mutual = many.join(back, ["_g", "_c", "_o"]).where(F.col("_c") < F.col("_o")).select("_g", F.col("_o").alias("_gone"), F.col("_c").alias("_into"))
+        merges = durable(ended.unionByName(mutual))
+        moved = merges.select("_g", F.col("_gone").alias("_c"), "_into")
+        owner = durable(owner.join(moved, ["_g", "_c"], "left").withColumn("_c", F.coalesce("_into", "_c")).drop("_into"))
+        if not left.where(F.col("_left") > local_rows).limit(1).count():
+            break
+        still = active.join(left.where(F.col("_left") > local_rows).select("_g"), "_g", "left_semi")
+        gone = still.join(moved, ["_g", "_c"]).select("_g", F.col("_into").alias("_c"), F.col("_s").alias("_s2"), F.col("_n").alias("_n2"))
+        both = F.when(F.col("_s2").isNull(), F.col("_s")).otherwise(F.zip_with("_s", "_s2", lambda x, y: x + y)).alias("_s")
+        kept = still.join(moved.select("_g", "_c"), ["_g", "_c"], "left_anti").join(gone, ["_g", "_c"], "left")
+        clusters = durable(kept.select("_g", "_c", both, (F.col("_n") + F.coalesce("_n2", F.lit(0))).alias("_n")))
     return owner.select(F.col("_g").alias(group), F.col("_id").alias(id_col), F.col("_c").alias("cluster_id"))
-
-
-@F.pandas_udf(DoubleType())
-def _mean_cosine(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
-    x, y = np.stack(a.to_numpy()), np.stack(b.to_numpy())
-    return pd.Series((x * y).sum(axis=1) / n.to_numpy())
-
-
-def _rescored(edges: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
-    """Edges between current clusters with their mean cosine; a pair at or below the threshold can never merge
-    later unless another edge of it passes, so it is dropped."""
-    pairs = (
-        edges.where(F.col("_a") != F.col("_b"))
-        .select("_g", F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"))
-        .distinct()
-    )
-    a = clusters.select("_g", F.col("_c").alias("_a"), F.col("_s").alias("_sa"), F.col("_n").alias("_na"))
-    b = clusters.select("_g", F.col("_c").alias("_b"), F.col("_s").alias("_sb"), F.col("_n").alias("_nb"))
-    joined = pairs.join(a, ["_g", "_a"]).join(b, ["_g", "_b"])
-    sim = _mean_cosine("_sa", "_sb", (F.col("_na") * F.col("_nb")).cast("double"))
-    return joined.select("_g", "_a", "_b", sim.alias("_sim")).where(F.col("_sim") > threshold)

@@ -976,6 +976,12 @@ def tag_clusters(v: Views) -> DataFrame:
     return V.cluster_tags(v.family_vectors(), 0.8, local_rows=LOCAL_ROWS)
 
 
+@query("tag_clusters_by_mean")
+def tag_clusters_by_mean(v: Views) -> DataFrame:
+    # All vectors in one group, where means of clusters decide: chains of close pairs reach much further. Iterative, so without SQL.
+    return V.cluster_tags(v.vectors(), 0.35, local_rows=LOCAL_ROWS).select("good_type", "tag_id", "cluster_id")
+
+
 @query("consolidated_pool", ("members",), """select distinct good_type, tag as old_tag, best as new_tag from members where n > 1 and tag <> best
     union all select distinct good_type, '', best from members""", {
     "named": (["families", "family_vectors"], """select f.good_type, cluster_id, concat('t', lpad(f.tag_id::varchar, 9, '0')) as tag, freq

@@ -96,3 +96,46 @@ def test_consolidate_pool(spark):
     assert {r["tag"] for r in tags.collect()} == {"plush", "odd"}
     got = {(r["old_tag"], r["new_tag"], r["ord"]) for r in rules.collect()}
     assert got == {("soft", "plush", 0), ("very soft", "plush", 0), ("softness", "plush", 0), ("odd", "strange", 1)}
+
+
+def greedy_by_sums(m, t):
+    """Plain average linkage over vector sums: merge the closest two clusters, smallest ids first, while they are above t."""
+    sums, sizes, members = m.copy(), np.ones(len(m)), {i: [i] for i in range(len(m))}
+    while True:
+        heads = np.array(sorted(members))
+        sims = (sums[heads] @ sums[heads].T) / np.outer(sizes[heads], sizes[heads])
+        sims[np.tril_indices(len(heads))] = -np.inf
+        a, b = np.unravel_index(sims.argmax(), sims.shape)
+        if sims[a, b] <= t:
+            return {x: min(c) for c in members.values() for x in c}
+        i, j = int(heads[a]), int(heads[b])
+        sums[i] += sums[j]
+        sizes[i] += sizes[j]
+        members[i] += members.pop(j)
+
+
+def test_clusters_of_all_given_vectors_equal_plain_linkage(spark):
+    from tagweave.plans.registry import LOCAL_ROWS, QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").collect()
+    ids = [r.vec_id for r in rows]
+    m = np.array([r.embedding for r in rows], np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    assert len(m) > LOCAL_ROWS
+    want = {ids[i]: ids[c] for i, c in greedy_by_sums(m, 0.35).items()}
+    assert len(set(want.values())) < 0.8 * len(want)
+    assert found(QUERIES["tag_clusters_by_mean"](spark, folder)) == want
+
+
+def test_nearest_clusters_of_a_dense_group_write_one_row_each(spark):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(120, 8)) * 0.2 + np.eye(8)[0] * 3
+    rows = [("g", i, [float(x * (1 + i % 3)) for x in v], 1 + i % 3) for i, v in enumerate(m)]
+    clusters = spark.createDataFrame(rows, "_g string, _c long, _s array<double>, _n long")
+    got = {r._c: (r._o, r._sim) for r in V.nearest_clusters(clusters, 0.5, block_rows=20).collect()}
+    sims = m @ m.T
+    np.fill_diagonal(sims, -np.inf)
+    # Means are no unit vectors here, so their product may pass one.
+    assert {c: o for c, (o, _) in got.items()} == dict(enumerate(sims.argmax(1).tolist()))
+    assert all(abs(s - sims[c, o]) < 1e-9 for c, (o, s) in got.items())
