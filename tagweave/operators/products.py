@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tagweave.functions import text as T
 from tagweave.operators.layout import first_by
+from tagweave.operators.packing import packed_rows
 
 ATTRS = ("name", "good_type", "good_subtype")
 
@@ -68,43 +66,22 @@ def review_chunks(
 ) -> DataFrame:
     """(key, chunk_id, n_chunks, reviews) from long rows: a product's reviews in order, packed into chunks of ``max_chars``.
 
-    The same chunks as :func:`~tagweave.functions.text.chunk_reviews` cuts from one array, for products of any size. Where a chunk
-    begins depends on all reviews before it, so lengths alone pass through one task per product, in order and as a
-    stream that holds no more than (chunk, used characters); the texts then meet their chunk by a join. Null texts count as empty,
+    The same chunks as :func:`~tagweave.functions.text.chunk_reviews` cuts from one array, for products of any size: lengths are
+    packed in blocks over many tasks, see :mod:`tagweave.operators.packing`, and the texts meet their chunk by a join. Null texts count as empty,
     null keys drop out, repeated rows stay repeated.
     """
     ids = [key, *order_by, "_h"]
     rows = df.where(F.col(key).isNotNull()).select(key, *order_by, F.col(value).alias("_v"))
     rows = rows.withColumn("_h", F.xxhash64("_v")).groupBy(*ids).agg(F.first("_v").alias("_v"), F.count(F.lit(1)).alias("_m"))
     sizes = rows.select(*ids, "_m", F.coalesce(F.length("_v"), F.lit(0)).alias("_size"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        product, chunk, used = None, 0, 0
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            at, chunks = [], []
-            for i, (sku, n, size) in enumerate(zip(*(table.column(c).to_pylist() for c in (key, "_m", "_size")), strict=True)):
-                for _ in range(n):
-                    if sku != product:
-                        product, chunk, used = sku, 0, size
-                    elif used + size > max_chars:
-                        chunk, used = chunk + 1, size
-                    else:
-                        used += size
-                    at.append(i)
-                    chunks.append(chunk)
-            out = table.select(ids).take(pa.array(at, pa.int64())).append_column("chunk_id", pa.array(chunks, pa.int32()))
-            yield from out.combine_chunks().to_batches()
-
-    schema = StructType([*(sizes.schema[c] for c in ids), StructField("chunk_id", IntegerType())])
-    placed = sizes.repartition(key).sortWithinPartitions(*ids).mapInArrow(pack, schema)
-    placed = placed.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(ids)], "chunk_id")
+    placed = packed_rows(sizes, max_chars, key, ids)
+    placed = placed.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(ids)], "chunk_id", "n_chunks")
     same = F.lit(True)
     for i, c in enumerate(ids):
         same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
     order = F.struct(*[F.col(c) for c in ids[1:]])
-    chunks = rows.join(placed, same).groupBy(key, "chunk_id").agg(_in_order(order, "_v").alias("reviews"))
-    return chunks.withColumn("n_chunks", F.max("chunk_id").over(W.partitionBy(key)) + 1).select(key, "chunk_id", "n_chunks", "reviews")
+    chunks = rows.join(placed, same).groupBy(key, "chunk_id", "n_chunks").agg(_in_order(order, "_v").alias("reviews"))
+    return chunks.select(key, "chunk_id", "n_chunks", "reviews")
 
 
 def min_reviews(grouped: DataFrame, n: int = 4) -> DataFrame:
@@ -230,7 +207,7 @@ def product_text_chunks(
     """(key, chunk_id, n_chunks, text): the text of :func:`aggregate_products` in pieces, for products whose text fits no row.
 
     A product's pieces in order, joined by one blank, are its text. A piece holds the comments of whole rows of ``max_chars`` characters together, a longer
-    row alone; the first one also has the attributes. Only lengths pass through one task per product, see :func:`review_chunks`.
+    row alone; the first one also has the attributes. No task reads a whole product, see :func:`review_chunks`.
     Different rows that ``order_by`` does not tell apart may stand in another order than there.
     """
     rows = with_defaults(df).where(F.col(key).isNotNull()).select(key, *order_by, *ATTRS, T.parse_list("comment_text").alias("_c"))
