@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import arrow_map, mix, ranges, stored, text_slices, word_hashes
+from tagweave.llm.common import arrow_map, free_names, mix, ranges, stored, text_slices, word_hashes
 from tagweave.llm.components import connected_components
 
 WORDS = 5
@@ -304,15 +304,18 @@ def one_per_class(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text
     Key and text decide together, so rows that share a key but not a class do not stand for each other. Texts without words are
     classes of their own and stay; of rows that repeat key and text one stays, but without key and words all.
     """
+    own, node, text_node = free_names(docs, "_key", "_text_node", "_node")
     rows = classes.groupBy(key, "node").agg(F.first("class").alias("class"), F.count(F.lit(1)).alias("_rows"))
     best = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("_key"), F.col("node").alias("_text_node"), "_rows")).alias("_w")
     first = rows.where(F.col("class").isNotNull()).groupBy("class").agg(best).select("_w._key", "_w._text_node", "_w._rows")
     alone = rows.where(F.col("class").isNull()).select(F.col(key).alias("_key"), F.col("node").alias("_text_node"), F.when(F.col(key).isNull(), 1).otherwise(F.col("_rows")).alias("_rows"))
     first = stored(first.unionByName(alone), "first")
-    marked = docs.withColumn("_node", F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))))
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_node") == F.col("_text_node"))
-    kept = marked.join(first.where("_rows = 1"), same, "left_semi")
+    once = first.where("_rows = 1").select(F.col("_key").alias(own), F.col("_text_node").alias(node))
+    again = first.where("_rows > 1").select(F.col("_key").alias(own), F.col("_text_node").alias(node))
+    marked = docs.withColumn(text_node, F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))))
+    same = F.col(key).eqNullSafe(F.col(own)) & (F.col(text_node) == F.col(node))
+    kept = marked.join(once, same, "left_semi")
     # Repeated rows are looked for in the narrow table, so that no text moves for them in vain.
-    if first.where("_rows > 1").limit(1).count():
-        kept = kept.unionByName(marked.join(first.where("_rows > 1"), same, "left_semi").dropDuplicates([key, "_node"]))
-    return kept.drop("_node")
+    if again.limit(1).count():
+        kept = kept.unionByName(marked.join(again, same, "left_semi").dropDuplicates([key, text_node]))
+    return kept.drop(text_node)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import arrow_map, ranges, stored, text_slices
+from tagweave.llm.common import arrow_map, free_names, ranges, stored, text_slices
 
 CAPACITY = 2048
 # Expected pieces of one group; a group is packed inside one task.
@@ -94,18 +94,19 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(used, np.int64)
 
 
-def pack_group(rows: pa.Table, capacity: int, base: int) -> pa.Table:
+def pack_group(rows: pa.Table, capacity: int, base: int, own: list[str]) -> pa.Table:
     lengths = rows.column("length").to_numpy()
     bins, offsets, used = best_fit(lengths, capacity)
     certified = len(used) == lower_bound(lengths, capacity)
-    first = base + (rows.column("_group")[0].as_py() << 28)
-    for name, values in (("sequence_id", first + bins), ("offset", offsets), ("_open", used[bins] <= (capacity // 2 if certified else capacity - 1)), ("_first", offsets == 0)):
+    group, open_, first_ = own
+    first = base + (rows.column(group)[0].as_py() << 28)
+    for name, values in (("sequence_id", first + bins), ("offset", offsets), (open_, used[bins] <= (capacity // 2 if certified else capacity - 1)), (first_, offsets == 0)):
         rows = rows.append_column(name, pa.array(values))
     return rows
 
 
-def _packer(capacity: int, base: int) -> Callable[[pa.Table], pa.Table]:
-    return lambda rows: pack_group(rows, capacity, base)
+def _packer(capacity: int, base: int, own: list[str]) -> Callable[[pa.Table], pa.Table]:
+    return lambda rows: pack_group(rows, capacity, base, own)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -119,30 +120,34 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int =
     """
     pieces = pieces.drop("sequence_id", "offset")
     names = pieces.columns
+    # A number of its own deals equal pieces to different groups.
+    spread, *own = free_names(pieces, "_spread", "_group", "_open", "_first")
+    group, open_, first_ = own
+    pieces = pieces.withColumn(spread, F.monotonically_increasing_id())
     loose, done, before = stored(pieces, "pieces"), None, None
     for turn in range(max_rounds):
         n = loose.count()
         n_groups = max(1, -(-n // group_pieces))
-        deal = F.pmod(F.xxhash64(F.lit(turn), *[F.col(c) for c in names]), F.lit(n_groups)).cast("long")
+        deal = F.pmod(F.xxhash64(F.lit(turn), spread), F.lit(n_groups)).cast("long")
         base = turn << 56
-        grouped = loose.withColumn("_group", deal)
-        extra = "_group long, sequence_id long, offset long, _open boolean, _first boolean"
+        grouped = loose.withColumn(group, deal)
+        extra = f"`{group}` long, sequence_id long, offset long, `{open_}` boolean, `{first_}` boolean"
         schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in loose.schema]) + ", " + extra
 
-        packed = stored(grouped.groupBy("_group").applyInArrow(_packer(capacity, base), schema), f"packed-{turn}")
-        sequences = packed.where("_first")
-        total, opened = sequences.agg(F.count(F.lit(1)), F.count(F.when(F.col("_open"), 1))).first()
+        packed = stored(grouped.groupBy(group).applyInArrow(_packer(capacity, base, own), schema), f"packed-{turn}")
+        sequences = packed.where(F.col(first_))
+        total, opened = sequences.agg(F.count(F.lit(1)), F.count(F.when(F.col(open_), 1))).first()
         if before is not None and total >= before[0]:
             # The exchange saved nothing: the packing before it stands.
             packed = before[1]
             return done.unionByName(packed.select(*names, "sequence_id", "offset"))
-        final = packed.where(~F.col("_open")).select(*names, "sequence_id", "offset")
+        final = packed.where(~F.col(open_)).select(*names, "sequence_id", "offset")
         done = final if done is None else done.unionByName(final)
-        again = packed.where("_open")
+        again = packed.where(F.col(open_))
         if not opened or n_groups == 1 or turn == max_rounds - 1:
             return done.unionByName(again.select(*names, "sequence_id", "offset"))
         before = (opened, again)
-        loose = again.select(*names)
+        loose = again.select(*names, spread)
     return done
 
 
