@@ -3,9 +3,9 @@
 Counts are taken over the whole training part: tasks reduce their words and word pairs to distinct 64-bit hashes with counts,
 which are dealt by hash and summed. An n-gram whose count has level q (1 + floor of its logarithm) is put into the
 filter q times, once for each level up to q; asking for level 1, 2, ... until one is missing gives the level back.
-The filter grows with the n-grams: no count is left out. Its pairs are sent to the workers while they fit ``filter_bytes``; a larger filter stays
-a table by bucket, where frequent n-grams, whose number has a bound, are sent to the workers and all others are asked for by hash. Words are
-always asked for in this way, as the base score needs their exact counts, which never gather. Both ways give the same levels.
+The filter grows with the n-grams: no count is left out. It is a table by bucket: the levels of frequent n-grams, whose number has a bound, are
+sent to the workers, and every chunk of text asks each of its other distinct n-grams once, by bucket. For words the base score gets
+their exact counts in the same way; neither ever gathers.
 """
 
 from __future__ import annotations
@@ -24,16 +24,16 @@ LEVEL_BASE = 1.5
 MAX_LEVEL = 64
 PROBES = 4
 BITS_PER_ITEM = 10
-# Bytes of the pairs' filter up to which it is sent to the workers; a larger one is asked by bucket.
-FILTER_BYTES = 48 << 20
 # N-grams above one in this many training tokens (of their bucket, times the buckets) are sent to the workers: fewer than this many of a kind.
 FREQUENT = 1 << 20
 # Tokens whose questions go out together.
 ASK_TOKENS = 1_000_000
-WORD_BUCKET_BYTES, PAIR_BUCKET_BYTES = 16 << 20, 4 << 20
+WORD_BUCKET_BYTES, PAIR_BUCKET_BYTES = 16 << 20, 8 << 20
 # Distinct n-grams that a counting task holds before it reduces them.
 HELD = 1_000_000
 RATIO_BINS = 96
+# Mark of a token whose level is asked for; levels are below it.
+ASKED = 255
 
 _TABLE = byte_table(b" \t\n\v\f\r", lower=True)
 _END = np.uint64(0x7C15E2F0A5D3B911)
@@ -77,23 +77,39 @@ def reduced(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[at], sums
 
 
-def pack_keys(keys: np.ndarray, bits: int) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : bits // 8]).tobytes()
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Numbers, all lowest bytes first, in as many bytes each as the largest takes: small ones compress well."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def unpack_keys(data: bytes, bits: int) -> np.ndarray:
-    out = np.zeros((len(data) * 8 // bits, 8), np.uint8)
-    out[:, : bits // 8] = np.frombuffer(data, np.uint8).reshape(-1, bits // 8)
-    return out.view("<u8").ravel().astype(np.uint64)
+def unpack_numbers(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel()
 
 
-def pack_places(at: np.ndarray) -> bytes:
-    """Rising numbers below 2**32 as gaps, all lowest bytes first: what is left of them after compression is little more than one byte each."""
-    return np.diff(at, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Rising keys as gaps."""
+    return pack_numbers(np.diff(keys, prepend=np.uint64(0)))
 
 
-def unpack_places(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.int64)
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack_numbers(data), dtype=np.uint64)
+
+
+def pack_places(at: np.ndarray, n: int) -> bytes:
+    """Numbers below ``n`` in any order, each in the fewest bits that hold ``n``."""
+    bits = np.unpackbits(at.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, : max(1, int(n).bit_length())]
+    return np.packbits(bits).tobytes()
+
+
+def unpack_places(data: bytes, size: int, n: int) -> np.ndarray:
+    width = max(1, int(n).bit_length())
+    out = np.zeros((size, 32), np.uint8)
+    out[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8), count=size * width).reshape(size, width)
+    return np.packbits(out, axis=1, bitorder="little").view("<u4").ravel().astype(np.int64)
 
 
 def halves(keys: np.ndarray, at_level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,15 +118,9 @@ def halves(keys: np.ndarray, at_level: int) -> tuple[np.ndarray, np.ndarray]:
     return y & np.uint64(0xFFFFFFFF), (y >> np.uint64(32)) | np.uint64(1)
 
 
-def segment(keys: np.ndarray, counts: np.ndarray, max_bits: int | None = None) -> tuple[bytes, int]:
-    """(bits of one bucket's part of the filter, number of bits), sized by what is in it. With ``max_bits``, which no operator
-    sets, levels below the lowest that fits are left out."""
+def segment(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, int]:
+    """(bits of one bucket's part of the filter, number of bits), sized by what is in it."""
     levels = level(counts)
-    if max_bits is not None:
-        items = np.cumsum(np.bincount(levels, np.maximum(levels, 0), minlength=MAX_LEVEL)[::-1])[::-1]
-        fits = np.flatnonzero(items * BITS_PER_ITEM <= max_bits)
-        kept = levels >= (int(max(1, fits[0])) if len(fits) else MAX_LEVEL)
-        keys, levels = keys[kept], levels[kept]
     size = -(-int(levels.sum()) * BITS_PER_ITEM // 8) * 8
     flags = np.zeros(size, np.uint8)
     for j in range(1, int(levels.max(initial=0)) + 1):
@@ -121,41 +131,29 @@ def segment(keys: np.ndarray, counts: np.ndarray, max_bits: int | None = None) -
 
 
 class CountFilter:
-    """The filter with what its scores need: per kind, each bucket's place and size and the mean count of each level."""
+    """The filter of one bucket."""
 
-    def __init__(self, bits: bytes, places: dict[int, np.ndarray], sizes: dict[int, np.ndarray], means: dict[int, np.ndarray], n_tokens: int, n_words: int):
-        self.bits, self.places, self.sizes, self.means = np.frombuffer(bits, np.uint8), places, sizes, means
-        self.n_tokens, self.n_words = n_tokens, n_words
+    def __init__(self, bits: bytes, size: int):
+        self.bits, self.size = np.frombuffer(bits, np.uint8), np.uint64(size)
 
-    def levels(self, kind: int, keys: np.ndarray) -> np.ndarray:
+    def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of each key: levels are probed upwards until one is missing."""
         out = np.zeros(len(keys), np.int64)
-        if not len(self.bits) or not len(keys):
-            return out
-        shift = KEY_BITS[kind] - (len(self.sizes[kind]).bit_length() - 1)
-        bucket = (keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
-        open_ = np.flatnonzero(self.sizes[kind][bucket] > 0)
-        place, size, keys_ = self.places[kind][bucket[open_]], self.sizes[kind][bucket[open_]].astype(np.uint64), keys[open_]
+        open_, keys_ = np.arange(len(keys) if len(self.bits) else 0), keys
         for j in range(1, MAX_LEVEL):
             if not len(open_):
                 break
-            found = np.ones(len(open_), bool)
-            left = np.arange(len(open_))
+            found, left = np.ones(len(open_), bool), np.arange(len(open_))
             low, high = halves(keys_, j)
             for i in range(PROBES):
-                bit = ((low[left] + np.uint64(i) * high[left]) % size[left]).astype(np.int64)
-                hit = (self.bits[place[left] + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1
+                bit = ((low[left] + np.uint64(i) * high[left]) % self.size).astype(np.int64)
+                hit = (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
                 found[left[hit == 0]] = False
                 left = left[hit == 1]
-            open_, place, size, keys_ = open_[found], place[found], size[found], keys_[found]
+            open_, keys_ = open_[found], keys_[found]
             out[open_] = j
         return out
 
-    @classmethod
-    def of_bucket(cls, kind: int, bits: bytes, size: int) -> CountFilter:
-        """The filter of a single bucket's keys."""
-        return cls(bits, {kind: np.zeros(1, np.int64)}, {kind: np.array([size])}, {}, 0, 0)
-
 
 class Smoothing:
     """What levels stand for: mean counts and probabilities of tokens from the levels of words and pairs in order."""
@@ -207,15 +205,15 @@ def ngram_counts(docs: DataFrame, text: str, buckets: tuple[int, int]) -> DataFr
         rows = [(b, i, j) for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if i < j]
         columns = [
             pa.array([kind] * len(rows), pa.int32()), pa.array([b for b, _, _ in rows], pa.int32()),
-            pa.array([pack_keys(keys[i:j], bits) for _, i, j in rows], pa.binary()),
-            pa.array([counts[i:j].astype("<u4").tobytes() for _, i, j in rows], pa.binary()),
+            pa.array([pack_keys(keys[i:j]) for _, i, j in rows], pa.binary()),
+            pa.array([pack_numbers(counts[i:j]) for _, i, j in rows], pa.binary()),
         ]
         yield pa.RecordBatch.from_arrays(columns, ["kind", "bucket", "keys", "counts"])
 
     def total(rows: pa.Table) -> pa.Table:
         kind, bucket = rows.column("kind")[0].as_py(), rows.column("bucket")[0].as_py()
-        keys = np.concatenate([unpack_keys(x, KEY_BITS[kind]) for x in rows.column("keys").to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("counts").to_pylist()]).astype(np.int64)
+        keys = np.concatenate([unpack_keys(x) for x in rows.column("keys").to_pylist()])
+        counts = np.concatenate([unpack_numbers(x) for x in rows.column("counts").to_pylist()]).astype(np.int64)
         keys, counts = reduced(keys, counts)
         levels = level(counts)
         bits, size = segment(keys, counts)
@@ -224,8 +222,8 @@ def ngram_counts(docs: DataFrame, text: str, buckets: tuple[int, int]) -> DataFr
             "kind": kind, "bucket": bucket, "distinct": len(keys), "tokens": int(counts.sum()),
             "by_level": np.bincount(levels, minlength=MAX_LEVEL).tolist(), "tokens_by_level": np.bincount(levels, counts, MAX_LEVEL).astype(np.int64).tolist(),
             "bits": bits, "size": size, "top_keys": keys[top].tobytes(), "top_counts": counts[top].tobytes(),
-            "top_levels": CountFilter.of_bucket(kind, bits, size).levels(kind, keys[top]).astype(np.uint8).tobytes(),
-            "keys": pack_keys(keys, 64) if kind == WORD else None, "counts": counts.astype("<i8").tobytes() if kind == WORD else None,
+            "top_levels": CountFilter(bits, size).levels(keys[top]).astype(np.uint8).tobytes(),
+            "keys": pack_keys(keys) if kind == WORD else None, "counts": pack_numbers(counts) if kind == WORD else None,
         }
         return pa.Table.from_pylist([row], schema=schema)
 
@@ -258,20 +256,6 @@ def smoothing(table: DataFrame) -> Smoothing:
     return Smoothing(means, words.t if words else 0, words.n if words else 0)
 
 
-def build_filter(table: DataFrame, kind: int, buckets: int, max_bytes: int) -> CountFilter | None:
-    """The filter of one kind from its segments, or None where they take more than ``max_bytes`` together."""
-    rows = table.where((F.col("kind") == kind) & (F.col("size") > 0))
-    if (rows.agg(F.sum(F.col("size") / 8)).first()[0] or 0) > max_bytes:
-        return None
-    places, sizes = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-    parts, at = [], 0
-    for r in rows.select("bucket", "size", "bits").toLocalIterator():
-        places[r.bucket], sizes[r.bucket] = at, r.size
-        parts.append(bytes(r.bits))
-        at += len(r.bits)
-    return CountFilter(b"".join(parts), {kind: places}, {kind: sizes}, {}, 0, 0)
-
-
 def frequent_ngrams(table: DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys in order, counts, levels by the filter) of the frequent n-grams."""
     rows = table.where(F.col("kind") == kind).select("top_keys", "top_counts", "top_levels").collect()
@@ -324,7 +308,7 @@ def fit_weights(chunks: DataFrame, model: Smoothing) -> np.ndarray:
     return weights
 
 
-def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_tokens, n_known, train_tokens, base_score and score of its whole text, learnt from the rows where ``training`` holds.
 
     Tokens are the words between the white space of ASCII, with A-Z lower-cased, and one end. ``base_score`` is the log10 probability under
@@ -338,13 +322,13 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
     total_bytes = rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     buckets = n_buckets(total_bytes, WORD_BUCKET_BYTES), n_buckets(total_bytes, PAIR_BUCKET_BYTES)
     counts = stored(ngram_counts(learn, text, buckets), "ngrams")
-    model, pair_filter = smoothing(counts), build_filter(counts, PAIR, buckets[PAIR], filter_bytes)
-    frequent = {k: frequent_ngrams(counts, k) for k in ((WORD, PAIR) if pair_filter is None else (WORD,))}
-    sent = spark.sparkContext.broadcast((pair_filter, frequent))
+    model = smoothing(counts)
+    # Arrays alone, of fewer than FREQUENT n-grams of a kind.
+    sent = spark.sparkContext.broadcast({k: frequent_ngrams(counts, k) for k in (WORD, PAIR)})
     n_tokens, n_words = model.n_tokens, model.n_words
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per some slices: one row of what is known about their texts, and for each bucket one with the rarer n-grams and where they stand."""
+        """Per some slices: one row of what is known about their texts, and for each bucket one with the rarer distinct n-grams."""
         part, k, held, n_held = TaskContext.get().partitionId(), 0, [], 0
         for batch, texts in text_slices(batches, text):
             held.append((batch.column(key).to_pylist(), batch.column("_train").to_pylist(), *sequence(texts)))
@@ -356,74 +340,69 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
             yield asked_of(part << 32 | k, held)
 
     def asked_of(chunk: int, held: list[tuple]) -> pa.RecordBatch:
-        pair_filter, frequent = sent.value
         tokens, n = (np.concatenate([h[i] for h in held]) for i in (2, 3))
         own = {"chunk": chunk, "kind": OWN, "bucket": chunk, "n": n.tolist(), "ids": [x for h in held for x in h[0]], "train": [x for h in held for x in h[1]]}
         out = [own]
         for kind, name, keys in ((WORD, "words", tokens), (PAIR, "pairs", pair_keys(tokens))):
-            if kind == PAIR and pair_filter is not None:
-                own[name] = pair_filter.levels(kind, keys).astype(np.uint8).tobytes()
-                continue
-            known, known_counts, known_levels = frequent[kind]
+            known, known_counts, known_levels = sent.value[kind]
             at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
             hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
             levels = np.zeros(len(keys), np.uint8)
-            levels[hit] = known_levels[at[hit]]
-            own[name] = levels.tobytes()
+            # What is not among the frequent ones is marked, and stands in the order of the text as a place among the distinct rarer keys.
+            levels[~hit], levels[hit] = ASKED, known_levels[at[hit]]
             if kind == WORD:
                 log = np.zeros(len(keys))
                 log[hit] = np.log10(known_counts[at[hit]] + 0.5)
                 own["base"], own["known"] = segment_sum(log, n).tolist(), segment_sum(hit.astype(np.int64), n).tolist()
-            place = np.flatnonzero(~hit)
-            bucket = (keys[place] >> np.uint64(KEY_BITS[kind] - buckets[kind].bit_length() + 1)).astype(np.uint32)
-            order = np.argsort(bucket, kind="stable")
-            place, bucket = place[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(place) else np.zeros(1, np.int64)
-            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                at = place[i:j]
-                out.append({"chunk": chunk, "kind": kind, "bucket": int(bucket[i]), "keys": pack_keys(keys[at], KEY_BITS[kind]), "at": pack_places(at)})
+            rare, place = np.unique(keys[~hit], return_inverse=True)
+            own[name], own[f"{name}_at"] = levels.tobytes(), pack_places(place, len(rare))
+            cuts = np.searchsorted(rare >> np.uint64(KEY_BITS[kind] - buckets[kind].bit_length() + 1), np.arange(buckets[kind] + 1, dtype=np.uint64)).tolist()
+            for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if i < j:
+                    out.append({"chunk": chunk, "kind": kind, "bucket": b, "keys": pack_keys(rare[i:j])})
         return pa.RecordBatch.from_pylist(out, schema=asked)
 
     def answer(questions: pa.Table, ngrams: pa.Table) -> pa.Table:
-        """Levels of a bucket's n-grams, and counts of words, where they were asked for; rows about whole chunks pass."""
+        """Levels of a bucket's n-grams, and counts of words, in the order in which they were asked for; rows about whole chunks pass."""
         if not questions.num_rows or questions.column("kind")[0].as_py() == OWN:
             return questions.select(asked.names).cast(asked)
         kind, out = questions.column("kind")[0].as_py(), []
-        segment_, keys, counts = None, np.empty(0, np.uint64), np.empty(0, np.int64)
+        segment_, keys, counts = None, np.empty(0, np.uint64), np.empty(0, np.uint64)
         if ngrams.num_rows:
             row = ngrams.to_pylist()[0]
-            segment_ = CountFilter.of_bucket(kind, row["bits"], row["size"])
+            segment_ = CountFilter(row["bits"], row["size"])
             if kind == WORD:
-                keys, counts = unpack_keys(row["keys"], KEY_BITS[kind]), np.frombuffer(row["counts"], "<i8")
-        for row in questions.select(["chunk", "keys", "at"]).to_pylist():
-            wanted, place = unpack_keys(row["keys"], KEY_BITS[kind]), unpack_places(row["at"])
-            levels = segment_.levels(kind, wanted) if segment_ else np.zeros(len(wanted), np.int64)
-            found = {"chunk": row["chunk"], "kind": kind}
+                keys, counts = unpack_keys(row["keys"]), unpack_numbers(row["counts"])
+        for row in questions.select(["chunk", "kind", "bucket", "keys"]).to_pylist():
+            wanted = unpack_keys(row.pop("keys"))
+            levels = segment_.levels(wanted) if segment_ else np.zeros(len(wanted), np.int64)
             if kind == WORD:
                 at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-                found["counts"] = (np.where(keys[at] == wanted, counts[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)).astype("<i8").tobytes()
-            else:
-                place, levels = place[levels > 0], levels[levels > 0]
-            out.append({**found, "at": pack_places(place), "words": levels.astype(np.uint8).tobytes()})
+                row["counts"] = pack_numbers(np.where(keys[at] == wanted, counts[at], 0) if len(keys) else np.zeros(len(wanted), np.uint64))
+            out.append({**row, "words": levels.astype(np.uint8).tobytes()})
         return pa.Table.from_pylist(out, schema=asked)
 
     def gather(rows: pa.Table) -> pa.Table:
         """A chunk's texts with the levels of all their tokens and the base score."""
-        parts = rows.to_pylist()
+        parts = sorted(rows.to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
         own = next(r for r in parts if r["kind"] == OWN)
         n = np.array(own["n"], np.int64)
-        levels = {k: np.frombuffer(own[c], np.uint8).copy() for k, c in ((WORD, "words"), (PAIR, "pairs"))}
-        log, known = np.zeros(len(levels[WORD])), np.zeros(len(levels[WORD]), np.int64)
-        for r in parts:
-            if r["kind"] != OWN:
-                at = unpack_places(r["at"])
-                levels[r["kind"]][at] = np.frombuffer(r["words"], np.uint8)
-                if r["kind"] == WORD:
-                    counts = np.frombuffer(r["counts"], "<i8")
+        log, known = np.zeros(int(n.sum())), np.zeros(int(n.sum()), np.int64)
+        for kind, name in ((WORD, "words"), (PAIR, "pairs")):
+            found = [r for r in parts if r["kind"] == kind]
+            levels = np.frombuffer(own[name], np.uint8).copy()
+            at = np.flatnonzero(levels == ASKED)
+            rare = np.frombuffer(b"".join(r["words"] for r in found), np.uint8)
+            place = unpack_places(own[f"{name}_at"], len(at), len(rare))
+            if len(at):
+                levels[at] = rare[place]
+                if kind == WORD:
+                    counts = np.concatenate([unpack_numbers(r["counts"]) for r in found]).astype(np.int64)[place]
                     log[at], known[at] = np.log10(counts + 0.5), counts > 0
+            own[name] = levels.tobytes()
         base = np.array(own["base"]) + segment_sum(log, n) - n * np.log10(n_tokens + 0.5 * (n_words + 1))
         known = np.array(own["known"], np.int64) + segment_sum(known, n)
-        row = {**{c: own[c] for c in ("ids", "train", "n")}, "known": known.tolist(), "base": base.tolist(), "words": levels[WORD].tobytes(), "pairs": levels[PAIR].tobytes()}
+        row = {**{c: own[c] for c in ("ids", "train", "n", "words", "pairs")}, "known": known.tolist(), "base": base.tolist()}
         return pa.Table.from_pylist([row], schema=levelled)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,12 +416,12 @@ def score_documents(docs: DataFrame, training: Column, key: str = "doc_id", text
 
     long, double, binary = pa.int64(), pa.float64(), pa.binary()
     whole = [("ids", pa.list_(long)), ("train", pa.list_(pa.bool_())), ("n", pa.list_(long)), ("known", pa.list_(long)), ("base", pa.list_(double)), ("words", binary), ("pairs", binary)]
-    asked = pa.schema([("chunk", long), ("kind", pa.int32()), ("bucket", long), ("keys", binary), ("at", binary), ("counts", binary), *whole])
+    asked = pa.schema([("chunk", long), ("kind", pa.int32()), ("bucket", long), ("keys", binary), ("counts", binary), ("words_at", binary), ("pairs_at", binary), *whole])
     levelled = pa.schema(whole)
     kinds = "ids array<long>, train array<boolean>, n array<long>, known array<long>, base array<double>, words binary, pairs binary"
-    asked_kinds = f"chunk long, kind int, bucket long, keys binary, at binary, counts binary, {kinds}"
+    asked_kinds = f"chunk long, kind int, bucket long, keys binary, counts binary, words_at binary, pairs_at binary, {kinds}"
     questions = arrow_map(rows, ask, asked_kinds)
-    ngrams = counts.where(F.col("kind").isin(list(frequent))).select("kind", F.col("bucket").cast("long").alias("bucket"), "keys", "counts", "bits", "size")
+    ngrams = counts.select("kind", F.col("bucket").cast("long").alias("bucket"), "keys", "counts", "bits", "size")
     answers = questions.groupBy("kind", "bucket").cogroup(ngrams.groupBy("kind", "bucket")).applyInArrow(answer, asked_kinds)
     # A bucket without questions brings no row; a chunk's own row is always there.
     chunks = stored(answers.groupBy("chunk").applyInArrow(gather, kinds), "levels")
