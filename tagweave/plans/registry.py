@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tagweave.functions import text as T
 from tagweave.functions.numeric import cosine
 from tagweave.operators import labels as L
+from tagweave.operators import long_texts as X
 from tagweave.operators import metrics as M
 from tagweave.operators import pools as P
 from tagweave.operators import priors as R
@@ -575,6 +576,31 @@ def predict_with_scorer(v: Views) -> DataFrame:
     return tagging.predict_tags(texts, words_scorer, artifacts).withColumn("prob", r6("prob"))
 
 
+LONG_SQL = {
+    **PRODUCT_SQL,
+    "word_labels": WORDS_SQL["word_labels"],
+    "text_tokens": (["product_texts"], """select product_sku, good_type, list_filter(string_split(lower(text), ' '), lambda t: t <> '') as tokens from product_texts"""),
+    "text_windows": (["text_tokens"], """select product_sku, good_type, array_to_string(tokens[c.i * 126 + 1 : c.i * 126 + 254], ' ') as text from text_tokens,
+        lateral (select unnest(range(0, 1 + greatest(0, ceil((len(tokens) - 254) / 126.0))::int)) as i) c"""),
+    "window_scores": (["text_windows", "word_labels"], WORDS_SQL["word_scores"][1].replace("product_texts", "text_windows")),
+    "word_scores": (["window_scores"], "select product_sku, good_type, label, max(prob) as prob from window_scores group by all"),
+    "word_choice": WORDS_SQL["word_choice"],
+}
+
+
+@query("predict_long", ("word_choice",), "select product_sku, good_type, label, round(prob, 6) as prob, rank from word_choice", LONG_SQL)
+def predict_long(v: Views) -> DataFrame:
+    labels = v.spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("roomy", "the", "en", "quality")])).alias("label"))
+    thresholds = labels.select("label", F.lit(0.9).alias("threshold"))
+    artifacts = AR.Artifacts(labels, AR.threshold_table(thresholds, v.spark.range(1).select(F.lit(0.9).alias("threshold"))), top_k=3)
+    return tagging.predict_long(v.reviews(), words_scorer, artifacts).withColumn("prob", r6("prob"))
+
+
+@query("product_leads", ("product_texts",), "select product_sku, substr(text, 1, 2000) as text from product_texts", PRODUCT_SQL)
+def product_leads(v: Views) -> DataFrame:
+    return X.lead_text(A.product_text_chunks(v.reviews()), 2000)
+
+
 PREPARED_SQL = {
     **PRODUCT_SPLIT,
     "exact_tags": (["tag_cells"], "select distinct product_sku, good_type, tag from tag_cells"),

@@ -15,8 +15,9 @@ from tagweave.operators import pools as P
 from tagweave.operators import priors as R
 from tagweave.operators import scoring as S
 from tagweave.operators import selection as C
-from tagweave.operators.layout import durable
-from tagweave.operators.products import aggregate_products
+from tagweave.operators.layout import durable, first_by
+from tagweave.operators.long_texts import lead_text, piece_windows
+from tagweave.operators.products import aggregate_products, product_text_chunks
 from tagweave.operators.replies import ClientFactory, ask, prefer_reranked, rerank
 from tagweave.operators.sampling import stratified_split
 from tagweave.operators.similarity import LOCAL_GROUP_ROWS, cluster_tags
@@ -102,6 +103,7 @@ def predict_from_scores(
     fallback: bool = False,
     tasks: int | None = None,
     threads: int = 1,
+    max_input_chars: int = 2000,
 ) -> DataFrame:
     """Chosen tags (product_sku, good_type, label, prob, rank) from chunk scores."""
     scores = calibrated_scores(chunk_scores, artifacts, fallback)
@@ -116,7 +118,7 @@ def predict_from_scores(
     selected = C.select_tags(scores, thresholds, artifacts.top_k, min_tags, default=default)
     better = rerank(
         scores, texts, reranker, template, max_candidates=rerank_top_n, max_return=rerank_max or artifacts.top_k,
-        tasks=tasks, threads=threads,
+        max_input_chars=max_input_chars, tasks=tasks, threads=threads,
     )
     return prefer_reranked(better, selected)
 
@@ -126,6 +128,33 @@ def predict_tags(df: DataFrame, scorer: S.Scorer, artifacts: Artifacts, **kwargs
     return predict_from_scores(S.score(df, scorer), artifacts, texts=df, **kwargs)
 
 
+def predict_long(
+    reviews: DataFrame,
+    scorer: S.Scorer,
+    artifacts: Artifacts,
+    order_by: Sequence[str] = ("comment_id",),
+    size: int = 256,
+    overlap: int = 128,
+    reranker: ClientFactory | None = None,
+    max_input_chars: int = 2000,
+    **kwargs,
+) -> DataFrame:
+    """Choose tags straight from reviews, for products of any size: the scorer reads token windows of the product text, the best score of a
+    product's windows counts, and a reranker reads the first ``max_input_chars`` characters. No row ever holds a product's whole text.
+    """
+    pieces = durable(product_text_chunks(reviews, max(T.MAX_CHARS_PER_CHUNK, max_input_chars + 100), order_by))
+    order = F.struct(*order_by)
+    heads = reviews.where(F.col("product_sku").isNotNull()).groupBy("product_sku").agg(first_by("good_type", order, False).alias("good_type"))
+    windows = piece_windows(pieces, size, overlap, carry=heads)
+    texts = None
+    if reranker is not None:
+        # White space at the beginning goes; a mark behind the cut keeps white space in front of it, and is cut off with the prompt.
+        lead = F.ltrim("text", F.lit(T.WHITE_SPACE))
+        marked = F.when(F.length(lead) > max_input_chars, F.concat(F.substring(lead, 1, max_input_chars), F.lit("."))).otherwise(lead)
+        texts = lead_text(pieces, max_input_chars + 100).withColumn("text", marked)
+    return predict_from_scores(S.score(windows, scorer), artifacts, reranker=reranker, texts=texts, max_input_chars=max_input_chars, **kwargs)
+
+
 def evaluate(scores: DataFrame, truth: DataFrame, products: DataFrame, vocab: DataFrame, tune_on: str = "val", steps: tuple[int, int] = (37, 19)) -> DataFrame:
     """Tune on one split, report both kinds of thresholds on every split: (split, mode, metrics).
 
