@@ -100,14 +100,19 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     change = np.flatnonzero(np.diff(np.concatenate(([False], inside)).astype(np.int8)))
     starts, ends = change[::2], change[1::2]
     size = ends - starts
-    lanes = (size + 7) >> 3
-    place = ranges(lanes)
-    at = np.repeat(starts, lanes) + 8 * place
-    left = np.minimum(np.repeat(ends, lanes) - at, 8)
     # Eight bytes from every place of the text on.
     window = np.ndarray((n,), "<u8", raw.data, strides=(1,))
-    lane = mix((window[at] & _LANE_MASK[left]) ^ mix(place.astype(np.uint64) * _P + _M1))
-    h = np.add.reduceat(lane, np.cumsum(lanes) - lanes) if len(lane) else np.empty(0, np.uint64)
+
+    def lane(at: np.ndarray, left: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return mix((window[at] & _LANE_MASK[np.minimum(left, 8)]) ^ mix(place * _P + _M1))
+
+    h = lane(starts, size, np.zeros(1, np.uint64))
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) >> 3
+        place = ranges(more) + 1
+        at = np.repeat(starts[long], more) + 8 * place
+        h[long] += np.add.reduceat(lane(at, np.repeat(ends[long], more) - at, place.astype(np.uint64)), np.cumsum(more) - more)
     limits = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     return mix(h + size.astype(np.uint64) * _P), np.diff(np.searchsorted(starts, limits), prepend=0)
 
