@@ -83,6 +83,8 @@ def multi_hot_vector(column: str, labels: Column) -> Column:
     return F.transform(labels, lambda lab: F.array_contains(F.col(column), lab).cast("int"))
 
 
-def long_tags(df: DataFrame, key: str = "product_sku", column: str = "tags", lower: bool = False) -> DataFrame:
-    """Delimited tag cells -> distinct (key, tag)."""
-    return explode_tags(df, [key], column, lower).distinct()
+def long_tags(
+    df: DataFrame, key: str = "product_sku", column: str = "tags", lower: bool = False, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Delimited tag cells -> distinct (key, columns that the key decides, tag)."""
+    return explode_tags(df, [key, *carry], column, lower).distinct()

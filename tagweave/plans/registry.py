@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions import text as T
 from tagweave.functions.numeric import cosine
+from tagweave.operators import approximate as N
 from tagweave.operators import labels as L
 from tagweave.operators import long_texts as X
 from tagweave.operators import metrics as M
@@ -16,6 +18,7 @@ from tagweave.operators import pools as P
 from tagweave.operators import priors as R
 from tagweave.operators import products as A
 from tagweave.operators import replies as Q
+from tagweave.operators import resumable as RS
 from tagweave.operators import sampling as O
 from tagweave.operators import scoring as S
 from tagweave.operators import selection as C
@@ -368,7 +371,8 @@ VOCAB_SQL = {
 def _split_doc_tags(v: Views) -> DataFrame:
     docs = v.doc_tags()
     split = O.stratified_split(docs.select("product_sku", "good_type"), seed=SEED).select("product_sku", "split")
-    return L.long_tags(docs).join(split, "product_sku")
+    # The split meets whole documents: their tags are many times as many rows.
+    return L.long_tags(docs.join(split, "product_sku"), carry=["split"])
 
 
 @query("label_vocab", ("doc_vocab",), "select label_id, label, n from doc_vocab", VOCAB_SQL)
@@ -787,6 +791,20 @@ def pending(v: Views) -> DataFrame:
     )
 
 
+@query("resumed_output", ("conv_reviews",), """select product_sku, count(*) as n_comments, sum(length(comment_text))::bigint as n_chars
+    from conv_reviews group by product_sku""")
+def resumed_output(v: Views) -> DataFrame:
+    """A job over the first turns' rows, then one over all: it makes the parts whose input has changed anew and leaves the others."""
+    path = f"{shared_folder(v.spark)}/resumed-{uuid.uuid4().hex}"
+
+    def work(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("product_sku").agg(F.count(F.lit(1)).alias("n_comments"), F.sum(F.length("comment_text")).alias("n_chars"))
+
+    rows = v.conv_reviews().select("product_sku", "comment_id", "comment_text")
+    RS.write_by_parts(rows.where("comment_id % 1000 = 0"), work, path, parts=8, batches=1)
+    return RS.write_by_parts(rows, work, path, parts=8, batches=2)
+
+
 # -- metrics --------------------------------------------------------------------------------------------------
 
 METRIC_SQL = {
@@ -971,6 +989,20 @@ def similar_pairs(v: Views) -> DataFrame:
     return V.similar_tag_pairs(v.vectors(), 0.3).select("id_a", "id_b", r6("cosine").alias("cosine"))
 
 
+@query("similar_pairs_lsh", ("family_vectors",), f"""select good_type, id_a, id_b, round(cosine, 6) as cosine from (select a.good_type, a.tag_id as id_a,
+    b.tag_id as id_b, {_COS} as cosine from family_vectors a join family_vectors b on a.good_type = b.good_type and a.tag_id < b.tag_id) x
+    where cosine > 0.8""")
+def similar_pairs_lsh(v: Views) -> DataFrame:
+    """By random projections. Pairs of a family are so close that one is missed about once in a million."""
+    return N.approximate_tag_pairs(v.family_vectors(), 0.8).withColumn("cosine", r6("cosine"))
+
+
+@query("similar_pairs_lsh_given")
+def similar_pairs_lsh_given(v: Views) -> DataFrame:
+    """Over all vectors as given, at a threshold where some pairs are missed: no SQL, the recall is measured in the tests."""
+    return N.approximate_tag_pairs(v.vectors(), 0.3).select("id_a", "id_b", r6("cosine").alias("cosine"))
+
+
 @query("similar_pairs_cosine", ("matched",), "select raw_id, round(max(cosine), 6) as cosine from matched group by raw_id", SIM_SQL)
 def similar_pairs_cosine(v: Views) -> DataFrame:
     """The column function on matched pairs: the same similarity as the block kernel."""
