@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,9 @@ PREFIX_BLOCK, FAMILY_BLOCK = 1024, 512
 # Rows of small prefixes or families that one task takes together.
 ROWS_PER_TASK = 4096
 
+# Bits of the filter that says which texts may have a family: 2 MiB, whatever the corpus.
+FILTER_BITS = 1 << 24
+
 _PAD = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -248,6 +252,37 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
     return in_tiles(members, "family", FAMILY_BLOCK).groupBy("_tile").applyInArrow(run, "node binary, links long, root binary")
 
 
+def _places(nodes: list[bytes], bits: int) -> np.ndarray:
+    """(nodes, 4) places in the filter: the four words of an md5 are as good as four hashes."""
+    return np.frombuffer(b"".join(nodes), "<u4").reshape(-1, 4).astype(np.int64) % bits
+
+
+def with_families(texts: DataFrame, families: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``texts`` whose ``node`` may be in ``families``, by a Bloom filter of ``bits``: the texts of others need not move.
+
+    Where families outgrow the filter it lets more rows pass; the join behind it decides. Only the filter's words come to the driver.
+    """
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(bits, bool)
+        for batch in batches:
+            flags[_places(batch.column(0).to_pylist(), bits)] = True
+        packed = np.packbits(flags, bitorder="little").view("<i8")
+        at = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(packed[at], pa.int64())], ["word", "bits"])
+
+    found = arrow_map(families.select("node"), words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    filled = np.zeros(bits // 64, np.int64)
+    filled[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    sent = texts.sparkSession.sparkContext.broadcast(filled.tobytes())
+
+    def may_be_in(nodes: pd.Series) -> pd.Series:
+        flags, at = np.frombuffer(sent.value, np.uint8), _places(nodes.tolist(), bits)
+        return pd.Series(((flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(1))
+
+    return texts.where(F.pandas_udf(may_be_in, "boolean")("node"))
+
+
 def jaccard_classes(
     docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -275,7 +310,7 @@ def jaccard_classes(
     families = connected_components(edges).select("node", F.col("label").alias("family"))
     size = families.groupBy("family").agg(F.count(F.lit(1)).alias("_n"))
     asked = families.join(size, "family").join(reps.select("node", "_rep", "weight"), "node")
-    texts = base.withColumnRenamed("_text", "text")
+    texts = with_families(base, families).withColumnRenamed("_text", "text")
     members = asked.join(texts, (asked["node"] == texts["node"]) & asked["_rep"].eqNullSafe(texts["_key"])).select(
         asked["node"], "family", "_n", "weight", "text"
     )

@@ -114,3 +114,14 @@ def test_one_per_class_where_keys_repeat_or_are_missing(make_docs):
     docs = make_docs([t for _, t in rows], [i for i, _ in rows])
     kept = sorted(((r.doc_id, r.text) for r in jaccard.one_per_class(docs, jaccard.jaccard_classes(docs)).collect()), key=str)
     assert kept == sorted([(1, x), (2, y), (3, z), rows[5], rows[6], (None, ""), (None, "")], key=str)
+
+
+def test_filter_of_families_keeps_all_of_them(spark):
+    nodes = [(i, bytes(np.random.default_rng(i).integers(0, 256, 16, dtype=np.uint8))) for i in range(400)]
+    df = spark.createDataFrame(nodes, "n int, node binary")
+    members = df.where("n % 5 = 0")
+    kept = {r.n for r in jaccard.with_families(df, members).collect()}
+    assert {n for n, _ in nodes if n % 5 == 0} == kept
+    # A filter that is far too small lets others pass as well, one of no members none.
+    small = {r.n for r in jaccard.with_families(df, members, 64).collect()}
+    assert kept < small and jaccard.with_families(df, members.where("n < 0")).count() == 0
