@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import heapq
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.tiling import tiles, top_k
+from tagweave.llm.tiling import matrix, tiles, top_k
 
 SHARD_ROWS = 4096
 # Components of the vectors in one block of data and of queries.
-DATA_CELLS, QUERY_CELLS = 1 << 22, 1 << 15
+DATA_CELLS, QUERY_CELLS = 1 << 20, 1 << 22
+# Queries that are under way at once in a tile.
+QUERY_ROWS = 4096
 LEAF_ROWS = 64
 
 
@@ -97,27 +100,31 @@ def search_tree(tree: Tree, points: np.ndarray, ids: np.ndarray, query: np.ndarr
                 heapq.heapreplace(best, entry)
 
 
-def search_tile(data: pd.DataFrame, queries: pd.DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> pd.DataFrame:
+def search_tile(data: pa.Table, queries: pa.Table, k: int, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> pa.Table:
     """Best k of a tile's rows for each of the tile's queries: shard after shard, each starting from the kth score so far."""
     out: dict[str, list] = {"query_id": [], "score": [], "vec_id": []}
-    if len(data) and len(queries):
-        data = data.sort_values("id")
-        all_points, all_ids = np.array(data["v"].tolist(), np.int64), data["id"].to_numpy()
-        asked, asked_ids = np.array(queries["v"].tolist(), np.int64), queries["id"].to_numpy()
-        kind = _exact_type(all_points.reshape(len(data), -1), asked.reshape(len(queries), -1))
-        all_points, asked = all_points.astype(kind), asked.astype(kind)
-        best: list[list] = [[] for _ in asked]
-        for at in range(0, len(data), shard_rows):
-            tree = Tree(all_points[at : at + shard_rows])
-            points, ids = all_points[at : at + shard_rows][tree.order], all_ids[at : at + shard_rows][tree.order]
-            for i, bound in enumerate(tree.bounds(asked)):
-                search_tree(tree, points, ids, asked[i], int(asked_ids[i]), bound, best[i], k)
-        for query, found in zip(asked_ids, best, strict=True):
-            for score, minus_id in found:
-                out["query_id"].append(int(query))
-                out["score"].append(score)
-                out["vec_id"].append(-minus_id)
-    return pd.DataFrame({c: np.array(v, np.int64) for c, v in out.items()})
+    if data.num_rows and queries.num_rows:
+        data = data.sort_by("id")
+        points, ids = matrix(data, "v", np.int64), data.column("id").to_numpy()
+        all_asked, all_ids = matrix(queries, "v", np.int64), queries.column("id").to_numpy()
+        kind = _exact_type(points, all_asked)
+        points, all_asked = points.astype(kind), all_asked.astype(kind)
+        shards = []
+        for at in range(0, len(ids), shard_rows):
+            tree = Tree(points[at : at + shard_rows])
+            shards.append((tree, points[at : at + shard_rows][tree.order], ids[at : at + shard_rows][tree.order]))
+        for at in range(0, len(all_ids), query_rows):
+            asked, asked_ids = all_asked[at : at + query_rows], all_ids[at : at + query_rows].tolist()
+            best: list[list] = [[] for _ in asked_ids]
+            for tree, own, own_ids in shards:
+                for i, bound in enumerate(tree.bounds(asked)):
+                    search_tree(tree, own, own_ids, asked[i], asked_ids[i], bound, best[i], k)
+            for query, found in zip(asked_ids, best, strict=True):
+                for score, minus_id in found:
+                    out["query_id"].append(query)
+                    out["score"].append(score)
+                    out["vec_id"].append(-minus_id)
+    return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
 
 def exact_search(
@@ -128,16 +135,16 @@ def exact_search(
 
     Components are floor(scale * x). Returns query_id, rank (from 1), vec_id, score (long). Ties go to the smaller id; a query
     never finds rows of its own id; fewer candidates than k give fewer rows; repeated rows count once each. Null ids, null
-    vectors and vectors with null or non-finite components take no part; vectors of different lengths never meet. An empty
-    table gives no rows; other columns are ignored.
+    vectors and vectors with null or non-finite components take no part; vectors of different lengths never meet. Inner
+    products that do not fit a long raise ValueError. An empty table gives no rows; other columns are ignored.
     """
     left, right = tiles(
         quantised(data, id_col, vector, scale), quantised(queries, id_col, vector, scale), data_cells, query_cells, ["v"]
     )
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
         return search_tile(a, b, k, shard_rows)
 
     keys = ["dim", "d", "q"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "query_id long, score long, vec_id long")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, score long, vec_id long")
     return top_k(found, k, "score")
