@@ -56,10 +56,11 @@ def one_line(text: str | None) -> str:
     return "".join(c if c.isprintable() else " " for c in text or "").strip()
 
 
-def capture_records(shard: str, n: int, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> Iterator[bytes]:
+def capture_records(shard: str, n: int, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None, revisit: bool) -> Iterator[bytes]:
     """The three records of one capture, in the order request, response or revisit, metadata.
 
-    The page id travels in an extension header, as urls may repeat or be missing.
+    Page ids, that of the page a revisit refers to as well, travel in extension headers, as urls may repeat or be missing. What a revisit
+    refers to is named by target and date, as the format allows in place of a record id.
     """
     ids = {kind: record_id(shard, n, kind) for kind in ("request", "response", "metadata")}
     uri = one_line(url)
@@ -73,7 +74,9 @@ def capture_records(shard: str, n: int, page_id: int | None, url: str | None, pa
     )
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html;charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     if revisit:
-        special = [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        target = one_line(refers_url)
+        special = [("WARC-Profile", REVISIT_PROFILE), *([("WARC-Refers-To-Target-URI", target)] if target else []),
+                   ("WARC-Refers-To-Date", CAPTURE_DATE), ("X-Refers-To-Page-Id", str(refers_to))]
     else:
         special = []
     # A revisit repeats the payload only if a reader could not find it elsewhere; here each record carries its own length and digest.
@@ -90,22 +93,26 @@ def capture_records(shard: str, n: int, page_id: int | None, url: str | None, pa
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, url, payload, sha1, refers_to, revisit): of equal payloads of ``min_bytes`` or more, the smallest page id is the response.
+    """(page_id, url, payload, sha1, refers_to, refers_url, revisit): of equal payloads of ``min_bytes`` or more, the smallest page id is the response.
 
     Payloads are told apart by SHA-1 and length. The smallest id is found by an aggregate that combines before its shuffle, and only
     payloads that occur more than once are joined back, so a payload that a third of all pages share neither gathers
     in a task nor moves more than once. Rows that repeat the smallest page id of their payload are responses as well;
-    a null page id counts as the largest and never is what a revisit refers to while another page has the payload.
+    a null page id counts as the largest and never is what a revisit refers to while another page has the payload. ``refers_url`` is
+    the smallest url under the page id referred to.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"sha1": F.sha1("payload"), "_n": F.length("payload")})
-    groups = rows.where(F.col("_n") >= min_bytes).groupBy("sha1", "_n").agg(F.count(F.lit(1)).alias("_c"), F.min("page_id").alias("refers_to"))
-    shared = groups.where(F.col("_c") > 1).drop("_c")
+    groups = rows.where(F.col("_n") >= min_bytes).groupBy("sha1", "_n").agg(
+        F.count(F.lit(1)).alias("_c"), F.min("page_id").alias("refers_to"),
+        F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("_first"),
+    )
+    shared = groups.where(F.col("_c") > 1).select("sha1", "_n", "refers_to", F.col("_first.url").alias("refers_url"))
     joined = rows.join(shared, ["sha1", "_n"], "left")
     revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     out = joined.withColumn("revisit", revisit).withColumn("refers_to", F.when(revisit, F.col("refers_to")))
-    return out.select("page_id", "url", "payload", "sha1", "refers_to", "revisit")
+    return out.select("page_id", "url", "payload", "sha1", "refers_to", "refers_url", "revisit")
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
@@ -122,10 +129,10 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
 
         def chunks() -> Iterator[bytes]:
             for batch in batches:
-                columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha1", "refers_to", "revisit")]
-                for page_id, url, payload, sha1, refers_to, revisit in zip(*columns, strict=True):
+                columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha1", "refers_to", "refers_url", "revisit")]
+                for page_id, url, payload, sha1, refers_to, refers_url, revisit in zip(*columns, strict=True):
                     digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                    for record in capture_records(path.rsplit("/", 1)[1], done[0], page_id, url, payload, digest, refers_to, revisit):
+                    for record in capture_records(path.rsplit("/", 1)[1], done[0], page_id, url, payload, digest, refers_to, refers_url, revisit):
                         yield zipped(record)
                     done[0] += 1
 
@@ -175,10 +182,9 @@ def record_row(record: bytes) -> tuple:
     if kind == "response" and digest is not None and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
         raise ValueError(f"payload of {headers['warc-record-id']} does not match its digest")
     page = headers.get("x-page-id")
-    refers = headers.get("warc-refers-to")
     return (
         headers["warc-record-id"], kind, headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), None if page is None else int(page),
-        digest, None if refers is None else refers.removeprefix("<urn:page:").removesuffix(">"), payload, headers.get("content-type"),
+        digest, headers.get("x-refers-to-page-id"), payload, headers.get("content-type"),
         int(headers.get("x-payload-length", 0)) if kind == "revisit" else len(payload),
     )
 

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import types as T
 
 from tagweave.llm import warc
-from tagweave.llm.common import open_file
+from tagweave.llm.common import new_folder, open_file
 from tagweave.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -97,3 +97,16 @@ def test_assembly_follows_links_and_leaves_strays_out(spark):
     assert found["r1"].request.record_id == "q1" and found["r1"].metadata.record_id == "m0"
     assert found["r2"].request is None and found["r2"].metadata.record_id == "m2"
     assert found["r3"].request is None and found["r3"].metadata is None
+
+
+def test_revisits_name_the_target_of_their_response(spark):
+    rows = [(2, "http://b.example/", "same"), (1, "http://a.example/é", "same"), (4, None, "same"), (None, "http://n.example/", "same"), (9, "u", "other")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = warc.write_archives(pages, new_folder(spark, "warc")).first()["path"]
+    with open_file(path) as file:
+        heads = [warc.parse(record)[0] for record in warc.members(file)]
+    revisits = [h for h in heads if h["warc-type"] == "revisit"]
+    assert len(revisits) == 3 and not any("warc-refers-to" in h for h in heads)
+    assert {(h["warc-refers-to-target-uri"], h["warc-refers-to-date"], h["x-refers-to-page-id"]) for h in revisits} == {
+        ("http://a.example/é", warc.CAPTURE_DATE, "1")
+    }
