@@ -18,7 +18,7 @@ HEADLINE = [
     "product_text", "product_tags", "grouped_reviews_min4", "sample_per_type", "stratified_split", "tag_pools", "tag_profile", "rewrite_tags",
     "label_vocab", "category_priors", "category_baseline", "max_pool", "prior_blend", "allow_mask", "select_tags", "predict_tags",
     "tag_replies", "rerank_apply", "micro_macro_f1", "tune_global", "tune_labels", "losses", "similar_pairs", "nearest_canonical",
-    "tag_clusters", "token_windows", "token_scorer", "review_chunks", "predict_long", "reviews_csv_blocks", "evaluate",
+    "tag_clusters", "token_windows", "token_scorer", "review_chunks", "predict_long", "reviews_csv_blocks", "evaluate", "similar_pairs_lsh", "resumed_output",
 ]
 
 
