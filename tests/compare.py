@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-# Iterative queries, which SQL cannot say; tests compare them with brute force.
+# Iterative and approximate queries, which SQL cannot say; tests compare them with brute force.
 WITHOUT_SQL = {"tag_clusters_by_mean", "similar_pairs_lsh_given"}
 
 
