@@ -73,9 +73,10 @@ def review_chunks(
     ids = [key, *order_by, "_h"]
     rows = df.where(F.col(key).isNotNull()).select(key, *order_by, F.col(value).alias("_v"))
     rows = rows.withColumn("_h", F.xxhash64("_v")).groupBy(*ids).agg(F.first("_v").alias("_v"), F.count(F.lit(1)).alias("_m"))
-    sizes = rows.select(*ids, "_m", F.coalesce(F.length("_v"), F.lit(0)).alias("_size"))
-    placed = packed_rows(sizes, max_chars, key, ids)
-    placed = placed.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(ids)], "chunk_id", "n_chunks")
+    # Names of its own, which the caller's cannot clash with.
+    own = [f"_k{i}" for i in range(len(ids))]
+    sizes = rows.select(*[F.col(c).alias(k) for c, k in zip(ids, own, strict=True)], "_m", F.coalesce(F.length("_v"), F.lit(0)).alias("_size"))
+    placed = packed_rows(sizes, max_chars, own[0], own).select(*own, "chunk_id", "n_chunks")
     same = F.lit(True)
     for i, c in enumerate(ids):
         same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
