@@ -1,9 +1,11 @@
-"""N-gram Jaccard join: banded MinHash finds candidates, exact Jaccard similarity of word shingles decides.
-
-Equal texts are one class from the start. Of the forest's ``TREES`` tries only the level that the wanted recall at the threshold asks for is
-built, as bands of fixed length: a pair is a candidate where it shares the whole band in any of them. Candidate
-pairs of one prefix whose whole signatures agree too little are ruled out; the others make families, and inside a family
-every pair is compared exactly. Only sums per document and one edge per document leave a task, never all pairs of a group.
+"""N-gram Jaccard join: a MinHash LSH forest finds candidates, exact Jaccard similarity of word shingles decides.
+
+Equal texts are one class from the start. Each of the ``TREES`` tries orders the texts by ``DEPTH`` minima. Subtrees below the shortest
+prefix that the wanted recall may ask for meet in a task and are sorted there, so that every longer prefix is a run of rows. Matched
+prefixes are shortened from the whole depth: at each level only texts of different children that are not yet in one family
+are compared by their whole signatures, and a subtree ends as soon as it is one family, or at the prefix that reaches the recall. Pairs
+that agree too little are ruled out; the others make families, and inside a family every pair is compared
+exactly. Only sums per document and one edge per document leave a task, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ _PAD = np.uint64(0x2545F4914F6CDD1D)
 
 
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """Longest prefix with which a pair at the threshold shares one in some tree with probability ``recall``."""
+    """Longest prefix with which a pair at the threshold shares one in some tree with probability ``recall``: where shortening ends."""
     k = depth
     while k > 1 and 1 - (1 - threshold**k) ** trees < recall:
         k -= 1
@@ -87,33 +89,42 @@ def minima(hashes: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, text: str, n: int) -> DataFrame:
-    """Add ``n_shingles`` and ``signature`` (``n`` 32-bit minima as bytes); the text goes."""
+    """Add ``n_shingles`` and ``signature`` (the low 16 bits of ``n`` minima as bytes); the text goes."""
     kept = [c for c in rows.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches, text):
             hashes, counts = shingles(texts)
             found = minima(hashes, counts, n)
-            columns = [*(batch.column(c) for c in kept), pa.array(counts, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())]
+            columns = [*(batch.column(c) for c in kept), pa.array(counts, pa.int64()), pa.array([x.tobytes() for x in found.astype(np.uint16)], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [*kept, "n_shingles", "signature"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text)
     return arrow_map(rows, run, f"{schema}, n_shingles long, signature binary")
 
 
-def prefixes(reps: DataFrame, trees: int, k: int) -> DataFrame:
-    """(prefix, node): one row per tree; the prefix is a hash of the tree's number and its first ``k`` minima."""
+def minima_of(signatures: list[bytes]) -> np.ndarray:
+    """(texts, trees, DEPTH) minima."""
+    return np.frombuffer(b"".join(signatures), np.uint16).reshape(len(signatures), -1, DEPTH)
+
+
+def prefixes(reps: DataFrame, k: int) -> DataFrame:
+    """(prefix, tree, node): one row per tree; the prefix is a hash of the tree's number and its first ``k`` minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, trees, k).astype(np.uint64)
+            if not batch.num_rows:
+                continue
+            s = minima_of(batch.column("signature").to_pylist()).astype(np.uint64)
+            trees = s.shape[1]
             h = mix(np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64), s.shape[:2]).copy())
             for i in range(k):
                 h = mix(h + s[:, :, i])
             nodes = batch.column("node").take(pa.array(np.repeat(np.arange(len(s)), trees)))
-            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), nodes], ["prefix", "node"])
+            tree = pa.array(np.tile(np.arange(trees, dtype=np.int16), len(s)))
+            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), tree, nodes], ["prefix", "tree", "node"])
 
-    return arrow_map(reps.select("node", "signature"), run, "prefix long, node binary")
+    return arrow_map(reps.select("node", "signature"), run, "prefix long, tree short, node binary")
 
 
 def in_tiles(rows: DataFrame, group: str, block_rows: int) -> DataFrame:
@@ -170,23 +181,53 @@ def groups_of(table: pa.Table, column: str) -> Iterator[tuple[pa.Table, np.ndarr
         yield table.slice(i, j - i), np.flatnonzero(a[i:j]), np.flatnonzero(b[i:j])
 
 
-def candidate_edges(members: DataFrame, agreement: float) -> DataFrame:
-    """(a, b) that connect the members of every prefix whose signatures agree in at least ``agreement`` of their places."""
+def subtree_families(paths: np.ndarray, whole: np.ndarray, side: np.ndarray | None, shortest: int, agreement: float) -> np.ndarray:
+    """Family (the number of one of its rows) of every row of a subtree: ``paths`` are the tree's minima, ``whole`` the signatures.
+
+    Rows sorted by path make a trie in which the rows below a prefix lie together. Prefixes are shortened from the longest match to
+    ``shortest``; at each level rows of different children and families meet, those of different sides only where ``side`` is given.
+    """
+    n = len(paths)
+    family = np.arange(n)
+    order = np.lexsort(paths.T[::-1])
+    path = paths[order]
+    shared = np.clip(np.cumprod(path[1:] == path[:-1], axis=1).sum(1), shortest, None)
+    child_end = np.arange(1, n + 1)
+    for depth in np.unique(shared)[::-1]:
+        ends = np.append(np.flatnonzero(shared < depth) + 1, n)
+        end = ends[np.searchsorted(ends, np.arange(n), side="right")]
+        for i in np.flatnonzero(child_end < end):
+            row, others = order[i], order[child_end[i] : end[i]]
+            others = others[family[others] != family[row]]
+            if side is not None:
+                others = others[side[others] != side[row]]
+            if len(others):
+                close = np.unique(family[others[(whole[others] == whole[row]).mean(1) >= agreement]])
+                if len(close):
+                    family[np.isin(family, close)] = family[row]
+        child_end = end
+        if (family == family[0]).all():
+            break
+    return family
+
+
+def candidate_edges(members: DataFrame, shortest: int, agreement: float) -> DataFrame:
+    """(a, b) that connect the texts which some tree's subtree puts into one family."""
 
     def run(table: pa.Table) -> pa.Table:
         found: set[tuple[bytes, bytes]] = set()
-        for group, a, b in groups_of(table, "prefix"):
+        for group, a, _ in groups_of(table, "prefix"):
             nodes = group.column("node").to_pylist()
             if len(nodes) < 2:
                 continue
-            s = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(len(nodes), -1)
-            forest = Forest(len(nodes))
-            for i in a.tolist():
-                others = b[b > i] if len(a) == len(nodes) else b
-                if len(others):
-                    for j in others[(s[others] == s[i]).mean(1) >= agreement].tolist():
-                        forest.join(i, j)
-            found.update((nodes[forest.root(i)], x) for i, x in enumerate(nodes) if forest.root(i) != i)
+            s = minima_of(group.column("signature").to_pylist())
+            tree = group.column("tree").to_numpy()
+            side = np.zeros(len(nodes), bool)
+            side[a] = True
+            family = subtree_families(s[np.arange(len(s)), tree], s.reshape(len(s), -1), None if side.all() else side, shortest, agreement)
+            # The smallest row of a family stands for it: rows are sorted by node.
+            _, first, which = np.unique(family, return_index=True, return_inverse=True)
+            found.update((nodes[first[f]], nodes[i]) for i, f in enumerate(which.tolist()) if first[f] != i)
         return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
 
     tiled = in_tiles(members, "prefix", PREFIX_BLOCK)
@@ -298,15 +339,15 @@ def jaccard_classes(
     k = prefix_length(threshold, trees, DEPTH, recall)
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = docs.select(F.col(key).alias("_key"), raw.alias("_text")).withColumn("node", F.unhex(F.md5(F.col("_text").cast("binary"))))
-    signed = stored(signatures(base, "_text", trees * k), "signatures")
+    signed = stored(signatures(base, "_text", trees * DEPTH), "signatures")
     with_words = signed.where("n_shingles > 0")
     reps = with_words.groupBy("node").agg(F.min("_key").alias("_rep"), F.count(F.lit(1)).alias("weight"), F.first("signature").alias("signature"))
     reps = stored(reps, "classes")
     # Prefixes that only one text has drop out before anything else moves.
-    entries = prefixes(reps, trees, k)
+    entries = prefixes(reps, k)
     sizes = entries.groupBy("prefix").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     shared = entries.join(sizes, "prefix").join(reps.select("node", "signature"), "node")
-    edges = candidate_edges(stored(shared, "prefixes"), lowest_agreement(threshold, trees * k))
+    edges = candidate_edges(stored(shared, "prefixes"), k, lowest_agreement(threshold, trees * DEPTH))
     families = connected_components(edges).select("node", F.col("label").alias("family"))
     size = families.groupBy("family").agg(F.count(F.lit(1)).alias("_n"))
     asked = families.join(size, "family").join(reps.select("node", "_rep", "weight"), "node")

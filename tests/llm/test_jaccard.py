@@ -1,6 +1,7 @@
 """The similarity join against all pairs compared one by one."""
 
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -125,3 +126,38 @@ def test_filter_of_families_keeps_all_of_them(spark):
     # A filter that is far too small lets others pass as well, one of no members none.
     small = {r.n for r in jaccard.with_families(df, members, 64).collect()}
     assert kept < small and jaccard.with_families(df, members.where("n < 0")).count() == 0
+
+
+def test_subtrees_join_what_all_pairs_join():
+    rng = np.random.default_rng(8)
+    trees, k, agreement = 4, 2, 0.5
+    for n in (2, 3, 40):
+        for sided in (False, True):
+            centre = rng.integers(0, 3, (1, trees * jaccard.DEPTH)).astype(np.uint16)
+            whole = np.where(rng.random((n, trees * jaccard.DEPTH)) < 0.45, rng.integers(0, 60, (n, trees * jaccard.DEPTH)), centre).astype(np.uint16)
+            whole[:, : k] = centre[:, : k]
+            side = rng.random(n) < 0.5 if sided else None
+            found = jaccard.subtree_families(whole[:, : jaccard.DEPTH], whole, side, k, agreement)
+            up = jaccard.Forest(n)
+            for i in range(n):
+                for j in range(i):
+                    if (side is None or side[i] != side[j]) and (whole[i] == whole[j]).mean() >= agreement:
+                        up.join(i, j)
+            roots = [up.root(i) for i in range(n)]
+            assert all((found[i] == found[j]) == (roots[i] == roots[j]) for i in range(n) for j in range(n))
+
+
+def test_recall_of_links_on_a_larger_table(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    texts = sorted({t for _, t in rows if t and t.split()})
+    sets = [shingle_set(t) for t in texts]
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    common = Counter((i, j) for docs in holders.values() for n, j in enumerate(docs) for i in docs[:n])
+    links = [(i, j) for (i, j), n in common.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9]
+    found = {r.doc_id: r.class_id for r in QUERIES["op3_jaccard"](spark, "/root/testdata/sf0.01").collect()}
+    ids = {t: i for i, t in rows}
+    together = sum(found[ids[texts[i]]] == found[ids[texts[j]]] for i, j in links)
+    assert len(found) == len(rows) and links and together >= 0.9999 * len(links)
