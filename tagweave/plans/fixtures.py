@@ -6,6 +6,8 @@ for DuckDB; ``with_views`` puts the needed ones in front of a query.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ def hex4(key: Column) -> Column:
 
 # Bytes of files up to which a table is dealt over all cores; a shuffle of so little costs next to nothing.
 SPREAD_BYTES = 256 << 20
+# Order lines times labels that one task expands to scores. Spark sizes a shuffle's tasks by the narrow rows in it, not by what they become.
+CELLS_PER_TASK = 1 << 21
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -100,12 +104,22 @@ class Views:
         labels = self.table("part").select(F.explode(self._words()).alias("label")).distinct()
         return number_labels(labels)
 
+    @functools.cached_property
+    def score_tasks(self) -> int:
+        """Number of tasks that hold at most about ``CELLS_PER_TASK`` cells of lines and labels each; it grows with the tables."""
+        lines = self.spark.read.parquet(f"{self.folder}/lineitem.parquet").count()
+        labels = self.table("part").select(F.explode(self._words()).alias("label")).distinct().count()
+        return max(self.spark.sparkContext.defaultParallelism, -(-lines * labels // CELLS_PER_TASK))
+
     def labelled_products(self) -> DataFrame:
-        """(product_sku, good_type, _labels): label set per product, at most two labels per line."""
+        """(product_sku, good_type, _labels): label set per product, at most two labels per line.
+
+        Lies by product in as many tasks as its scores need; they and the truth then meet without another shuffle.
+        """
         return self._lines().select(
             F.col("l_orderkey").alias("product_sku"), F.col("o_orderpriority").alias("good_type"),
             F.explode(self._words()).alias("label"),
-        ).groupBy("product_sku", "good_type").agg(F.collect_set("label").alias("_labels"))
+        ).repartition(self.score_tasks, "product_sku").groupBy("product_sku", "good_type").agg(F.collect_set("label").alias("_labels"))
 
     def truth(self) -> DataFrame:
         return self.labelled_products().select("product_sku", "good_type", F.explode("_labels").alias("label"))

@@ -30,3 +30,19 @@ def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
     # Every tagging query but iterative and approximate ones has its SQL; those and the optional operators have tests of their own.
     assert set(ORACLES) == set(QUERIES) - compare.WITHOUT_SQL
+
+
+def test_tasks_of_scores_grow_with_lines_and_labels(spark, tmp_path, monkeypatch):
+    from tagweave.plans import fixtures
+
+    names = ["red bolt", "old ring", "hot gear"]
+    spark.createDataFrame([(i, n) for i, n in enumerate(names)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(i, f"{i % 4}-KIND") for i in range(300)], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i // 2, i % 3, i % 2) for i in range(600)], "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(fixtures, "CELLS_PER_TASK", 100)
+    v = fixtures.Views(spark, str(tmp_path))
+    scores = v.scores()
+    assert scores.rdd.getNumPartitions() == v.score_tasks == 36
+    assert scores.count() == 300 * 6
+    # Choosing tags and meeting the truth moves no scores.
+    assert max(scores.rdd.glom().map(len).collect()) < 300
