@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -107,10 +107,12 @@ def route_category(df: DataFrame, routes: DataFrame, default: str = "accs") -> D
     return joined.withColumn("group_key", F.coalesce("group_key", F.lit(default)))
 
 
-def by_group(df: DataFrame, group: str = "group_key", key: str = "product_sku", tasks: int = CLIENT_TASKS_PER_GROUP) -> DataFrame:
-    """Place rows so that a task sees few groups while a large group still spreads over ``tasks`` slots."""
+def by_group(
+    df: DataFrame, group: str = "group_key", key: str = "product_sku", tasks: int = CLIENT_TASKS_PER_GROUP, order_by: Sequence[str] = ()
+) -> DataFrame:
+    """Place rows so that a task sees few groups while a large group still spreads over ``tasks`` slots; rows of a group in ``order_by``."""
     slot = F.pmod(F.xxhash64(key), F.lit(tasks))
-    return df.repartition(group, slot).sortWithinPartitions(group)
+    return df.repartition(group, slot).sortWithinPartitions(group, *order_by)
 
 
 def predict_by_group(
@@ -127,19 +129,28 @@ def predict_by_group(
     rerank_max: int | None = None,
     tasks: int | None = None,
     threads: int = 1,
+    piece: str | None = None,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """Route every product to its model group, score it with that group's labels, choose tags by one threshold.
 
     With ``reranker`` the best ``rerank_top_n`` labels, also those of probability 0, go to the client; products
-    without a usable reply keep the threshold choice.
+    without a usable reply keep the threshold choice. The client reads ``texts`` (product_sku, text), or the texts of ``df``.
+
+    Texts that fit no row come as pieces, see :func:`~tagweave.operators.products.product_text_chunks`, numbered by the column ``piece``: the scorer gets a
+    product's pieces one behind the other in one task and never the whole text at once. Of several rows of a piece the smallest text stands for it.
     """
-    placed = by_group(route_category(df, routes, default))
+    rows, order = df, []
+    if piece is not None:
+        rows = df.groupBy("product_sku", "good_type", piece).agg(F.min("text").alias("text"))
+        order = ["product_sku", "good_type", piece]
+    placed = by_group(route_category(rows, routes, default), order_by=order)
     scores = max_pool_scores(score(placed, scorer))
     if reranker is None:
         return select_tags(scores, threshold, top_k, min_tags)
     scores = durable(scores)
     better = rerank(
-        scores, df, reranker, template, max_candidates=rerank_top_n, max_return=rerank_max or top_k or rerank_top_n,
+        scores, df if texts is None else texts, reranker, template, max_candidates=rerank_top_n, max_return=rerank_max or top_k or rerank_top_n,
         positive_only=False, tasks=tasks, threads=threads,
     )
     return prefer_reranked(better, select_tags(scores, threshold, top_k, min_tags))

@@ -23,7 +23,7 @@ from tagweave.operators import sampling as O
 from tagweave.operators import scoring as S
 from tagweave.operators import selection as C
 from tagweave.operators import similarity as V
-from tagweave.operators.layout import durable, shared_folder
+from tagweave.operators.layout import durable, first_by, shared_folder
 from tagweave.plans import tagging
 from tagweave.plans.fixtures import SEED, UNLISTED_TYPE, Views, with_views
 from tagweave.sources import artifacts as AR
@@ -1069,18 +1069,45 @@ GROUP_LABELS = {"en": ["alpha", "beta", "gamma"], "romance": ["alpha", "delta"],
 
 
 def digest_scorer(batches):
-    """Stand-in for a model: a probability from the digest of text and label, labels by model group."""
+    """Stand-in for a model: a probability from the digest of text and label, labels by model group.
+
+    Of texts in pieces, which come one behind the other, it keeps only the digest so far.
+    """
     import hashlib
 
     import pandas as pd
 
+    here, digest = None, None
+
+    def ended():
+        for label in GROUP_LABELS[here[2]] if here else ():
+            whole = digest.copy()
+            whole.update(f"|{label}".encode())
+            yield *here[:2], 0, label, int(whole.hexdigest()[:4], 16) / 65535.0
+
     for pdf in batches:
-        rows = [
-            (sku, kind, 0, label, int(hashlib.md5(f"{text}|{label}".encode()).hexdigest()[:4], 16) / 65535.0)
-            for sku, kind, group, text in zip(pdf["product_sku"], pdf["good_type"], pdf["group_key"], pdf["text"])
-            for label in GROUP_LABELS[group]
-        ]
+        rows = []
+        for sku, kind, group, text in zip(pdf["product_sku"], pdf["good_type"], pdf["group_key"], pdf["text"]):
+            if here == (sku, kind, group) and "chunk_id" in pdf:
+                digest.update(b" ")
+            else:
+                rows += ended()
+                here, digest = (sku, kind, group), hashlib.md5()
+            digest.update(text.encode())
         yield pd.DataFrame(rows, columns=["product_sku", "good_type", "chunk_id", "label", "prob"])
+    yield pd.DataFrame(list(ended()), columns=["product_sku", "good_type", "chunk_id", "label", "prob"])
+
+
+# Characters of a text that one row holds, if no single review is longer.
+PIECE_CHARS = 20000
+
+
+def _text_pieces(v: Views) -> DataFrame:
+    """(product_sku, good_type, chunk_id, text): the product texts in pieces."""
+    reviews = v.reviews()
+    kinds = reviews.where(F.col("product_sku").isNotNull()).groupBy("product_sku").agg(first_by("good_type", F.struct("comment_id"), False).alias("good_type"))
+    pieces = A.product_text_chunks(reviews, PIECE_CHARS).join(kinds, "product_sku")
+    return durable(pieces.select("product_sku", "good_type", "chunk_id", "text"))
 
 
 _GROUP_ROWS = ",".join(f"('{g}','{lab}')" for g, labs in GROUP_LABELS.items() for lab in labs)
@@ -1104,8 +1131,7 @@ GROUP_SQL = {
 
 @query("predict_by_group", ("group_choice",), "select product_sku, good_type, label, round(prob, 6) as prob, rank from group_choice", GROUP_SQL)
 def predict_by_group(v: Views) -> DataFrame:
-    products = A.aggregate_products(v.reviews()).select("product_sku", "good_type", "text")
-    return S.predict_by_group(products, v.routes(), digest_scorer, 0.5, 8, "other").withColumn("prob", r6("prob"))
+    return S.predict_by_group(_text_pieces(v), v.routes(), digest_scorer, 0.5, 8, "other", piece="chunk_id").withColumn("prob", r6("prob"))
 
 
 CLIENT_TEMPLATE = "{text}\x01{candidates}\x01{max_return}"
@@ -1135,8 +1161,12 @@ def digest_client():
     where product_sku not in (select product_sku from reranked)""", GROUP_SQL)
 def rerank_with_client(v: Views) -> DataFrame:
     # Every product stands twice in the table of texts; it is asked and answered once.
-    products = A.aggregate_products(v.reviews()).select("product_sku", "good_type", "text")
-    out = S.predict_by_group(products.unionAll(products), v.routes(), digest_scorer, 0.5, 8, "other", reranker=digest_client, template=CLIENT_TEMPLATE, tasks=8, threads=2)
+    pieces = _text_pieces(v)
+    texts = X.prompt_text(pieces, 2000)
+    out = S.predict_by_group(
+        pieces.unionAll(pieces), v.routes(), digest_scorer, 0.5, 8, "other", reranker=digest_client, template=CLIENT_TEMPLATE, tasks=8, threads=2,
+        piece="chunk_id", texts=texts.unionAll(texts),
+    )
     return out.withColumn("prob", r6("prob"))
 
 

@@ -16,7 +16,7 @@ from tagweave.operators import priors as R
 from tagweave.operators import scoring as S
 from tagweave.operators import selection as C
 from tagweave.operators.layout import durable, first_by
-from tagweave.operators.long_texts import lead_text, piece_windows
+from tagweave.operators.long_texts import piece_windows, prompt_text
 from tagweave.operators.products import aggregate_products, product_text_chunks
 from tagweave.operators.replies import ClientFactory, ask, prefer_reranked, rerank
 from tagweave.operators.sampling import stratified_split
@@ -149,10 +149,7 @@ def predict_long(
     windows = piece_windows(pieces, size, overlap, carry=heads)
     texts = None
     if reranker is not None:
-        # White space at the beginning goes; a mark behind the cut keeps white space in front of it, and is cut off with the prompt.
-        lead = F.ltrim("text", F.lit(T.WHITE_SPACE))
-        marked = F.when(F.length(lead) > max_input_chars, F.concat(F.substring(lead, 1, max_input_chars), F.lit("."))).otherwise(lead)
-        texts = lead_text(pieces, max_input_chars + 100).withColumn("text", marked)
+        texts = prompt_text(pieces, max_input_chars)
     return predict_from_scores(S.score(windows, scorer), artifacts, reranker=reranker, texts=texts, max_input_chars=max_input_chars, **kwargs)
 
 

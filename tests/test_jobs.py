@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from tagweave.operators import metrics as M
 from tagweave.operators import priors as R
+from tagweave.operators import products as A
 from tagweave.operators import replies as Q
 from tagweave.operators import scoring as S
 from tagweave.plans import tagging
@@ -197,3 +198,31 @@ def test_predict_by_group_with_reranker(spark):
     got = S.predict_by_group(df, routes, digest_scorer, default="other", reranker=client)
     key = lambda d, sku: sorted((r["label"], r["prob"]) for r in d.where(F.col("product_sku") == sku).collect())
     assert key(got, "1") == [("gamma", 0.7)] and key(got, "2") == key(plain, "2")
+
+
+def test_predict_by_group_reads_long_texts_in_pieces(spark):
+    import hashlib
+
+    rows = [(f"p{i % 3}", i, f"review {i} " * 9) for i in range(200)]
+    reviews = spark.createDataFrame(rows, "product_sku string, comment_id long, comment_text string").withColumn("good_type", F.lit("en"))
+    whole = A.aggregate_products(reviews).select("product_sku", "good_type", "text")
+    pieces = A.product_text_chunks(reviews, 300).withColumn("good_type", F.lit("en"))
+    assert pieces.count() > 50
+
+    def scorer(batches):
+        found, longest = {}, 0
+        for pdf in batches:
+            for sku, kind, text in zip(pdf["product_sku"], pdf["good_type"], pdf["text"]):
+                found[sku, kind] = [*found.get((sku, kind), []), text]
+                longest = max(longest, len(text))
+        out = [(sku, kind, 0, label, int(hashlib.md5((label + " ".join(t)).encode()).hexdigest()[:4], 16) / 65535) for (sku, kind), t in found.items() for label in "abcdef"]
+        yield pd.DataFrame([*out, *([("longest", "en", 0, "n", longest / 1e5)] if out else [])], columns=["product_sku", "good_type", "chunk_id", "label", "prob"])
+
+    def chosen(df, **kwargs):
+        found = {(r.product_sku, r.label): (r.prob, r.rank) for r in S.predict_by_group(df, spark.createDataFrame([("en", "en")], "good_type string, group_key string"), scorer, **kwargs).collect()}
+        return found, found.pop(("longest", "n"))[0] * 1e5
+
+    want, longest = chosen(whole)
+    # Pieces that stand twice count once, and arrive in order.
+    got, piece = chosen(pieces.unionAll(pieces).repartition(7), piece="chunk_id")
+    assert got == want and piece < 400 < longest
