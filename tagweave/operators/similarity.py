@@ -21,6 +21,16 @@ from tagweave.operators.layout import durable, seeded_hash
 BLOCK_ROWS = 1000
 MAX_PIVOTS = 256
 LOCAL_GROUP_ROWS = 2000
+# Blocks of a larger table: so many at most, until one holds that many components. Every row goes to each block that it is compared with, so
+# a fixed size of blocks would make the copies of a table grow with its square.
+MAX_BLOCKS, BLOCK_COMPONENTS = 16, 1 << 21
+# Rows of a block that are multiplied at once.
+TILE_ROWS = 2048
+
+
+def rows_per_block(n_rows: int, width: int, block_rows: int) -> int:
+    """Rows of ``width`` components in a block: ``block_rows``, more for a table of more than ``MAX_BLOCKS`` of these."""
+    return max(block_rows, min(math.ceil(n_rows / MAX_BLOCKS), BLOCK_COMPONENTS // max(1, width)))
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -59,9 +69,9 @@ def embed_tags(
     return df.join(encoded, F.col(column) == F.col("_text"), "left").drop("_text")
 
 
-def _pivots(rows: DataFrame, id_col: str, n_rows: int) -> np.ndarray:
+def _pivots(rows: DataFrame, id_col: str, n_rows: int, block_rows: int) -> np.ndarray:
     """Seeded sample of vectors that cut the space into cells: at most ``MAX_PIVOTS`` rows reach the driver."""
-    n = max(1, min(MAX_PIVOTS, math.ceil(n_rows / BLOCK_ROWS)))
+    n = max(1, min(MAX_PIVOTS, math.ceil(n_rows / max(block_rows, BLOCK_ROWS))))
     sample = rows.select("_v", seeded_hash(7, id_col).alias("_h")).orderBy("_h").limit(n).collect()
     return np.array([r["_v"] for r in sample], dtype=np.float64)
 
@@ -101,12 +111,13 @@ def similar_tag_pairs(
     ).where(F.col(vector).isNotNull())
     id_type = df.schema[id_col].dataType.simpleString()
     group_type = df.schema[group].dataType.simpleString()
-    n_rows = df.count()
+    n_rows, width = df.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
     if n_rows == 0:
         return df.sparkSession.createDataFrame(
             [], f"{group} {group_type}, id_a {id_type}, id_b {id_type}, cosine double"
         )
-    pivots = _pivots(rows, "_id", n_rows)
+    block_rows = rows_per_block(n_rows, width or 1, block_rows)
+    pivots = _pivots(rows, "_id", n_rows, block_rows)
     celled = _assign_cells(rows, pivots)
     cells = celled.groupBy("_g", "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("_blocks"))
     # Written once: both sides of the comparison and the block table must see the same blocks.
@@ -127,14 +138,20 @@ def similar_tag_pairs(
     keys = ["_g", "_ca", "_ba", "_cb", "_bb"]
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        sims = np.stack(left["_v"].to_numpy()) @ np.stack(right["_v"].to_numpy()).T
-        i, j = np.nonzero(sims > threshold)
+        u, v = np.stack(left["_v"].to_numpy()), np.stack(right["_v"].to_numpy())
+        found = []
+        for x in range(0, len(u), TILE_ROWS):
+            for y in range(0, len(v), TILE_ROWS):
+                sims = u[x : x + TILE_ROWS] @ v[y : y + TILE_ROWS].T
+                i, j = np.nonzero(sims > threshold)
+                found.append((i + x, j + y, sims[i, j]))
+        i, j, cosine = (np.concatenate(c) for c in zip(*found, strict=True))
         a, b = left["_id"].to_numpy()[i], right["_id"].to_numpy()[j]
         same = bool((left["_ca"].iat[0] == left["_cb"].iat[0]) and (left["_ba"].iat[0] == left["_bb"].iat[0]))
         keep = a < b if same else np.ones(len(a), dtype=bool)
         low, high = np.where(a < b, a, b)[keep], np.where(a < b, b, a)[keep]
         return pd.DataFrame(
-            {group: left["_g"].iat[0], "id_a": low, "id_b": high, "cosine": sims[i, j][keep]}
+            {group: left["_g"].iat[0], "id_a": low, "id_b": high, "cosine": cosine[keep]}
         )
 
     left, right = side("_ca", "_ba").groupBy(*keys), side("_cb", "_bb").groupBy(*keys)
@@ -325,6 +342,38 @@ def collapse_copies(
     return reps.drop("_own"), units.join(copies, same).select("_g", "_id", "_v", "_c")
 
 
+def nearest_of_blocks(left: pd.DataFrame, right: pd.DataFrame, threshold: float, tile_rows: int = TILE_ROWS) -> pd.DataFrame:
+    """(_g, _c, _o, _sim): for every row of two blocks, which may be the same one, its nearest in the other block above ``threshold``."""
+    left, right = left.sort_values("_id"), right.sort_values("_id")
+    same = bool((left["_ca"].iat[0] == left["_cb"].iat[0]) and (left["_ba"].iat[0] == left["_bb"].iat[0]))
+    m, o = np.stack(left["_m"].to_numpy()), np.stack(right["_m"].to_numpy())
+    first = (np.full(len(m), -np.inf), np.zeros(len(m), np.int64))
+    second = first if same else (np.full(len(o), -np.inf), np.zeros(len(o), np.int64))
+
+    def take(best: tuple[np.ndarray, np.ndarray], x: int, sims: np.ndarray, y: int) -> None:
+        # Tiles come in the order of ids, so the first of equal ones stays.
+        at = sims.argmax(axis=1)
+        score = sims[np.arange(len(sims)), at]
+        better = np.flatnonzero(score > best[0][x : x + len(sims)])
+        best[0][x + better], best[1][x + better] = score[better], at[better] + y
+
+    # Both directions are read off one matrix, so a pair has one similarity and the best pair of all is mutual.
+    for x in range(0, len(m), tile_rows):
+        for y in range(x if same else 0, len(o), tile_rows):
+            sims = m[x : x + tile_rows] @ o[y : y + tile_rows].T
+            if same and x == y:
+                sims = (sims + sims.T) / 2
+                np.fill_diagonal(sims, -np.inf)
+            else:
+                take(second, y, sims.T, x)
+            take(first, x, sims, y)
+    out = []
+    for own, other, (score, at) in ((left, right, first), *(() if same else ((right, left, second),))):
+        kept = score > threshold
+        out.append(pd.DataFrame({"_g": left["_g"].iat[0], "_c": own["_id"].to_numpy()[kept], "_o": other["_id"].to_numpy()[at[kept]], "_sim": score[kept]}))
+    return pd.concat(out)
+
+
 def nearest_clusters(clusters: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(_g, _c, _o, _sim): the nearest other cluster of each one that has any with a mean cosine above ``threshold``; ties to the smaller id.
 
@@ -338,10 +387,11 @@ def nearest_clusters(clusters: DataFrame, threshold: float, block_rows: int = BL
     rows = clusters.select("_g", F.col("_c").alias("_id"), F.transform("_s", lambda x: x / F.col("_n")).alias("_m"))
     length = F.sqrt(F.aggregate("_m", F.lit(0.0), lambda a, x: a + x * x))
     rows = rows.withColumn("_reach", length).withColumn("_v", F.transform("_m", lambda x: F.when(F.col("_reach") > 0, x / F.col("_reach")).otherwise(0.0)))
-    n_rows = rows.count()
+    n_rows, width = rows.agg(F.count(F.lit(1)), F.max(F.size("_m"))).first()
     if not n_rows:
         return clusters.sparkSession.createDataFrame([], schema)
-    pivots = _pivots(rows, "_id", n_rows)
+    block_rows = rows_per_block(n_rows, width or 1, block_rows)
+    pivots = _pivots(rows, "_id", n_rows, block_rows)
     celled = _assign_cells(rows, pivots)
     cells = celled.groupBy("_g", "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("_blocks"))
     block = F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int")
@@ -362,20 +412,7 @@ def nearest_clusters(clusters: DataFrame, threshold: float, block_rows: int = BL
         return v.select(*[F.col(c).alias(c) for c in (*keys, "_id", "_m")])
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("_id"), right.sort_values("_id")
-        sims = np.stack(left["_m"].to_numpy()) @ np.stack(right["_m"].to_numpy()).T
-        same = bool((left["_ca"].iat[0] == left["_cb"].iat[0]) and (left["_ba"].iat[0] == left["_bb"].iat[0]))
-        if same:
-            sims = (sims + sims.T) / 2
-            np.fill_diagonal(sims, -np.inf)
-        # Both directions are read off one matrix, so a pair has one similarity and the best pair of all is mutual.
-        out = []
-        for own, other, m in ((left, right, sims), *(() if same else ((right, left, sims.T),))):
-            best = m.argmax(axis=1)
-            score = m[np.arange(len(m)), best]
-            kept = score > threshold
-            out.append(pd.DataFrame({"_g": left["_g"].iat[0], "_c": own["_id"].to_numpy()[kept], "_o": other["_id"].to_numpy()[best[kept]], "_sim": score[kept]}))
-        return pd.concat(out)
+        return nearest_of_blocks(left, right, threshold)
 
     found = side("_ca", "_ba").groupBy(*keys).cogroup(side("_cb", "_bb").groupBy(*keys)).applyInPandas(compare, schema)
     best = F.min(F.struct((-F.col("_sim")).alias("s"), F.col("_o").alias("o"))).alias("_b")

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from tagweave.operators import similarity as V
 from tagweave.plans import tagging
@@ -139,3 +140,24 @@ def test_nearest_clusters_of_a_dense_group_write_one_row_each(spark):
     # Means are no unit vectors here, so their product may pass one.
     assert {c: o for c, (o, _) in got.items()} == dict(enumerate(sims.argmax(1).tolist()))
     assert all(abs(s - sims[c, o]) < 1e-9 for c, (o, s) in got.items())
+
+
+def test_blocks_of_a_large_table_grow_with_it_and_tiles_change_nothing():
+    n = 10**6
+    assert n / V.rows_per_block(n, 64, 1000) <= 32 and V.rows_per_block(900, 64, 1000) == 1000
+    assert 64 * V.rows_per_block(10**9, 64, 1000) <= 1 << 21
+    m = np.random.default_rng(4).normal(size=(60, 3))
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -1)
+    left, right = (pd.DataFrame({"_g": "g", "_ca": 0, "_ba": 0, "_cb": 0, "_bb": b, "_id": range(lo, hi), "_m": list(unit[lo:hi])}) for b, lo, hi in ((1, 0, 37), (1, 37, 60)))
+    for rows in ({"left": left, "right": right}, {"left": left.assign(_bb=0), "right": left.assign(_bb=0)}):
+        got = {r["_c"]: (r["_o"], r["_sim"]) for r in V.nearest_of_blocks(**rows, threshold=0.2, tile_rows=5).to_dict("records")}
+        a, b = rows["left"]["_id"].to_numpy(), rows["right"]["_id"].to_numpy()
+        want = {}
+        for own, other in ((a, b), (b, a)):
+            for i in own:
+                j = other[sims[i, other].argmax()]
+                if sims[i, j] > 0.2:
+                    want[int(i)] = (int(j), pytest.approx(sims[i, j]))
+        assert got == want
