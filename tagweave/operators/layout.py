@@ -58,13 +58,13 @@ def run_folder(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def durable(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, in ``spark`` if given, else in its own session.
 
     Cuts the lineage and survives lost executors; also freezes values that a recomputation could change. The table
     stays until the :func:`run_folder` around it ends; without one the folder needs a retention rule.
     """
-    spark = df.sparkSession
+    spark = spark or df.sparkSession
     path = f"{shared_folder(spark)}/tagweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

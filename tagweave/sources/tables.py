@@ -32,11 +32,7 @@ def read_csv(
     :mod:`tagweave.sources.csv_blocks`, in blocks of what the session reads at once or of ``block_bytes``. ``position`` adds a column (file name, block,
     place in the block) that orders all rows.
     """
-    if block_bytes:
-        spark = spark.newSession()
-        for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
-            spark.conf.set(name, str(block_bytes))
-    blocks = csv_blocks(spark, path, sep)
+    blocks = csv_blocks(spark, path, sep, block_bytes)
     # One line of every file, not rows, comes to the driver. Files of one header are read together.
     heads = blocks.where(F.col("head").isNotNull()).groupBy("file").agg(F.min_by("head", "block").alias("head"))
     by_header: dict[tuple[tuple[str, ...], bool], list[str]] = {}
@@ -51,7 +47,7 @@ def read_csv(
         if missing:
             raise ValueError(f"missing columns: {', '.join(missing)}")
         fields = ", ".join(f"`{c}` {wanted[c].simpleString() if c in wanted else 'string'}" for c in header)
-        records = csv_records(spark, names, starts, sep, few)
+        records = csv_records(spark, names, starts, sep, few, block_bytes)
         record = F.replace("record", F.lit("\r\n"), F.lit("\n")) if returns else F.col("record")
         cells = F.from_csv(record, F.lit(fields), {"sep": sep, "quote": QUOTE, "escape": QUOTE, "multiLine": "true"}).alias("_cells")
         kept = [F.col(f"_cells.`{c}`").alias(c) for c in header if c in wanted]

@@ -67,6 +67,17 @@ def test_a_file_is_read_by_many_tasks(spark, tmp_path):
     assert TB.read_csv(spark, path, SCHEMA, block_bytes=3000).agg({"id": "sum"}).first()[0] == sum(range(1000))
 
 
+def test_small_blocks_share_tasks(spark, tmp_path):
+    path = str(tmp_path / "one.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("id,a,b\n" + "".join(f'{i},"cell {i}\nof two lines",b\n' for i in range(3000)))
+    lines = B.text_lines(spark, path, 1000)
+    assert lines.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism < lines.select("block").distinct().count()
+    # What is stored on the way is not read in blocks that small either.
+    rows = TB.read_csv(spark, path, SCHEMA, block_bytes=1000)
+    assert rows.count() == 3000 and rows.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_state_of_a_line():
     for line, inside, want in [
         ("a,b", False, False), ('a,"b', False, True), ('b",c', True, False), ('b"",c', True, True), ('5" x,"y"', False, False), ('"a"b"c,"d', False, True), ("", True, True),
