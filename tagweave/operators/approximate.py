@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,11 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.operators.layout import durable
-from tagweave.operators.similarity import BLOCK_ROWS, unit_vector
+from tagweave.operators.similarity import BLOCK_COMPONENTS, BLOCK_ROWS, TILE_ROWS, unit_vector
 
 TABLES = 24
 # Rows of small buckets that one task takes together.
 ROWS_PER_TASK = 8192
+# A block holds this part of all buckets' rows at most, so that a few large buckets still make many tasks.
+BLOCK_PARTS = 64
 _TILE = ("_g", "_t", "_key", "_low", "_high")
 
 
@@ -31,6 +34,14 @@ def projection_bits(threshold: float, recall: float, tables: int = TABLES) -> in
     return bits
 
 
+def rows_per_block(n_members: int, width: int, block_rows: int) -> int:
+    """Rows of a bucket's blocks: ``block_rows``, more for ``n_members`` rows of ``width`` components in all buckets, up to ``BLOCK_COMPONENTS``.
+
+    Every vector goes to each block of its bucket: blocks of a fixed size would make the copies grow with the square of the table.
+    """
+    return max(block_rows, min(-(-n_members // BLOCK_PARTS), BLOCK_COMPONENTS // max(1, width)))
+
+
 def distinct_vectors(df: DataFrame, id_col: str, group: str, vector: str) -> DataFrame:
     """(group, id, rep_id): each vector's smallest id among equal vectors of its group, after scaling to length one.
 
@@ -60,8 +71,8 @@ def approximate_tag_pairs(
     Signs of random projections place every vector in one bucket per table; vectors of one bucket are compared, a pair only in the first
     table in which both share one. A pair at the threshold is found with probability ``recall``, a closer one with a higher one; a pair
     that is not close enough is never returned. Equal vectors stand for each other: pairs are those of their smallest ids, and
-    :func:`distinct_vectors` gives the membership. A bucket of more than ``block_rows`` vectors is cut into blocks, every two of
-    which meet in a task of their own. Null groups, ids and vectors and zero vectors have no pairs; an empty table gives none; all
+    :func:`distinct_vectors` gives the membership. A bucket of many vectors is cut into blocks, every two of which meet in a task of their
+    own; blocks of ``block_rows`` grow with the table, see :func:`rows_per_block`. Null groups, ids and vectors and zero vectors have no pairs; an empty table gives none; all
     vectors have one length; other columns are ignored. For all pairs without exception see ``similar_tag_pairs``.
     """
     if threshold < 0:
@@ -84,7 +95,8 @@ def approximate_tag_pairs(
     buckets = placed.select("_g", F.posexplode("_keys").alias("_t", "_key")).groupBy("_g", "_t", "_key").agg(F.count(F.lit(1)).alias("_n"))
     # A vector alone in its bucket goes no further.
     shared = durable(buckets.where("_n > 1"))
-    n_tasks = max(1, -(-(shared.agg(F.sum("_n")).first()[0] or 0) // ROWS_PER_TASK))
+    n_members, width = shared.agg(F.sum("_n")).first()[0] or 0, placed.agg(F.max(F.size("_v"))).first()[0]
+    n_tasks, block_rows = max(1, -(-n_members // ROWS_PER_TASK)), rows_per_block(n_members, width or 1, block_rows)
     members = placed.select("*", F.posexplode("_keys").alias("_t", "_key")).join(shared, ["_g", "_t", "_key"])
     n_blocks = F.ceil(F.col("_n") / F.lit(block_rows)).cast("long")
     cut = members.withColumns({"_blocks": n_blocks, "_block": F.pmod(F.xxhash64("_id"), n_blocks)})
@@ -93,33 +105,39 @@ def approximate_tag_pairs(
     small = F.pmod(F.xxhash64("_g", "_t", "_key"), F.lit(n_tasks))
     tiled = cut.select(
         "_g", "_t", "_key", low.alias("_low"), high.alias("_high"), "_id", "_v", "_keys", (F.col("_block") == low).alias("_a"),
-        (F.col("_block") == high).alias("_b"), F.when(F.col("_blocks") == 1, small).otherwise(F.xxhash64("_g", "_t", "_key", low, high)).alias("_tile"),
+        (F.col("_block") == high).alias("_b"), F.when(F.col("_n") <= F.lit(min(block_rows, ROWS_PER_TASK)), small).otherwise(F.xxhash64("_g", "_t", "_key", low, high)).alias("_tile"),
     )
     id_type, group_type = (df.schema[c].dataType.simpleString() for c in (id_col, group))
 
-    def compare(table: pa.Table) -> pa.Table:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
         table = table.sort_by([(c, "ascending") for c in (*_TILE, "_id")]).combine_chunks()
         n = table.num_rows
         v, keys = (np.asarray(table.column(c).combine_chunks().flatten()).reshape(n, -1) for c in ("_v", "_keys"))
         a, b, t = (table.column(c).to_numpy() for c in ("_a", "_b", "_t"))
+        names = table.select(["_g", "_id"]).combine_chunks()
         new = np.zeros(max(0, n - 1), bool)
         for c in _TILE:
             column = table.column(c)
             new |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy()
         cuts = [0, *(np.flatnonzero(new) + 1).tolist(), n]
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             left, right = i + np.flatnonzero(a[i:j]), i + np.flatnonzero(b[i:j])
-            sims = v[left] @ v[right].T
-            p, q = np.nonzero(sims > threshold)
-            x, y, cosine = left[p], right[q], sims[p, q]
             # Inside one block each pair shows twice; between two blocks once, in either order of the ids.
-            once = x < y if len(left) == j - i else x != y
-            x, y, cosine = x[once], y[once], cosine[once]
-            x, y = np.minimum(x, y), np.maximum(x, y)
-            first = (keys[x] == keys[y]).argmax(1) == t[x]
-            found.append((x[first], y[first], cosine[first]))
-        x, y, cosine = (np.concatenate(part) for part in zip(*found, strict=True))
-        return pa.table([table.column("_g").take(x), table.column("_id").take(x), table.column("_id").take(y), pa.array(cosine)], [group, "id_a", "id_b", "cosine"])
+            same = len(left) == j - i
+            for p in range(0, len(left), TILE_ROWS):
+                for q in range(p if same else 0, len(right), TILE_ROWS):
+                    sims = v[left[p : p + TILE_ROWS]] @ v[right[q : q + TILE_ROWS]].T
+                    k, m = np.nonzero(sims > threshold)
+                    x, y, cosine = left[k + p], right[m + q], sims[k, m]
+                    once = x < y if same else x != y
+                    x, y, cosine = x[once], y[once], cosine[once]
+                    x, y = np.minimum(x, y), np.maximum(x, y)
+                    first = (keys[x] == keys[y]).argmax(1) == t[x]
+                    x, y, cosine = x[first], y[first], cosine[first]
+                    if len(x):
+                        group_of, id_a, id_b = names.column("_g").take(x), names.column("_id").take(x), names.column("_id").take(y)
+                        columns = [c.combine_chunks() for c in (group_of, id_a, id_b)]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(cosine)], [group, "id_a", "id_b", "cosine"])
 
     return tiled.groupBy("_tile").applyInArrow(compare, f"{group} {group_type}, id_a {id_type}, id_b {id_type}, cosine double")

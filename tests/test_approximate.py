@@ -53,3 +53,16 @@ def test_copies_and_odd_rows(spark):
     reps = {(r.good_type, r.tag_id): r.rep_id for r in N.distinct_vectors(df, "tag_id", "good_type", "vector").collect()}
     assert reps["a", 130] == 0 and reps["a", 200] == 1 and reps["b", 0] == 0 and len(reps) == 8 + 60 + 1 + 1
     assert not pairs(N.approximate_tag_pairs(df.where("tag_id < 0"), 0.8))
+
+
+def test_copies_of_a_vector_do_not_grow_with_the_table(spark, monkeypatch):
+    # Sixteen buckets in each of 24 tables; every vector is copied once for each block of its bucket.
+    for n in (10_000, 60_000, 500_000):
+        assert n / 16 <= N.rows_per_block(N.TABLES * n, 64, V.BLOCK_ROWS)
+    df = table(spark, [("a", i, v) for i, v in enumerate(near(200, 5))]).repartition(3)
+    want = pairs(N.approximate_tag_pairs(df, 0.3))
+    # Blocks and tiles of few rows give the same pairs.
+    monkeypatch.setattr(N, "BLOCK_COMPONENTS", 16 * 9)
+    monkeypatch.setattr(N, "TILE_ROWS", 4)
+    got = pairs(N.approximate_tag_pairs(df, 0.3, block_rows=2))
+    assert len(want) > 300 and got == pytest.approx(want)
