@@ -230,13 +230,15 @@ def score_tokens(
     chunk = ["product_sku", group, "chunk_id"]
     # Outer form: a chunk without tokens stays.
     cells = chunk_tokens.select(*chunk, F.explode_outer(F.array_distinct("tokens")).alias("token"))
-    hits = cells.join(weights, [group, "token"], "left")
-    none = F.lit(None).cast("string")
+    none = F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("v"))
+    # Made once per weight, not once per token that meets it.
     parts = F.concat(
-        F.array(F.struct(none.alias("label"), (-F.col("drop")).alias("v"))),
+        F.array(F.struct(none["label"].alias("label"), (-F.col("drop")).alias("v"))),
         F.coalesce(F.transform("corrections", lambda x: F.struct(x["label"].alias("label"), x["c"].alias("v"))), F.array().cast("array<struct<label:string,v:double>>")),
     )
-    sums = hits.select(*chunk, F.inline(parts)).groupBy(*chunk, "label").agg(F.sum("v").alias("v"), F.count("v").alias("k"))
+    hits = cells.join(weights.select(group, "token", parts.alias("_parts")), [group, "token"], "left")
+    found = F.coalesce("_parts", F.array(none))
+    sums = hits.select(*chunk, F.inline(found)).groupBy(*chunk, "label").agg(F.sum("v").alias("v"), F.count("v").alias("k"))
     of_label = F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "v")))
     per_chunk = sums.groupBy(*chunk).agg(
         F.max(F.when(F.col("label").isNull(), F.col("k"))).alias("_k"),

@@ -1227,7 +1227,7 @@ def token_scorer(v: Views) -> DataFrame:
     docs = v.table("documents").select(F.col("doc_id").alias("product_sku"), F.col("lang").alias("good_type"), "text")
     known = docs.join(judged, "product_sku", "left_semi")
     products = known.select("product_sku", "good_type")
-    weights = S.fit_scorer(known.withColumn("tokens", S.blank_tokens("text")), marks, products)
+    weights = _stored(S.fit_scorer(known.withColumn("tokens", S.blank_tokens("text")), marks, products))
     windows = _doc_windows(v).withColumnRenamed("window", "tokens")
     chunks = S.score_tokens(windows, weights, S.label_bias(marks, products))
     return C.max_pool_scores(chunks).withColumn("prob", r6("prob"))

@@ -224,3 +224,16 @@ def test_sparse_weights_equal_the_dense_formula(spark):
             if df_all:
                 x += math.log((df_pos + 1) / (len(pos) + 2)) - math.log((df_all - df_pos + 1) / (n - len(pos) + 2))
         assert abs(r["prob"] - 1 / (1 + math.exp(-x))) < 1e-9
+
+
+def test_a_weight_is_laid_out_once_not_for_every_token(spark):
+    weights = spark.createDataFrame([("a", "x", 0.5, [("red", 2.0)])], "good_type string, token string, drop double, corrections array<struct<label:string,c:double>>")
+    bias = spark.createDataFrame([("a", "red", 0.25, -0.5)], "good_type string, label string, bias double, unseen double")
+    chunks = spark.createDataFrame([(1, "a", 0, ["x", "y", "x"]), (2, "a", 0, []), (3, "a", 0, ["y"])], "product_sku long, good_type string, chunk_id int, tokens array<string>")
+    out = S.score_tokens(chunks, weights, bias)
+    got = {r.product_sku: r.prob for r in out.collect()}
+    alone = 1 / (1 + math.exp(-0.25))
+    assert got == pytest.approx({1: 1 / (1 + math.exp(-1.25)), 2: alone, 3: alone})
+    # Above the join with the weights nothing is computed from their corrections.
+    above = out._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[0]
+    assert "transform(" not in above
