@@ -219,7 +219,8 @@ def consolidated_tags(consolidated: DataFrame) -> DataFrame:
 
 def filter_pool(replies: DataFrame, reply: str = "reply") -> tuple[DataFrame, DataFrame]:
     """Pool-filter replies (good_type, reply) -> (kept tags, rules)."""
-    parsed = replies.select("good_type", T.parse_pool_reply(reply).alias("r"))
+    # Stored: both results read it, and a reply is long to parse.
+    parsed = durable(replies.select("good_type", T.parse_pool_reply(reply).alias("r")))
     # The outer form: for a plain explode Spark infers a size filter below it that would parse every reply again.
     kept = parsed.select("good_type", F.explode_outer("r.kept").alias("tag")).where(F.col("tag").isNotNull()).distinct()
     rules = parsed.select("good_type", F.explode_outer("r.rules").alias("rule")).select("good_type", "rule.*")

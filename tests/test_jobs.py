@@ -226,3 +226,13 @@ def test_predict_by_group_reads_long_texts_in_pieces(spark):
     # Pieces that stand twice count once, and arrive in order.
     got, piece = chosen(pieces.unionAll(pieces).repartition(7), piece="chunk_id")
     assert got == want and piece < 400 < longest
+
+
+def test_a_pool_reply_is_parsed_once_for_both_results(spark):
+    from tagweave.operators import pools
+
+    reply = '{"kept_tags": ["Red"], "mappings": [{"old": ["Rot"], "new": "red"}]}'
+    kept, rules = pools.filter_pool(spark.createDataFrame([("a", reply), ("a", None)], "good_type string, reply string"))
+    assert kept.collect() == [("a", "red")] and rules.collect() == [("a", "rot", "red", 0)]
+    for out in (kept, rules):
+        assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString()
