@@ -13,14 +13,19 @@ from pyspark.sql import functions as F
 from tagweave.llm.common import arrow_map, text_slices
 
 
+def labelled_keys(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id") -> DataFrame:
+    """(key, _label) of every labelled document, once with its largest label; null labels and keys take no part."""
+    one = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
+    return one.join(docs.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, label) of at most ``per_class`` labelled documents of class 0 and 1, picked by a hash of the key.
 
     Only the narrow labels are ranked (Spark keeps the first rows of each task in front of the shuffle), then their texts are fetched.
     A document with several labels takes part once with its largest; null labels and keys take no part.
     """
-    one = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
-    present = one.join(docs.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi")
+    present = labelled_keys(docs, labels, label, key)
     parts = [present.where(F.col("_label") == c).orderBy(F.xxhash64(key), key).limit(n) for c, n in enumerate(per_class)]
     picked = parts[0].unionByName(parts[1])
     found = docs.select(key, F.coalesce(text, F.lit("")).alias(text)).join(picked, key)

@@ -130,3 +130,41 @@ def test_softmax_equals_the_score_table():
     p = np.exp(z[1]) / np.exp(z).sum()
     q = 1 / (1 + np.exp(-(m["toward"][samples[0]["ids"]].mean() + m["bias"][1] - m["bias"][0])))
     assert np.isclose(p, q, atol=1e-5)
+
+
+def test_toxicity_learns_from_every_labelled_document(spark, make_docs):
+    rng = np.random.default_rng(3)
+    clean = [" ".join(f"w{i}" for i in rng.integers(0, 300, 8)) for _ in range(7000)]
+    # Each of 1,500 words stands in two of 3,000 toxic documents; what is left out of learning is not found.
+    texts = [f"{t} bad{i // 2}" if i < 3000 else t for i, t in enumerate(clean)]
+    docs = make_docs(texts)
+    table = labelled(spark, [(i, 1, int(i < 3000)) for i in range(7000)])
+    scored = toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, table)).collect()
+    assert sum(r.predicted for r in scored if r.doc_id < 3000) > 0.95 * 3000
+    assert sum(r.predicted for r in scored if r.doc_id >= 3000) < 0.05 * 4000
+
+
+def test_toxicity_in_shards(spark, make_docs):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 400, 40)) + (" scum " if n % 4 == 0 else " ") + "x" for n in range(600)]
+    # Repeated rows, a null key and labels of no document change nothing.
+    docs = make_docs([*texts, *texts[:50], "scum"], [*range(600), *range(50), None])
+    table = labelled(spark, [*((i, 1, int(i % 4 == 0)) for i in range(600)), (7000, 1, 1), (None, 1, 1)])
+    model = toxicity.train_toxicity(docs, table, shard_docs=100)
+    assert unpack_arrays(model)["table"].any()
+    assert model == toxicity.train_toxicity(docs.repartition(7), table.repartition(3), shard_docs=100)
+    score = toxicity.scorer(model)
+    assert score(["w1 w2 scum, w3"])[0] >= toxicity.CUT > score(["w1 w2 w3 w4"])[0]
+    assert score([" ".join(f"never{i}" for i in range(20_000))])[0] < toxicity.CUT
+    # One class alone: nothing is learnt, whatever the number of shards.
+    one = labelled(spark, [(i, 1, 0) for i in range(600)])
+    assert max(r.score for r in toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, one, shard_docs=100)).collect()) < toxicity.CUT
+
+
+def test_cuts_from_counts_are_those_of_single_scores():
+    rng = np.random.default_rng(2)
+    labels, language = rng.integers(0, 2, 400), rng.integers(0, 3, 400)
+    score = np.clip(rng.normal(0.3 + 0.3 * labels + 0.1 * language, 0.1), 0.01, 0.99)
+    whole = toxicity.language_cuts(toxicity.score_counts(score, labels, language), 3)
+    parts = [toxicity.score_counts(score[i::2], labels[i::2], language[i::2], 1 << 20) for i in (0, 1)]
+    assert np.allclose(whole, toxicity.language_cuts({k: np.concatenate([p[k] for p in parts]) for k in toxicity.COUNTS}, 3))
