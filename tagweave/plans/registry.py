@@ -680,7 +680,8 @@ def _rerank_replies(scores: DataFrame) -> DataFrame:
     union all select product_sku, good_type, label, round(prob, 6), rank from chosen
     where product_sku not in (select product_sku from reranked)""", RERANK_SQL)
 def rerank_apply(v: Views) -> DataFrame:
-    scores = durable(v.scores())  # read twice below
+    # Made twice: scores lie by product as they are made, and stored ones would have to move for either use.
+    scores = v.scores()
     reranked = durable(Q.apply_rerank_replies(_rerank_replies(scores)))
     selected = C.select_tags(scores, _stored(v.thresholds()))
     return Q.prefer_reranked(reranked, selected).withColumn("prob", r6("prob"))

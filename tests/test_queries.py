@@ -46,3 +46,18 @@ def test_tasks_of_scores_grow_with_lines_and_labels(spark, tmp_path, monkeypatch
     assert scores.count() == 300 * 6
     # Choosing tags and meeting the truth moves no scores.
     assert max(scores.rdd.glom().map(len).collect()) < 300
+
+
+def test_rerank_apply_stores_no_scores(spark, tmp_path, monkeypatch):
+    from tagweave.plans import registry
+
+    names = ["red bolt", "old ring", "hot gear", "new rod"]
+    spark.createDataFrame([(i, n) for i, n in enumerate(names)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(i, f"{i % 4}-KIND") for i in range(30)], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i // 2, i % 4, i % 2) for i in range(60)], "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    kept, durable = [], registry.durable
+    monkeypatch.setattr(registry, "durable", lambda df, *a: kept.append(durable(df, *a)) or kept[-1])
+    rows = registry.QUERIES["rerank_apply"](spark, str(tmp_path)).collect()
+    assert {r.product_sku for r in rows} == set(range(30))
+    # 30 products times 8 labels are scored; what is written are replies' tags and small tables.
+    assert max(df.count() for df in kept) < 30 * 8
