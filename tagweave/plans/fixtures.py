@@ -29,6 +29,8 @@ def hex4(key: Column) -> Column:
 SPREAD_BYTES = 256 << 20
 # Order lines times labels that one task expands to scores. Spark sizes a shuffle's tasks by the narrow rows in it, not by what they become.
 CELLS_PER_TASK = 1 << 21
+# Order lines, or orders, that one task sorts and joins. A small file of them may hold rows that are large as a broadcast table in every task.
+LINES_PER_TASK = 1 << 17
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -76,16 +78,24 @@ class Views:
         )
         return self.table("part").select(F.col("p_partkey").alias("id"), cell.alias("cell"))
 
-    def _lines(self) -> DataFrame:
+    @functools.cached_property
+    def line_tasks(self) -> int:
+        """Number of tasks that hold about ``LINES_PER_TASK`` lines and orders each; it grows with the tables."""
+        rows = max(self.spark.read.parquet(f"{self.folder}/{name}.parquet").count() for name in ("lineitem", "orders"))
+        return max(self.spark.sparkContext.defaultParallelism, -(-rows // LINES_PER_TASK))
+
+    def _lines(self, tasks: int) -> DataFrame:
+        """Lines with their part's name and their order's priority, by order in ``tasks`` tasks."""
         li = self.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-        orders = self.table("orders").select("o_orderkey", "o_orderpriority")
         part = self.table("part").select("p_partkey", "p_name")
-        return li.join(part, li.l_partkey == part.p_partkey).join(orders, li.l_orderkey == orders.o_orderkey)
+        lines = li.join(part, li.l_partkey == part.p_partkey).repartition(tasks, "l_orderkey")
+        orders = self.table("orders").select("o_orderkey", "o_orderpriority").repartition(tasks, "o_orderkey")
+        return lines.join(orders.hint("shuffle_hash"), lines.l_orderkey == orders.o_orderkey)
 
     def tagged(self) -> DataFrame:
         loose = F.replace("p_name", F.lit(" "), F.lit(" ;"))
         upper = F.replace(F.upper("p_name"), F.lit(" "), F.lit("; "))
-        return self._lines().select(
+        return self._lines(self.line_tasks).select(
             F.col("l_orderkey").alias("product_sku"),
             F.col("o_orderpriority").alias("good_type"),
             F.col("l_linenumber").alias("ord1"),
@@ -109,23 +119,24 @@ class Views:
         """Number of tasks that hold at most about ``CELLS_PER_TASK`` cells of lines and labels each; it grows with the tables."""
         lines = self.spark.read.parquet(f"{self.folder}/lineitem.parquet").count()
         labels = self.table("part").select(F.explode(self._words()).alias("label")).distinct().count()
-        return max(self.spark.sparkContext.defaultParallelism, -(-lines * labels // CELLS_PER_TASK))
+        return max(self.line_tasks, -(-lines * labels // CELLS_PER_TASK))
 
     def labelled_products(self) -> DataFrame:
         """(product_sku, good_type, _labels): label set per product, at most two labels per line.
 
         Lies by product in as many tasks as its scores need; they and the truth then meet without another shuffle.
         """
-        return self._lines().select(
+        return self._lines(self.score_tasks).select(
             F.col("l_orderkey").alias("product_sku"), F.col("o_orderpriority").alias("good_type"),
             F.explode(self._words()).alias("label"),
-        ).repartition(self.score_tasks, "product_sku").groupBy("product_sku", "good_type").agg(F.collect_set("label").alias("_labels"))
+        ).groupBy("product_sku", "good_type").agg(F.collect_set("label").alias("_labels"))
 
     def truth(self) -> DataFrame:
         return self.labelled_products().select("product_sku", "good_type", F.explode("_labels").alias("label"))
 
     def products(self) -> DataFrame:
-        lines = self.table("lineitem").select(F.col("l_orderkey").alias("product_sku"))
+        lines = self.spark.read.parquet(f"{self.folder}/lineitem.parquet").select(F.col("l_orderkey").alias("product_sku"))
+        lines = lines.repartition(self.line_tasks, "product_sku").hint("shuffle_hash")
         orders = self.table("orders").select(F.col("o_orderkey").alias("product_sku"), F.col("o_orderpriority").alias("good_type"))
         return orders.join(lines, "product_sku", "left_semi")
 

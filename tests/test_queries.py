@@ -61,3 +61,24 @@ def test_rerank_apply_stores_no_scores(spark, tmp_path, monkeypatch):
     assert {r.product_sku for r in rows} == set(range(30))
     # 30 products times 8 labels are scored; what is written are replies' tags and small tables.
     assert max(df.count() for df in kept) < 30 * 8
+
+
+def test_lines_and_orders_meet_in_tasks_that_grow_with_them(spark, tmp_path, monkeypatch):
+    from tagweave.plans import fixtures
+
+    spark.createDataFrame([(i, "red bolt") for i in range(3)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    orders = [(i, f"{i % 4}-KIND") for i in range(320)] + [(7, "1-KIND"), (None, "2-KIND")]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(i // 2, i % 3, i % 2) for i in range(600)] + [(None, 1, 1), (1, None, 1), (999, 1, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(fixtures, "LINES_PER_TASK", 10)
+    v = fixtures.Views(spark, str(tmp_path))
+    # 603 lines; neither join broadcasts a table that grows with them, nor takes a default number of tasks.
+    assert v.line_tasks == v.score_tasks == 61
+    for made in (v.products(), v.tagged(), v.truth()):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan
+        assert made.rdd.getNumPartitions() == 61
+    # Order 7 is listed twice.
+    assert v.products().count() == 301 and v.tagged().count() == 602
+    assert v.truth().count() == 600 + 2
