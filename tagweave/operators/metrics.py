@@ -120,17 +120,15 @@ def precision_recall_at_k(scores: DataFrame, truth: DataFrame, ks: Sequence[int]
     k_max = max(ks)
     rank = F.row_number().over(W.partitionBy("product_sku").orderBy(F.col("prob").desc(), "label"))
     top = scores.withColumn("rank", rank).where(F.col("rank") <= k_max).select("product_sku", "label", "rank")
-    hits = (
-        top.join(truth.select("product_sku", "label"), ["product_sku", "label"], "left_semi")
-        .groupBy("product_sku")
-        .agg(*[F.sum(F.when(F.col("rank") <= k, 1).otherwise(0)).alias(f"_h{k}") for k in ks])
+    known = truth.groupBy("product_sku").agg(F.collect_set("label").alias("_true"), F.count(F.lit(1)).alias("_n"))
+    hit = F.coalesce(F.array_contains("_true", F.col("label")), F.lit(False))
+    # Every product with scores has a first label, so none is lost by looking at the best labels alone.
+    rows = top.join(known, "product_sku").groupBy("product_sku").agg(
+        F.max("_n").alias("_n"), *[F.sum(F.when(hit & (F.col("rank") <= k), 1).otherwise(0)).alias(f"_h{k}") for k in ks]
     )
-    n_true = truth.groupBy("product_sku").agg(F.count(F.lit(1)).alias("_n"))
-    scored = scores.select("product_sku").distinct()
-    rows = n_true.join(scored, "product_sku", "left_semi").join(hits, "product_sku", "left")
     sums = rows.agg(
-        *[F.avg(F.coalesce(f"_h{k}", F.lit(0)) / F.lit(float(k))).alias(f"_p{k}") for k in ks],
-        *[F.avg(F.coalesce(f"_h{k}", F.lit(0)) / F.col("_n")).alias(f"_r{k}") for k in ks],
+        *[F.avg(F.col(f"_h{k}") / F.lit(float(k))).alias(f"_p{k}") for k in ks],
+        *[F.avg(F.col(f"_h{k}") / F.col("_n")).alias(f"_r{k}") for k in ks],
     )
     items = F.array(
         *[F.struct(F.lit(k).alias("k"), F.col(f"_p{k}").alias("precision"), F.col(f"_r{k}").alias("recall")) for k in ks]

@@ -237,3 +237,18 @@ def test_a_weight_is_laid_out_once_not_for_every_token(spark):
     # Above the join with the weights nothing is computed from their corrections.
     above = out._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[0]
     assert "transform(" not in above
+
+
+def test_precision_at_k_reads_scores_and_truth_once(spark):
+    s = spark.createDataFrame(
+        [("a", "x", 0.9), ("a", "y", 0.8), ("a", "z", 0.7), ("b", "x", 0.9), ("b", "y", 0.1), ("untrue", "x", 1.0), (None, "x", 1.0), ("c", None, 0.5)],
+        "product_sku string, label string, prob double",
+    )
+    t = spark.createDataFrame(
+        [("a", "y"), ("a", "z"), ("a", "z"), ("b", None), ("unscored", "x"), (None, "x"), ("c", None)], "product_sku string, label string"
+    )
+    got = M.precision_recall_at_k(s, t, [1, 2])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+    # Products a, b and c count; a's truth is listed thrice.
+    rows = {r["k"]: (round(r["precision"], 6), round(r["recall"], 6)) for r in got.collect()}
+    assert rows == {1: (0.0, 0.0), 2: (round(0.5 / 3, 6), round(1 / 9, 6))}
