@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType
 
 from tagweave.operators.layout import durable, seeded_hash
 
@@ -26,6 +26,8 @@ LOCAL_GROUP_ROWS = 2000
 MAX_BLOCKS, BLOCK_COMPONENTS = 16, 1 << 21
 # Rows of a block that are multiplied at once.
 TILE_ROWS = 2048
+# Components of clusters that one task goes on merging when no more are left in a group. Rounds over Spark merge one pair each in a chain.
+FINISH_COMPONENTS = 1 << 21
 
 
 def rows_per_block(n_rows: int, width: int, block_rows: int) -> int:
@@ -33,18 +35,35 @@ def rows_per_block(n_rows: int, width: int, block_rows: int) -> int:
     return max(block_rows, min(math.ceil(n_rows / MAX_BLOCKS), BLOCK_COMPONENTS // max(1, width)))
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    m = np.stack(vectors.to_numpy()).astype(np.float64)
+def _as_matrix(vectors: pd.Series) -> np.ndarray:
+    """Rows of double components, from lists or from their bytes."""
+    if isinstance(vectors.iat[0], bytes | bytearray | memoryview):
+        return np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
+def _unit_rows(m: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
+def _unit(vectors: pd.Series) -> np.ndarray:
+    return _unit_rows(_as_matrix(vectors))
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def unit_vector(vectors: pd.Series) -> pd.Series:
     """L2-normalised vectors; a zero vector stays zero."""
     return pd.Series(list(_unit(vectors)))
 
 
+@F.pandas_udf(BinaryType())
+def mean_bytes(sums: pd.Series, sizes: pd.Series) -> pd.Series:
+    """Bytes of the mean vectors: rows that go to many tasks cost less so than component by component."""
+    means = np.stack(sums.to_numpy()).astype(np.float64) / sizes.to_numpy(np.float64)[:, None]
+    return pd.Series([m.tobytes() for m in means])
+
+
 # An encoder factory runs once per task and returns a function from a list of texts to their vectors.
 EncoderFactory = Callable[[], Callable[[list[str]], Iterable[Sequence[float]]]]
 
@@ -73,7 +92,14 @@ def _pivots(rows: DataFrame, id_col: str, n_rows: int, block_rows: int) -> np.nd
     """Seeded sample of vectors that cut the space into cells: at most ``MAX_PIVOTS`` rows reach the driver."""
     n = max(1, min(MAX_PIVOTS, math.ceil(n_rows / max(block_rows, BLOCK_ROWS))))
     sample = rows.select("_v", seeded_hash(7, id_col).alias("_h")).orderBy("_h").limit(n).collect()
-    return np.array([r["_v"] for r in sample], dtype=np.float64)
+    return _unit(pd.Series([r["_v"] for r in sample])) if sample else np.zeros(0)
+
+
+def _nearest_pivots(units: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the nearest pivot, angle to it) of every row."""
+    sims = units @ pivots.T
+    cell = sims.argmax(axis=1)
+    return cell.astype("int32"), np.arccos(np.clip(sims[np.arange(len(sims)), cell], -1.0, 1.0))
 
 
 def _assign_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -81,10 +107,8 @@ def _assign_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     @F.pandas_udf("cell int, angle double")
     def nearest(vectors: pd.Series) -> pd.DataFrame:
-        sims = np.stack(vectors.to_numpy()) @ pivots.T
-        cell = sims.argmax(axis=1)
-        best = np.clip(sims[np.arange(len(sims)), cell], -1.0, 1.0)
-        return pd.DataFrame({"cell": cell.astype("int32"), "angle": np.arccos(best)})
+        cell, angle = _nearest_pivots(np.stack(vectors.to_numpy()), pivots)
+        return pd.DataFrame({"cell": cell, "angle": angle})
 
     out = rows.withColumn("_n", nearest("_v"))
     return out.withColumns({"_cell": F.col("_n.cell"), "_angle": F.col("_n.angle")}).drop("_n")
@@ -263,27 +287,138 @@ def _blocked_matches(
 # neighbour gives the same clusters as merging one best pair at a time, in few rounds.
 
 
-def _merge_rounds(sums: np.ndarray, threshold: float, sizes: np.ndarray | None = None) -> np.ndarray:
-    """Cluster index per row (the smallest row of the cluster) for one bounded group of vector sums, of single vectors without ``sizes``."""
-    owner = np.arange(len(sums))
-    sums, sizes, heads = sums.copy(), np.ones(len(sums)) if sizes is None else sizes.astype(np.float64), np.arange(len(sums))
-    while len(heads) > 1:
-        sims = (sums @ sums.T) / np.outer(sizes, sizes)
-        sims = (sims + sims.T) / 2
-        np.fill_diagonal(sims, -np.inf)
-        best = sims.argmax(axis=1)
-        at = np.arange(len(heads))
-        mutual = (best[best] == at) & (sims[at, best] > threshold) & (at < best)
-        if not mutual.any():
+class _Vectors:
+    """Rows in double and single precision, and the length of the longest."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows = rows
+        self.low = rows.astype(np.float32)
+        self.longest = float(np.sqrt(np.einsum("ij,ij->i", rows, rows).max(initial=0.0)))
+
+
+Best = tuple[np.ndarray, np.ndarray]  # score of every row and the row it belongs to
+
+
+def _no_best(n: int) -> Best:
+    return np.full(n, -np.inf), np.zeros(n, np.int64)
+
+
+def _exact(m: np.ndarray, i: np.ndarray, o: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of pairs of rows, the same whichever side a row stands on."""
+    step = 1 << 15
+    return np.concatenate([np.zeros(0), *((m[i[x : x + step]] * o[j[x : x + step]]).sum(axis=1) for x in range(0, len(i), step))])
+
+
+def _scan(
+    own: _Vectors, other: _Vectors, threshold: float, first: Best, second: Best | None, tile_rows: int,
+    same: bool = False, selves: np.ndarray | None = None,
+) -> None:
+    """Update the best of ``own`` rows (``first``) and of ``other`` rows (``second``) with what is above ``threshold`` in the other table.
+
+    Tiles are multiplied in single precision; only pairs that rounding leaves open are computed in double. Equal scores go to the
+    earlier row. With ``same`` both tables are one; ``selves`` are the places of ``own`` rows in ``other``, no row meets itself.
+    """
+    m, o = own.rows, other.rows
+    slack = (m.shape[1] + 8) * 2.0**-24 * own.longest * other.longest
+    # Written over by every tile.
+    space = np.empty((min(tile_rows, len(m)), min(tile_rows, len(o))), np.float32)
+    for x in range(0, len(m), tile_rows):
+        for y in range(x if same else 0, len(o), tile_rows):
+            left, right = own.low[x : x + tile_rows], other.low[y : y + tile_rows]
+            sims = np.matmul(left, right.T, out=space[: len(left), : len(right)])
+            at = None
+            if same and x == y:
+                at = np.arange(len(left)), np.arange(len(left))
+            elif selves is not None:
+                here = np.flatnonzero((selves[x : x + tile_rows] >= y) & (selves[x : x + tile_rows] < y + len(right)))
+                at = here, selves[x + here] - y
+            if at is not None:
+                sims[at] = -np.inf
+            mirrored = first if same else second
+            sides = [(0, first, x, y, sims)]
+            if mirrored is not None and not (same and x == y):
+                sides.append((1, mirrored, y, x, sims.T))
+            found = []
+            for side, best, a, b, s in sides:
+                top = sims.max(axis=1 - side)
+                rows = np.flatnonzero(top >= np.maximum(best[0][a : a + len(s)], threshold) - slack)
+                i, j = np.nonzero(s[rows] >= (top[rows] - 2 * slack)[:, None])
+                found.append((side, best, a, b, rows, i, j))
+            # Of very many open pairs, as rows that are nearly equal give, all are computed at once.
+            full = None
+            if sum(len(f[5]) for f in found) > 16 * (len(left) + len(right)):
+                full = m[x : x + tile_rows] @ o[y : y + tile_rows].T
+                if same and x == y:
+                    full = (full + full.T) / 2
+                if at is not None:
+                    full[at] = -np.inf
+            for side, best, a, b, rows, i, j in found:
+                if not len(rows):
+                    continue
+                if full is not None:
+                    s = (full.T if side else full)[rows]
+                    j = s.argmax(axis=1)
+                    score = s[np.arange(len(rows)), j]
+                else:
+                    score = _exact(m if side == 0 else o, a + rows[i], o if side == 0 else m, b + j)
+                    order = np.lexsort((j, -score, i))
+                    lead = order[np.searchsorted(i, np.arange(len(rows)))]
+                    score, j = score[lead], j[lead]
+                # Tiles come in the order of rows, so the first of equal ones stays.
+                better = score > np.maximum(best[0][a + rows], threshold)
+                best[0][a + rows[better]], best[1][a + rows[better]] = score[better], b + j[better]
+
+
+def _merge_rounds(sums: np.ndarray, threshold: float, sizes: np.ndarray | None = None, tile_rows: int = TILE_ROWS) -> np.ndarray:
+    """Cluster index per row (the smallest row of the cluster) for one bounded group of vector sums, of single vectors without ``sizes``.
+
+    A merged cluster is no nearer to another one than the nearer of its parts was. So a cluster keeps its nearest one until that merges,
+    one without a close one never gets any, and only merged clusters and those whose nearest one merged are looked up again.
+    """
+    owner, heads = np.arange(len(sums)), np.arange(len(sums))
+    if len(sums) < 2:
+        return owner
+    sums, sizes = sums.astype(np.float64), np.ones(len(sums)) if sizes is None else sizes.astype(np.float64)
+    v = _Vectors(sums / sizes[:, None])
+    best = _no_best(len(sums))
+    _scan(v, v, threshold, best, None, tile_rows, same=True)
+    fresh = True
+    while True:
+        at = np.flatnonzero(best[0] > threshold)
+        if 2 * len(at) < len(best[0]):
+            place = np.full(len(best[0]), -1)
+            place[at] = np.arange(len(at))
+            sums, sizes, heads, best = sums[at], sizes[at], heads[at], (best[0][at], place[best[1][at]])
+            v = _Vectors(v.rows[at])
+            at = np.arange(len(at))
+        if not len(at):
             break
-        into, gone = at[mutual], best[mutual]
-        sums[into] += sums[gone]
-        sizes[into] += sizes[gone]
-        target = heads.copy()
-        target[gone] = heads[into]
-        owner = target[np.searchsorted(heads, owner)]
-        kept = np.setdiff1d(at, gone)
-        sums, sizes, heads = sums[kept], sizes[kept], heads[kept]
+        mutual = at[(best[1][best[1][at]] == at) & (best[0][best[1][at]] > threshold) & (at < best[1][at])]
+        if not len(mutual):
+            if fresh:
+                break
+            # Equal similarities may leave no mutual pair among those that were kept.
+            dirty, fresh = at, True
+        else:
+            into, gone = mutual, best[1][mutual]
+            sums[into] += sums[gone]
+            sizes[into] += sizes[gone]
+            owner[heads[gone]] = heads[into]
+            # Zeros are close to nothing.
+            v.rows[into], v.rows[gone] = sums[into] / sizes[into][:, None], 0.0
+            v.low[into], v.low[gone] = v.rows[into], 0.0
+            best[0][gone] = -np.inf
+            changed = np.zeros(len(best[0]), bool)
+            changed[into] = changed[gone] = True
+            dirty = at[(changed[at] | changed[best[1][at]]) & (best[0][at] > threshold)]
+            fresh = len(dirty) == np.count_nonzero(best[0] > threshold)
+        # Those without a close one have dropped out, and what has dropped out is close to nothing.
+        own, found = _Vectors(v.rows[dirty]), _no_best(len(dirty))
+        _scan(own, v, threshold, found, None, tile_rows, selves=dirty)
+        best[0][dirty], best[1][dirty] = found
+    # Heads are the smallest rows of their clusters, so each step leads to a smaller row.
+    while not (owner[owner] == owner).all():
+        owner = owner[owner]
     return owner
 
 
@@ -300,7 +435,8 @@ def cluster_tags(
     ``threshold``; ``cluster_id`` is the smallest id of the cluster.
 
     A group of up to ``local_rows`` tags (counted first) is clustered inside one task. Larger groups run the same merges as Spark rounds
-    until no more than ``local_rows`` of their clusters have a close one, so their size is not limited; see :func:`nearest_clusters`.
+    until no more than ``local_rows`` of their clusters, or than hold ``FINISH_COMPONENTS`` components, have a close one, so their size is not
+    limited; see :func:`nearest_clusters`.
     """
     if threshold < 0:
         raise ValueError("threshold must not be negative")
@@ -346,27 +482,11 @@ def nearest_of_blocks(left: pd.DataFrame, right: pd.DataFrame, threshold: float,
     """(_g, _c, _o, _sim): for every row of two blocks, which may be the same one, its nearest in the other block above ``threshold``."""
     left, right = left.sort_values("_id"), right.sort_values("_id")
     same = bool((left["_ca"].iat[0] == left["_cb"].iat[0]) and (left["_ba"].iat[0] == left["_bb"].iat[0]))
-    m, o = np.stack(left["_m"].to_numpy()), np.stack(right["_m"].to_numpy())
-    first = (np.full(len(m), -np.inf), np.zeros(len(m), np.int64))
-    second = first if same else (np.full(len(o), -np.inf), np.zeros(len(o), np.int64))
-
-    def take(best: tuple[np.ndarray, np.ndarray], x: int, sims: np.ndarray, y: int) -> None:
-        # Tiles come in the order of ids, so the first of equal ones stays.
-        at = sims.argmax(axis=1)
-        score = sims[np.arange(len(sims)), at]
-        better = np.flatnonzero(score > best[0][x : x + len(sims)])
-        best[0][x + better], best[1][x + better] = score[better], at[better] + y
-
-    # Both directions are read off one matrix, so a pair has one similarity and the best pair of all is mutual.
-    for x in range(0, len(m), tile_rows):
-        for y in range(x if same else 0, len(o), tile_rows):
-            sims = m[x : x + tile_rows] @ o[y : y + tile_rows].T
-            if same and x == y:
-                sims = (sims + sims.T) / 2
-                np.fill_diagonal(sims, -np.inf)
-            else:
-                take(second, y, sims.T, x)
-            take(first, x, sims, y)
+    m = _Vectors(_as_matrix(left["_m"]))
+    o = m if same else _Vectors(_as_matrix(right["_m"]))
+    first, second = _no_best(len(left)), None if same else _no_best(len(right))
+    # A pair has one similarity for both its rows, so the best pair of all is mutual.
+    _scan(m, o, threshold, first, second, tile_rows, same=same)
     out = []
     for own, other, (score, at) in ((left, right, first), *(() if same else ((right, left, second),))):
         kept = score > threshold
@@ -384,18 +504,23 @@ def nearest_clusters(clusters: DataFrame, threshold: float, block_rows: int = BL
     """
     kinds = {c: clusters.schema[c].dataType.simpleString() for c in ("_g", "_c")}
     schema = f"_g {kinds['_g']}, _c {kinds['_c']}, _o {kinds['_c']}, _sim double"
-    rows = clusters.select("_g", F.col("_c").alias("_id"), F.transform("_s", lambda x: x / F.col("_n")).alias("_m"))
-    length = F.sqrt(F.aggregate("_m", F.lit(0.0), lambda a, x: a + x * x))
-    rows = rows.withColumn("_reach", length).withColumn("_v", F.transform("_m", lambda x: F.when(F.col("_reach") > 0, x / F.col("_reach")).otherwise(0.0)))
-    n_rows, width = rows.agg(F.count(F.lit(1)), F.max(F.size("_m"))).first()
+    rows = clusters.select("_g", F.col("_c").alias("_id"), mean_bytes("_s", "_n").alias("_m"))
+    n_rows, width = clusters.agg(F.count(F.lit(1)), F.max(F.size("_s"))).first()
     if not n_rows:
         return clusters.sparkSession.createDataFrame([], schema)
     block_rows = rows_per_block(n_rows, width or 1, block_rows)
-    pivots = _pivots(rows, "_id", n_rows, block_rows)
-    celled = _assign_cells(rows, pivots)
+    pivots = _pivots(rows.select("_id", F.col("_m").alias("_v")), "_id", n_rows, block_rows)
+
+    @F.pandas_udf("cell int, angle double, reach double")
+    def place(means: pd.Series) -> pd.DataFrame:
+        m = _as_matrix(means)
+        cell, angle = _nearest_pivots(_unit_rows(m), pivots)
+        return pd.DataFrame({"cell": cell, "angle": angle, "reach": np.linalg.norm(m, axis=1)})
+
+    celled = rows.withColumn("_p", place("_m")).select("_g", "_id", "_m", F.col("_p.cell").alias("_cell"), F.col("_p.angle").alias("_angle"), F.col("_p.reach").alias("_reach"))
     cells = celled.groupBy("_g", "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("_blocks"))
     block = F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int")
-    placed = durable(celled.join(cells, ["_g", "_cell"]).withColumn("_block", block).drop("_blocks", "_v"))
+    placed = durable(celled.join(cells, ["_g", "_cell"]).withColumn("_block", block).drop("_blocks"))
     blocks = placed.groupBy("_g", "_cell", "_block").agg(F.max("_angle").alias("_radius"), F.max("_reach").alias("_far"))
     angles = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
     a, b = np.triu_indices(len(pivots))
@@ -429,6 +554,8 @@ def _cluster_rounds(
     clusters = durable(reps.select("_g", "_c", sums, F.col("_n").cast("long").alias("_n")))
     owner = owner.select("_g", "_id", "_c")
     types = {c: clusters.schema[c].dataType.simpleString() for c in ("_g", "_c")}
+    width = clusters.agg(F.max(F.size("_s"))).first()[0] or 1
+    last_rows = max(local_rows, FINISH_COMPONENTS // max(1, width))
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_c")
@@ -441,17 +568,17 @@ def _cluster_rounds(
         best = durable(nearest_clusters(clusters, threshold, block_rows))
         left = durable(best.groupBy("_g").agg(F.count(F.lit(1)).alias("_left")))
         active = clusters.join(best.select("_g", "_c"), ["_g", "_c"], "left_semi")
-        few = left.where(F.col("_left") <= local_rows).select("_g")
+        few = left.where(F.col("_left") <= last_rows).select("_g")
         ended = active.join(few, "_g", "left_semi").groupBy("_g").applyInPandas(finish, f"_g {types['_g']}, _gone {types['_c']}, _into {types['_c']}")
-        many = best.join(left.where(F.col("_left") > local_rows).select("_g"), "_g", "left_semi")
+        many = best.join(left.where(F.col("_left") > last_rows).select("_g"), "_g", "left_semi")
         back = many.select("_g", F.col("_o").alias("_c"), F.col("_c").alias("_o"))
         mutual = many.join(back, ["_g", "_c", "_o"]).where(F.col("_c") < F.col("_o")).select("_g", F.col("_o").alias("_gone"), F.col("_c").alias("_into"))
         merges = durable(ended.unionByName(mutual))
         moved = merges.select("_g", F.col("_gone").alias("_c"), "_into")
         owner = durable(owner.join(moved, ["_g", "_c"], "left").withColumn("_c", F.coalesce("_into", "_c")).drop("_into"))
-        if not left.where(F.col("_left") > local_rows).limit(1).count():
+        if not left.where(F.col("_left") > last_rows).limit(1).count():
             break
-        still = active.join(left.where(F.col("_left") > local_rows).select("_g"), "_g", "left_semi")
+        still = active.join(left.where(F.col("_left") > last_rows).select("_g"), "_g", "left_semi")
         gone = still.join(moved, ["_g", "_c"]).select("_g", F.col("_into").alias("_c"), F.col("_s").alias("_s2"), F.col("_n").alias("_n2"))
         both = F.when(F.col("_s2").isNull(), F.col("_s")).otherwise(F.zip_with("_s", "_s2", lambda x, y: x + y)).alias("_s")
         kept = still.join(moved.select("_g", "_c"), ["_g", "_c"], "left_anti").join(gone, ["_g", "_c"], "left")

@@ -161,3 +161,50 @@ def test_blocks_of_a_large_table_grow_with_it_and_tiles_change_nothing():
                 if sims[i, j] > 0.2:
                     want[int(i)] = (int(j), pytest.approx(sims[i, j]))
         assert got == want
+
+
+def test_a_chain_ends_in_one_task_not_in_a_round_for_each_link(spark, monkeypatch):
+    # Every vector is nearer to the next one than to the one before, so that one pair is mutual at a time.
+    angles = np.cumsum(0.2 * 0.97 ** np.arange(60))
+    m = np.stack([np.cos(angles), np.sin(angles)], axis=1)
+    rounds, nearest = [], V.nearest_clusters
+
+    def counted(*args):
+        rounds.append(1)
+        return nearest(*args)
+
+    monkeypatch.setattr(V, "nearest_clusters", counted)
+    df = table(spark, m)
+    assert found(V.cluster_tags(df, 0.9, local_rows=10, block_rows=15)) == greedy(m, 0.9)
+    assert len(rounds) == 1
+
+
+def test_rounds_over_spark_equal_greedy(spark, monkeypatch):
+    monkeypatch.setattr(V, "FINISH_COMPONENTS", 0)
+    m = blobs(50, seed=12)
+    m = np.vstack([m, np.repeat(m[:1], 20, axis=0), np.zeros((2, m.shape[1]))])
+    df = table(spark, m).unionByName(table(spark, m[:3], "small")).repartition(4)
+    out = V.cluster_tags(df, 0.7, local_rows=10, block_rows=15)
+    assert found(out.where("good_type = 'g'")) == greedy(m, 0.7)
+
+
+@pytest.mark.parametrize("noise", [0.5, 0.05, 1e-5])
+def test_merges_in_tiles_equal_plain_ones(noise):
+    """Also of vectors so near to each other that single precision does not tell them apart."""
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(6, 8))
+    m = unit(centers[rng.integers(0, 6, 150)] + rng.normal(scale=noise, size=(150, 8)))
+    for t in (0.1, 0.6, 0.95, 1 - 1e-10):
+        want = greedy_by_sums(m, t)
+        assert dict(enumerate(V._merge_rounds(m, t, tile_rows=16).tolist())) == want, t
+
+
+def test_a_group_is_merged_without_a_matrix_of_all_its_pairs():
+    import tracemalloc
+
+    m = unit(np.random.default_rng(3).normal(size=(6000, 8)))
+    tracemalloc.start()
+    V._merge_rounds(m, 0.97, tile_rows=512)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 < 8 * 6000**2
