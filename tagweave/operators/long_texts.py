@@ -1,7 +1,7 @@
 """Scorer windows and leading text of products whose text fits no row, from the pieces of :func:`products.product_text_chunks`.
 
-Pieces are dealt by ranges of (product, piece), so one product may span many tasks. A task's stretch of a product needs to know how many
-tokens stand before it and which few come after it; both are read off one narrow row per stretch. No task holds a whole product.
+Pieces are dealt by ranges of (product, piece) and each range is cut into stretches of bounded size, so one product may span many. A product's part of a stretch needs to know how many
+tokens stand before it and which few come after it; both are read off one narrow row per product and stretch. No task holds a whole product.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -21,6 +22,9 @@ from tagweave.functions import text as T
 from tagweave.operators.layout import durable
 from tagweave.operators.scoring import blank_tokens
 
+# Characters of tokens that a worker cuts into windows at once. A range is as large as Spark makes it, and its tokens take ten times their size in Python.
+STRETCH_CHARS = 1 << 22
+
 
 def lead_text(pieces: DataFrame, n_chars: int, key: str = "product_sku") -> DataFrame:
     """(key, text): the first ``n_chars`` characters of every product's text.
@@ -41,12 +45,14 @@ def prompt_text(pieces: DataFrame, n_chars: int, key: str = "product_sku") -> Da
 
 
 def piece_windows(
-    pieces: DataFrame, size: int = 256, overlap: int = 128, special: int = 2, key: str = "product_sku", part: str = "chunk_id", carry: DataFrame | None = None
+    pieces: DataFrame, size: int = 256, overlap: int = 128, special: int = 2, key: str = "product_sku", part: str = "chunk_id", carry: DataFrame | None = None,
+    stretch_chars: int = STRETCH_CHARS,
 ) -> DataFrame:
     """(key, carried columns, chunk_id, text): the token windows of every product's whole text, tokens joined by blanks.
 
     The same windows as :func:`scoring.token_windows` cuts from one array of blank-separated lower-case tokens. ``pieces`` has a product's
     text in pieces in the order of ``part``, between any two of which a blank stands. ``carry`` has one row per key with columns to add.
+    A stretch, which a worker holds at once, has whole pieces of about ``stretch_chars`` characters, however large the task.
     """
     content = size - special
     step = content - overlap
@@ -55,23 +61,34 @@ def piece_windows(
     rows = pieces.select(key, F.col(part).alias("_piece"), blank_tokens("text").alias("_tokens"))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, at = TaskContext.get().partitionId(), 0
+        task, at, used, open_key, before = TaskContext.get().partitionId() << 32, 0, 0, None, 0
         for batch in batches:
-            n = batch.num_rows
-            extra = [pa.array(np.full(n, task), pa.int64()), pa.array(np.arange(at, at + n), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "_task", "_pos"])
-            at += n
-
-    longs = [StructField(c, LongType()) for c in ("_task", "_pos")]
+            tokens = batch.column("_tokens")
+            counts = pc.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            chars = np.concatenate(([0], np.cumsum(pc.binary_length(tokens.flatten()).fill_null(0).to_numpy(zero_copy_only=False))))
+            ends = np.cumsum(counts)
+            sizes = chars[ends] - chars[ends - counts] + counts
+            out: tuple[list, list, list] = ([], [], [])
+            for i, (k, n, size) in enumerate(zip(batch.column(key).to_pylist(), counts.tolist(), sizes.tolist(), strict=True)):
+                if used and used + size > stretch_chars:
+                    task, used, open_key = task + 1, 0, None
+                if open_key is None or open_key[0] != k:
+                    open_key, before = (k,), 0
+                for c, v in zip(out, (task, at + i, before), strict=True):
+                    c.append(v)
+                used, before = used + size + 1, before + n
+            at += batch.num_rows
+            extra = [*(pa.array(c, pa.int64()) for c in out), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *own])
+
+    own = ("_task", "_pos", "_before", "_n")
+    longs = [StructField(c, LongType()) for c in own]
     ranged = rows.repartitionByRange(key, "_piece").sortWithinPartitions(key, "_piece").mapInArrow(number, StructType([*rows.schema.fields, *longs]))
     # Written once: which pieces make up a stretch must not change any more.
     ranged = durable(ranged)
-    # Per stretch its number of tokens and the first ones; of short pieces several may be needed.
-    narrow = ranged.select(key, "_task", "_pos", F.size("_tokens").cast("long").alias("_n"), F.slice("_tokens", 1, content).alias("_lead"))
-    before = F.sum("_n").over(W.partitionBy("_task", key).orderBy("_pos").rowsBetween(W.unboundedPreceding, -1))
-    narrow = narrow.withColumn("_before", F.coalesce(before, F.lit(0)))
-    leads = F.collect_list(F.when(F.col("_before") < content, F.struct("_pos", "_lead")))
-    runs = narrow.groupBy(key, "_task").agg(F.sum("_n").alias("_n"), F.slice(F.flatten(F.transform(F.array_sort(leads), lambda x: x["_lead"])), 1, content).alias("_lead"))
+    # Per product and stretch the number of tokens and the first ones; of short pieces several may be needed.
+    leads = F.collect_list(F.when(F.col("_before") < content, F.struct("_pos", F.slice("_tokens", 1, content).alias("_lead"))))
+    runs = ranged.groupBy(key, "_task").agg(F.sum("_n").alias("_n"), F.slice(F.flatten(F.transform(F.array_sort(leads), lambda x: x["_lead"])), 1, content).alias("_lead"))
     order = W.partitionBy(key).orderBy("_task")
     following = F.slice(F.flatten(F.collect_list("_lead").over(order.rowsBetween(1, content))), 1, content)
     runs = runs.select(
@@ -113,4 +130,4 @@ def piece_windows(
 
     kinds = {c: to_arrow_type(types[c]) for c in (key, *carried)} | {"chunk_id": pa.int32(), "text": pa.string()}
     schema = ", ".join([*(f"`{c}` {types[c].simpleString()}" for c in (key, *carried)), "chunk_id int", "text string"])
-    return ranged.groupBy("_task").cogroup(runs.groupBy("_task")).applyInArrow(cut, schema)
+    return ranged.drop("_before", "_n").groupBy("_task").cogroup(runs.groupBy("_task")).applyInArrow(cut, schema)

@@ -71,3 +71,35 @@ def test_prediction_with_a_reranker(spark):
     for r in better.collect():
         if "good" in whole[r.product_sku].lower().split(" "):
             assert (r.label, r.prob) == ("good", len(whole[r.product_sku].strip()[:50]) / 100)
+
+
+def test_a_range_is_cut_into_stretches_of_bounded_size(spark, monkeypatch):
+    """One range holds all pieces here; what a worker holds at once must not grow with it."""
+    df = reviews(spark)
+    whole = A.aggregate_products(df).select("product_sku", "good_type", "text")
+    pieces = A.product_text_chunks(df, 80).coalesce(1)
+    want = S.token_windows(whole.withColumn("tokens", S.blank_tokens("text")), "tokens", 12, 4)
+    want = {(r.product_sku, r.good_type, r.chunk_id): " ".join(r.window) for r in want.collect()}
+    stored, kept = X.durable, []
+
+    def durable(df):
+        kept.append(stored(df))
+        return kept[-1]
+
+    monkeypatch.setattr(X, "durable", durable)
+    windows = X.piece_windows(pieces, 12, 4, carry=whole.select("product_sku", "good_type"), stretch_chars=300)
+    got = [((r.product_sku, r.good_type, r.chunk_id), r.text) for r in windows.collect()]
+    assert len(got) == len(want) and dict(got) == want
+    sizes = kept[0].groupBy("_task").agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("_tokens", F.lit(0), lambda a, t: a + F.length(t) + 1)).alias("chars"))
+    assert sizes.where("chars > 310 and n > 1").count() == 0 and sizes.count() > 20
+
+
+def test_chunks_of_a_product_do_not_gather_behind_its_head(spark):
+    pieces = A.product_text_chunks(reviews(spark), 80)
+    plan = pieces._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" not in plan and "Join RightOuter" not in plan
+    texts = {}
+    for r in pieces.orderBy("product_sku", "chunk_id").collect():
+        texts.setdefault(r.product_sku, []).append(r.text)
+    whole = {r.product_sku: r.text for r in A.aggregate_products(reviews(spark)).collect()}
+    assert {k: " ".join(v) for k, v in texts.items()} == whole and {"none", "blank"} <= set(whole)
