@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tagweave.functions.text import let
 from tagweave.operators.products import explode_tags
 
 
@@ -80,7 +81,8 @@ def training_pairs(df: DataFrame, text: str = "text", tags: str = "tags") -> Dat
 
 def multi_hot_vector(column: str, labels: Column) -> Column:
     """0/1 array over a sorted label array (dense form; only on request)."""
-    return F.transform(labels, lambda lab: F.array_contains(F.col(column), lab).cast("int"))
+    # Bound: inside the function of a label Spark would make the tags anew for every label.
+    return let(F.col(column), lambda tags: F.transform(labels, lambda lab: F.array_contains(tags, lab).cast("int")))
 
 
 def long_tags(

@@ -252,3 +252,12 @@ def test_precision_at_k_reads_scores_and_truth_once(spark):
     # Products a, b and c count; a's truth is listed thrice.
     rows = {r["k"]: (round(r["precision"], 6), round(r["recall"], 6)) for r in got.collect()}
     assert rows == {1: (0.0, 0.0), 2: (round(0.5 / 3, 6), round(1 / 9, 6))}
+
+
+def test_tags_are_made_once_not_for_every_label(spark):
+    df = spark.createDataFrame([(1, "b;a;b"), (2, ""), (3, None)], "product_sku long, cell string")
+    labels = F.array(*[F.lit(x) for x in ("a", "b", "c")])
+    out = df.select("product_sku", F.array_sort(F.split("cell", ";")).alias("tags")).select("product_sku", L.multi_hot_vector("tags", labels).alias("hot"))
+    assert {r.product_sku: r.hot for r in out.collect()} == {1: [1, 1, 0], 2: [0, 0, 0], 3: [None] * 3}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains(lambda" in plan and "array_contains(array_sort" not in plan
