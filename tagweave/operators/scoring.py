@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from tagweave.functions.numeric import sigmoid
 from tagweave.functions.text import strip
@@ -18,6 +24,8 @@ from tagweave.operators.selection import max_pool_scores, select_tags
 # A scorer reads batches with the columns of its input and yields (product_sku, good_type, chunk_id, label, prob).
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 CLIENT_TASKS_PER_GROUP = 64
+# Tokens of chunks that share a dictionary, and that a worker holds at once.
+STRETCH_TOKENS = 1 << 22
 
 
 def blank_tokens(c: Column | str) -> Column:
@@ -218,27 +226,143 @@ def label_bias(truth: DataFrame, products: DataFrame, alpha: float = 1.0, group:
     return pos.join(n_all, group).select(group, "label", F.ln((n_pos + a) / (n - n_pos + a)).alias("bias"), unseen.alias("unseen"))
 
 
+def numbered_tokens(chunk_tokens: DataFrame, group: str = "good_type", stretch_tokens: int = STRETCH_TOKENS) -> DataFrame:
+    """Chunks with their distinct tokens as numbers, and what the numbers stand for, in one table.
+
+    A task's rows are cut into stretches of about ``stretch_tokens`` tokens. A row with a ``token`` tells its ``_number`` in the dictionary of
+    ``_stretch`` and group; one without is a chunk, ``_numbers`` are its tokens' numbers in two bytes each and ``_rare`` those from 2^16 on in four. A
+    token that is in many chunks stands in the dictionary once; frequent ones have small numbers.
+    """
+    rows = chunk_tokens.select("product_sku", group, "chunk_id", "tokens")
+    own = {"_stretch": LongType(), "_numbers": BinaryType(), "_rare": BinaryType(), "token": StringType(), "_number": IntegerType()}
+    schema = StructType([*(StructField(f.name, f.dataType) for f in rows.schema.fields[:3]), *(StructField(c, t) for c, t in own.items())])
+    types = [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretch = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            ends = np.cumsum(pc.list_value_length(batch.column("tokens")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < batch.num_rows:
+                used = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, used + stretch_tokens, "right")))
+                part = batch.slice(start, stop - start)
+                numbers, rare, of, token = _numbered(part.column(1), part.column("tokens"))
+                n, m = part.num_rows, len(token)
+                columns = [*part.columns[:3], pa.array(np.full(n, stretch), types[3]), numbers, rare, pa.nulls(n, types[6]), pa.nulls(n, types[7])]
+                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)], schema.names)
+                columns = [
+                    pa.nulls(m, types[0]), part.column(1).take(of), pa.nulls(m, types[2]), pa.array(np.full(m, stretch), types[3]), pa.nulls(m, types[4]),
+                    pa.nulls(m, types[5]), token, pa.array(np.arange(m), types[7]),
+                ]
+                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)], schema.names)
+                stretch, start = stretch + 1, stop
+
+    return rows.mapInArrow(number, schema)
+
+
+def _numbered(groups: pa.Array, tokens: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+    """(each row's distinct numbers below 2^16 as bytes, those from there on, a row that has a number's group, the number's token)."""
+    n = len(tokens)
+    counts = pc.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = tokens.flatten().dictionary_encode()
+    row = np.repeat(np.arange(n), counts)
+    # Rows without a group have no weights, and no token is null.
+    group = groups.dictionary_encode().indices
+    known = flat.indices.is_valid().to_numpy(zero_copy_only=False) & group.is_valid().to_numpy(zero_copy_only=False)[row]
+    row, word = row[known], flat.indices.fill_null(0).to_numpy(zero_copy_only=False)[known].astype(np.int64)
+    n_words = max(1, len(flat.dictionary))
+    codes, number = np.unique(group.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[row] * n_words + word, return_inverse=True)
+    by_count = np.argsort(-np.bincount(number, minlength=len(codes)), kind="stable")
+    rank = np.empty(len(codes), np.int64)
+    rank[by_count] = np.arange(len(codes))
+    codes, number = codes[by_count], rank[number]
+    of = np.zeros(len(codes), np.int64)
+    of[number] = row
+    row, number = np.divmod(np.unique(row * max(1, len(codes)) + number), max(1, len(codes)))
+
+    def packed(here: np.ndarray, kind: str) -> pa.Array:
+        data = number[here].astype(kind)
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(row[here], minlength=n)))) * data.itemsize
+        return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+    often = number < 1 << 16
+    token = flat.dictionary.take(pa.array(codes % n_words, pa.int64())).cast(pa.string())
+    return packed(often, "<u2"), packed(~often, "<u4"), pa.array(of, pa.int64()), token
+
+
+def chunk_sums(rows: pa.Table, answers: pa.Table, most: int = 1 << 22) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+    """(row, label, v, k): for every row its number ``k`` of known tokens and sum ``v`` of what they drop, under a null label, and the sums of the
+    corrections of each label that has any. ``answers`` are the weights of numbers; of corrections at most about ``most`` are laid out at once."""
+    n = rows.num_rows
+    row, number = [], []
+    for column, kind in (("_numbers", "<u2"), ("_rare", "<u4")):
+        values = np.frombuffer(b"".join(rows.column(column).to_pylist()), kind)
+        lengths = pc.binary_length(rows.column(column)).to_numpy().astype(np.int64) // values.itemsize
+        row.append(np.repeat(np.arange(n), lengths))
+        number.append(values.astype(np.int64))
+    row, number = np.concatenate(row), np.concatenate(number)
+    named = answers.column("_number").to_numpy().astype(np.int64)
+    size = int(max(number.max(initial=-1), named.max(initial=-1))) + 1
+    drop = answers.column("drop").combine_chunks()
+    counted = np.bincount(named, drop.is_valid().to_numpy(zero_copy_only=False), size)
+    dropped = np.bincount(named, drop.fill_null(0.0).to_numpy(zero_copy_only=False), size)
+    k = np.bincount(row, counted[number], n).round().astype(np.int64)
+    v = -np.bincount(row, dropped[number], n)
+    # Corrections of a number stand together.
+    corrections = answers.column("corrections").combine_chunks()
+    each = pc.list_value_length(corrections).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    entries = corrections.flatten()
+    label, c = entries.field("label").dictionary_encode(), entries.field("c").fill_null(0.0).to_numpy(zero_copy_only=False)
+    n_labels, code = max(1, len(label.dictionary)), label.indices.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(named, each)
+    order = np.argsort(owner, kind="stable")
+    code, c = code[order], c[order]
+    have = np.bincount(owner, minlength=size)
+    begin = np.cumsum(have) - have
+    until = np.cumsum(have[number])
+    found: tuple[list, list, list] = ([], [], [])
+    at = 0
+    while at < len(number):
+        to = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + most, "right")))
+        many = have[number[at:to]]
+        place = np.repeat(begin[number[at:to]] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        pair, inverse = np.unique(np.repeat(row[at:to], many) * n_labels + code[place], return_inverse=True)
+        for x, y in zip(found, (pair // n_labels, pair % n_labels, np.bincount(inverse, c[place], len(pair))), strict=True):
+            x.append(y)
+        at = to
+    r, lab, extra = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, np.float64), found, strict=True))
+    labels = pa.concat_arrays([pa.nulls(n, pa.string()), label.dictionary.take(pa.array(lab, pa.int64())).cast(pa.string())])
+    sums = pa.array(np.concatenate([v, extra]), mask=np.concatenate([k == 0, np.zeros(len(r), bool)]))
+    return pa.array(np.concatenate([np.arange(n), r]), pa.int64()), labels, sums, pa.array(np.concatenate([k, np.zeros(len(r), np.int64)]), pa.int64())
+
+
 def score_tokens(
     chunk_tokens: DataFrame, weights: DataFrame, bias: DataFrame, group: str = "good_type"
 ) -> DataFrame:
     """(product_sku, group, chunk_id, label, prob) = sigmoid(bias + sum of token weights) per chunk.
 
     ``chunk_tokens`` is (product_sku, group, chunk_id, token array ``tokens``). With k known tokens the sum is k times the label's
-    number for unseen tokens, less the tokens' ``drop``, plus the corrections of the pairs that occur; it combines before the
-    shuffle. Chunks without any known token keep the bias alone.
+    number for unseen tokens, less the tokens' ``drop``, plus the corrections of the pairs that occur. Chunks without any known token keep the
+    bias alone. Tokens do not move one by one: see :func:`numbered_tokens`.
     """
     chunk = ["product_sku", group, "chunk_id"]
-    # Outer form: a chunk without tokens stays.
-    cells = chunk_tokens.select(*chunk, F.explode_outer(F.array_distinct("tokens")).alias("token"))
-    none = F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("v"))
-    # Made once per weight, not once per token that meets it.
-    parts = F.concat(
-        F.array(F.struct(none["label"].alias("label"), (-F.col("drop")).alias("v"))),
-        F.coalesce(F.transform("corrections", lambda x: F.struct(x["label"].alias("label"), x["c"].alias("v"))), F.array().cast("array<struct<label:string,v:double>>")),
-    )
-    hits = cells.join(weights.select(group, "token", parts.alias("_parts")), [group, "token"], "left")
-    found = F.coalesce("_parts", F.array(none))
-    sums = hits.select(*chunk, F.inline(found)).groupBy(*chunk, "label").agg(F.sum("v").alias("v"), F.count("v").alias("k"))
+    coded = durable(numbered_tokens(chunk_tokens, group))
+    # New column identities: both sides of the cogroup come from the same table.
+    words = coded.where(F.col("token").isNotNull()).select(*[F.col(c).alias(c) for c in (group, "token", "_stretch", "_number")])
+    answers = words.join(weights.select(group, "token", "drop", "corrections"), [group, "token"]).select("_stretch", "_number", "drop", "corrections")
+    rows = coded.where(F.col("token").isNull()).select(*chunk, "_stretch", "_numbers", "_rare")
+    types = {c: to_arrow_type(coded.schema[c].dataType) for c in chunk}
+
+    def add_up(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        at, label, v, k = chunk_sums(rows, answers)
+        out = {c: rows.column(c).take(at).cast(types[c]) for c in chunk}
+        return pa.table({**out, "label": label, "v": v, "k": k})
+
+    kinds = ", ".join(f"`{c}` {coded.schema[c].dataType.simpleString()}" for c in chunk)
+    parts = rows.groupBy("_stretch").cogroup(answers.groupBy("_stretch")).applyInArrow(add_up, f"{kinds}, label string, v double, k long")
+    # Few rows for a chunk, nearly all added up: they move once.
+    sums = parts.repartition(*chunk).groupBy(*chunk, "label").agg(F.sum("v").alias("v"), F.sum("k").alias("k"))
     of_label = F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "v")))
     per_chunk = sums.groupBy(*chunk).agg(
         F.max(F.when(F.col("label").isNull(), F.col("k"))).alias("_k"),

@@ -261,3 +261,40 @@ def test_tags_are_made_once_not_for_every_label(spark):
     assert {r.product_sku: r.hot for r in out.collect()} == {1: [1, 1, 0], 2: [0, 0, 0], 3: [None] * 3}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "array_contains(lambda" in plan and "array_contains(array_sort" not in plan
+
+
+def test_tokens_move_as_numbers_of_a_dictionary(spark):
+    """One row for each token of a stretch, not for each token of each chunk."""
+    words = [f"w{i}" for i in range(40)]
+    chunks = spark.createDataFrame([(p, "g" if p % 3 else None, c, words[p % 5 :] + words[:9]) for p in range(30) for c in range(4)], "product_sku long, good_type string, chunk_id int, tokens array<string>").coalesce(1)
+    coded = S.numbered_tokens(chunks)
+    assert coded.where("token is null").count() == 120 and coded.where("token is not null").count() == 40
+    per_chunk = coded.where("token is null and good_type = 'g'").select(F.length("_numbers").alias("n")).distinct().collect()
+    assert {r.n for r in per_chunk} <= {2 * 40, 2 * 39, 2 * 38, 2 * 37, 2 * 36}
+    plan = S.score_tokens(chunks, spark.createDataFrame([], "good_type string, token string, drop double, corrections array<struct<label:string,c:double>>"),
+                          spark.createDataFrame([("g", "red", 0.25, -0.5)], "good_type string, label string, bias double, unseen double"))
+    assert "explode" not in plan._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInArrow")[1]
+
+
+def test_numbered_tokens_in_small_stretches_score_like_plain_sums(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(70_000)] + [None, ""]
+    # The second group's dictionary passes 2^16, repeated chunks add up, and chunks may have no or unknown tokens, or no group.
+    rows = [(p, rng.choice("ab"), rng.randrange(2), rng.choices(words[-300:], k=rng.randrange(9))) for p in range(80)] + [(100, "b", 0, words), (101, None, 0, ["w1"]), (102, "a", 0, None)]
+    chunks = spark.createDataFrame(rows + rows[:7], "product_sku long, good_type string, chunk_id int, tokens array<string>").coalesce(2)
+    known = [(g, w, 0.01 * (i % 7), [(lab, 0.1 * (i % 5) - 0.2) for lab in "xyz" if (i + ord(lab)) % 3 == 0]) for g in "ab" for i, w in enumerate(words[-200:]) if w is not None]
+    weights = spark.createDataFrame(known, "good_type string, token string, drop double, corrections array<struct<label:string,c:double>>")
+    bias = [(g, lab, 0.3, -0.01) for g in "ab" for lab in "xyz"]
+    of = {(g, w): (d, dict(c)) for g, w, d, c in known}
+    want = {}
+    for p, g, c, tokens in rows + rows[:7]:
+        hits = [of[g, t] for t in set(tokens or ()) if (g, t) in of]
+        for lab in "xyz" if g else "":
+            want[p, g, c, lab] = want.get((p, g, c, lab), 0.3) + sum(-0.01 - d + e.get(lab, 0.0) for d, e in hits)
+    for stretch in (50, 1 << 22):
+        monkeypatch.setattr(S.numbered_tokens, "__defaults__", ("good_type", stretch))
+        out = S.score_tokens(chunks, weights, spark.createDataFrame(bias, "good_type string, label string, bias double, unseen double"))
+        got = {(r.product_sku, r.good_type, r.chunk_id, r.label): r.prob for r in out.collect()}
+        assert got == pytest.approx({k: 1 / (1 + math.exp(-x)) for k, x in want.items()})
