@@ -24,7 +24,7 @@ from tagweave.operators.selection import max_pool_scores, select_tags
 # A scorer reads batches with the columns of its input and yields (product_sku, good_type, chunk_id, label, prob).
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 CLIENT_TASKS_PER_GROUP = 64
-# Tokens of chunks that share a dictionary, and that a worker holds at once.
+# Tokens of chunks that share a dictionary. A worker holds one batch of chunks, and the distinct tokens of each chunk of a stretch as numbers.
 STRETCH_TOKENS = 1 << 22
 
 
@@ -229,7 +229,7 @@ def label_bias(truth: DataFrame, products: DataFrame, alpha: float = 1.0, group:
 def numbered_tokens(chunk_tokens: DataFrame, group: str = "good_type", stretch_tokens: int = STRETCH_TOKENS) -> DataFrame:
     """Chunks with their distinct tokens as numbers, and what the numbers stand for, in one table.
 
-    A task's rows are cut into stretches of about ``stretch_tokens`` tokens. A row with a ``token`` tells its ``_number`` in the dictionary of
+    A task's rows are cut into stretches of at least ``stretch_tokens`` tokens. A row with a ``token`` tells its ``_number`` in the dictionary of
     ``_stretch`` and group; one without is a chunk, ``_numbers`` are its tokens' numbers in two bytes each and ``_rare`` those from 2^16 on in four. A
     token that is in many chunks stands in the dictionary once; frequent ones have small numbers.
     """
@@ -238,8 +238,21 @@ def numbered_tokens(chunk_tokens: DataFrame, group: str = "good_type", stretch_t
     schema = StructType([*(StructField(f.name, f.dataType) for f in rows.schema.fields[:3]), *(StructField(c, t) for c, t in own.items())])
     types = [to_arrow_type(f.dataType) for f in schema.fields]
 
+    def flushed(stretch: int, held: list[tuple[pa.Table, np.ndarray, pa.DictionaryArray]]) -> Iterator[pa.RecordBatch]:
+        keys = pa.concat_tables([h[0] for h in held]).combine_chunks()
+        numbers, rare, of, token = _numbered(keys.column(1).combine_chunks(), np.concatenate([h[1] for h in held]), [h[2] for h in held])
+        keys, n, m = [c.combine_chunks() for c in keys.columns], keys.num_rows, len(token)
+        for columns in (
+            [*keys, pa.array(np.full(n, stretch), types[3]), numbers, rare, pa.nulls(n, types[6]), pa.nulls(n, types[7])],
+            [
+                pa.nulls(m, types[0]), keys[1].take(of), pa.nulls(m, types[2]), pa.array(np.full(m, stretch), types[3]), pa.nulls(m, types[4]),
+                pa.nulls(m, types[5]), token, pa.array(np.arange(m), types[7]),
+            ],
+        ):
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)], schema.names)
+
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stretch = TaskContext.get().partitionId() << 32
+        stretch, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             ends = np.cumsum(pc.list_value_length(batch.column("tokens")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             start = 0
@@ -247,39 +260,65 @@ def numbered_tokens(chunk_tokens: DataFrame, group: str = "good_type", stretch_t
                 used = ends[start - 1] if start else 0
                 stop = max(start + 1, int(np.searchsorted(ends, used + stretch_tokens, "right")))
                 part = batch.slice(start, stop - start)
-                numbers, rare, of, token = _numbered(part.column(1), part.column("tokens"))
-                n, m = part.num_rows, len(token)
-                columns = [*part.columns[:3], pa.array(np.full(n, stretch), types[3]), numbers, rare, pa.nulls(n, types[6]), pa.nulls(n, types[7])]
-                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)], schema.names)
-                columns = [
-                    pa.nulls(m, types[0]), part.column(1).take(of), pa.nulls(m, types[2]), pa.array(np.full(m, stretch), types[3]), pa.nulls(m, types[4]),
-                    pa.nulls(m, types[5]), token, pa.array(np.arange(m), types[7]),
-                ]
-                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)], schema.names)
-                stretch, start = stretch + 1, stop
+                # Of a batch only its distinct tokens are kept.
+                held.append((pa.Table.from_batches([part.select([0, 1, 2])]), *_distinct(part.column("tokens"))))
+                size, start = size + int(ends[stop - 1] - used), stop
+                if size >= stretch_tokens:
+                    yield from flushed(stretch, held)
+                    stretch, held, size = stretch + 1, [], 0
+        if held:
+            yield from flushed(stretch, held)
 
     return rows.mapInArrow(number, schema)
 
 
-def _numbered(groups: pa.Array, tokens: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
-    """(each row's distinct numbers below 2^16 as bytes, those from there on, a row that has a number's group, the number's token)."""
+def _distinct(tokens: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """(number of distinct tokens of every list, the tokens of one list after the other); null is no token."""
     n = len(tokens)
     counts = pc.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = tokens.flatten().dictionary_encode()
-    row = np.repeat(np.arange(n), counts)
-    # Rows without a group have no weights, and no token is null.
-    group = groups.dictionary_encode().indices
-    known = flat.indices.is_valid().to_numpy(zero_copy_only=False) & group.is_valid().to_numpy(zero_copy_only=False)[row]
-    row, word = row[known], flat.indices.fill_null(0).to_numpy(zero_copy_only=False)[known].astype(np.int64)
+    row, word = np.repeat(np.arange(n), counts), flat.indices
+    if word.null_count:
+        row, word = row[word.is_valid().to_numpy(zero_copy_only=False)], word.drop_null()
     n_words = max(1, len(flat.dictionary))
-    codes, number = np.unique(group.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[row] * n_words + word, return_inverse=True)
-    by_count = np.argsort(-np.bincount(number, minlength=len(codes)), kind="stable")
-    rank = np.empty(len(codes), np.int64)
-    rank[by_count] = np.arange(len(codes))
-    codes, number = codes[by_count], rank[number]
+    pairs = row * n_words + word.to_numpy(zero_copy_only=False)
+    pairs.sort()
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
+    row, word = np.divmod(pairs, n_words)
+    return np.bincount(row, minlength=n), pa.DictionaryArray.from_arrays(pa.array(word.astype(np.int32)), flat.dictionary.cast(pa.string()))
+
+
+def _numbered(groups: pa.Array, counts: np.ndarray, tokens: list[pa.DictionaryArray]) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+    """(each row's distinct numbers below 2^16 as bytes, those from there on, a row that has a number's group, the number's token)."""
+    n = len(groups)
+    tokens = pa.chunked_array(tokens).unify_dictionaries()
+    dictionary = tokens.chunk(0).dictionary
+    row = np.repeat(np.arange(n), counts)
+    word = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in tokens.chunks])
+    # Rows without a group have no weights.
+    group = groups.dictionary_encode()
+    if groups.null_count:
+        known = groups.is_valid().to_numpy(zero_copy_only=False)[row]
+        row, word = row[known], word[known]
+    n_words = max(1, len(dictionary))
+    number = group.indices.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[row] * n_words + word
+    n_codes = n_words * max(1, len(group.dictionary))
+    if n_codes <= 8 * len(number):
+        often = np.bincount(number, minlength=n_codes)
+        codes = np.flatnonzero(often)
+        by_count = np.argsort(-often[codes], kind="stable")
+        codes = codes[by_count]
+        rank = np.empty(n_codes, np.int32)
+        rank[codes] = np.arange(len(codes), dtype=np.int32)
+        number = rank[number]
+    else:
+        codes, number, often = np.unique(number, return_inverse=True, return_counts=True)
+        by_count = np.argsort(-often, kind="stable")
+        rank = np.empty(len(codes), np.int32)
+        rank[by_count] = np.arange(len(codes), dtype=np.int32)
+        codes, number = codes[by_count], rank[number]
     of = np.zeros(len(codes), np.int64)
     of[number] = row
-    row, number = np.divmod(np.unique(row * max(1, len(codes)) + number), max(1, len(codes)))
 
     def packed(here: np.ndarray, kind: str) -> pa.Array:
         data = number[here].astype(kind)
@@ -287,7 +326,7 @@ def _numbered(groups: pa.Array, tokens: pa.Array) -> tuple[pa.Array, pa.Array, p
         return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
     often = number < 1 << 16
-    token = flat.dictionary.take(pa.array(codes % n_words, pa.int64())).cast(pa.string())
+    token = dictionary.take(pa.array(codes % n_words, pa.int64()))
     return packed(often, "<u2"), packed(~often, "<u4"), pa.array(of, pa.int64()), token
 
 
@@ -327,8 +366,15 @@ def chunk_sums(rows: pa.Table, answers: pa.Table, most: int = 1 << 22) -> tuple[
         to = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + most, "right")))
         many = have[number[at:to]]
         place = np.repeat(begin[number[at:to]] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        pair, inverse = np.unique(np.repeat(row[at:to], many) * n_labels + code[place], return_inverse=True)
-        for x, y in zip(found, (pair // n_labels, pair % n_labels, np.bincount(inverse, c[place], len(pair))), strict=True):
+        pair = np.repeat(row[at:to], many) * n_labels + code[place]
+        if n * n_labels <= most:
+            total = np.bincount(pair, c[place], n * n_labels)
+            pair = np.flatnonzero(np.bincount(pair, minlength=n * n_labels))
+            total = total[pair]
+        else:
+            pair, inverse = np.unique(pair, return_inverse=True)
+            total = np.bincount(inverse, c[place], len(pair))
+        for x, y in zip(found, (pair // n_labels, pair % n_labels, total), strict=True):
             x.append(y)
         at = to
     r, lab, extra = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, np.float64), found, strict=True))
