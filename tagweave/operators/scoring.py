@@ -330,7 +330,7 @@ def _numbered(groups: pa.Array, counts: np.ndarray, tokens: list[pa.DictionaryAr
     return packed(often, "<u2"), packed(~often, "<u4"), pa.array(of, pa.int64()), token
 
 
-def chunk_sums(rows: pa.Table, answers: pa.Table, most: int = 1 << 22) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+def chunk_sums(rows: pa.Table, answers: pa.Table, most: int = 1 << 20) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
     """(row, label, v, k): for every row its number ``k`` of known tokens and sum ``v`` of what they drop, under a null label, and the sums of the
     corrections of each label that has any. ``answers`` are the weights of numbers; of corrections at most about ``most`` are laid out at once."""
     n = rows.num_rows
